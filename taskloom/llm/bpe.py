@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, slices
+from .common import ROW, materialize, narrow, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
@@ -79,12 +79,12 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Byte strings or id lists, one after the other."""
+    """Arrays of one type, given as bytes, one after the other."""
 
-    def __init__(self, rows: list, dtype):
-        self.lengths = np.array([len(x) for x in rows], np.int64)
+    def __init__(self, rows: list[bytes], dtype):
+        self.lengths = np.array([len(x) for x in rows], np.int64) // np.dtype(dtype).itemsize
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(rows), dtype) if dtype == np.uint8 else np.array([i for x in rows for i in x], dtype)
+        self.flat = np.frombuffer(b"".join(rows), dtype)
 
 
 class Codec:
@@ -133,16 +133,22 @@ def _sampled(docs: DataFrame, shared) -> DataFrame:
     return part.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= HEAD_BYTES)
 
 
+def id_type(ranks: dict[bytes, int]) -> str:
+    """Little-endian, as wide as the ids need."""
+    return "<u2" if len(ranks) <= 1 << 16 else "<u4"
+
+
 def _encoded(distinct: DataFrame, shared) -> DataFrame:
-    """word, ids of each word."""
+    """word, ids of each word as bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
+        kind = id_type(ranks)
         for batch in batches:
-            ids = [encode_word(w.encode(), ranks) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            ids = [np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    return distinct.mapInArrow(encode, "word string, ids array<int>")
+    return distinct.mapInArrow(encode, "word string, ids binary")
 
 
 def head_words(docs: DataFrame, shared) -> pa.Table:
@@ -202,18 +208,20 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
                 bodies.append(pack(codes))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary()), *(batch.column(c) for c in batch.schema.names if c != "text" or "text" in carry)], ["key", "packed", *(c for c in batch.schema.names if c != "text" or "text" in carry)])
 
-    away = materialize(only.mapInArrow(rest, "key binary, at array<int>, word array<string>"), "away")
-    away = away.select("key", F.explode(F.arrays_zip("at", "word")).alias("w")).select("key", "w.at", "w.word")
-    known = _encoded(away.select("word").distinct(), shared)
-    back = away.join(known, "word").select("key", F.struct("at", "ids").alias("p"))
-    # equal texts in several tasks send their words more than once: one of each place stays
-    placed = back.groupBy("key").agg(F.transform(F.array_sort(F.collect_set("p")), lambda p: p["ids"]).alias("away"))
+    away = materialize(with_row(only.mapInArrow(rest, "key binary, at array<int>, word array<string>")), "away")
+    spread = away.select(ROW, F.explode(F.arrays_zip("at", "word")).alias("w")).select(ROW, "w.at", "w.word")
+    known = _encoded(spread.select("word").distinct(), shared)
+    back = spread.join(known, "word").groupBy(ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]).alias("away"))
+    # equal texts in several tasks send their words more than once: one of them stays
+    one = away.groupBy("key").agg(F.min(ROW).alias(ROW))
+    placed = one.join(back, ROW).drop(ROW)
     kept = [f for f in base.schema.fields if f.name != "text" or "text" in carry]
     whole = base.mapInArrow(packed, "key binary, packed binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
     joined = whole.join(placed, "key", "left").drop("key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, spell = Table([[], *head.value.column("ids").to_pylist()], np.int32), shared.value.token_bytes()
+        kind, spell = np.dtype(id_type(shared.value.ranks)), shared.value.token_bytes()
+        table = Table([b"", *head.value.column("ids").to_pylist()], kind)
         for batch in batches:
             n, shas, plain, every, back = [], [], [], [], []
             away = batch.column("away")
@@ -221,19 +229,22 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
                 codes = unpack(body)
                 starts, lengths, flat = table.starts[codes], table.lengths[codes], table.flat
                 if len(gone := np.flatnonzero(codes == 0)):
-                    own = away[k].values
-                    cuts = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
-                    lengths = lengths.copy()
-                    starts = starts.copy()
-                    starts[gone], lengths[gone] = cuts[:-1] + len(flat), np.diff(cuts)
-                    flat = np.concatenate((flat, np.frombuffer(own.values.buffers()[1], np.int32)[own.values.offset :][: cuts[-1]]))
-                ids = flat[expand(starts, lengths)]
+                    own = away[k].as_py()
+                    own_lengths = np.array([len(x) for x in own]) // kind.itemsize
+                    ids = np.empty(lengths.sum() + own_lengths.sum(), kind)
+                    lengths[gone] = own_lengths
+                    begins = np.cumsum(lengths) - lengths
+                    there = codes > 0
+                    ids[expand(begins[there], lengths[there])] = flat[expand(starts[there], lengths[there])]
+                    ids[expand(begins[gone], own_lengths)] = np.frombuffer(b"".join(own), kind)
+                else:
+                    ids = flat[expand(starts, lengths)]
                 raw = spell.flat[expand(spell.starts[ids], spell.lengths[ids])].tobytes()
                 n.append(len(ids))
                 shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 plain.append(hashlib.sha256(raw).hexdigest())
                 if keep_ids:
-                    every.append(ids)
+                    every.append(ids.astype(np.int32))
                     back.append(raw.decode())
             more = [pa.array(every, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep_ids else []
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
