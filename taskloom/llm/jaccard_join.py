@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .candidates import likely
 from .common import LOWER_NP, U, materialize, mix, shingle_hashes, slices, utf8, word_hashes, words
 from .components import components
 
@@ -128,15 +129,6 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
     return np.concatenate(out_of), np.concatenate(out_key)
 
 
-def _bloom(nodes: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bit for each id's hash: 1 MB whatever the number of ids. It only spares work, and says yes to all that is full."""
-    at = f"cast(pmod(xxhash64(node), {bits}) as int)"
-    rows = nodes.select(F.expr(f"{at} div 8").cast("int").alias("byte"), F.expr(f"shiftleft(1, {at} % 8)").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
 #: Bits of the sketch by which pairs are sifted before their texts are compared, as longs.
 SKETCH = 32
 
@@ -156,19 +148,14 @@ def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _candidates(nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """(node, n, sketch, text) of the documents in nodes, and a few others; only these texts are written."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(nodes))
-    at = F.pmod(F.xxhash64("node"), F.lit(1 << 23))
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(list(folded(sets, bounds)), pa.list_(pa.int64())), batch.column("text")], ["node", "n", "sketch", "text"])
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            p = whole.column("at").to_numpy()
-            for batch in slices([whole.filter(pa.array((bits.value[p >> 3] >> (p & 7) & 1).astype(bool)))], "text"):
-                data, offsets = utf8(batch.column("text"))
-                sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(list(folded(sets, bounds)), pa.list_(pa.int64())), batch.column("text")], ["node", "n", "sketch", "text"])
-
-    some = docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text", at.alias("at"))
-    return materialize(some.mapInArrow(likely, "node long, n long, sketch array<long>, text string"), "candidates")
+    some = likely(docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text"), nodes, "node")
+    return materialize(some.mapInArrow(sketched, "node long, n long, sketch array<long>, text string"), "candidates")
 
 
 def _may_link(plan: Plan) -> Column:
