@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import Plan, jaccard_classes
 from .language_id import language_id
+from .lm_scoring import score_documents
 from .secrets import secret_digest
 from .substring_dedup import substring_dedup
 
@@ -33,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
