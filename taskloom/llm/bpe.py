@@ -1,9 +1,10 @@
 """Byte-level BPE: a global shuffle of distinct words.
 
 Each text is cut into pre-tokens. Words that are frequent in a bounded sample are encoded once and looked up in a
-broadcast table of bounded size; all others are exploded with their positions, and each distinct one is encoded once
-after a shuffle and joined back. A document travels as one packed row of word codes; ids are put in place by
-position, and decoding looks up each id in the token-byte table.
+broadcast table of bounded size. All others are exploded with their places, dealt out by word so that each distinct
+one is encoded once, and go back to where they came from. Documents wait in blocks of about BLOCK bytes, as packed word
+codes; a word is sent once a block however often it stands there, so no word is hot. Ids are put in place by position,
+and decoding looks up each id in the token-byte table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import ROW, materialize, narrow, slices, with_row
 HEAD, HEAD_BYTES = 400_000, 40
 #: About so many documents are sampled to choose the table. It changes no result, only how many words are shuffled.
 SAMPLE_DOCS = 24_000
+#: Bytes of text in a block; one longer text is a block of its own.
+BLOCK = 8 << 20
 #: For texts of basic Latin to U+02AF without the characters in ODD, these patterns cut alike; the second is faster in `re`.
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u02af"
@@ -63,13 +66,14 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Codes below 2^24 as three planes of bytes, compressed."""
-    return zlib.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), 1)
+    """Codes as planes of bytes, the lowest first, compressed; the planes that are needed."""
+    planes = max(1, -(-int(codes.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + zlib.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1)
-    return planes[0].astype(np.int64) | planes[1].astype(np.int64) << 8 | planes[2].astype(np.int64) << 16
+    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    return sum(p.astype(np.int64) << 8 * i for i, p in enumerate(planes))
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -112,10 +116,6 @@ def _strings(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def _key(text: str) -> bytes:
-    return hashlib.sha256(text.encode()).digest()[:16]
-
-
 def _sampled(docs: DataFrame, shared) -> DataFrame:
     """(word, n) over a sample of documents by hash."""
     total = docs.count()
@@ -138,17 +138,23 @@ def id_type(ranks: dict[bytes, int]) -> str:
     return "<u2" if len(ranks) <= 1 << 16 else "<u4"
 
 
-def _encoded(distinct: DataFrame, shared) -> DataFrame:
-    """word, ids of each word as bytes."""
+def _encoded(rows: DataFrame, shared, keep: str) -> DataFrame:
+    """The rows' other columns (keep: their schema) and the ids of each word as bytes. A word that follows itself isn't encoded again."""
+    names = [c.split()[0] for c in keep.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
         kind = id_type(ranks)
+        last, now = None, b""
         for batch in batches:
-            ids = [np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            ids = []
+            for w in batch.column("word").to_pylist():
+                if w != last:
+                    last, now = w, np.array(encode_word(w.encode(), ranks), kind).tobytes()
+                ids.append(now)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
-    return distinct.mapInArrow(encode, "word string, ids binary")
+    return rows.select(*dict.fromkeys([*names, "word"])).mapInArrow(encode, f"{keep}, ids binary")
 
 
 def head_words(docs: DataFrame, shared) -> pa.Table:
@@ -161,7 +167,7 @@ def head_words(docs: DataFrame, shared) -> pa.Table:
         if left < 0:
             break
         least = r["level"]
-    got = _encoded(counted.where(level >= least).select("word", "n").orderBy(F.desc("n"), "word").select("word"), shared).toArrow()
+    got = _encoded(counted.where(level >= least).select("word", "n").orderBy(F.desc("n"), "word").select("word"), shared, "word string").toArrow()
     counted.unpersist()
     return got.combine_chunks()
 
@@ -170,84 +176,55 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the columns ids and decoded.
 
     Null texts are empty and have no tokens. Rows that repeat are encoded each. Special tokens are plain text. carry
-    names input columns to return as they are. Texts are told apart by SHA-256 while their words are away.
+    names input columns to return as they are.
     """
     spark = docs.sparkSession
     base = narrow(docs.withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text"), "id", "text", *carry)
-    only = base.select("text")
     shared = spark.sparkContext.broadcast(Codec(ranks, pattern))
-    head = spark.sparkContext.broadcast(head_words(only, shared))
-
-    def codes_of(batch: pa.RecordBatch, own: dict) -> Iterator[tuple[str, list[str], np.ndarray]]:
-        """Text, words, codes; 0 stands for a word that isn't in the table."""
-        codec = shared.value
-        for t in _strings(batch):
-            found = codec.words(t)
-            yield t, found, np.fromiter((own.get(w, 0) for w in found), np.uint32, len(found))
-
-    def numbered() -> dict[str, int]:
-        return {w: i for i, w in enumerate(head.value.column("word").to_pylist(), 1)}
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = numbered()
-        for batch in slices(batches, "text", 8 << 20):
-            keys, at, word = {}, [], []
-            for t, found, codes in codes_of(batch, own):
-                if len(away := np.flatnonzero(codes == 0)) and (k := _key(t)) not in keys:
-                    keys[k] = True
-                    at.append(away)
-                    word.append([found[i] for i in away.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(word, pa.list_(pa.string()))], ["key", "at", "word"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = numbered()
-        for batch in slices(batches, "text", 8 << 20):
-            keys, bodies = [], []
-            for t, _, codes in codes_of(batch, own):
-                keys.append(_key(t))
-                bodies.append(pack(codes))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary()), *(batch.column(c) for c in batch.schema.names if c != "text" or "text" in carry)], ["key", "packed", *(c for c in batch.schema.names if c != "text" or "text" in carry)])
-
-    away = materialize(with_row(only.mapInArrow(rest, "key binary, at array<int>, word array<string>")), "away")
-    spread = away.select(ROW, F.explode(F.arrays_zip("at", "word")).alias("w")).select(ROW, "w.at", "w.word")
-    known = _encoded(spread.select("word").distinct(), shared)
-    back = spread.join(known, "word").groupBy(ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]).alias("away"))
-    # equal texts in several tasks send their words more than once: one of them stays
-    one = away.groupBy("key").agg(F.min(ROW).alias(ROW))
-    placed = one.join(back, ROW).drop(ROW)
+    head = spark.sparkContext.broadcast(head_words(base.select("text"), shared))
     kept = [f for f in base.schema.fields if f.name != "text" or "text" in carry]
-    whole = base.mapInArrow(packed, "key binary, packed binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
-    joined = whole.join(placed, "key", "left").drop("key")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: codes of all its words, their number in each text, the words that aren't in the table."""
+        codec, known = shared.value, {w: i for i, w in enumerate(head.value.column("word").to_pylist())}
+        for batch in slices(batches, "text", BLOCK):
+            codes, sizes, own = [], [], {}
+            for t in _strings(batch):
+                found = codec.words(t)
+                sizes.append(len(found))
+                codes.append(np.fromiter((known[w] if w in known else own.setdefault(w, len(own)) + len(known) for w in found), np.uint32, len(found)))
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            yield pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate(codes))], pa.binary()), one(pa.array(sizes, pa.int32())), one(pa.array(list(own), pa.string())), *(one(batch.column(f.name)) for f in kept)], ["packed", "sizes", "words", *(f"_{f.name}" for f in kept)])
+
+    held = ", ".join(f"`_{f.name}` array<{f.dataType.simpleString()}>" for f in kept)
+    blocks = materialize(with_row(base.mapInArrow(cut, f"packed binary, sizes array<int>, words array<string>, {held}")), "blocks")
+    away = blocks.select(ROW, F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    back = _encoded(away, shared, f"{ROW} long, at int").groupBy(ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]).alias("away"))
+    joined = blocks.drop("words").join(back, ROW, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, spell = np.dtype(id_type(shared.value.ranks)), shared.value.token_bytes()
-        table = Table([b"", *head.value.column("ids").to_pylist()], kind)
-        for batch in batches:
-            n, shas, plain, every, back = [], [], [], [], []
-            away = batch.column("away")
-            for k, body in enumerate(batch.column("packed").to_pylist()):
-                codes = unpack(body)
-                starts, lengths, flat = table.starts[codes], table.lengths[codes], table.flat
-                if len(gone := np.flatnonzero(codes == 0)):
-                    own = away[k].as_py()
-                    own_lengths = np.array([len(x) for x in own]) // kind.itemsize
-                    ids = np.empty(lengths.sum() + own_lengths.sum(), kind)
-                    lengths[gone] = own_lengths
-                    begins = np.cumsum(lengths) - lengths
-                    there = codes > 0
-                    ids[expand(begins[there], lengths[there])] = flat[expand(starts[there], lengths[there])]
-                    ids[expand(begins[gone], own_lengths)] = np.frombuffer(b"".join(own), kind)
-                else:
-                    ids = flat[expand(starts, lengths)]
-                raw = spell.flat[expand(spell.starts[ids], spell.lengths[ids])].tobytes()
-                n.append(len(ids))
-                shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                plain.append(hashlib.sha256(raw).hexdigest())
-                if keep_ids:
-                    every.append(ids.astype(np.int32))
-                    back.append(raw.decode())
-            more = [pa.array(every, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep_ids else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
+        table = Table(head.value.column("ids").to_pylist(), kind)
+        for whole in batches:
+            for k in range(whole.num_rows):
+                batch = whole.slice(k, 1)
+                own = Table(batch.column("away")[0].as_py() or [], kind)
+                starts, lengths, flat = np.concatenate((table.starts, own.starts + len(table.flat))), np.concatenate((table.lengths, own.lengths)), np.concatenate((table.flat, own.flat))
+                codes, at = unpack(batch.column("packed")[0].as_py()), 0
+                n, shas, plain, every, back = [], [], [], [], []
+                for size in batch.column("sizes")[0].as_py():
+                    c = codes[at : at + size]
+                    at += size
+                    ids = flat[expand(starts[c], lengths[c])]
+                    raw = spell.flat[expand(spell.starts[ids], spell.lengths[ids])].tobytes()
+                    n.append(len(ids))
+                    shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    plain.append(hashlib.sha256(raw).hexdigest())
+                    if keep_ids:
+                        every.append(ids.astype(np.int32))
+                        back.append(raw.decode())
+                more = [pa.array(every, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep_ids else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(f"_{f.name}")[0].values for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return joined.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
