@@ -2,7 +2,48 @@
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+PIECES = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]'))"
+
+
+def _license_sql() -> str:
+    from .licenses import APART, FILES, THRESHOLD, template_rows
+
+    quoted = ", ".join("('%s', %d, '%s')" % (name, i, text.replace("'", "''")) for name, i, text in template_rows())
+    terms = lambda c: f"list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{APART}'), lambda x: x <> '')"
+    return f"""
+        with f as (
+            select doc_id, coalesce(source, '') as repo, coalesce(text, '') as text,
+                   'd' || doc_id // 500 || case when doc_id % 500 = 0 then '/LICENSE' when doc_id % 25 = 0 then '/s' || doc_id // 25 % 20 || '/LICENSE' else '/s' || doc_id // 25 % 20 || '/' || doc_id || '.txt' end as path
+            from documents),
+        g as (select *, regexp_replace(path, '(^|/)[^/]*$', '') as dir, regexp_matches(regexp_extract(path, '[^/]*$'), '{FILES}') as is_licence from f),
+        df as (select term, count(*) as df from (select distinct doc_id, unnest({terms("text")}) as term from f) group by 1),
+        n as (select count(*) as n from f),
+        t as (select license, nth, unnest({terms("text")}) as term from (values {quoted}) v(license, nth, text)),
+        tw as (select license, nth, t.term, count(*) * (ln((any_value(n) + 1.0) / (coalesce(any_value(df), 0) + 1)) + 1) as w from t cross join n left join df using (term) group by all),
+        tn as (select *, sqrt(sum(w * w) over (partition by license, nth)) as norm from tw),
+        u as (select doc_id, unnest(string_split(text, chr(10)) || case when is_licence then [text] else [] end) as line, generate_subscripts(string_split(text, chr(10)) || case when is_licence then [text] else [] end, 1) as unit from g),
+        uw as (select doc_id, unit, term, count(*) * (ln((any_value(n) + 1.0) / (any_value(df) + 1)) + 1) as w from (select doc_id, unit, unnest({terms("line")}) as term from u) cross join n join df using (term) group by all),
+        us as (select doc_id, unit, sqrt(sum(w * w)) as size from uw group by all),
+        dots as (select doc_id, unit, license, nth, sum(uw.w * tn.w / norm) as dot from uw join tn using (term) group by all),
+        sc as (select doc_id, license, round(dot / size, 6) as score from dots join us using (doc_id, unit) where round(dot / size, 6) >= {THRESHOLD}),
+        own as (select doc_id, license as own_license, score as own_score from sc qualify row_number() over (partition by doc_id order by score desc, license) = 1),
+        o as (select g.*, own_license, own_score from g left join own using (doc_id)),
+        st as (select repo, dir, own_license as license from o where is_licence and own_license is not null qualify row_number() over (partition by repo, dir order by own_score desc, own_license) = 1),
+        near as (
+            select o.doc_id, st.license, st.dir from o join st on o.repo = st.repo and (st.dir = '' or o.dir = st.dir or starts_with(o.dir, st.dir || '/'))
+            qualify row_number() over (partition by o.doc_id order by length(st.dir) desc) = 1)
+        select o.doc_id, path, own_license, own_score, coalesce(own_license, near.license) as license, case when own_license is null then near.dir end as license_dir
+        from o left join near using (doc_id)"""
+
+
 ORACLES = {
+    "op1_license_scan": _license_sql(),
+    "op9_token_counts": f"""
+        with d as (select source, lang, {WORDS} as w, {PIECES} as p from documents)
+        select source, lang, 'words' as version, count(*) as n_docs, sum(case when lang = 'de' then p else w end)::bigint as n_tokens from d where w >= 40 group by all
+        union all
+        select source, lang, 'pieces', count(*), sum(p)::bigint from d where w >= 40 group by all""",
     "op6_exact_dedup": f"""
         with d as (select doc_id, {LOWER} as t from documents)
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
