@@ -1,3 +1,62 @@
+"""From raw documents to token ids: STAGES in order, each over all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next one.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taskloom.llm.bpe import encode_decode, load_ranks
+from taskloom.llm.common import materialize
+from taskloom.llm.decontaminate import decontaminate
+from taskloom.llm.exact_dedup import keep_one
+from taskloom.llm.jaccard_join import Plan, jaccard_classes
+from taskloom.llm.language_id import UNKNOWN, identify, train
+
+#: Documents whose best language has a lower mean probability go, and those without a letter.
+LEAST_SCORE = 0.4
+#: Near duplicates share this much of their shingles of so many words.
+NEAR = Plan(5, Fraction(8, 10))
+#: Documents with more of their words in benchmark passages go whole; else the passages go.
+COVERAGE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = identify(docs, train(docs), carry=True)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group stays."""
+    classes = jaccard_classes(docs, NEAR)
+    return docs.join(classes.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=COVERAGE)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encode_decode(docs, ranks, public_tokenizers.PATTERN, keep_ids=True, carry=("lang", "source")).drop("decoded")
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("benchmark", benchmark), ("tokens", tokens)]
+#: The language network isn't SQL; tests compare run() with plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
-STAGES = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_NP, ROW, U, materialize, mix, narrow, slices, utf8, with_row
+from .common import LOWER_NP, ROW, U, materialize, mix, slices, utf8, with_row
 
 #: The rolling hash sees this many bytes.
 REACH = 16
@@ -69,8 +69,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one of them stays. No rows give no rows. Columns beside id and text are ignored. digest_bits below 64 forces
     digest collisions, which verification resolves.
     """
-    rows = with_row(narrow(docs.withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text"), "id", "text")).select(ROW, "id", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = with_row(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).select(ROW, "id", "text")
+    return _classes(rows, docs.schema[id_col].dataType.simpleString(), digest_bits).select(
+        F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns. See exact_dedup()."""
+    rows = materialize(with_row(docs), "rows")
+    judged = _classes(rows.select(ROW, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), docs.schema[id_col].dataType.simpleString(), 64)
+    return rows.join(judged.where(~F.col("kept")).select(ROW), ROW, "left_anti").select(*docs.columns)
+
+
+def _classes(rows: DataFrame, kind: str, digest_bits: int) -> DataFrame:
     made = rows.mapInArrow(lambda b: recipes(b, digest_bits), f"{ROW} long, id {kind}, text_sha256 string, chunks array<struct<digest:long,sha:binary>>")
     made = materialize(made, "recipes")
     parts = made.select(ROW, F.posexplode("chunks").alias("pos", "chunk")).select(ROW, "pos", "chunk.digest", "chunk.sha")
@@ -81,5 +92,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.expr("cast(array() as array<struct<digest:bigint,nth:int>>)")
     listed = materialize(made.select(ROW, "id", "text_sha256").join(lists, ROW, "left").withColumn("recipe", F.coalesce("recipe", none)), "lists")
     groups = listed.groupBy("recipe").agg(F.max(F.struct("id", ROW)).alias("last"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select(
-        F.col("id").alias(id_col), F.col("last.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256")
+    return listed.join(groups, "recipe").select(ROW, "id", F.col("last.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256")
