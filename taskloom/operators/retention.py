@@ -14,7 +14,7 @@ def expired_leaves(leaves: DataFrame, classes: DataFrame, as_of: Column) -> Data
 
 def in_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """Rows with the leaf that holds them: a range join made an equality on class and day, then checked."""
-    day = leaves.select("class_key", F.date_trunc("DAY", "lower_anchor").alias("day"), "leaf_name", "lower_anchor", "upper_anchor")
+    day = leaves.select("class_key", F.date_trunc("DAY", "lower_anchor").alias("day"), "leaf_name", "lower_anchor", "upper_anchor", "min_birth_at")
     joined = rows.withColumn("day", F.date_trunc("DAY", "anchor")).join(F.broadcast(day), ["class_key", "day"])
     return joined.where((F.col("anchor") >= F.col("lower_anchor")) & (F.col("anchor") < F.col("upper_anchor"))).drop("day")
 

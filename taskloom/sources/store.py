@@ -48,10 +48,10 @@ def claimer_beats(tasks: DataFrame, worker: str, as_of: Column) -> DataFrame:
     return tasks.where((F.col("status") == "CLAIMED") & (F.col("worker_id") == worker)).select("task_id", F.lit(worker).alias("sender_id"), F.lit("claimer").alias("role"), as_of.alias("sent_at"))
 
 
-def locate(live: DataFrame, history: DataFrame, ids: list) -> DataFrame:
-    """Where each id is: live first, then the archive."""
+def locate(live: DataFrame, history: DataFrame, ids: DataFrame) -> DataFrame:
+    """Where each of the ids (task_id) is: live first, then the archive."""
     rows = live.select("task_id", F.lit(0).alias("probe"), F.lit("LIVE").alias("location")).unionByName(history.select("task_id", F.lit(1).alias("probe"), F.lit("HISTORY").alias("location")))
-    return rows.where(F.col("task_id").isin(ids)).groupBy("task_id").agg(F.min_by("location", "probe").alias("location"))
+    return rows.join(ids.select("task_id"), "task_id", "left_semi").groupBy("task_id").agg(F.min_by("location", "probe").alias("location"))
 
 
 def snapshots(states: DataFrame, worker: str, limit: int | None = None) -> DataFrame:
