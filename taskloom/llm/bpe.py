@@ -13,24 +13,24 @@ import base64
 import hashlib
 import heapq
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, narrow, slices, with_row
+from .common import ROW, materialize, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
 #: About so many documents are sampled to choose the table. It changes no result, only how many words are shuffled.
 SAMPLE_DOCS = 24_000
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: For texts of basic Latin to U+02AF without the characters in ODD, these patterns cut alike; the second is faster in `re`.
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u02af"
@@ -68,11 +68,11 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def pack(codes: np.ndarray) -> bytes:
     """Codes as planes of bytes, the lowest first, compressed; the planes that are needed."""
     planes = max(1, -(-int(codes.max(initial=0)).bit_length() // 8))
-    return bytes([planes]) + zlib.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes(), 1)
+    return bytes([planes]) + zstandard.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes(), 9)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    planes = np.frombuffer(zstandard.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
     return sum(p.astype(np.int64) << 8 * i for i, p in enumerate(planes))
 
 
@@ -138,9 +138,9 @@ def id_type(ranks: dict[bytes, int]) -> str:
     return "<u2" if len(ranks) <= 1 << 16 else "<u4"
 
 
-def _encoded(rows: DataFrame, shared, keep: str) -> DataFrame:
-    """The rows' other columns (keep: their schema) and the ids of each word as bytes. A word that follows itself isn't encoded again."""
-    names = [c.split()[0] for c in keep.split(", ")]
+def _encoded(rows: DataFrame, shared) -> DataFrame:
+    """Rows (word, block, at), sorted by word, to rows (block, at, sizes, ids): the places of some words of a block, and
+    their ids as bytes, one after the other. A word that follows itself isn't encoded again."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
@@ -152,9 +152,14 @@ def _encoded(rows: DataFrame, shared, keep: str) -> DataFrame:
                 if w != last:
                     last, now = w, np.array(encode_word(w.encode(), ranks), kind).tobytes()
                 ids.append(now)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
+            block, at, sizes = batch.column("block").to_numpy(), batch.column("at").to_numpy(), np.array([len(x) for x in ids], np.int32)
+            order = np.lexsort((at, block))
+            cuts = np.flatnonzero(np.diff(block[order], prepend=block[order][0] - 1)) if len(order) else np.zeros(0, np.int64)
+            bounds = pa.array(np.append(cuts, len(order)).astype(np.int32))
+            flat = [b"".join(ids[i] for i in order[a:b].tolist()) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cuts]), pa.ListArray.from_arrays(bounds, pa.array(at[order])), pa.ListArray.from_arrays(bounds, pa.array(sizes[order])), pa.array(flat, pa.binary())], ["block", "at", "sizes", "ids"])
 
-    return rows.select(*dict.fromkeys([*names, "word"])).mapInArrow(encode, f"{keep}, ids binary")
+    return rows.select("word", "block", "at").mapInArrow(encode, "block long, at array<int>, sizes array<int>, ids binary")
 
 
 def head_words(docs: DataFrame, shared) -> pa.Table:
@@ -167,9 +172,23 @@ def head_words(docs: DataFrame, shared) -> pa.Table:
         if left < 0:
             break
         least = r["level"]
-    got = _encoded(counted.where(level >= least).select("word", "n").orderBy(F.desc("n"), "word").select("word"), shared, "word string").toArrow()
+    ranks, kind = shared.value.ranks, id_type(shared.value.ranks)
+    words = counted.where(level >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).column("word").to_pylist()
     counted.unpersist()
-    return got.combine_chunks()
+    return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in words], pa.binary())})
+
+
+def _with_away(table: Table, away: pa.ListScalar, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, ids) of the table's words and then a block's own, which came back in parts."""
+    parts = away.values
+    if parts is None or not len(parts):
+        return table.starts, table.lengths, table.flat
+    at = parts.field("at").flatten().to_numpy()
+    own = parts.field("sizes").flatten().to_numpy().astype(np.int64) // kind.itemsize
+    lengths, starts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    lengths[at], starts[at] = own, np.cumsum(own) - own + len(table.flat)
+    flat = np.frombuffer(b"".join(parts.field("ids").to_pylist()), kind)
+    return np.concatenate((table.starts, starts)), np.concatenate((table.lengths, lengths)), np.concatenate((table.flat, flat))
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -179,7 +198,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     names input columns to return as they are.
     """
     spark = docs.sparkSession
-    base = narrow(docs.withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text"), "id", "text", *carry)
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry if c != text_col))
     shared = spark.sparkContext.broadcast(Codec(ranks, pattern))
     head = spark.sparkContext.broadcast(head_words(base.select("text"), shared))
     kept = [f for f in base.schema.fields if f.name != "text" or "text" in carry]
@@ -198,8 +217,8 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
 
     held = ", ".join(f"`_{f.name}` array<{f.dataType.simpleString()}>" for f in kept)
     blocks = materialize(with_row(base.mapInArrow(cut, f"packed binary, sizes array<int>, words array<string>, {held}")), "blocks")
-    away = blocks.select(ROW, F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
-    back = _encoded(away, shared, f"{ROW} long, at int").groupBy(ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]).alias("away"))
+    away = blocks.select(F.col(ROW).alias("block"), F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    back = _encoded(away, shared).groupBy(F.col("block").alias(ROW)).agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("away"))
     joined = blocks.drop("words").join(back, ROW, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +227,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
         for whole in batches:
             for k in range(whole.num_rows):
                 batch = whole.slice(k, 1)
-                own = Table(batch.column("away")[0].as_py() or [], kind)
-                starts, lengths, flat = np.concatenate((table.starts, own.starts + len(table.flat))), np.concatenate((table.lengths, own.lengths)), np.concatenate((table.flat, own.flat))
+                starts, lengths, flat = _with_away(table, batch.column("away")[0], kind)
                 codes, at = unpack(batch.column("packed")[0].as_py()), 0
                 n, shas, plain, every, back = [], [], [], [], []
                 for size in batch.column("sizes")[0].as_py():
