@@ -44,6 +44,11 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """A number for each row and the whole row as `doc`, so that no column of its own can clash. See with_row()."""
+    return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 def lower_ascii(c) -> F.Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

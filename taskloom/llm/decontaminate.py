@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, narrow, slices, texts, with_row
+from .common import ROW, boxed, materialize, narrow, slices, texts, with_row
 
 #: A word is `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. In UTF-8, these bytes: 0-9, a-z, 80-FF.
 TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -152,7 +152,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     One block of items needs no shuffle; more blocks mean a pass each, merged by row.
     """
     spark = docs.sparkSession
-    base = narrow(docs.withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text"), "id", "text")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     automata = (spark.sparkContext.broadcast(Automaton(block, window)) for block in blocks(items, item_id, item_text, block_words))
     first = next(automata, None) or spark.sparkContext.broadcast(Automaton([], window))
@@ -203,9 +203,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Documents without a hit are returned unchanged. n_chars, where it is a column, follows the new text.
     """
-    rows = with_row(docs)
-    rows = materialize(rows, "rows")
-    found = find_hits(rows, items, ROW, text_col, **how).where(F.size("spans") > 0).select(F.col("id").alias(ROW), "n_words", "spans")
+    rows = materialize(boxed(docs), "rows")
+    body = rows.select(ROW, F.col(f"doc.`{text_col}`").alias("text"))
+    found = find_hits(body, items, ROW, "text", **how).where(F.size("spans") > 0).select(F.col("id").alias(ROW), "n_words", "spans")
     found = materialize(found, "found")
     total = F.aggregate(F.expr("transform(spans, (x, i) -> if(i % 2 = 0, -x, x))"), F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.withColumn("n_hit", total)
@@ -217,8 +217,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             out = [without(t, s) for t, s in zip(texts(batch.column("text")), batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array([x.decode() for x in out], pa.string())], [ROW, "cleaned"])
 
-    cleaned = rows.select(ROW, F.col(f"`{text_col}`").alias("text")).join(kept, ROW).mapInArrow(cut, f"{ROW} long, cleaned string")
-    changed = rows.join(cleaned, ROW).withColumn(text_col, F.col("cleaned")).drop("cleaned")
+    cleaned = body.join(kept, ROW).mapInArrow(cut, f"{ROW} long, cleaned string")
+    new = {text_col: F.col("cleaned")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns).unionByName(changed.select(*docs.columns))
+        new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+    changed = rows.join(cleaned, ROW).select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    return clean.select("doc.*").unionByName(changed)

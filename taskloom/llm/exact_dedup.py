@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_NP, ROW, U, materialize, mix, slices, utf8, with_row
+from .common import LOWER_NP, ROW, U, boxed, materialize, mix, slices, utf8, with_row
 
 #: The rolling hash sees this many bytes.
 REACH = 16
@@ -76,9 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. See exact_dedup()."""
-    rows = materialize(with_row(docs), "rows")
-    judged = _classes(rows.select(ROW, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), docs.schema[id_col].dataType.simpleString(), 64)
-    return rows.join(judged.where(~F.col("kept")).select(ROW), ROW, "left_anti").select(*docs.columns)
+    rows = materialize(boxed(docs), "rows")
+    judged = _classes(rows.select(ROW, F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text")), docs.schema[id_col].dataType.simpleString(), 64)
+    return rows.join(judged.where(~F.col("kept")).select(ROW), ROW, "left_anti").select("doc.*")
 
 
 def _classes(rows: DataFrame, kind: str, digest_bits: int) -> DataFrame:
