@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm.bpe import encode_decode, load_ranks
-from taskloom.llm.common import materialize
+from taskloom.llm.common import materialize, sweep
 from taskloom.llm.decontaminate import decontaminate
 from taskloom.llm.exact_dedup import keep_one
 from taskloom.llm.jaccard_join import Plan, jaccard_classes
@@ -26,25 +26,40 @@ NEAR = Plan(5, Fraction(8, 10))
 COVERAGE = 0.5
 
 
+def swept(stage):
+    """A stage that first drops what earlier ones have left in the shared folder, but not what it reads."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@swept
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = identify(docs, train(docs), carry=True)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@swept
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@swept
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays."""
     classes = jaccard_classes(docs, NEAR)
     return docs.join(classes.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@swept
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=COVERAGE)
 
 
+@swept
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_decode(docs, ranks, public_tokenizers.PATTERN, keep_ids=True, carry=("lang", "source")).drop("decoded")

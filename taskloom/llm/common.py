@@ -26,11 +26,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/tables"
 
 
+#: Tables that this driver has written, for sweep().
+_written: list[str] = []
+#: Spark drops a query's shuffle files when it ends, not when the driver happens to collect its garbage. What is written is never computed again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
-    at = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    spark = df.sparkSession
+    at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _written.append(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes the tables that materialize() has written, but for those that `keep` reads. For use between the stages of a
+    pipeline, when the results of earlier ones have been written."""
+    used = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    for at in list(_written):
+        if at.split(":", 1)[-1].lstrip("/") not in used:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove(at)
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:

@@ -227,40 +227,56 @@ def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_co
     keyed = base.where(F.col("node").isNotNull() & F.col("text").isNotNull()).mapInArrow(blocks, "key long, node long")
     bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     meets = keyed.withColumn("first", F.first("node").over(bucket)).where("node <> first")
-    # of equal sets one stands for all
-    stand = copies.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("stand"))
-    lead = stand.select(F.col("node").alias("first"), F.col("stand").alias("first_stand"))
-    meets = meets.join(stand, "node", "left").join(lead, "first", "left").select("key", F.coalesce("stand", "node").alias("node"), F.coalesce("first_stand", "first").alias("first")).where("node <> first").distinct()
     meets = materialize(meets, "meets")
-    members = meets.select("key", "node").unionByName(meets.select("key", F.col("first").alias("node"))).distinct()
-    nodes = _candidates(members.select("node").distinct(), base, plan)
+    # of equal sets one stands for all
+    stands = materialize(copies.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("stand")), "stands")
+
+    def standing(rows: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            rows = rows.join(stands.select(F.col("node").alias(c), "stand"), c, "left").withColumn(c, F.coalesce("stand", c)).drop("stand")
+        return rows.distinct()
+
+    first_pairs = materialize(standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b"), "pairs")
+    nodes = _candidates(first_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, plan)
     same = copies.select("a", "b")
 
-    def apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    def parts_of(links: DataFrame) -> DataFrame:
+        return materialize(components(links.unionByName(same)).groupBy("node").agg(F.min("component").alias("part")), "parts")
+
+    def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
         """(key, node, part, low): the blocks whose documents aren't all connected yet; part is a document's component, low the least in its block."""
-        parts = components(links.unionByName(same)).groupBy("node").agg(F.min("component").alias("part"))
         now = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         ends = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
         return materialize(now.join(ends.select("key", "low"), "key"), "apart")
 
+    def still_open(parts: DataFrame) -> DataFrame:
+        """(key, node) of the blocks in which some document isn't connected to the first."""
+        head = parts.select(F.col("node").alias("first"), F.col("part").alias("first_part"))
+        far = meets.join(parts, "node", "left").join(head, "first", "left").where(F.coalesce("part", "node") != F.coalesce("first_part", "first"))
+        keys = materialize(far.select("key").distinct(), "open")
+        rows = meets.join(keys, "key", "left_semi")
+        return standing(rows.select("key", "node").unionByName(rows.select("key", F.col("first").alias("node"))), "node")
+
     def sifted(pairs: DataFrame) -> DataFrame:
         both = _sketched(_sketched(pairs.distinct(), nodes, "a", "a"), nodes, "b", "b")
         return both.where(_may_link(plan)).select("a", "b")
 
-    pairs = meets.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    links = materialize(_linked(sifted(pairs), nodes, plan), "links")
+    links = materialize(_linked(sifted(first_pairs), nodes, plan), "links")
+    parts = parts_of(links)
+    members = still_open(parts)
     # each with another document of its block, picked by hash: groups whose first document is an outlier close here
     for turn in (1, 2):
-        members = apart(members, links)
+        members = apart(members, parts)
         if members.isEmpty():
             break
         spread = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(Window.unboundedPreceding, 0)
         picked = members.withColumn("pick", F.first(F.struct("node", "part")).over(spread)).where("part <> pick.part")
         pairs = picked.select(F.least("pick.node", "node").alias("a"), F.greatest("pick.node", "node").alias("b"))
         links = materialize(links.unionByName(_linked(sifted(pairs), nodes, plan)), "links")
+        parts = parts_of(links)
     else:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
-        members = _sketched(apart(members, links), nodes, "node", "b").withColumnRenamed("node", "b")
+        members = _sketched(apart(members, parts), nodes, "node", "b").withColumnRenamed("node", "b")
         odd = members.where("part <> low").select("key", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
         rest = odd.join(members, (odd["key"] == members["key"]) & (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b"))) & _may_link(plan)).select("a", "b").distinct()
         rest = materialize(rest, "pairs")
