@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ def bloom(nodes: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def likely(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """The rows whose `column` is in that of nodes, and a few others."""
+def likely(rows: DataFrame, nodes: DataFrame, column: str, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """The rows whose `column` is in that of nodes, and a few others. `then` maps what is left in the same worker, to `schema`."""
     bits = rows.sparkSession.sparkContext.broadcast(bloom(nodes, column))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,4 +33,5 @@ def likely(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
             if kept.num_rows:
                 yield kept.drop_columns(["_at"])
 
-    return rows.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(BITS))).mapInArrow(sift, rows.schema)
+    marked = rows.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(BITS)))
+    return marked.mapInArrow(sift, rows.schema) if then is None else marked.mapInArrow(lambda batches: then(sift(batches)), schema)

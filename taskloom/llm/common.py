@@ -30,18 +30,22 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 #: Spark drops a query's shuffle files when it ends, not when the driver happens to collect its garbage. What is written is never computed again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes in a batch that goes to Python while a table is written, so that few texts wait on either side.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, BATCH_BYTES)
     try:
         df.write.parquet(at)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -150,17 +154,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of words hashed at a time.
+PART = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length."""
-    if not len(starts):
-        return np.zeros(0, U)
-    lengths = ends - starts
-    place = places(int(lengths.max()) + 1, seed)
+    out, lengths, at = np.zeros(len(starts), U), ends - starts, 0
     total = np.cumsum(lengths)
-    inside = np.arange(total[-1]) - np.repeat(total - lengths, lengths)
-    with np.errstate(over="ignore"):
-        v = (data[np.repeat(starts, lengths) + inside].astype(U) + U(1)) * place[inside]
-        return mix(np.add.reduceat(v, total - lengths) ^ (lengths.astype(U) * U(0xD6E8FEB86659FD93)))
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - lengths[at] + PART, side="right")))
+        own = lengths[at:to]
+        place = places(int(own.max()) + 1, seed)
+        first = np.cumsum(own) - own
+        inside = np.arange(own.sum()) - np.repeat(first, own)
+        with np.errstate(over="ignore"):
+            v = (data[np.repeat(starts[at:to], own) + inside].astype(U) + U(1)) * place[inside]
+            out[at:to] = mix(np.add.reduceat(v, first) ^ (own.astype(U) * U(0xD6E8FEB86659FD93)))
+        at = to
+    return out
 
 
 def shingle_hashes(h: np.ndarray, k: int, seed: int) -> np.ndarray:

@@ -139,23 +139,24 @@ def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     bit = (mix(sets ^ U(0x5851F42D4C957F2D)) >> U(64 - 11)).astype(np.int64)
     assert SKETCH * 64 == 1 << 11
     flips = np.zeros((n, SKETCH * 64), bool)
-    for a in range(0, n, 4096):  # counts of a part of the sets at a time
-        lo, hi = bounds[a], bounds[min(a + 4096, n)]
-        of = np.repeat(np.arange(min(4096, n - a)), np.diff(bounds[a : a + 4097]))
-        flips[a : a + 4096] = np.bincount(of * (SKETCH * 64) + bit[lo:hi], minlength=min(4096, n - a) * SKETCH * 64).reshape(-1, SKETCH * 64) & 1
+    for a in range(0, n, 256):  # counts of a part of the sets at a time
+        lo, hi = bounds[a], bounds[min(a + 256, n)]
+        of = np.repeat(np.arange(min(256, n - a)), np.diff(bounds[a : a + 257]))
+        flips[a : a + 256] = np.bincount(of * (SKETCH * 64) + bit[lo:hi], minlength=min(256, n - a) * SKETCH * 64).reshape(-1, SKETCH * 64) & 1
     return np.packbits(flips, axis=1).view(np.int64)
 
 
 def _candidates(nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, n, sketch, text) of the documents in nodes, and a few others; only these texts are written."""
+    """(node, n, sketch) of the documents in nodes, and a few others."""
+
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(list(folded(sets, bounds)), pa.list_(pa.int64())), batch.column("text")], ["node", "n", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(list(folded(sets, bounds)), pa.list_(pa.int64()))], ["node", "n", "sketch"])
 
-    some = likely(docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text"), nodes, "node")
-    return materialize(some.mapInArrow(sketched, "node long, n long, sketch array<long>, text string"), "candidates")
+    some = docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text")
+    return materialize(likely(some, nodes, "node", sketched, "node long, n long, sketch array<long>"), "candidates")
 
 
 def _may_link(plan: Plan) -> Column:
@@ -166,8 +167,8 @@ def _may_link(plan: Plan) -> Column:
     return fits & (far * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
 
 
-def _linked(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
-    """Those of pairs (a, b) whose texts are linked."""
+def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Those of pairs (a, b) whose texts are linked. Only their texts move; b's come first, as many b share an a."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,8 +188,11 @@ def _linked(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
                     keep.append(common > 0 and common * plan.share.denominator >= plan.share.numerator * (len(both) - common))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    text = lambda x: known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
+    pairs = materialize(pairs.select("a", "b").distinct(), "sifted")
+    some = docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text")
+    bodies = materialize(likely(some, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"), "bodies")
+    text = lambda x: bodies.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    return pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _sketched(rows: DataFrame, known: DataFrame, node: str, to: str) -> DataFrame:
@@ -261,7 +265,7 @@ def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_co
         both = _sketched(_sketched(pairs.distinct(), nodes, "a", "a"), nodes, "b", "b")
         return both.where(_may_link(plan)).select("a", "b")
 
-    links = materialize(_linked(sifted(first_pairs), nodes, plan), "links")
+    links = materialize(_linked(sifted(first_pairs), base, plan), "links")
     parts = parts_of(links)
     members = still_open(parts)
     # each with another document of its block, picked by hash: groups whose first document is an outlier close here
@@ -272,14 +276,13 @@ def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_co
         spread = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(Window.unboundedPreceding, 0)
         picked = members.withColumn("pick", F.first(F.struct("node", "part")).over(spread)).where("part <> pick.part")
         pairs = picked.select(F.least("pick.node", "node").alias("a"), F.greatest("pick.node", "node").alias("b"))
-        links = materialize(links.unionByName(_linked(sifted(pairs), nodes, plan)), "links")
+        links = materialize(links.unionByName(_linked(sifted(pairs), base, plan)), "links")
         parts = parts_of(links)
     else:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
         members = _sketched(apart(members, parts), nodes, "node", "b").withColumnRenamed("node", "b")
         odd = members.where("part <> low").select("key", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
         rest = odd.join(members, (odd["key"] == members["key"]) & (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b"))) & _may_link(plan)).select("a", "b").distinct()
-        rest = materialize(rest, "pairs")
-        links = links.unionByName(_linked(rest, nodes, plan))
+        links = links.unionByName(_linked(rest, base, plan))
     whole = components(links.unionByName(same)).groupBy("node").agg(F.min("component").alias("component"))
     return known.join(whole, "node", "left").select(F.col("node").alias(id_col), "n_shingles", F.coalesce("component", "node").alias("component_id"))
