@@ -2,8 +2,8 @@
 
 The shingles of a document are dealt to blocks by hash; each flips a bit of its block, and a block is known by the
 XOR of its shingles' codes. Two sets that differ in d shingles have sketches that differ in at most d blocks, so among
-d + 1 blocks one agrees. Documents are put in bands by set size, which fixes d; those near the upper end of a band are
-sketched in the next one too. Documents that agree in a block are compared, first each with the least of its block,
+d + 1 blocks one agrees. Documents are put in bands by set size, which fixes the number of blocks; those near the upper
+end of a band are sketched in the next one too. Documents that agree in a block are compared, first each with the least of its block,
 then those that the links so far leave apart, so that a group of n near copies needs about n comparisons, not n².
 """
 
@@ -32,36 +32,29 @@ class Plan:
 
     k: int = 3
     share: Fraction = Fraction(9, 10)
-    ratio: float = 1.5
-
-    def band(self, n: np.ndarray) -> np.ndarray:
-        """The number of the band: sizes up to tops[i]."""
-        return np.searchsorted(self.tops(int(n.max()) if len(n) else 1), n)
+    ratio: float = 1.75
 
     def tops(self, most: int) -> np.ndarray:
+        """Upper ends of the bands, and one more. A set's partners are in its own band and the two beside it."""
         out = [1]
-        while out[-1] < most:
-            out.append(max(out[-1] + 1, int(out[-1] * self.ratio)))
-        out.append(max(out[-1] + 1, int(out[-1] * self.ratio)))
+        for _ in iter(lambda: len(out) > 1 and out[-2] >= most, True):
+            out.append(max(out[-1] + 1, int(out[-1] * self.ratio), math.ceil(out[-1] / self.share)))
         return np.array(out)
 
-    def differ(self, top: int) -> int:
-        """Most shingles in which two linked sets of up to `top` differ."""
-        return math.floor(2 * top * (1 - self.share) / (1 + self.share))
-
-    def blocks(self, top: int) -> tuple[int, int]:
-        """(blocks, spare ones). With d + 1 + spare blocks, spare + 1 agree, so a set with no more than `spare` weak
-        blocks (one shingle or none) need not send those, which unrelated sets often share."""
-        d = self.differ(top)
-        spare = 0
-        while spare < d + 4:
-            n = d + 1 + spare
-            mean = top / self.ratio**0.5 / n
-            weak = math.exp(-mean) * (1 + mean) * n
-            if spare >= weak + 3 * weak**0.5:
+    def needs(self, size: np.ndarray, top: int | np.ndarray) -> np.ndarray:
+        """One more than the shingles in which a set of `size` may differ from a linked one of up to `top`."""
+        p, q = self.share.numerator, self.share.denominator
+        return (size + np.minimum(size * q // p, top)) * (q - p) // (q + p) + 1
+
+    def blocks(self, top: int) -> int:
+        """Blocks of a band: as few as leave enough of them with two shingles or more, so that they hold much."""
+        need = n = int(self.needs(np.array([top]), top)[0])
+        while n < top / 1.8:  # more blocks than these hold less
+            strong = n - n * math.exp(-top / n) * (1 + top / n)
+            if strong >= need + 2 * (strong * (n - strong) / n) ** 0.5:
                 break
-            spare += 1
-        return d + 1 + spare, spare
+            n += 1
+        return n
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +79,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return got, np.searchsorted(of, np.arange(len(n) + 1))
 
 
+def _first(which: np.ndarray, owner: np.ndarray, base: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Of the marked blocks the first `need` of each owner."""
+    seen = np.concatenate(([0], np.cumsum(which)))
+    return which & (seen[1:] - seen[base][owner] <= need[owner])
+
+
 def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, key) for every block to be sent."""
+    """(number of the set, key) for every block to be sent.
+
+    A set that may differ from a linked one in d blocks sends its first d + 1 strong ones (two shingles or more). One of
+    them is the same in the other set; of two sets that do so, take the one whose last is earlier, and the other sends
+    it too. A set with fewer strong blocks sends these all and the first d + 1 that aren't empty; failing that, all.
+    """
     size = np.diff(bounds)
     if not len(sets):
         return np.zeros(0, np.int64), np.zeros(0, U)
@@ -103,8 +107,8 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
         which = np.flatnonzero(use)
         if not len(which):
             continue
-        counts = np.array([table[int(b)][0] for b in side[which]])
-        spare = np.array([table[int(b)][1] for b in side[which]])
+        counts = np.array([table[b] for b in side[which].tolist()])
+        need = plan.needs(size[which], tops[side[which]])
         base = np.cumsum(counts) - counts
         total = int(counts.sum())
         lengths = size[which]
@@ -118,9 +122,9 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
         xor[place[heads]] = np.bitwise_xor.reduceat(codes, heads)
         held[place[heads]] = np.diff(np.concatenate((heads, [len(place)])))
         owner_of = np.repeat(np.arange(len(which)), counts)
-        weak = held <= 1
-        many = np.bincount(owner_of[weak], minlength=len(which)) > spare
-        send = ~weak | many[owner_of]
+        many, many_strong = _first(held > 0, owner_of, base, need), _first(held > 1, owner_of, base, need)
+        strong_enough, enough = (np.bincount(owner_of[m], minlength=len(which)) >= need for m in (many_strong, many))
+        send = np.where(strong_enough[owner_of], many_strong, ~enough[owner_of] | many | (held > 1))
         nth = np.arange(total) - base[owner_of]
         with np.errstate(over="ignore"):
             key = mix(xor ^ mix(nth.astype(U) * U(0x9E3779B1) + side[which][owner_of].astype(U) * U(0xC2B2AE3D27D4EB4F)))
