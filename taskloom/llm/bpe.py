@@ -3,8 +3,8 @@
 Each text is cut into pre-tokens. Words that are frequent in a bounded sample are encoded once and looked up in a
 broadcast table of bounded size. All others are exploded with their places, dealt out by word so that each distinct
 one is encoded once, and go back to where they came from. Documents wait in blocks of about BLOCK bytes, as packed word
-codes; a word is sent once a block however often it stands there, so no word is hot. Ids are put in place by position,
-and decoding looks up each id in the token-byte table.
+codes in a bucketed table, to which ids come back without moving it; a word is sent once a block however often it
+stands there, so no word is hot. Ids are put in place by position, and decoding looks up each id in the token-byte table.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, slices, with_row
+from .common import ROW, bucketed, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
@@ -216,7 +216,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
             yield pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate(codes))], pa.binary()), one(pa.array(sizes, pa.int32())), one(pa.array(list(own), pa.string())), *(one(batch.column(f.name)) for f in kept)], ["packed", "sizes", "words", *(f"_{f.name}" for f in kept)])
 
     held = ", ".join(f"`_{f.name}` array<{f.dataType.simpleString()}>" for f in kept)
-    blocks = materialize(with_row(base.mapInArrow(cut, f"packed binary, sizes array<int>, words array<string>, {held}")), "blocks")
+    blocks = bucketed(with_row(base.mapInArrow(cut, f"packed binary, sizes array<int>, words array<string>, {held}")), ROW, "blocks")
     away = blocks.select(F.col(ROW).alias("block"), F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
     back = _encoded(away, shared).groupBy(F.col("block").alias(ROW)).agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("away"))
     joined = blocks.drop("words").join(back, ROW, "left")
