@@ -34,12 +34,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def _write(spark: SparkSession, name: str, write: Callable[[str], None], batch: str | int) -> str:
+def _write(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     """Calls write with a new path in the shared folder, under the settings above; returns that path."""
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEANUP, "true")
-    spark.conf.set(BATCH, batch)
+    spark.conf.set(BATCH, BATCH_BYTES)
     try:
         write(at)
     finally:
@@ -51,15 +51,14 @@ def _write(spark: SparkSession, name: str, write: Callable[[str], None], batch:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
-    return df.sparkSession.read.schema(df.schema).parquet(_write(df.sparkSession, name, df.write.parquet, BATCH_BYTES))
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df.sparkSession, name, df.write.parquet))
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """As materialize(), in as many buckets as shuffles have partitions: a join on `column` leaves the table where it is.
-    Batches to Python stay as large as they are set."""
+    """As materialize(), in as many buckets as shuffles have partitions: a join on `column` leaves the table where it is."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).format("parquet")
-    _write(spark, name, lambda at: writer.option("path", at).saveAsTable(table), spark.conf.get(BATCH))
+    _write(spark, name, lambda at: writer.option("path", at).saveAsTable(table))
     out = spark.table(table)
     spark.sql(f"drop table {table}")  # only its name: the files stay, and `out` has them
     return out
