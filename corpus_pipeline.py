@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm.bpe import encode_decode, load_ranks
-from taskloom.llm.common import materialize, sweep
+from taskloom.llm.common import BATCH, BATCH_BYTES, materialize, sweep
 from taskloom.llm.decontaminate import decontaminate
 from taskloom.llm.exact_dedup import keep_one
 from taskloom.llm.jaccard_join import Plan, jaccard_classes
@@ -27,10 +27,12 @@ COVERAGE = 0.5
 
 
 def swept(stage):
-    """A stage that first drops what earlier ones have left in the shared folder, but not what it reads."""
+    """A stage that first drops what earlier ones have left in the shared folder, but not what it reads. The session's
+    batches to Python stay small from then on, as it's the caller who writes what a stage returns."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         sweep(spark, docs)
+        spark.conf.set(BATCH, BATCH_BYTES)
         return stage(spark, docs, sf_dir)
 
     return run_stage
