@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import chain
+
 import numpy as np
 
 #: Units of the state and the embedding, streams side by side and steps of one window in training.
@@ -79,22 +82,27 @@ class Gru:
                     dh[i] += e @ p["ww"][:, m].T
         return out, dh
 
-    def fit(self, texts: list[np.ndarray], passes: int = 2) -> None:
-        """texts: symbols of each, without the end. Streams of whole texts; the state goes on from window to window and starts anew with each text."""
-        line = np.concatenate([np.concatenate((t, [0])) for t in texts]) if texts else np.zeros(0, np.int64)
-        streams = max(1, min(STREAMS, len(line) // (4 * STEPS)))
-        length = len(line) // streams
-        if length < 2:
-            return
-        y = line[: length * streams].reshape(streams, length)
-        x = np.concatenate((np.zeros((streams, 1), np.int64), y[:, :-1]), 1)
-        m, v, n = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        for turn in range(passes):
+    def learn(self, batches: Iterable[list[np.ndarray]], rate: float = RATE) -> int:
+        """One pass over all texts of all batches; texts: symbols of each, without the end. Returns how many symbols it went over, ends included.
+
+        Streams of whole texts; the state goes on from window to window and starts anew with each text. What is left when a
+        batch is dealt to its streams goes to the next batch, and at the end is a stream of its own: no symbol is left out.
+        """
+        m, v, n, seen = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0, 0
+        rest = np.zeros(0, np.int64)
+        for texts in chain(batches, [[]]):
+            line = np.concatenate([rest, *(np.concatenate((t, [0])) for t in texts)])
+            if not len(line):
+                continue
+            streams = max(1, min(STREAMS, len(line) // (4 * STEPS)))
+            length = len(line) // streams
+            rest, seen = line[length * streams :], seen + length * streams
+            y = line[: length * streams].reshape(streams, length)
+            x = np.concatenate((np.zeros((streams, 1), np.int64), y[:, :-1]), 1)
             h = np.zeros((streams, UNITS), np.float32)
             for a in range(0, length, STEPS):
                 h, grads = self._window(x[:, a : a + STEPS].T, y[:, a : a + STEPS].T, h)
                 n += 1
-                rate = RATE * (1 if turn + 1 < passes else 0.3)
                 norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
                 for k, g in grads.items():
                     if norm > 1:
@@ -102,6 +110,7 @@ class Gru:
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.005 * (g * g - v[k])
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.995**n)) + 1e-7)).astype(np.float32)
+        return seen
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         p, (steps, streams), units = self.p, x.shape, UNITS

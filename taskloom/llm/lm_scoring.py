@@ -2,7 +2,8 @@
 
 Word counts over all training texts come from a shuffle; they give the smoothed base score. Frequent words are symbols
 of a gated recurrent model; all others fall in classes by their last bytes, and within a class a word has its smoothed
-share of the class's count. The counts of words outside a broadcast table of bounded size are joined.
+share of the class's count. The counts of words outside a broadcast table of bounded size are joined. The model learns
+from all training texts where they lie: each partition goes over its own, and the weights are averaged by token count.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, ROW, materialize, slices, texts, with_row
-from .gru import Gru
+from .gru import RATE, Gru
 from .language_id import fold
 
 #: Words with a symbol of their own, and classes of the others.
 SYMBOLS, TAILS = 1000, 48
 #: Most words with counts in the broadcast table, and bytes in one of them.
 HEAD, HEAD_BYTES = 300_000, 40
-#: The model is fitted on about so many training documents, picked by hash.
-SAMPLE_DOCS = 1500
+#: Rounds of training: each is a pass of every partition over all its texts, then an average.
+ROUNDS = 2
 #: Stands for the end; no word holds white space.
 END = "\n"
 
@@ -100,24 +101,48 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(got.column("word").to_pylist(), got.column("c").to_numpy(), held, kinds, total or 0, distinct)
 
 
-def fitted(docs: DataFrame, lex, counts: np.ndarray, n_docs: int) -> Gru:
-    """The model, trained in one task on about SAMPLE_DOCS documents."""
-    chance = F.pmod(F.xxhash64("text", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = docs.where(chance < F.lit(SAMPLE_DOCS / max(n_docs, 1))).select("text").repartition(1)
+def fitted(docs: DataFrame, lex, counts: np.ndarray) -> Gru:
+    """The model, trained on all documents; `seen` has the tokens of the last round. A partition starts from the round's
+    weights and sends only its own and its token count; they are summed in about sqrt(partitions) tasks, then here."""
+    spark, model = docs.sparkSession, Gru(counts)
+    model.seen = 0
+    fields = ["name", "tokens", "weights"]
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lex.value
-        table, line = own.table(), []
+    def rows(p: dict[str, np.ndarray], tokens: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([tokens] * len(p), pa.int64()), pa.array([a.tobytes() for a in p.values()], pa.binary())], fields)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = Counter(), {}
         for batch in batches:
-            line += [_words(t) for t in texts(batch.column("text"))]
-        line.sort(key=lambda w: (zlib.crc32(b" ".join(w)), w))
-        model = Gru(counts)
-        model.fit([symbols(w, table, own.own)[1] for w in line])
-        yield pa.RecordBatch.from_arrays([pa.array(list(model.p), pa.string()), pa.array([a.astype("<f4").tobytes() for a in model.p.values()], pa.binary())], ["name", "weights"])
-
-    model = Gru(counts)
-    for r in some.mapInArrow(fit, "name string, weights binary").collect():
-        model.p[r["name"]] = np.frombuffer(r["weights"], "<f4").reshape(model.p[r["name"]].shape).copy()
+            for name, n, w in zip(*(batch.column(f).to_pylist() for f in fields)):
+                tokens[name] += n
+                sums[name] = sums.get(name, 0) + np.frombuffer(w, "<f8")
+        for name, w in sums.items():
+            yield rows({name: w}, tokens[name])
+
+    for turn in range(ROUNDS):
+        start, rate = spark.sparkContext.broadcast(model), RATE * (1 if turn + 1 < ROUNDS else 0.3)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, gru = lex.value, Gru(counts)
+            gru.p = {k: a.copy() for k, a in start.value.p.items()}
+            table = own.table()
+            n = gru.learn(([symbols(_words(t), table, own.own)[1] for t in texts(b.column("text"))] for b in slices(batches, "text")), rate)
+            if n:
+                yield rows({k: a.astype("<f8").ravel() * n for k, a in gru.p.items()}, n)
+
+        schema = "name string, tokens long, weights binary"
+        made = docs.select("text").mapInArrow(fit, schema)
+        parts = made.rdd.getNumPartitions()
+        got = materialize(made.repartition(max(1, math.isqrt(parts))).mapInArrow(add, schema), "weights")
+        tokens, sums = Counter(), {}
+        for r in got.toLocalIterator():
+            tokens[r["name"]] += r["tokens"]
+            sums[r["name"]] = sums.get(r["name"], 0) + np.frombuffer(r["weights"], "<f8")
+        for name, w in sums.items():
+            model.p[name] = (w / tokens[name]).astype(np.float32).reshape(model.p[name].shape)
+        model.seen = max(tokens.values(), default=0)
+        start.unpersist()
     return model
 
 
@@ -141,8 +166,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialize(word_counts(learn), "counts")
     lex = lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
-    n_docs = int(lex.counts[0]) if lex.own else 0
-    model = spark.sparkContext.broadcast(fitted(learn, shared, lex.symbol_counts(), n_docs))
+    model = spark.sparkContext.broadcast(fitted(learn, shared, lex.symbol_counts()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, gru = shared.value, model.value

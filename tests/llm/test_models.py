@@ -10,7 +10,7 @@ import pytest
 from taskloom.llm import gru
 from taskloom.llm.gru import Gru
 from taskloom.llm.language_id import language_id
-from taskloom.llm.lm_scoring import score_documents
+from taskloom.llm.lm_scoring import fitted, lexicon, score_documents, word_counts
 
 from .conftest import SCHEMA
 
@@ -105,3 +105,17 @@ def test_lm_edges(spark, docs, rows, nothing):
     only_held = spark.createDataFrame([(3, "a b", *[None] * 8)], SCHEMA) if zlib.crc32(b"3") % 5 == 1 else spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "a b", *[None] * 8)], SCHEMA)
     r = score_documents(only_held).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0)
+
+
+def test_lm_learns_from_all(spark):
+    """All texts reach the model, copies too, in more than one task; no symbol of a batch is left out."""
+    rows = [(f"w{i % 7} common x{i} " * (1 + i % 5) if i % 2 else "a copy of one text",) for i in range(5000)]
+    learn = spark.createDataFrame(rows, "text string").repartition(5).cache()
+    lex = lexicon(word_counts(learn))
+    model = fitted(learn, spark.sparkContext.broadcast(lex), lex.symbol_counts())
+    assert model.seen == lex.total == sum(len(t.split()) + 1 for t, in rows)
+    plain = Gru(lex.symbol_counts())
+    copy = [np.array([lex.words.index(w) for w in b"a copy of one text".split()])]
+    assert model.score(copy)[0] > plain.score(copy)[0] + 1
+    for sizes in ([3], [0, 0], [500, 700, 1], [9999, 1, 2]):
+        assert Gru(np.ones(9)).learn([np.ones(n, np.int64)] for n in sizes) == sum(sizes) + len(sizes)
