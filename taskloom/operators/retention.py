@@ -12,11 +12,20 @@ def expired_leaves(leaves: DataFrame, classes: DataFrame, as_of: Column) -> Data
     return kept.where(F.col("upper_anchor") + F.make_dt_interval(F.col("keep_days")) <= as_of).select("leaf_name", "class_key", "lower_anchor").orderBy("lower_anchor", "leaf_name")
 
 
+#: Leaves of more days than these, open-ended ones above all, are compared by class alone.
+LONGEST = 400
+
+
 def in_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Rows with the leaf that holds them: a range join made an equality on class and day, then checked."""
-    day = leaves.select("class_key", F.date_trunc("DAY", "lower_anchor").alias("day"), "leaf_name", "lower_anchor", "upper_anchor", "min_birth_at")
-    joined = rows.withColumn("day", F.date_trunc("DAY", "anchor")).join(F.broadcast(day), ["class_key", "day"])
-    return joined.where((F.col("anchor") >= F.col("lower_anchor")) & (F.col("anchor") < F.col("upper_anchor"))).drop("day")
+    """Rows with the leaf that holds them: a range join made an equality on class and day, then checked. Leaves stand under
+    each of their days; the few that are longer than LONGEST are compared with all rows of their class."""
+    bounds = leaves.select("class_key", "leaf_name", "lower_anchor", "upper_anchor", "min_birth_at").where(F.col("lower_anchor") < F.col("upper_anchor"))
+    short = F.col("upper_anchor") <= F.col("lower_anchor") + F.make_dt_interval(F.lit(LONGEST))
+    days = F.sequence(F.date_trunc("DAY", "lower_anchor").cast("timestamp_ntz"), F.date_trunc("DAY", F.col("upper_anchor") - F.expr("interval 1 microsecond")).cast("timestamp_ntz"), F.expr("interval 1 day"))
+    daily = bounds.where(short).withColumn("day", F.explode(days))
+    by_day = rows.withColumn("day", F.date_trunc("DAY", "anchor").cast("timestamp_ntz")).join(F.broadcast(daily), ["class_key", "day"]).drop("day")
+    joined = by_day.unionByName(rows.join(F.broadcast(bounds.where(~short)), "class_key"))
+    return joined.where((F.col("anchor") >= F.col("lower_anchor")) & (F.col("anchor") < F.col("upper_anchor")))
 
 
 def blockers(outbox: DataFrame, leaves: DataFrame) -> DataFrame:

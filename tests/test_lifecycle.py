@@ -216,3 +216,15 @@ def test_store(spark):
     assert sorted((r.id, r.digest) for r in A.absent(new, old, "id").collect()) == [(3, "c")]
     assert {(r.id, r.outcome) for r in A.conflicts(new, old, "id", "digest").collect()} == {(1, "REPLAY"), (2, "UNVERIFIABLE"), (3, "INSERTED")}
     assert L.same_rows(old, old) and not L.same_rows(old, new)
+
+
+def test_leaves_of_many_days(spark):
+    """A leaf holds the rows of all its days, an open-ended one too."""
+    at = lambda *a: datetime(2024, *a)
+    leaves = spark.createDataFrame([("forever", "open", at(1, 1, 6), datetime(9999, 1, 1), at(1, 1)), ("forever", "old", datetime(2023, 12, 1), at(1, 1, 6), at(1, 1)), ("short", "week", at(1, 1, 12), at(1, 8), at(1, 1)), ("short", "next", at(1, 8), at(1, 9), at(1, 1))], "class_key string, leaf_name string, lower_anchor timestamp_ntz, upper_anchor timestamp_ntz, min_birth_at timestamp_ntz")
+    rows = [(1, "forever", at(1, 1, 7)), (2, "forever", at(5, 3)), (3, "forever", datetime(2031, 1, 1)), (4, "forever", at(1, 1, 5)), (5, "short", at(1, 7, 23)), (6, "short", at(1, 8)), (7, "short", at(1, 1, 11)), (8, "short", at(1, 9)), (9, "short", None)]
+    df = spark.createDataFrame(rows, "task_id int, class_key string, anchor timestamp_ntz")
+    assert sorted((r.task_id, r.leaf_name) for r in L.in_leaf(df, leaves).collect()) == [(1, "open"), (2, "open"), (3, "open"), (4, "old"), (5, "week"), (6, "next")]
+    outbox = df.select("task_id", F.col("class_key").alias("history_class"), F.col("anchor").alias("history_anchor"))
+    assert {r.leaf_name: r.blockers for r in L.blockers(outbox, leaves).collect()} == {"open": 3, "old": 1, "week": 1, "next": 1}
+    assert L.empty_leaves(leaves, df.where("task_id = 4"), F.lit(at(2, 1)).cast("timestamp_ntz")).isEmpty()
