@@ -70,6 +70,15 @@ def probe_order(leaves: DataFrame) -> DataFrame:
     return leaves.select("class_key", "leaf_name", (F.row_number().over(Window.partitionBy("class_key").orderBy("lower_anchor", "leaf_name")) - 1).alias("position"))
 
 
+def deletable(workflows: DataFrame, nodes: DataFrame, live: DataFrame, as_of: Column, keep_hours: int) -> DataFrame:
+    """Workflows whose end (or else last change, or start) is older than `keep_hours`, and of which no task is live."""
+    there = [F.col(c) for c in ("completed_at", "updated_at", "created_at") if c in workflows.columns]
+    old = workflows.where(F.coalesce(*there) < as_of - F.make_dt_interval(hours=F.lit(keep_hours)))
+    running = live.where("status in ('PENDING', 'CLAIMED', 'RUNNING')").select("task_id")
+    busy = nodes.join(running, "task_id", "left_semi").select(F.col("workflow_id").alias("id")).distinct()
+    return old.join(busy, "id", "left_anti")
+
+
 def within_budget(workflows: DataFrame, nodes: DataFrame, budget: int, candidates: int = 10_000) -> DataFrame:
     """Ended runs in order of id, as many as their nodes fit in the budget; the first always. Only `candidates` rows are summed in order."""
     sizes = nodes.groupBy("workflow_id").agg(F.count("*").alias("node_count"))

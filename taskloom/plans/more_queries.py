@@ -665,7 +665,8 @@ def k15_requeue_stale(t):
 
 @query(f"select id, status from workflows where id not in (select id from ({BUDGETED}))")
 def k16_retention_delete(t):
-    return A.delete(t("workflows").select("id", "status"), L.within_budget(t("workflows"), t("nodes"), 500), "id")
+    old = L.deletable(t("workflows"), t("nodes"), t("live"), now(), 24 * 30)
+    return A.delete(t("workflows").select("id", "status"), L.within_budget(old, t("nodes"), 500), "id")
 
 
 @query("select snapshot_id from worker_states where snapshot_at < :now - interval 20 day order by snapshot_id limit 1000")

@@ -228,3 +228,14 @@ def test_leaves_of_many_days(spark):
     outbox = df.select("task_id", F.col("class_key").alias("history_class"), F.col("anchor").alias("history_anchor"))
     assert {r.leaf_name: r.blockers for r in L.blockers(outbox, leaves).collect()} == {"open": 3, "old": 1, "week": 1, "next": 1}
     assert L.empty_leaves(leaves, df.where("task_id = 4"), F.lit(at(2, 1)).cast("timestamp_ntz")).isEmpty()
+
+
+def test_retention_guards(spark):
+    """Fresh workflows and ones with live tasks stay, and take nothing of the budget."""
+    old, fresh = datetime(2023, 1, 1), datetime(2024, 1, 30)
+    rows = [(1, "COMPLETED", old, None, old), (2, "COMPLETED", None, fresh, old), (3, "FAILED", old, fresh, fresh), (4, "COMPLETED", fresh, old, old), (5, "COMPLETED", None, None, old), (6, "RUNNING", None, None, old)]
+    workflows = spark.createDataFrame(rows, "id int, status string, completed_at timestamp_ntz, updated_at timestamp_ntz, created_at timestamp_ntz")
+    nodes = spark.createDataFrame([(1, 10), (1, 11), (3, 30), (4, 40), (5, 50), (5, None)], "workflow_id int, task_id int")
+    live = spark.createDataFrame([(11, "CLAIMED"), (50, "COMPLETED"), (99, "RUNNING")], "task_id int, status string")
+    got = L.within_budget(L.deletable(workflows, nodes, live, F.lit(NOW).cast("timestamp_ntz"), 24), nodes, 3)
+    assert sorted((r.id, r.node_count, r.running) for r in got.collect()) == [(3, 1, 1), (5, 2, 3)]
