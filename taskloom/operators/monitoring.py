@@ -93,3 +93,17 @@ def top_per_key(rows: DataFrame, key: str, limit: Column, *order) -> DataFrame:
     """The first rows of each key, as many as `limit` says."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("nth", nth).where(F.col("nth") <= limit)
+
+
+def schedules_in_order(schedules: DataFrame) -> DataFrame:
+    """All schedules by next run, nulls last, then id, with their place: within the hour of the next run (without one,
+    within 10,000 ids) plus what comes before it. Only the counts of those ranges meet in one task."""
+    hour = F.date_trunc("HOUR", "next_run_at").cast("timestamp_ntz")
+    rows = schedules.select("schedule_id", "next_run_at", hour.alias("hour"), F.when(hour.isNull(), F.floor(F.col("schedule_id") / 10_000)).otherwise(0).alias("part"))
+    ranges = [F.col("hour").asc_nulls_last(), "part"]
+    before = rows.groupBy("hour", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = before.select(F.col("hour").alias("h"), F.col("part").alias("p"), "before")
+    order = [F.col("next_run_at").asc_nulls_last(), "schedule_id"]
+    placed = rows.withColumn("own", F.row_number().over(Window.partitionBy("hour", "part").orderBy(*order)))
+    out = placed.join(first, F.col("hour").eqNullSafe(F.col("h")) & (F.col("part") == F.col("p")))
+    return out.select("schedule_id", "next_run_at", (F.col("own") + F.col("before")).cast("long").alias("nth")).orderBy(*order)

@@ -99,8 +99,7 @@ def a6_heartbeats_by_hour(t):
 
 @query("select schedule_id, next_run_at, row_number() over (order by next_run_at asc nulls last, schedule_id) as nth from schedules qualify nth <= 200")
 def a7_schedules_in_order(t):
-    first = t("schedules").orderBy(F.col("next_run_at").asc_nulls_last(), "schedule_id").limit(200)
-    return first.select("schedule_id", "next_run_at", F.row_number().over(M.Window.orderBy(F.col("next_run_at").asc_nulls_last(), "schedule_id")).cast("long").alias("nth"))
+    return M.schedules_in_order(t("schedules"))
 
 
 @query("select task_id, case when status in ('PENDING', 'CLAIMED', 'RUNNING') then 'LIVE' else 'HISTORY' end as location from tasks")

@@ -239,3 +239,12 @@ def test_retention_guards(spark):
     live = spark.createDataFrame([(11, "CLAIMED"), (50, "COMPLETED"), (99, "RUNNING")], "task_id int, status string")
     got = L.within_budget(L.deletable(workflows, nodes, live, F.lit(NOW).cast("timestamp_ntz"), 24), nodes, 3)
     assert sorted((r.id, r.node_count, r.running) for r in got.collect()) == [(3, 1, 1), (5, 2, 3)]
+
+
+def test_all_schedules_in_order(spark):
+    """None is left out, those without a next run among them."""
+    rows = [(i, NOW + timedelta(minutes=i * 37 % 300) if i % 3 else None) for i in range(25_000)]
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or NOW, r[0]))
+    got = M.schedules_in_order(spark.createDataFrame(rows, "schedule_id long, next_run_at timestamp_ntz")).collect()
+    assert [(r.schedule_id, r.next_run_at, r.nth) for r in got] == [(*r, n) for n, r in enumerate(want, 1)]
+    assert Q.QUERIES["a7_schedules_in_order"](spark, "/root/testdata/sf0.01").count() == 1500
