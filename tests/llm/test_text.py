@@ -13,7 +13,7 @@ import tiktoken
 from taskloom.llm import bpe
 from taskloom.llm.bpe import LATIN_PATTERN, ODD, PLAIN_PATTERN, encode_decode, encode_word, load_ranks
 from taskloom.llm.decontaminate import Automaton, contamination, decontaminate
-from taskloom.llm.licenses import license_scan
+from taskloom.llm.licenses import BODIES, license_scan
 from taskloom.llm.secrets import secret_digest
 from taskloom.llm.token_counts import Rollup, signed, words
 
@@ -143,6 +143,21 @@ def test_licenses(spark):
     assert license_scan(docs.where("false"), "doc_id", "repo", "path", "text").count() == 0
 
 
+def test_licenses_over_lines(spark):
+    """Wrapped headers and full licence texts."""
+    gnu = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {} as published by\n *\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n"
+    bsd = "# Copyright (c) 2020 Somebody\n#\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n"
+    files = [
+        (1, "r", "a.c", "int x;\n" + gnu.format("General Public License", 3) + "main\n" * 20), (2, "r", "b.c", gnu.format("General Public License", 2)), (3, "r", "c.c", gnu.format("Lesser General Public License", 3)), (4, "r", "d.py", bsd + "x = 1\n" * 30), (5, "r", "e.py", "plain\nwords\nonly"),
+        *((10 + i, name, "LICENSE", "Copyright 2021 The Authors\n" + text[0]) for i, (name, text) in enumerate(BODIES.items())), (90, "GPL-3.0", "src/deep/x.c", "code"), (91, "BSD-3-Clause", "y.c", None),
+    ]
+    docs = spark.createDataFrame(files, "doc_id long, repo string, path string, text string")
+    got = {r.doc_id: r for r in license_scan(docs, "doc_id", "repo", "path", "text").collect()}
+    assert [got[i].own_license for i in range(1, 6)] == ["GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", None]
+    assert {r[1]: got[r[0]].own_license for r in files if 10 <= r[0] < 90} == {name: name for name in BODIES}
+    assert (got[90].license, got[90].license_dir, got[91].license) == ("GPL-3.0", "", "BSD-3-Clause")
+
+
 def test_token_counts(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None), (2, None, None, None), (3, "c", "en", "s")], "doc_id long, text string, lang string, source string")
     r = Rollup(spark, str(tmp_path / "r"))
