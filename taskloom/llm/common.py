@@ -112,13 +112,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null is empty."""
+    """(bytes, offsets) of a column of strings or of bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.type != pa.large_string():
-        column = column.cast(pa.large_string())
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    if column.type != wide:
+        column = column.cast(wide)
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if wide == pa.large_binary() else "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

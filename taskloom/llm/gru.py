@@ -8,11 +8,24 @@ from itertools import chain
 import numpy as np
 
 #: Units of the state and the embedding, streams side by side and steps of one window in training.
-UNITS, STREAMS, STEPS, RATE = 24, 48, 24, 0.004
+UNITS, STREAMS, STEPS, RATE = 24, 192, 24, 0.01
+
+
+def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns a into its exponentials, after taking each row's greatest value off where one might overflow; returns (their sums, what was taken off)."""
+    top = 0.0
+    if a.size and max(a.max(), -a.min()) > 60:
+        top = a.max(1)
+        a -= top[:, None]
+    np.exp(a, out=a)
+    return a @ np.ones(a.shape[1], a.dtype), top
 
 
 class Gru:
-    """Over symbols 0..S-1; 0 ends a text and begins the next. A symbol's probability is its class's times its own in the class."""
+    """Over symbols 0..S-1; 0 ends a text and begins the next. A symbol's probability is its class's times its own in the class.
+
+    Symbols are numbered anew by class (`at`), so that the weights of a class lie side by side.
+    """
 
     def __init__(self, counts: np.ndarray, classes: int = 32, seed: int = 3):
         r = np.random.default_rng(seed)
@@ -20,67 +33,78 @@ class Gru:
         # classes of about equal mass of the square roots of the counts
         order = np.argsort(-counts, kind="stable")
         mass = np.cumsum(np.sqrt(counts[order] + 1.0))
-        self.of = np.zeros(s, np.int64)
-        self.of[order] = np.minimum((mass / mass[-1] * classes).astype(np.int64), classes - 1)
-        self.members = [np.flatnonzero(self.of == c) for c in range(classes)]
-        self.nth = np.zeros(s, np.int64)
-        for m in self.members:
-            self.nth[m] = np.arange(len(m))
+        of = np.minimum((mass / mass[-1] * classes).astype(np.int64), classes - 1)  # ascending
+        self.at = np.empty(s, np.int64)
+        self.at[order] = np.arange(s)
+        self.of = of
+        self.begin = np.searchsorted(of, np.arange(classes + 1))
         f = np.float32
-        share = (counts + 0.5) / (counts + 0.5).sum()
-        mass_of = np.array([share[m].sum() if len(m) else 1e-9 for m in self.members])
+        share = ((counts + 0.5) / (counts + 0.5).sum())[order]
+        mass_of = np.array([share[a:b].sum() if b > a else 1e-9 for a, b in zip(self.begin, self.begin[1:])])
         self.p = {
             "e": (r.standard_normal((s, h)) * 0.3).astype(f), "wx": (r.standard_normal((h, 3 * h)) / h**0.5).astype(f), "bx": np.zeros(3 * h, f),
             "u": (r.standard_normal((h, 3 * h)) / h**0.5).astype(f), "wc": (r.standard_normal((h, classes)) * 0.1).astype(f), "bc": np.log(mass_of).astype(f),
-            "ww": (r.standard_normal((h, s)) * 0.1).astype(f), "bw": np.log(share).astype(f),
+            "ww": (r.standard_normal((s, h)) * 0.1).astype(f), "bw": np.log(share).astype(f),
         }
 
     def step(self, xw: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         n = UNITS
         hu = h @ self.p["u"]
-        gates = np.tanh((xw[:, : 2 * n] + hu[:, : 2 * n]) * np.float32(0.5))
+        gates = xw[:, : 2 * n] + hu[:, : 2 * n]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
         gates += 1
         gates *= np.float32(0.5)
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(xw[:, 2 * n :] + r * hu[:, 2 * n :])
-        return new + z * (h - new), (z, r, new, h, hu[:, 2 * n :])
+        z, r, hn = gates[:, :n], gates[:, n:], hu[:, 2 * n :]
+        new = r * hn
+        new += xw[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, (z, r, new, h, hn)
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logs of the probabilities of y after states h; with grads, what the states get back of the mean's gradient."""
-        p, of = self.p, self.of[y]
-        a = h @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[np.arange(len(y)), of] - np.log(total)
+        p, w = self.p, self.at[y]
+        # by symbol, so that those of a class and their states lie side by side
+        order = np.argsort(w.astype(np.int16) if len(self.at) < 1 << 15 else w, kind="stable")
+        w, h = w[order], h[order]
+        of, every = self.of[w], np.arange(len(w))
+        a = h @ p["wc"]
+        a += p["bc"]
+        out = a[every, of]
+        total, top = _exp(a)
+        out -= np.log(total) + top
         dh = None
+        scale = np.float32(1 / max(len(y), 1))
         if grads is not None:
-            e /= total[:, None]
-            e[np.arange(len(y)), of] -= 1
-            e /= len(y)
-            grads["wc"] += h.T @ e
-            grads["bc"] += e.sum(0)
-            dh = e @ p["wc"].T
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(len(self.members) + 1))
-        for c, m in enumerate(self.members):
-            i = order[ends[c] : ends[c + 1]]
-            if len(i) and len(m) > 1:
-                hc = h[i]
-                b = hc @ p["ww"][:, m] + p["bw"][m]
-                b -= b.max(1, keepdims=True)
-                e = np.exp(b)
-                total = e.sum(1)
-                k = self.nth[y[i]]
-                out[i] += b[np.arange(len(i)), k] - np.log(total)
-                if grads is not None:
-                    e /= total[:, None]
-                    e[np.arange(len(i)), k] -= 1
-                    e /= len(y)
-                    grads["ww"][:, m] += hc.T @ e
-                    grads["bw"][m] += e.sum(0)
-                    dh[i] += e @ p["ww"][:, m].T
-        return out, dh
+            a /= total[:, None]
+            a[every, of] -= 1
+            a *= scale
+            grads["wc"] += h.T @ a
+            grads["bc"] += a.sum(0)
+            dh = a @ p["wc"].T
+        ends = np.searchsorted(of, np.arange(len(self.begin)))
+        nth = w - self.begin[of]
+        for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.begin) > 1)).tolist():
+            i, m = slice(ends[c], ends[c + 1]), slice(self.begin[c], self.begin[c + 1])
+            b = h[i] @ p["ww"][m].T
+            b += p["bw"][m]
+            mine = (every[: len(b)], nth[i])
+            out[i] += b[mine]
+            total, top = _exp(b)
+            out[i] -= np.log(total) + top
+            if grads is not None:
+                b /= total[:, None]
+                b[mine] -= 1
+                b *= scale
+                grads["ww"][m] += b.T @ h[i]
+                grads["bw"][m] += b.sum(0)
+                dh[i] += b @ p["ww"][m]
+        back = np.empty_like(order)
+        back[order] = every
+        return out[back], None if dh is None else dh[back]
 
     def learn(self, batches: Iterable[list[np.ndarray]], rate: float = RATE) -> int:
         """One pass over all texts of all batches; texts: symbols of each, without the end. Returns how many symbols it went over, ends included.
@@ -103,68 +127,90 @@ class Gru:
             for a in range(0, length, STEPS):
                 h, grads = self._window(x[:, a : a + STEPS].T, y[:, a : a + STEPS].T, h)
                 n += 1
-                norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
+                norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
                 for k, g in grads.items():
                     if norm > 1:
-                        g /= norm
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.005 * (g * g - v[k])
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.995**n)) + 1e-7)).astype(np.float32)
+                        g *= np.float32(1 / norm)
+                    m[k] += np.float32(0.1) * (g - m[k])
+                    v[k] += np.float32(0.005) * (g * g - v[k])
+                    self.p[k] -= np.float32(rate / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.995**n))) + np.float32(1e-7))
         return seen
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         p, (steps, streams), units = self.p, x.shape, UNITS
-        xe = p["e"][x]
-        xw = xe @ p["wx"] + p["bx"]
-        kept, states = [], np.empty((steps, streams, units), np.float32)
-        alive = (x != 0).astype(np.float32)[:, :, None]
+        flat = self.at[x.reshape(-1)]
+        table = p["e"] @ p["wx"] + p["bx"]
+        xw = table[flat].reshape(steps, streams, 3 * units)
+        kept, states = [], np.empty((steps, streams, units), h.dtype)
+        alive = (x != 0).astype(h.dtype)[:, :, None]
+        before = np.empty((steps, streams, units), h.dtype)
         for t in range(steps):
-            h, k = self.step(xw[t], h * alive[t])
+            before[t] = h * alive[t]
+            h, k = self.step(xw[t], before[t])
             kept.append(k)
             states[t] = h
         g = {k: np.zeros_like(a) for k, a in p.items()}
         _, dh_out = self.log_probabilities(states.reshape(-1, units), y.reshape(-1), g)
-        dh_out, dx = dh_out.reshape(steps, streams, units), np.empty_like(xw)
-        back = np.zeros((streams, units), np.float32)
+        dh_out = dh_out.reshape(steps, streams, units)
+        dx, du = np.empty_like(xw), np.empty_like(xw)
+        back = np.zeros((streams, units), h.dtype)
+        ut = np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
             z, r, new, prev, hn = kept[t]
-            d = dh_out[t] + back
-            dnew = d * (1 - z) * (1 - new * new)
-            dz = d * (prev - new) * z * (1 - z)
-            dr = dnew * hn * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dnew), 1)
-            du = np.concatenate((dz, dr, dnew * r), 1)
-            g["u"] += prev.T @ du
-            back = (d * z + du @ p["u"].T) * alive[t]
-        flat = dx.reshape(-1, 3 * units)
-        g["wx"] += xe.reshape(-1, units).T @ flat
-        g["bx"] += flat.sum(0)
-        np.add.at(g["e"], x.reshape(-1), flat @ p["wx"].T)
+            d = dh_out[t]
+            d += back
+            dz, dr, dnew = (dx[t, :, i * units : (i + 1) * units] for i in range(3))
+            dun = du[t, :, 2 * units :]
+            keep = d * z
+            np.subtract(d, keep, out=dnew)  # d (1 - z)
+            one = prev - new
+            one *= keep
+            np.multiply(one, 1 - z, out=dz)
+            np.multiply(new, new, out=one)
+            np.subtract(1, one, out=one)
+            dnew *= one
+            np.multiply(dnew, r, out=dun)
+            np.multiply(dun, hn, out=one)
+            np.multiply(one, 1 - r, out=dr)
+            du[t, :, : 2 * units] = dx[t, :, : 2 * units]
+            back = du[t] @ ut
+            back += keep
+            back *= alive[t]
+        g["u"] += before.reshape(-1, units).T @ du.reshape(-1, 3 * units)
+        dx = dx.reshape(-1, 3 * units)
+        order = np.argsort(flat.astype(np.int16) if len(self.at) < 1 << 15 else flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        which, summed = flat[order][first], np.add.reduceat(dx[order], first, 0)
+        g["wx"] += p["e"][which].T @ summed
+        g["bx"] += summed.sum(0)
+        g["e"][which] = summed @ p["wx"].T
         return h, g
 
-    def score(self, texts: list[np.ndarray], most: int = 200_000) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], most: int = 48_000) -> np.ndarray:
         """The natural log of each whole text's probability, its end included. Texts run side by side, the longest first; states are carried from window to window."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) + 1 for i in order])
         flat = np.concatenate([np.concatenate((texts[i], [0])) for i in order]) if order else np.zeros(0, np.int64)
         begin = np.cumsum(lengths) - lengths
-        table = self.p["e"] @ self.p["wx"] + self.p["bx"]
+        table = (self.p["e"] @ self.p["wx"] + self.p["bx"])[self.at]
         h = np.zeros((len(order), UNITS), np.float32)
         at, total = 0, np.zeros(len(order))
         while len(lengths) and at < lengths[0]:
             live = int(np.searchsorted(-lengths, -at, side="left"))
             steps = int(min(max(8, most // max(live, 1)), 512, lengths[0] - at))
-            states, targets, owners = [], [], []
-            for t in range(at, at + steps):
-                live = int(np.searchsorted(-lengths, -t, side="left"))
-                x = flat[begin[:live] + t - 1] if t else np.zeros(live, np.int64)
+            owners = np.searchsorted(-lengths, -np.arange(at, at + steps), side="left").tolist()
+            states, targets = np.empty((sum(owners), UNITS), np.float32), np.empty(sum(owners), flat.dtype)
+            a = 0
+            for t, live in enumerate(owners, at):
+                here = begin[:live] + t
+                x = flat[here - 1] if t else np.zeros(live, np.int64)
                 now, _ = self.step(table[x], h[:live])
                 h[:live] = now
-                states.append(now)
-                targets.append(flat[begin[:live] + t])
-                owners.append(live)
-            got, _ = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
+                states[a : a + live] = now
+                targets[a : a + live] = flat[here]
+                a += live
+            got, _ = self.log_probabilities(states, targets)
             a = 0
             for n in owners:
                 total[:n] += got[a : a + n]

@@ -2,16 +2,19 @@
 
 Word counts over all training texts come from a shuffle; they give the smoothed base score. Frequent words are symbols
 of a gated recurrent model; all others fall in classes by their last bytes, and within a class a word has its smoothed
-share of the class's count. The counts of words outside a broadcast table of bounded size are joined. The model learns
-from all training texts where they lie: each partition goes over its own, and the weights are averaged by token count.
+share of the class's count. The counts of words outside a broadcast table of bounded size are joined. Each text is cut
+into words once more to a row of symbols, which is written; the model learns from all training rows where they lie, in
+rounds of disjoint shares: each partition goes over its own, and the weights are averaged by token count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,12 @@ from .language_id import fold
 
 #: Words with a symbol of their own, and classes of the others.
 SYMBOLS, TAILS = 1000, 48
-#: Most words with counts in the broadcast table, and bytes in one of them.
+#: Most words with counts in the broadcast table. Words of more bytes are known by a digest, so that each fits.
 HEAD, HEAD_BYTES = 300_000, 40
-#: Rounds of training: each is a pass of every partition over all its texts, then an average.
+#: Rounds of training. A document is learned from in one of them; after each the weights are averaged.
 ROUNDS = 2
+#: Symbols that are scored side by side.
+PART = 2_000_000
 #: Stands for the end; no word holds white space.
 END = "\n"
 
@@ -37,7 +42,11 @@ def tail(word: bytes) -> int:
 
 
 def _words(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
+    """The words of a text; a long one is its digest, which begins with white space as no word does."""
+    found = text.translate(LOWER).split()
+    if max(map(len, found), default=0) > HEAD_BYTES:
+        found = [w if len(w) <= HEAD_BYTES else b" " + hashlib.sha256(w).hexdigest()[:32].encode() for w in found]
+    return found
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -75,6 +84,8 @@ class Lexicon:
             held[tail(w)] -= c
             kinds[tail(w)] -= 1
         self.held, self.kinds, self.total, self.distinct = held, kinds, total, distinct
+        #: Of each word of the table its symbol.
+        self.symbol = np.array([i if i < self.own else self.own + tail(w) for i, w in enumerate(self.words)], np.int64)
 
     def symbol_counts(self) -> np.ndarray:
         return np.concatenate((self.counts[: self.own], self.held)).astype(float)
@@ -90,25 +101,30 @@ def lexicon(counts: DataFrame) -> Lexicon:
     for r in counts.groupBy(ending.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         held[r["k"]], kinds[r["k"]] = r["c"], r["n"]
     level = F.least(F.floor(F.log2("c") * 8), F.lit(400)).cast("int")
-    short = counts.where((F.octet_length("word") <= HEAD_BYTES) | (F.col("word") == END))
     left, least = HEAD, 10**6
-    for r in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
         left -= r["count"]
         if left < 0:
             break
         least = r["level"]
-    got = short.where((level >= least) | (F.col("word") == END)).toArrow()
+    got = counts.where((level >= least) | (F.col("word") == END)).toArrow()
     return Lexicon(got.column("word").to_pylist(), got.column("c").to_numpy(), held, kinds, total or 0, distinct)
 
 
-def fitted(docs: DataFrame, lex, counts: np.ndarray) -> Gru:
-    """The model, trained on all documents; `seen` has the tokens of the last round. A partition starts from the round's
-    weights and sends only its own and its token count; they are summed in about sqrt(partitions) tasks, then here."""
-    spark, model = docs.sparkSession, Gru(counts)
+def parts(batches: Iterator[pa.RecordBatch], most: int = PART) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches with a column of symbols, in parts of about `most` of them; a longer text stands alone."""
+    for batch in slices(batches, "symbols", 2 * most):
+        yield batch, [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("symbols").to_pylist()]
+
+
+def fitted(rows: DataFrame, counts: np.ndarray) -> Gru:
+    """The model, trained on all rows (_row, symbols); `seen` has the tokens of all rounds. A partition starts from the
+    round's weights and sends only its own and its token count; they are summed in about sqrt(partitions) tasks, then here."""
+    spark, model = rows.sparkSession, Gru(counts)
     model.seen = 0
     fields = ["name", "tokens", "weights"]
 
-    def rows(p: dict[str, np.ndarray], tokens: int) -> pa.RecordBatch:
+    def weights(p: dict[str, np.ndarray], tokens: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([tokens] * len(p), pa.int64()), pa.array([a.tobytes() for a in p.values()], pa.binary())], fields)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,91 +134,97 @@ def fitted(docs: DataFrame, lex, counts: np.ndarray) -> Gru:
                 tokens[name] += n
                 sums[name] = sums.get(name, 0) + np.frombuffer(w, "<f8")
         for name, w in sums.items():
-            yield rows({name: w}, tokens[name])
+            yield weights({name: w}, tokens[name])
 
     for turn in range(ROUNDS):
         start, rate = spark.sparkContext.broadcast(model), RATE * (1 if turn + 1 < ROUNDS else 0.3)
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, gru = lex.value, Gru(counts)
+            gru = Gru(counts)
             gru.p = {k: a.copy() for k, a in start.value.p.items()}
-            table = own.table()
-            n = gru.learn(([symbols(_words(t), table, own.own)[1] for t in texts(b.column("text"))] for b in slices(batches, "text")), rate)
+            n = gru.learn((lines for _, lines in parts(batches, PART // 4)), rate)
             if n:
-                yield rows({k: a.astype("<f8").ravel() * n for k, a in gru.p.items()}, n)
+                yield weights({k: a.astype("<f8").ravel() * n for k, a in gru.p.items()}, n)
 
-        schema = "name string, tokens long, weights binary"
-        made = docs.select("text").mapInArrow(fit, schema)
-        parts = made.rdd.getNumPartitions()
-        got = materialize(made.repartition(max(1, math.isqrt(parts))).mapInArrow(add, schema), "weights")
+        made = rows.where(F.pmod(ROW, F.lit(ROUNDS)) == turn).select("symbols").mapInArrow(fit, "name string, tokens long, weights binary")
+        got = materialize(made.repartition(max(1, math.isqrt(made.rdd.getNumPartitions()))).mapInArrow(add, made.schema), "weights")
         tokens, sums = Counter(), {}
         for r in got.toLocalIterator():
             tokens[r["name"]] += r["tokens"]
             sums[r["name"]] = sums.get(r["name"], 0) + np.frombuffer(r["weights"], "<f8")
         for name, w in sums.items():
             model.p[name] = (w / tokens[name]).astype(np.float32).reshape(model.p[name].shape)
-        model.seen = max(tokens.values(), default=0)
+        model.seen += max(tokens.values(), default=0)
         start.unpersist()
     return model
 
 
-def symbols(found: list[bytes], table: dict[bytes, int], own: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the table or -1, symbols)"""
-    at = np.fromiter((table.get(w, -1) for w in found), np.int64, len(found))
-    out = at.copy()
-    for i in np.flatnonzero((at < 0) | (at >= own)).tolist():
-        out[i] = own + tail(found[i])
-    return at, out
+def symbols(found: list[bytes], table: dict[bytes, int], lex: Lexicon) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(places in the table or -1, symbols, the words that aren't there)"""
+    at = np.array(list(map(table.get, found, repeat(-1))), np.int64)
+    away = np.flatnonzero(at < 0)
+    gone = [found[i] for i in away.tolist()]
+    out = lex.symbol[at] if len(lex.symbol) else at.copy()
+    out[away] = [lex.own + tail(w) for w in gone]
+    return at, out, gone
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null texts are empty: one token, the end. Rows that repeat count and are scored each. If no row is for training,
-    N and V are 0, no word is known, and base_score is 0. Both scores are log10 probabilities of the whole text.
+    Null texts are empty: one token, the end. Rows that repeat count and are scored each, also with null ids. Very long
+    texts are scored whole, in windows that hand the state on. If no row is for training, N and V are 0, no word is
+    known, and base_score is 0. No rows give no rows. Other columns are ignored. Both scores are log10 probabilities of
+    the whole text.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), (fold(id_col) == held_out).alias("held_out"))
-    spark, learn = docs.sparkSession, base.where(~F.col("held_out"))
-    counts = materialize(word_counts(learn), "counts")
+    spark = docs.sparkSession
+    counts = materialize(word_counts(base.where(~F.col("held_out"))), "counts")
     lex = lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
-    model = spark.sparkContext.broadcast(fitted(learn, shared, lex.symbol_counts()))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, gru = shared.value, model.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Symbols of each text, its scores as far as the table knows its words, and the words that it doesn't know."""
+        own = shared.value
         table = own.table()
         logs = np.log10(own.counts + 0.5)
         room = np.log10(own.held + 0.5 * (own.kinds + 1))
         whole = math.log10(own.total + 0.5 * (own.distinct + 1))
         end = table.get(END.encode(), -1)
-        endings = [tail(w) for w in own.words]
-        endings = np.array(endings, np.int64)
-        for batch in slices(batches, "text", 12 << 20):
+        base_end = logs[end] if end >= 0 else math.log10(0.5)
+        names = ["id", "held_out", "n_tokens", "known", "plain", "outside", "away", "times", "symbols"]
+        for batch in slices(batches, "text"):
             n, known, plain, outside, away, times, lines = [], [], [], [], [], [], []
             for t in texts(batch.column("text")):
                 found = _words(t)
-                at, sym = symbols(found, table, own.own)
+                at, sym, missing = symbols(found, table, own)
                 here = at[at >= 0]
                 rare = here[here >= own.own]
-                gone = Counter(found[i] for i in np.flatnonzero(at < 0).tolist())
-                base_end = logs[end] if end >= 0 else math.log10(0.5)
+                gone = Counter(missing)
                 n.append(len(found) + 1)
                 known.append(len(here) + (end >= 0))
                 plain.append(float(logs[here].sum() + base_end - n[-1] * whole))
-                outside.append(float(logs[rare].sum() - room[endings[rare]].sum() - sum(m * room[tail(w)] for w, m in gone.items())))
+                outside.append(float(logs[rare].sum() - room[sym[sym >= own.own] - own.own].sum()))
                 away.append([w.decode() for w in gone])
                 times.append(list(gone.values()))
-                lines.append(sym)
-            got = gru.score(lines) / math.log(10) if own.own else np.array([-x * math.log10(1 + TAILS) for x in n])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(got + np.array(outside), pa.float64()), pa.array(away, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                ["id", "held_out", "n_tokens", "known", "plain", "own", "away", "times"])
+                lines.append(sym.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(outside, pa.float64()), pa.array(away, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array(lines, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = base.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, known long, plain double, own double, away array<string>, times array<long>")
-    made = materialize(with_row(made), "scored")
+    made = base.mapInArrow(read, f"id {kind}, held_out boolean, n_tokens long, known long, plain double, outside double, away array<string>, times array<long>, symbols binary")
+    made = materialize(with_row(made), "symbols")
+    model = spark.sparkContext.broadcast(fitted(made.where(~F.col("held_out")), lex.symbol_counts()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gru, own = model.value, shared.value.own
+        for batch, lines in parts(batches):
+            got = gru.score(lines) / math.log(10) if own else np.array([-(len(x) + 1) * math.log10(1 + TAILS) for x in lines])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*batch.schema.names[:-1], "own"])
+
+    scored = made.select(ROW, "id", "held_out", "n_tokens", "known", "plain", "outside", "symbols")
+    scored = scored.mapInArrow(score, f"{ROW} long, id {kind}, held_out boolean, n_tokens long, known long, plain double, outside double, own double")
     spread = made.select(ROW, F.explode(F.arrays_zip("away", "times")).alias("w")).select(ROW, F.col("w.away").alias("word"), F.col("w.times").alias("times"))
     seen = spread.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = seen.groupBy(ROW).agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = made.drop("away", "times").join(more, ROW, "left").fillna(0, ["more", "more_known"])
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("plain") + F.col("more")).alias("base_score"), (F.col("own") + F.col("more")).alias("score"))
+    out = scored.join(more, ROW, "left").fillna(0, ["more", "more_known"])
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("plain") + F.col("more")).alias("base_score"), (F.col("own") + F.col("outside") + F.col("more")).alias("score"))

@@ -7,10 +7,10 @@ import zlib
 import numpy as np
 import pytest
 
-from taskloom.llm import gru
+from taskloom.llm import gru, lm_scoring
 from taskloom.llm.gru import Gru
 from taskloom.llm.language_id import language_id
-from taskloom.llm.lm_scoring import fitted, lexicon, score_documents, word_counts
+from taskloom.llm.lm_scoring import fitted, lexicon, score_documents, symbols, word_counts
 
 from .conftest import SCHEMA
 
@@ -109,13 +109,61 @@ def test_lm_edges(spark, docs, rows, nothing):
 
 def test_lm_learns_from_all(spark):
     """All texts reach the model, copies too, in more than one task; no symbol of a batch is left out."""
-    rows = [(f"w{i % 7} common x{i} " * (1 + i % 5) if i % 2 else "a copy of one text",) for i in range(5000)]
-    learn = spark.createDataFrame(rows, "text string").repartition(5).cache()
+    rows = [(i, f"w{i % 7} common x{i} " * (1 + i % 5) if i % 2 else "a copy of one text") for i in range(5000)]
+    learn = spark.createDataFrame(rows, "_row long, text string")
     lex = lexicon(word_counts(learn))
-    model = fitted(learn, spark.sparkContext.broadcast(lex), lex.symbol_counts())
-    assert model.seen == lex.total == sum(len(t.split()) + 1 for t, in rows)
+    table = lex.table()
+    coded = [(i, symbols(t.encode().split(), table, lex)[1].astype("<u2").tobytes()) for i, t in rows]
+    model = fitted(spark.createDataFrame(coded, "_row long, symbols binary").repartition(5), lex.symbol_counts())
+    assert model.seen == lex.total == sum(len(t.split()) + 1 for _, t in rows)
     plain = Gru(lex.symbol_counts())
     copy = [np.array([lex.words.index(w) for w in b"a copy of one text".split()])]
     assert model.score(copy)[0] > plain.score(copy)[0] + 1
     for sizes in ([3], [0, 0], [500, 700, 1], [9999, 1, 2]):
         assert Gru(np.ones(9)).learn([np.ones(n, np.int64)] for n in sizes) == sum(sizes) + len(sizes)
+
+
+def naive(m, line):
+    """The log probability of one text by the formulas, a symbol at a time, in float64."""
+    p = {k: a.astype(np.float64) for k, a in m.p.items()}
+    logistic = lambda a: 1 / (1 + np.exp(-a))
+    h, total, last, n = np.zeros(gru.UNITS), 0.0, 0, gru.UNITS
+    for s in [*line, 0]:
+        x = p["e"][m.at[last]] @ p["wx"] + p["bx"]
+        u = h @ p["u"]
+        z, r = logistic(x[:n] + u[:n]), logistic(x[n : 2 * n] + u[n : 2 * n])
+        h = (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :]) + z * h
+        c, k = m.of[m.at[s]], m.at[s]
+        classes, own = h @ p["wc"] + p["bc"], p["ww"][m.of == c] @ h + p["bw"][m.of == c]
+        total += classes[c] - np.log(np.exp(classes).sum())
+        total += own[k - np.flatnonzero(m.of == c)[0]] - np.log(np.exp(own).sum())
+        last = s
+    return total
+
+
+def test_score_by_brute_force(spark, docs, rows, monkeypatch):
+    """The query's score against the formulas: the network a symbol at a time, then a rare word's share of its class."""
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 30)
+    monkeypatch.setattr(lm_scoring, "HEAD", 60)
+    models = []
+    monkeypatch.setattr(lm_scoring, "fitted", lambda *a: models.append(fitted(*a)) or models[-1])
+    got = {r.doc_id: r.score for r in score_documents(docs).collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    own = {r[0]: lm_scoring._words((r[1] or "").encode()) for r in rows}
+    c = collections.Counter(w for d, ws in own.items() if not held(d) for w in [*ws, b"\n"])
+    spark_counts = lexicon(word_counts(docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1")))
+    frequent = {w: i for i, w in enumerate(spark_counts.words[: spark_counts.own])}
+    assert len(frequent) == 30
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w, k in c.items():
+        if w not in frequent:
+            mass[lm_scoring.tail(w)] += k
+            kinds[lm_scoring.tail(w)] += 1
+    for d, ws in own.items():
+        if len(ws) > 500:
+            continue
+        want = naive(models[0], [frequent.get(w, 30 + lm_scoring.tail(w)) for w in ws]) / math.log(10)
+        for w in ws:
+            if w not in frequent:
+                want += math.log10((c[w] + 0.5) / (mass[lm_scoring.tail(w)] + 0.5 * (kinds[lm_scoring.tail(w)] + 1)))
+        assert abs(got[d] - want) < 1e-3 + 1e-4 * abs(want)
