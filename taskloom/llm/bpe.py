@@ -1,10 +1,11 @@
 """Byte-level BPE: a global shuffle of distinct words.
 
-Each text is cut into pre-tokens. Words that are frequent in a bounded sample are encoded once and looked up in a
-broadcast table of bounded size. All others are exploded with their places, dealt out by word so that each distinct
-one is encoded once, and go back to where they came from. Documents wait in blocks of about BLOCK bytes, as packed word
-codes in a bucketed table, to which ids come back without moving it; a word is sent once a block however often it
-stands there, so no word is hot. Ids are put in place by position, and decoding looks up each id in the token-byte table.
+Each text is cut into pre-tokens. Words that are frequent in a bounded sample are shuffled first, each distinct one is
+encoded once, and they are looked up in a broadcast table of bounded size, so that no word is hot. All others are
+exploded with their places, dealt out by word so that each distinct one is encoded once, and go back to where they
+came from. Documents wait in blocks of about BLOCK bytes, as packed word codes in a bucketed table, to which ids come
+back without moving it; a word is sent once a block however often it stands there. Ids are put in place by position,
+and decoding joins each id to the token-byte table, which is as large as the tokenizer and broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bucketed, slices, with_row
+from .common import ROW, bucketed, materialize, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
@@ -94,6 +96,17 @@ class Table:
         self.flat = np.frombuffer(b"".join(rows), dtype)
 
 
+class Named:
+    """A broadcast value with a name that is the same in all workers."""
+
+    def __init__(self, shared):
+        self.shared, self.id = shared, uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.shared.value
+
+
 class Codec:
     """For one tokenizer: ranks by token, the pattern of pre-tokens."""
 
@@ -166,8 +179,9 @@ def _encoded(rows: DataFrame, shared) -> DataFrame:
 
 
 def head_words(docs: DataFrame, shared) -> pa.Table:
-    """At most HEAD frequent words with their ids. A threshold on the count keeps the bound without a sort."""
-    counted = _sampled(docs, shared).persist()
+    """At most HEAD frequent words with their ids, each encoded once where the shuffle has put it. A threshold on the
+    count keeps the bound without a sort."""
+    counted = materialize(_sampled(docs, shared), "sampled")
     level = F.least(F.floor(F.log2("n") * 8), F.lit(400)).cast("int")
     left, least = HEAD, 10**6
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
@@ -175,10 +189,27 @@ def head_words(docs: DataFrame, shared) -> pa.Table:
         if left < 0:
             break
         least = r["level"]
-    ranks, kind = shared.value.ranks, id_type(shared.value.ranks)
-    words = counted.where(level >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).column("word").to_pylist()
-    counted.unpersist()
-    return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in words], pa.binary())})
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.ranks
+        kind = id_type(ranks)
+        for batch in batches:
+            ids = [np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
+
+    found = counted.where(level >= least).select("word", "n").mapInArrow(encode, "word string, n long, ids binary").toArrow()
+    return found.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
+
+
+#: The last thing that this worker made from a broadcast value: tasks that follow each other need the same.
+_made: list = [None, None]
+
+
+def _once(key: tuple, make):
+    if _made[0] != key:
+        _made[:] = None, None  # the old one goes first
+        _made[:] = key, make()
+    return _made[1]
 
 
 def _with_away(table: Table, away: pa.ListScalar, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,21 +225,22 @@ def _with_away(table: Table, away: pa.ListScalar, kind: np.dtype) -> tuple[np.nd
     return np.concatenate((table.starts, starts)), np.concatenate((table.lengths, lengths)), np.concatenate((table.flat, flat))
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the columns ids and decoded.
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256; with keep_ids the column ids, with keep_decoded the column decoded.
 
-    Null texts are empty and have no tokens. Rows that repeat are encoded each. Special tokens are plain text. carry
-    names input columns to return as they are.
+    Null texts are empty and have no tokens. Rows that repeat are encoded each, and null ids stay null. Special tokens are
+    plain text. A very long text is a block of its own. No rows give no rows. carry names input columns to return as they
+    are; all others are ignored, so no name can clash.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry if c != text_col))
     shared = spark.sparkContext.broadcast(Codec(ranks, pattern))
-    head = spark.sparkContext.broadcast(head_words(base.select("text"), shared))
+    head = Named(spark.sparkContext.broadcast(head_words(base.select("text"), shared)))
     kept = [f for f in base.schema.fields if f.name != "text" or "text" in carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block: codes of all its words, their number in each text, the words that aren't in the table."""
-        codec, known = shared.value, {w: i for i, w in enumerate(head.value.column("word").to_pylist())}
+        codec, known = shared.value, _once(("words", head.id), lambda: {w: i for i, w in enumerate(head.value.column("word").to_pylist())})
         for batch in slices(batches, "text", BLOCK):
             codes, sizes, own = [], [], {}
             for t in _strings(batch):
@@ -225,14 +257,14 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     joined = blocks.drop("words").join(back, ROW, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, spell = np.dtype(id_type(shared.value.ranks)), shared.value.token_bytes()
-        table = Table(head.value.column("ids").to_pylist(), kind)
+        kind = np.dtype(id_type(shared.value.ranks))
+        table, spell = _once(("ids", head.id), lambda: (Table(head.value.column("ids").to_pylist(), kind), shared.value.token_bytes()))
         for whole in batches:
             for k in range(whole.num_rows):
                 batch = whole.slice(k, 1)
                 starts, lengths, flat = _with_away(table, batch.column("away")[0], kind)
                 codes, at = unpack(batch.column("packed")[0].as_py()), 0
-                n, shas, plain, every, back = [], [], [], [], []
+                n, shas, plain, every, back = [], [], [], [np.zeros(0, np.int32)], []
                 for size in batch.column("sizes")[0].as_py():
                     c = codes[at : at + size]
                     at += size
@@ -243,9 +275,11 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
                     plain.append(hashlib.sha256(raw).hexdigest())
                     if keep_ids:
                         every.append(ids.astype(np.int32))
+                    if keep_decoded:
                         back.append(raw.decode())
-                more = [pa.array(every, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep_ids else []
-                yield pa.RecordBatch.from_arrays([*(batch.column(f"_{f.name}")[0].values for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
+                more = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate(every)))] * keep_ids + [pa.array(back, pa.string())] * keep_decoded
+                every.clear()
+                yield pa.RecordBatch.from_arrays([*(batch.column(f"_{f.name}")[0].values for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_decoded])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
     return joined.mapInArrow(finish, schema).withColumnRenamed("id", id_col)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +22,53 @@ LOWER_NP = np.frombuffer(LOWER, np.uint8)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one in the warehouse is set where none is named (tests)."""
+    """The shared folder of the cluster. Where none is named, one in the warehouse, but only on a local master (tests)."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{at.rstrip('/')}/tables"
 
 
-#: Tables that this driver has written, for sweep().
-_written: list[str] = []
 #: Spark drops a query's shuffle files when it ends, not when the driver happens to collect its garbage. What is written is never computed again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes in a batch that goes to Python while a table is written, so that few texts wait on either side.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+class Scratch:
+    """The tables that were written in a scope, for those who know when nobody needs them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def only(self, *frames: DataFrame) -> None:
+        """Deletes the tables of this scope, but for those that `frames` read."""
+        plain = lambda at: at.split(":", 1)[-1].lstrip("/")
+        used = {plain(f.rsplit("/", 1)[0]) for df in frames for f in df.inputFiles()}
+        hadoop, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm
+        for at in [t for t in self.tables if plain(t) not in used]:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(hadoop).delete(path, True)
+            self.tables.remove(at)
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A scope of tables. What it still has at its end belongs to the scope around it; without one, it stays in the shared folder."""
+    outer, own = _scope.get(), Scratch(spark)
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        if outer:
+            outer.tables += own.tables
+
+
 def _write(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     """Calls write with a new path in the shared folder, under the settings above; returns that path."""
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +80,8 @@ def _write(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    _written.append(at)
+    if scope := _scope.get():
+        scope.tables.append(at)
     return at
 
 
@@ -64,18 +100,6 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     return out
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Deletes the tables that materialize() has written, but for those that `keep` reads. For use between the stages of a
-    pipeline, when the results of earlier ones have been written."""
-    used = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for at in list(_written):
-        if at.split(":", 1)[-1].lstrip("/") not in used:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _written.remove(at)
-
-
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, missing ones as null. Other columns can't clash with an operator's own."""
     there = set(docs.columns)

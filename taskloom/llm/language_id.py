@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import LOWER_NP, slices, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: The network is fitted on at most about so many windows of each language, a window from each of so many documents.
-SAMPLE = 600
+#: The network is fitted on at most about so many windows of each language, a window from each of so many documents, and
+#: knows so many languages at most, the most frequent ones.
+SAMPLE, LANGUAGES = 600, 200
 #: Steps of training and windows in each.
 STEPS, BATCH, RATE = 400, 64, 0.01
 UNKNOWN = "und"
@@ -113,14 +115,15 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0) -> ByteNetwork:
-    """Fitted on a window of characters from at most about SAMPLE training documents of each language."""
+    """Fitted on a window of characters from at most about SAMPLE training documents of each of LANGUAGES languages. Rows
+    that repeat are drawn once; those with a null id are told apart by their texts."""
     usable = docs.select(fold(id_col).alias("fold"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     usable = usable.where((F.col("fold") != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count()
-    chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    chance = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     start = 1 + F.pmod(F.xxhash64("id", F.lit(9)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     picked = usable.join(F.broadcast(counts), "lang").where(chance < F.lit(float(SAMPLE)) / F.col("count"))
-    picked = picked.select("lang", "id", F.substring("text", start.cast("int"), WINDOW).alias("text"))
+    picked = picked.select("lang", "id", F.substring("text", start.cast("int"), WINDOW).alias("text")).distinct()
     got = picked.toArrow()
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("id").to_pylist(), got.column("text").to_pylist()), key=lambda r: (r[0], r[1] or "", r[2]))
     labels = sorted({r[0] for r in rows})
@@ -134,21 +137,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id (or all columns if carry), lang_pred, score. Only the text is looked at.
+    """doc (the id, or the whole row as a struct if carry), lang_pred, score. Only the text is looked at.
 
     A null text, one without a letter, and any text if nothing was learned, is `und` with score 0. Each row is judged
-    for itself, so repeated rows repeat. score is the mean probability of the language over the text's windows.
+    for itself, so repeated rows repeat. score is the mean probability of the language over the text's windows, which
+    cover very long texts whole. No rows give no rows. Columns of any other name do no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    base = docs.withColumn("_text", F.col(f"`{text_col}`")) if carry else docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
-    keep = [f for f in base.schema.fields if f.name != "_text"]
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col(f"`{id_col}`")
+    base = docs.select(carried.alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in slices(batches, "_text", 2 << 20):
-            data, offsets = utf8(batch.column("_text"))
+        for batch in slices(batches, "text", 2 << 20):
+            data, offsets = utf8(batch.column("text"))
             n, lengths = len(offsets) - 1, np.diff(offsets)
-            letters = [any(c.isalpha() for c in t) if t else False for t in batch.column("_text").to_pylist()]
+            letters = [any(c.isalpha() for c in t) if t else False for t in batch.column("text").to_pylist()]
             names, scores = [UNKNOWN] * n, [0.0] * n
             if net.labels and len(data):
                 x, of, size = windows(LOWER_NP[data], offsets)
@@ -160,13 +164,13 @@ def identify(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id", text_col
                 for i, ok in enumerate(letters):
                     if ok:
                         names[i], scores[i] = net.labels[best[i]], min(float(total[i, best[i]]), 1.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in keep), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc", "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", lang_pred string, score double"
+    schema = StructType([base.schema["doc"], *StructType.fromDDL("lang_pred string, score double").fields])
     return base.mapInArrow(judge, schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score. See train() and identify()."""
     out = identify(docs, train(docs, id_col, **how), id_col)
-    return out.select(id_col, (fold(id_col) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("doc").alias(id_col), (fold("doc") == 0).alias("held_out"), "lang_pred", "score")

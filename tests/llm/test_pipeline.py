@@ -7,8 +7,11 @@ import struct
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from taskloom.llm.common import BATCH, materialize
+from taskloom.llm.exact_dedup import exact_dedup
 
 from .test_dedup import LOWER, union, words
 from .test_text import WORD, brute
@@ -67,3 +70,26 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in C.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """Columns with the names that operators use themselves come through; null and repeated ids and very long texts do no
+    harm; a result that isn't written yet survives the stages; the session's settings are as they were."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["score", "lang_pred", "_text", "text_", "doc", "_row", "id", "key", "word", "packed", "fold", "spans", "kept"]
+    long = " ".join(f"the word{i} of" for i in range(60_000))
+    odd = [(None, "a text of the null one " * 9, "en", "s", 1), (None, "another text of a null id " * 9, "en", "s", 1), (7, "the seventh again " * 9, "en", None, 1), (8_000, long, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    docs = materialize(docs.select("*", *(F.lit("?").alias(n) for n in names)), "odd")
+    before = {k: spark.conf.get(k) for k in (BATCH, "spark.sql.shuffle.partitions")}
+    pending = exact_dedup(docs)
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != "tokens":
+            assert out.columns == docs.columns
+            docs = materialize(out, name)
+            assert docs.where("score = '?' and doc = '?' and _text = '?'").count() == docs.count() > 40
+        else:
+            got = {r.doc_id: r.n_tokens for r in out.collect()}
+            assert got[8_000] > 180_000 and None in got
+    assert pending.count() == 64 and before == {k: spark.conf.get(k) for k in before}

@@ -41,7 +41,7 @@ def test_latin_pattern_cuts_alike():
 def test_bpe(spark, docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(bpe, "HEAD", 20)
     monkeypatch.setattr(bpe, "BLOCK", 2000)
-    got = {r.doc_id: r for r in encode_decode(docs, RANKS, P.PATTERN, keep_ids=True, carry=("lang", "word")).collect()}
+    got = {r.doc_id: r for r in encode_decode(docs, RANKS, P.PATTERN, keep_ids=True, keep_decoded=True, carry=("lang", "word")).collect()}
     for i, t, lang, *_ in rows:
         ids = LIBRARY.encode_ordinary(t or "")
         assert got[i].ids == ids and got[i].decoded == (t or "") and got[i].n_tokens == len(ids) and got[i].lang == lang and got[i].word == "?"
