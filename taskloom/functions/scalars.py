@@ -130,12 +130,23 @@ def reconnect_delay_ms(attempt: Column, initial_ms: int, most_ms: int, jitter: C
     return F.greatest(base if jitter is None else base * (0.75 + 0.5 * jitter), F.lit(100.0))
 
 
+def dependency_error(status: Column, result: Column) -> Column:
+    """The code of the error that stands for a dependency's result; null where the stored result itself is used. A node
+    that isn't there has a null status."""
+    ended = F.coalesce(status.isin("COMPLETED", "FAILED"), F.lit(False))
+    return F.when(result.isNotNull(), F.when(F.try_parse_json(result).isNull(), "RESULT_DESERIALIZATION_ERROR")).when(ended, "RESULT_NOT_AVAILABLE").otherwise("UPSTREAM_SKIPPED")
+
+
 def merge_results(kwargs: Column, name: str, status: Column, result: Column) -> Column:
-    """kwargs with a dependency's result under `name`: what is stored passes; missing, skipped and unreadable become error objects."""
-    error = lambda code: F.to_json(F.struct(F.struct(F.lit(code).alias("error_code")).alias("err")))
-    value = F.when(status == "SKIPPED", error("UPSTREAM_SKIPPED")).when(result.isNull(), error("RESULT_NOT_AVAILABLE")).when(~F.is_valid_utf8(result) | F.try_parse_json(result).isNull(), error("RESULT_DESERIALIZATION_ERROR")).otherwise(result)
-    base = F.coalesce(F.from_json(kwargs, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
-    return F.to_json(F.map_concat(F.map_filter(base, lambda k, _: k != name), F.create_map(F.lit(name), value)))
+    """kwargs, a JSON object, with a dependency's result under `name`, keys in order. What is stored passes as the JSON
+    value it is, whatever the state; what is missing, skipped or unreadable becomes an error object."""
+    code = dependency_error(status, result)
+    error = F.to_json(F.struct(F.struct(code.alias("error_code")).alias("err")))
+    value = F.parse_json(F.when(code.isNull(), result).otherwise(error))
+    base = F.coalesce(F.parse_json(kwargs).cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    merged = F.map_concat(F.map_filter(base, lambda k, _: k != name), F.create_map(F.lit(name), value))
+    keys = F.array_sort(F.map_keys(merged))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(merged, k))), {"ignoreNullFields": "false"})
 
 
 def timedelta_text(d: timedelta) -> str:

@@ -23,28 +23,65 @@ def interval_column(after: Column, days: int = 0, hours: int = 0, minutes: int =
     return after + F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes), F.lit(seconds))
 
 
-def monthly_column(after: Column, day: int, hour: int, minute: int) -> Column:
-    """The next run on a day of the month, or its last day. UTC."""
-    def of(month: Column) -> Column:
-        at = F.least(F.lit(day), F.dayofmonth(F.last_day(month)))
-        return month + F.make_dt_interval(at - 1, F.lit(hour), F.lit(minute))
+def local_time(at: Column, zone: str) -> Column:
+    """The local time of a moment in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
 
-    this = F.date_trunc("MONTH", after).cast("timestamp_ntz")
-    return F.when(of(this) > after, of(this)).otherwise(of(F.add_months(this, 1).cast("timestamp_ntz")))
 
+def moment(local: Column, zone: str) -> Column:
+    """The moment in UTC of a local time, the earlier one where a clock change repeats it; null where one skips it."""
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.when(local_time(at, zone) == local, at)
 
-def daily_column(after: Column, hour: int, minute: int, weekdays: list[int] = ()) -> Column:
-    """The next run at a time of day, on these days of the week (Monday is 0) or all. UTC."""
-    day = F.date_trunc("DAY", after).cast("timestamp_ntz")
-    every = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: day + F.make_dt_interval(d, F.lit(hour), F.lit(minute)))
-    fits = F.filter(every, lambda x: (x > after) & (F.weekday(x).isin(list(weekdays)) if weekdays else F.lit(True)))
-    return F.array_min(fits)
 
+def _first(after: Column, candidates: Column, zone: str) -> Column:
+    """The first of the local times, which ascend, whose moment exists and is after `after`."""
+    return F.array_min(F.filter(F.transform(candidates, lambda x: moment(x, zone)), lambda x: x > after))
 
-def hourly_column(after: Column, minute: int, second: int = 0) -> Column:
-    hour = F.date_trunc("HOUR", after).cast("timestamp_ntz")
-    first = hour + F.make_dt_interval(mins=F.lit(minute), secs=F.lit(second))
-    return F.when(first > after, first).otherwise(first + F.make_dt_interval(hours=F.lit(1)))
+
+def monthly_column(after: Column, day: int, hour: int, minute: int, zone: str = "UTC", months: int = 4) -> Column:
+    """The next run on a day of the month, or its last day; months in which a clock change skips it are passed over."""
+    this = F.date_trunc("MONTH", local_time(after, zone)).cast("timestamp_ntz")
+
+    def of(n: Column) -> Column:
+        month = F.add_months(this, n).cast("timestamp_ntz")
+        return month + F.make_dt_interval(F.least(F.lit(day), F.dayofmonth(F.last_day(month))) - 1, F.lit(hour), F.lit(minute))
+
+    return _first(after, F.transform(F.sequence(F.lit(0), F.lit(months)), of), zone)
+
+
+def daily_column(after: Column, hour: int, minute: int, weekdays: list[int] = (), zone: str = "UTC") -> Column:
+    """The next run at a time of day, on these days of the week (Monday is 0) or all; days on which a clock change skips it are passed over."""
+    day = F.date_trunc("DAY", local_time(after, zone)).cast("timestamp_ntz")
+    every = F.transform(F.sequence(F.lit(0), F.lit(21 if weekdays else 3)), lambda d: day + F.make_dt_interval(d, F.lit(hour), F.lit(minute)))
+    return _first(after, F.filter(every, lambda x: F.weekday(x).isin(list(weekdays))) if weekdays else every, zone)
+
+
+def hourly_column(after: Column, minute: int, second: int = 0, zone: str = "UTC") -> Column:
+    """The next run at a minute of the hour, by the clock on the wall."""
+    hour = F.date_trunc("HOUR", local_time(after, zone)).cast("timestamp_ntz")
+    return _first(after, F.transform(F.sequence(F.lit(0), F.lit(26)), lambda h: hour + F.make_dt_interval(hours=h, mins=F.lit(minute), secs=F.lit(second))), zone)
+
+
+def cron_day(at: Column, cron: Cron) -> Column:
+    """Whether a day fits a cron's months, days of the month and days of the week."""
+    fits = lambda c, values: c.isin(sorted(values)) if values is not None else F.lit(True)
+    of_month, of_week = fits(F.dayofmonth(at), cron.month_days), fits(F.weekday(at), cron.week_days)
+    either = cron.month_days is not None and cron.week_days is not None and not cron.both
+    return fits(F.month(at), cron.months) & ((of_month | of_week) if either else (of_month & of_week))
+
+
+def cron_column(after: Column, cron: Cron, zone: str = "UTC") -> Column:
+    """The next run of a cron. Days are searched two months ahead, then, only where none fits, four years, then a whole cycle of the calendar."""
+    day = F.date_trunc("DAY", local_time(after, zone)).cast("timestamp_ntz")
+    times = sorted((h, m) for h in cron.hours for m in cron.minutes)
+
+    def within(first: int, last: int) -> Column:
+        days = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda n: day + F.make_dt_interval(n)), lambda d: cron_day(d, cron))
+        clock = F.array(*(F.make_dt_interval(F.lit(0), F.lit(h), F.lit(m)) for h, m in times))
+        return _first(after, F.flatten(F.transform(days, lambda d: F.transform(clock, lambda c: d + c))), zone)
+
+    return F.coalesce(within(0, 62), within(63, 1_500), within(1_501, MOST_DAYS))
 
 
 def should_run(next_run: Column, as_of: Column) -> Column:

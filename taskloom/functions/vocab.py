@@ -31,4 +31,10 @@ TERMINAL_KINDS = [
     "CANCEL_ORPHAN_SWEEP", "PAUSE_ABANDON_CLAIM", "PAUSE_ABANDON_CLAIM_BATCH", "PAUSE_ABANDON_WORKFLOW", "WORKFLOW_CANCEL_CLAIM",
     "WORKFLOW_CANCEL_CLAIM_BATCH", "WORKFLOW_CANCEL_WORKFLOW", "LEGACY_TERMINAL",
 ]
+# The state in which each way ends, and the ways whose workflow part follows later.
+STATUS_OF_KIND = {
+    "COMPLETE_LOCKED": "COMPLETED", "COMPLETE_FUSED": "COMPLETED", "FAIL_RUNNING": "FAILED", "FAIL_STALE": "FAILED", "EXPIRE_CLAIMED": "EXPIRED",
+    "EXPIRE_PENDING": "EXPIRED", "CANCEL_ADMIN": "CANCELLED", "CANCEL_ORPHAN": "CANCELLED", "PAUSE_ABANDON_CLAIM": "CANCELLED", "PAUSE_ABANDON_CLAIM_BATCH": "CANCELLED",
+}
+DEFERRED_KINDS = ["COMPLETE_LOCKED", "FAIL_RUNNING", "FAIL_STALE", "EXPIRE_CLAIMED"]
 MAX_QUEUE_PRIORITY = 100

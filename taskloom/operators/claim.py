@@ -77,3 +77,8 @@ def claim(tasks: DataFrame, c: Claim, as_of: Column) -> tuple[DataFrame, DataFra
         "claim_expires_at": F.when(hit, as_of + F.make_dt_interval(secs=F.lit(c.lease_ms / 1000))).otherwise(F.col("claim_expires_at")),
         "finalizing_at": F.when(hit, F.lit(None)).otherwise(F.col("finalizing_at"))}).drop("nth")
     return new, got
+
+
+def dispatch_order(ranked: DataFrame) -> DataFrame:
+    """ranked: task_id, rn, where a task may be named by several arms. Each once, at its best place, in that order."""
+    return ranked.groupBy("task_id").agg(F.min("rn").alias("rn")).orderBy("rn", "task_id")

@@ -32,18 +32,24 @@ def evaluate_joins(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) ->
     return pending.join(dependency_counts(nodes, edges), ["workflow_id", "task_index"]).select("workflow_id", "task_index", join_action().alias("action"))
 
 
-def skip_cascade(nodes: DataFrame, edges: DataFrame, workflows: DataFrame, most_levels: int = 50) -> DataFrame:
-    """Nodes after skipping all that can't run, level by level. Each level is a reliable checkpoint."""
-    spark = nodes.sparkSession
+def _checkpoints(df: DataFrame) -> None:
+    """A folder for reliable checkpoints: the one that spark.checkpoint.dir names; one in the warehouse on a local master (tests)."""
+    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_levels")
+
+
+def skip_cascade(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) -> DataFrame:
+    """Nodes after skipping all that can't run, level by level, until a level skips none. Each is a reliable checkpoint."""
+    _checkpoints(nodes)
     now = nodes
-    for _ in range(most_levels):
+    while True:
         skipped = evaluate_joins(now, edges, workflows).where("action = 'SKIP'").withColumn("skip", F.lit(True)).drop("action").checkpoint()
         if skipped.isEmpty():
             return now
         now = now.join(skipped, ["workflow_id", "task_index"], "left").withColumn("status", F.when(F.col("skip"), "SKIPPED").otherwise(F.col("status"))).select(*nodes.columns).checkpoint()
-    raise RuntimeError("skip cascade is deeper than its limit")
 
 
 def unfinished(nodes: DataFrame) -> DataFrame:
@@ -114,11 +120,58 @@ def first_failed(nodes: DataFrame, only: list[int] = ()) -> DataFrame:
     return failed.groupBy("workflow_id").agg(F.min("task_index").alias("task_index"))
 
 
-def descendants(workflows: DataFrame, root: int, most_levels: int = 100) -> DataFrame:
+def _levels(first: DataFrame, step, keys: list[str]) -> DataFrame:
+    """All rows that steps from `first` reach, each with its level; step(rows) gives the next ones. Rows of known keys go,
+    so circles end too. Each level is a reliable checkpoint."""
+    _checkpoints(first)
+    found = now = first.withColumn("level", F.lit(0)).checkpoint()
+    while True:
+        now = step(now).withColumn("level", F.col("level") + 1).dropDuplicates(keys).join(found.select(*keys), keys, "left_anti").checkpoint()
+        if now.isEmpty():
+            return found
+        found = found.unionByName(now)
+
+
+def descend(workflows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, level) of each of the runs in roots (id) and all below it."""
+    below = workflows.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"))
+    return _levels(roots.select(F.col("id").alias("root"), "id").distinct(), lambda rows: rows.join(below, "id").select("root", F.col("child").alias("id"), "level"), ["root", "id"])
+
+
+def ascend(workflows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, id, level) of each of the runs in leaves (id) and all above it."""
+    above = workflows.select("id", "parent_id")
+    up = lambda rows: rows.join(above, "id").where("parent_id is not null").select("leaf", F.col("parent_id").alias("id"), "level")
+    there = leaves.select(F.col("id").alias("leaf"), "id").distinct()
+    return _levels(there, up, ["leaf", "id"]).join(workflows.select("id"), "id", "left_semi").select("leaf", "id", "level")
+
+
+def descendants(workflows: DataFrame, root: int) -> DataFrame:
     """(id, level) of a run and all below it."""
-    return workflows.sparkSession.sql(f"with recursive tree(id, level) max recursion level {most_levels} as (select id, 0 from {{w}} where id = {{root}} union all select c.id, t.level + 1 from {{w}} c join tree t on c.parent_id = t.id) select id, level from tree", w=workflows.select("id", "parent_id"), root=root)
+    return descend(workflows, workflows.where(F.col("id") == root)).select("id", "level")
+
+
+def ancestors(workflows: DataFrame, leaf: int) -> DataFrame:
+    """(id, level) of a run and all above it."""
+    return ascend(workflows, workflows.where(F.col("id") == leaf)).select("id", "level")
+
+
+def refused_starts(starts: DataFrame, workflows: DataFrame) -> DataFrame:
+    """starts: start, parent_id, name, definition_key. Those that would close a circle, with the nearest run on the way up
+    that is the same definition: of the same key where both have one, else of the same name."""
+    chain = ascend(workflows, starts.select(F.col("parent_id").alias("id"))).withColumnRenamed("leaf", "parent_id")
+    named = workflows.select("id", F.col("name").alias("above"), F.col("definition_key").alias("key_above"))
+    both = F.col("definition_key").isNotNull() & F.col("key_above").isNotNull()
+    same = F.when(both, F.col("definition_key") == F.col("key_above")).otherwise(F.col("name") == F.col("above"))
+    met = starts.join(chain, "parent_id").join(named, "id").where(same)
+    return met.groupBy("start").agg(F.min(F.struct("level", "id")).alias("m")).select("start", F.col("m.id").alias("ancestor"))
 
 
-def ancestors(workflows: DataFrame, leaf: int, most_levels: int = 100) -> DataFrame:
-    """(id, level) of a run and all above it, by which a start that would close a circle is refused."""
-    return workflows.sparkSession.sql(f"with recursive up(id, parent_id, level) max recursion level {most_levels} as (select id, parent_id, 0 from {{w}} where id = {{leaf}} union all select p.id, p.parent_id, u.level + 1 from {{w}} p join up u on p.id = u.parent_id) select id, level from up", w=workflows.select("id", "parent_id"), leaf=leaf)
+def failure_policy(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, status, error) of running workflows with a failed node, and of what their policy changes. `pause` pauses the
+    run with the error and all running ones below it; any other policy keeps it running with the first error by index."""
+    failed = nodes.where("status = 'FAILED'").groupBy(F.col("workflow_id").alias("id")).agg(F.min_by("error", "task_index").alias("error"))
+    hit = workflows.where("status = 'RUNNING'").join(failed, "id").select("id", F.when(F.col("on_error") == "pause", "PAUSED").otherwise("RUNNING").alias("status"), "error")
+    below = descend(workflows, hit.where("status = 'PAUSED'")).where("level > 0").select("id").distinct()
+    paused = workflows.where("status = 'RUNNING'").select("id").join(below, "id", "left_semi").select("id", F.lit("PAUSED").alias("status"), F.lit(None).cast("string").alias("error"))
+    return hit.unionByName(paused).groupBy("id").agg(F.min("status").alias("status"), F.max("error").alias("error"))

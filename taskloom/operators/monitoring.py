@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +44,14 @@ def facet(rows: DataFrame, column: str, cap: int) -> DataFrame:
 
 
 def facets(rows: DataFrame, categories: list[str] = (), columns: tuple[str, ...] = ("task_name", "queue_name", "worker_id", "error_code"), cap: int = 50, error_cap: int = 30) -> DataFrame:
-    """(facet, value, n). The categories limit the error codes shown; the totals by category ignore them and the caps."""
-    parts = []
-    for c in columns:
-        of = rows.where(in_categories(F.col(c), categories)) if c == "error_code" and categories else rows
-        parts.append(facet(of, c, error_cap if c == "error_code" else cap).select(F.lit(c).alias("facet"), "value", "n"))
-    totals = rows.withColumn("value", error_category(F.col("error_code"))).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    return reduce(DataFrame.unionByName, [*parts, totals.select(F.lit("category").alias("facet"), "value", "n")])
+    """(facet, value, n), in one pass over the rows. The categories limit the error codes shown; the totals by category ignore them and the caps."""
+    shown = lambda c: F.col(c).isNotNull() & ((F.col(c) != "") & (in_categories(F.col(c), categories) if categories else F.lit(True)) if c == "error_code" else F.lit(True))
+    pairs = [F.struct(F.lit(c).alias("facet"), F.when(shown(c), F.col(c).cast("string")).alias("value")) for c in columns]
+    pairs.append(F.struct(F.lit("category").alias("facet"), error_category(F.col("error_code")).alias("value")))
+    counted = rows.select(F.explode(F.array(*pairs)).alias("p")).where("p.value is not null").groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
+    most = F.when(F.col("facet") == "error_code", error_cap).when(F.col("facet") != "category", cap)
+    nth = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("nth", nth).where(most.isNull() | (F.col("nth") <= most)).select("facet", "value", "n")
 
 
 def sort_key(field: str) -> Column:

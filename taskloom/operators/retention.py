@@ -53,11 +53,30 @@ def coverage_faults(expected: DataFrame, leaves: DataFrame) -> DataFrame:
     return expected.join(actual, "leaf_name", "left").select("leaf_name", fault.alias("fault"))
 
 
+#: A finite class needs so many whole leaves to come; `forever` must reach so many days on.
+FLOOR = 2
+
+
+def leaf_faults(leaves: DataFrame) -> DataFrame:
+    """(class_key, leaf_name, fault) of leaves whose relation isn't what the catalog says, by the first rule that holds."""
+    fault = (F.when(~F.col("relation_exists"), "NO_RELATION").when(F.col("detach_pending").isNull(), "NOT_A_PARTITION").when(F.col("detach_pending"), "DETACH_AWAITING_FINALIZE")
+             .when(~F.col("actual_bound").eqNullSafe(F.col("cataloged_bound")) | ~F.col("id_index_exists"), "BOUND_OR_INDEX"))
+    return leaves.select("class_key", "leaf_name", fault.alias("fault")).where("fault is not null")
+
+
 def health(leaves: DataFrame, classes: DataFrame, blocked: DataFrame, as_of: Column) -> DataFrame:
-    """Per class: leaves attached, covered until, future ones, those that block, and those that can go."""
-    rows = leaves.join(F.broadcast(classes), "class_key").join(blocked, "leaf_name")
+    """Per class, over its sound leaves: how many are attached, covered until, whole future ones, those that block, and
+    those that can go; how many leaves have a fault, and whether coverage is below the floor."""
+    faults = leaf_faults(leaves)
+    sound = leaves.join(faults.select("leaf_name"), "leaf_name", "left_anti").join(blocked, "leaf_name")
+    rows = classes.select("class_key", "keep_days").join(sound, "class_key", "left")
     old = F.col("keep_days").isNotNull() & (F.col("upper_anchor") + F.make_dt_interval(F.col("keep_days")) <= as_of)
-    return rows.groupBy("class_key").agg(F.count("*").alias("attached"), F.max("upper_anchor").alias("covered_until"), F.count_if(F.col("lower_anchor") >= as_of).alias("future"), F.count_if(F.col("blockers") > 0).alias("blocked"), F.count_if((F.col("blockers") == 0) & old).alias("detachable"), F.bool_and("verified").alias("conform"))
+    out = rows.groupBy("class_key", "keep_days").agg(
+        F.count("leaf_name").alias("attached"), F.max("upper_anchor").alias("covered_until"), F.count_if(F.col("lower_anchor") >= as_of).alias("future"),
+        F.count_if(F.col("blockers") > 0).alias("blocked"), F.count_if((F.col("blockers") == 0) & old).alias("detachable"))
+    bad = faults.groupBy("class_key").agg(F.count("*").alias("faults"))
+    short = F.when(F.col("keep_days").isNotNull(), F.col("future") < FLOOR).otherwise(F.coalesce(F.col("covered_until") < as_of + F.make_dt_interval(F.lit(FLOOR)), F.lit(True)))
+    return out.join(bad, "class_key", "left").select("class_key", "attached", "covered_until", "future", "blocked", "detachable", F.coalesce("faults", F.lit(0)).alias("faults"), short.alias("below_floor"))
 
 
 def birth_floor(leaves: DataFrame) -> DataFrame:
@@ -79,10 +98,12 @@ def deletable(workflows: DataFrame, nodes: DataFrame, live: DataFrame, as_of: Co
     return old.join(busy, "id", "left_anti")
 
 
-def within_budget(workflows: DataFrame, nodes: DataFrame, budget: int, candidates: int = 10_000) -> DataFrame:
-    """Ended runs in order of id, as many as their nodes fit in the budget; the first always. Only `candidates` rows are summed in order."""
-    sizes = nodes.groupBy("workflow_id").agg(F.count("*").alias("node_count"))
-    rows = workflows.where("status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED')").join(sizes.withColumnRenamed("workflow_id", "id"), "id", "left").select("id", F.coalesce("node_count", F.lit(0)).alias("node_count")).orderBy("id").limit(candidates)
+def within_budget(workflows: DataFrame, nodes: DataFrame, budget: int) -> DataFrame:
+    """Ended runs in order of id, as many as their nodes fit in the budget; the first always. A pass looks at no more runs
+    than the budget has nodes, so that is what is summed in order; the rest is for the next pass."""
+    ended = workflows.where("status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED')").select("id").orderBy("id").limit(max(budget, 1))
+    sizes = nodes.select(F.col("workflow_id").alias("id")).join(F.broadcast(ended), "id", "left_semi").groupBy("id").agg(F.count("*").alias("node_count"))
+    rows = ended.join(sizes, "id", "left").select("id", F.coalesce("node_count", F.lit(0)).alias("node_count"))
     order = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({"running": F.sum("node_count").over(order), "nth": F.row_number().over(Window.orderBy("id"))}).where((F.col("running") <= budget) | (F.col("nth") == 1)).select("id", "node_count", "running")
 
@@ -101,3 +122,21 @@ def differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).unionAll(b.exceptAll(a)).isEmpty()
+
+
+def transcode_batch(rows: DataFrame, after, size: int, recode: Column, key: str = "task_id") -> DataFrame:
+    """One batch of a copy in order of key: the next `size` rows after the cursor (None: from the start), with the payload
+    in the new form and the digests of both."""
+    left = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return left.orderBy(key).limit(size).select(key, F.col("payload").alias("source"), recode.alias("payload"), digest(F.col("payload")).alias("source_digest"), digest(recode).alias("digest"))
+
+
+def verify_copy(source: DataFrame, copy: DataFrame, back: Column, key: str = "task_id") -> DataFrame:
+    """(key, fault) of a batch against its source: MISSING, EXTRA, DIGEST where the copy isn't what its digest says, and
+    CHANGED where it doesn't turn back (`back`, over payload) into what was copied."""
+    was = source.select(key, F.col("payload").alias("was"), F.lit(True).alias("there"))
+    now = copy.select(key, "payload", "digest", back.alias("back"), F.lit(True).alias("copied"))
+    fault = (F.when(F.col("copied").isNull(), "MISSING").when(F.col("there").isNull(), "EXTRA").when(~F.sha2(F.col("payload").cast("binary"), 256).eqNullSafe(F.col("digest")), "DIGEST")
+             .when(~F.col("back").eqNullSafe(F.col("was")), "CHANGED"))
+    return was.join(now, key, "full_outer").select(key, fault.alias("fault")).where("fault is not null")

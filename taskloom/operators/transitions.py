@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocab import TASK_TERMINAL
+from ..functions import attempts
+from ..functions.vocab import DEFERRED_KINDS, STATUS_OF_KIND, TASK_TERMINAL
 from .filters import past_deadline, stale_claim, stale_running
 
 
 def start(claims: DataFrame, tasks: DataFrame, workflows: DataFrame, as_of: Column) -> DataFrame:
-    """claims: task_id, by, at. outcome RUNNING if the claim still holds, in time, and the workflow isn't paused or cancelled."""
+    """claims: task_id, by, at. outcome RUNNING if the claim still holds (a null `at` accepts any time of claim), in time,
+    and the workflow isn't paused or cancelled."""
     stopped = workflows.where(F.col("status").isin("PAUSED", "CANCELLED")).select(F.col("id").alias("workflow_id"), F.lit(True).alias("stopped"))
     rows = claims.join(tasks, "task_id", "left").join(stopped, "workflow_id", "left")
-    lost = (F.col("status") != "CLAIMED") | ~F.col("worker_id").eqNullSafe(F.col("by")) | ~F.col("claimed_at").eqNullSafe(F.col("at"))
+    lost = (F.col("status") != "CLAIMED") | ~F.col("worker_id").eqNullSafe(F.col("by")) | (F.col("at").isNotNull() & ~F.col("claimed_at").eqNullSafe(F.col("at")))
     outcome = (F.when(F.col("status").isNull(), "TASK_ABSENT").when(lost, "LOST_CLAIM").when(F.col("claim_expires_at") <= as_of, "LEASE_EXPIRED")
                .when(past_deadline(as_of), "EXPIRED").when(F.col("stopped"), "WORKFLOW_STOPPED").otherwise("RUNNING"))
     return rows.select("task_id", outcome.alias("outcome"))
@@ -32,16 +34,30 @@ def miss(commands: DataFrame, live: DataFrame, history: DataFrame, equivalent: l
 
 def end(commands: DataFrame, live: DataFrame, history: DataFrame, *, to: str, kind: str, source: list[str], as_of: Column) -> DataFrame:
     """commands: task_id, by. Tasks in a source state that the worker holds end as `to`; the others say why not."""
+    if STATUS_OF_KIND.get(kind, to) != to:
+        raise ValueError(f"{kind} doesn't end as {to}")
     missed = miss(commands.withColumn("at", F.lit(None).cast("timestamp_ntz")), live, history, [kind])
     hit = commands.join(live, "task_id").where(F.col("status").isin(source) & (F.col("by").isNull() | F.col("worker_id").eqNullSafe(F.col("by")))).select("task_id", F.lit(to).alias("status"), F.lit(kind).alias("kind"), as_of.alias("terminal_at"))
     return missed.join(hit, "task_id", "left").select("task_id", F.when(F.col("status").isNotNull(), "APPLIED").otherwise(F.col("outcome")).alias("outcome"), "status", "kind", "terminal_at")
 
 
-def to_history(ended: DataFrame, live: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Archive rows of tasks that ended: state, attempts in order as one array, anchor."""
-    tries = attempts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "ok", "finished_at"))).alias("attempts"))
+def to_history(ended: DataFrame, live: DataFrame, tries: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Archive rows of tasks that ended: what the live row says, the state and way in which it ended, the anchor of its
+    retention, its attempts as a snapshot with digest, and whether the workflow's part follows later.
+
+    results: task_id, result, error_code, failed_reason of tasks that ended with one.
+    """
+    made = tries.groupBy("task_id").agg(F.collect_list(F.struct(*attempts.FIELDS)).alias("tries"))
     done = ended.where("outcome = 'APPLIED'").select("task_id", F.col("status").alias("ended"), "kind", "terminal_at")
-    return live.join(done, "task_id").join(tries, "task_id", "left").select("task_id", "task_name", "queue_name", F.col("ended").alias("status"), "kind", "terminal_at", F.col("terminal_at").alias("anchor"), "retry_count", "attempts")
+    rows = live.drop("error_code").join(done, "task_id").join(made, "task_id", "left")
+    given = ["result", "error_code", "failed_reason"]
+    rows = rows.join(results.select("task_id", *given), "task_id", "left") if results is not None else rows.withColumns({c: F.lit(None).cast("string") for c in given})
+    snapshot = attempts.encode(F.col("tries"))
+    return rows.select(
+        "task_id", "task_name", "queue_name", "priority", F.col("ended").alias("status"), "kind", "terminal_at", F.col("terminal_at").alias("anchor"),
+        "enqueued_at", "started_at", "created_at", "retry_count", "max_retries", "worker_id", "workflow_id", *given,
+        F.sha2(F.col("result").cast("binary"), 256).alias("result_digest"), snapshot.alias("attempts"), F.sha2(snapshot.cast("binary"), 256).alias("attempts_digest"),
+        F.col("kind").isin(DEFERRED_KINDS).alias("deferred"))
 
 
 def expire_pending(tasks: DataFrame, as_of: Column, limit: int) -> DataFrame:

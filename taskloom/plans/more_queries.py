@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import attempts as P
 from .queries import ACTION, BUDGET, ACCOUNT, CASES, CATEGORY, CLAIM, DEPS, DUE, FLYING, IN_LEAF, LIFE, LOWER, NODE_MOVES, OPEN, RANGE, SOFT, TASK_MOVES, WORKFLOW_MOVES, A, B, C, H, I, J, K, L, M, S, life, now, query
 
 # ---- E, F: windows, order, first rows
@@ -56,7 +57,8 @@ def e2_first_of_all(t):
 
 
 BUDGETED = """select id, node_count, running from (select id, node_count, sum(node_count) over (order by id)::bigint as running, row_number() over (order by id) as nth
-    from (select w.id, count(n.node_key) as node_count from workflows w left join nodes n on n.workflow_id = w.id where w.status = 'COMPLETED' group by 1 order by 1 limit 10000)) where running <= 500 or nth = 1"""
+    from (select w.id, count(n.node_key) as node_count from workflows w left join nodes n on n.workflow_id = w.id where w.status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED') group by 1 order by 1 limit 500)) where running <= 500 or nth = 1"""
+DELETABLE = BUDGETED.replace("group by 1", "and coalesce(w.completed_at, w.updated_at, w.created_at) < :now - interval 720 hour and not exists (select 1 from live t join nodes x on x.task_id = t.task_id where x.workflow_id = w.id and t.status in ('CLAIMED', 'PENDING', 'RUNNING')) group by 1")
 
 
 @query(BUDGETED)
@@ -64,7 +66,7 @@ def e3_running_budget(t):
     return L.within_budget(t("workflows"), t("nodes"), 500)
 
 
-@query(BUDGETED.replace("running <= 500", "running <= 0"))
+@query(BUDGETED.replace("running <= 500", "running <= 0").replace("limit 500", "limit 1"))
 def e4_first_always(t):
     return L.within_budget(t("workflows"), t("nodes"), 0)
 
@@ -217,22 +219,31 @@ def h5_json_access(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has"), F.array_join(F.json_object_keys("props"), ",").alias("keys"))
 
 
-@query("select node_key, case when status = 'SKIPPED' then 'UPSTREAM_SKIPPED' when result is null then 'RESULT_NOT_AVAILABLE' else 'RESULT_DESERIALIZATION_ERROR' end as code from nodes")
-def h6_merged_results(t):
-    merged = S.merge_results(F.lit('{"x":"1"}'), "dep", F.col("status"), F.col("result"))
-    return t("nodes").select("node_key", F.get_json_object(F.get_json_object(merged, "$.dep"), "$.err.error_code").alias("code"))
+#: What a node has stored: JSON of several shapes, text that isn't JSON, and nothing.
+STORED = """case task_index % 5 when 0 then concat('{"ok":{"l":[1,{"a":"}{"}],"n":', node_key, ',"z":null}}') when 1 then concat('"text ', node_id, '"') when 2 then cast(node_key as varchar(20)) when 3 then concat('r', node_key) end"""
+DEP_ERROR = "case when stored is not null then case when task_index % 5 = 3 then 'RESULT_DESERIALIZATION_ERROR' end when status in ('COMPLETED', 'FAILED') then 'RESULT_NOT_AVAILABLE' else 'UPSTREAM_SKIPPED' end"
+KWARGS = '{"x":1,"o":{"k":[1,2],"b":"{}"},"f":true}'
 
 
-@query("select node_key, case when status = 'COMPLETED' then '{\"v\":' || task_index || '}' end as merged from nodes where status in ('COMPLETED')")
-def h7_result_passes(t):
-    merged = S.merge_results(F.lit("{}"), "dep", F.col("status"), F.concat(F.lit('{"v":'), F.col("task_index").cast("string"), F.lit("}")))
-    return t("nodes").where("status = 'COMPLETED'").select("node_key", F.get_json_object(merged, "$.dep").alias("merged"))
+def _stored(t):
+    return t("nodes").select("node_key", "workflow_id", "node_id", "status", "task_index", F.expr(STORED.replace("varchar(20)", "string")).alias("stored"))
 
 
-@query("select workflow_id, string_agg(node_id || '=' || case when status = 'SKIPPED' then 'UPSTREAM_SKIPPED' when result is null then 'RESULT_NOT_AVAILABLE' else result end, ';' order by node_id) as context from nodes group by 1")
+@query(f"select node_key, {DEP_ERROR} as code from (select *, {STORED} as stored from nodes)")
+def h6_dependency_errors(t):
+    return _stored(t).select("node_key", S.dependency_error(F.col("status"), F.col("stored")).alias("code"))
+
+
+@query(f"""select node_key, '{{"dep":' || case when code is null then stored else '{{"err":{{"error_code":"' || code || '"}}}}' end || ',"f":true,"o":{{"b":"{{}}","k":[1,2]}},"x":1}}' as merged
+    from (select *, {DEP_ERROR} as code from (select *, {STORED} as stored from nodes))""")
+def h7_merged_kwargs(t):
+    return _stored(t).select("node_key", S.merge_results(F.lit(KWARGS), "dep", F.col("status"), F.col("stored")).alias("merged"))
+
+
+@query(f"select workflow_id, string_agg(node_id || '=' || coalesce(code, stored), ';' order by node_id) as context from (select *, {DEP_ERROR} as code from (select *, {STORED} as stored from nodes)) group by 1")
 def h8_context(t):
-    value = F.when(F.col("status") == "SKIPPED", "UPSTREAM_SKIPPED").otherwise(F.coalesce("result", F.lit("RESULT_NOT_AVAILABLE")))
-    rows = t("nodes").groupBy("workflow_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", value.alias("v"))))).alias("m"))
+    value = F.coalesce(S.dependency_error(F.col("status"), F.col("stored")), "stored")
+    rows = _stored(t).groupBy("workflow_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", value.alias("v"))))).alias("m"))
     return rows.select("workflow_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("context"))
 
 
@@ -327,6 +338,57 @@ def h39_next_monthly(t):
     return t("events").select("event_id", H.monthly_column(F.col("ts"), 31, 6, 0).alias("next_run"))
 
 
+#: New York around both clock changes of 2024, at which local times are skipped and repeated; its offsets from UTC.
+ZONE = "America/New_York"
+SHIFTED = "ts + interval 1 day * (case when event_id % 2 = 0 then 60 + event_id % 12 else 295 + event_id % 16 end)::int"
+LOCAL = "u - interval 1 hour * (case when u >= timestamp '2024-03-10 07:00' and u < timestamp '2024-11-03 06:00' then 4 else 5 end)"
+INSTANT = "case when l >= timestamp '2024-03-10 02:00' and l < timestamp '2024-03-10 03:00' then null else l + interval 1 hour * (case when l >= timestamp '2024-03-10 03:00' and l < timestamp '2024-11-03 02:00' then 4 else 5 end) end"
+
+
+def _zone_sql(candidates: str, steps: int, where: str = "true") -> str:
+    """The first candidate l (from b, the local time, and step d) whose instant is after u."""
+    return f"""select event_id, min(x) as next_run from (select event_id, u, {INSTANT} as x from (select event_id, u, {candidates} as l from (select *, {LOCAL} as b from (select event_id, {SHIFTED} as u from events)), range(0, {steps}) r(d)) where {where}) where x > u group by 1"""
+
+
+def _shifted(t):
+    days = F.expr("case when event_id % 2 = 0 then 60 + event_id % 12 else 295 + event_id % 16 end").cast("int")
+    return t("events").select("event_id", (F.col("ts") + F.make_dt_interval(days)).alias("u"))
+
+
+@query(_zone_sql("date_trunc('hour', b)::timestamp + interval 1 hour * d::int + interval 17 minute", 6))
+def h36_hourly_in_zone(t):
+    return _shifted(t).select("event_id", H.hourly_column(F.col("u"), 17, zone=ZONE).alias("next_run"))
+
+
+@query(_zone_sql("date_trunc('day', b)::timestamp + interval 1 day * d::int + interval 150 minute", 4))
+def h37_daily_in_zone(t):
+    return _shifted(t).select("event_id", H.daily_column(F.col("u"), 2, 30, zone=ZONE).alias("next_run"))
+
+
+@query(_zone_sql("date_trunc('day', b)::timestamp + interval 1 day * d::int + interval 150 minute", 22, "isodow(l) = 7"))
+def h38_weekly_in_zone(t):
+    return _shifted(t).select("event_id", H.daily_column(F.col("u"), 2, 30, [6], zone=ZONE).alias("next_run"))
+
+
+@query(_zone_sql("(date_trunc('month', b)::timestamp + interval 1 month * d::int) + interval 9 day + interval 150 minute", 5))
+def h39_monthly_in_zone(t):
+    return _shifted(t).select("event_id", H.monthly_column(F.col("u"), 10, 2, 30, zone=ZONE).alias("next_run"))
+
+
+CRON = H.Cron(frozenset({0, 30}), frozenset({1, 2, 14}), frozenset({2, 3, 11}), frozenset({3, 10, 29}), frozenset({6}))
+
+
+@query(_zone_sql("date_trunc('day', b)::timestamp + interval 1 day * (d // 6)::int + interval 1 hour * (case (d % 6) // 2 when 0 then 1 when 1 then 2 else 14 end)::int + interval 30 minute * (d % 2)::int", 6 * 230, "month(l) in (2, 3, 11) and (day(l) in (3, 10, 29) or isodow(l) = 7)"))
+def h40_next_cron(t):
+    return _shifted(t).select("event_id", H.cron_column(F.col("u"), CRON, zone=ZONE).alias("next_run"))
+
+
+@query("select event_id, month(ts) in (2, 3, 11) and (day(ts) in (3, 10, 29) or isodow(ts) = 7) as either, day(ts) in (5, 12) and isodow(ts) = 5 as both from events")
+def h41_cron_days(t):
+    both = H.Cron(frozenset({0}), frozenset({0}), month_days=frozenset({5, 12}), week_days=frozenset({4}), both=True)
+    return t("events").select("event_id", H.cron_day(F.col("ts"), CRON).alias("either"), H.cron_day(F.col("ts"), both).alias("both"))
+
+
 @query("select schedule_id, next_run_at is null or next_run_at <= :now as due from schedules")
 def h45_should_run(t):
     return t("schedules").select("schedule_id", H.should_run(F.col("next_run_at"), now()).alias("due"))
@@ -359,21 +421,46 @@ def h50_capacity(t):
 
 
 @query("""select topic, n > 100 as overflow, case when n > 100 then '' else ids end as ids from (
-    select case when event_id % 40 = 0 then 'workers' when event_id % 2 = 0 then 'tasks' else 'workflows' end as topic, count(distinct user_id) as n, string_agg(distinct user_id::varchar, ',' order by user_id::varchar) as ids from events group by 1)""")
+    select topic, count(*) as n, string_agg(user_id::varchar, ',' order by seq) as ids from (select case when event_id % 40 = 0 then 'workers' when event_id % 2 = 0 then 'tasks' else 'workflows' end as topic, user_id, min(event_id) as seq from events where event_id % 2 = 0 or user_id % 3 = 0 group by all) group by 1)""")
 def i1_coalesced_ids(t):
-    channel = F.when(F.col("event_id") % 40 == 0, "horsies_worker_state").when(F.col("event_id") % 2 == 0, "horsies_task_status").otherwise("horsies_workflow_status")
-    out = I.coalesce(t("events").select(channel.alias("channel"), F.col("user_id").cast("string").alias("id")))
+    channel = F.when(F.col("event_id") % 40 == 0, "worker_changes").when(F.col("event_id") % 2 == 0, "task_changes").otherwise("workflow_changes")
+    events = t("events").where("event_id % 2 = 0 or user_id % 3 = 0")
+    out = I.coalesce(events.select(channel.alias("channel"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq")))
     return out.select("topic", "overflow", F.array_join("ids", ",").alias("ids"))
 
 
+@query("""select '{"topic":"' || topic || '","ids":[' || case when n > 100 then '' else ids end || ']}' as frame from (select topic, count(*) as n, string_agg('"' || user_id || '"', ',' order by seq) as ids
+    from (select case when event_id % 2 = 0 then 'tasks' else 'workers' end as topic, user_id, min(event_id) as seq from events where event_id % 2 = 0 or user_id % 3 = 0 group by all) group by 1)""")
+def a19_frames(t):
+    events = t("events").where("event_id % 2 = 0 or user_id % 3 = 0")
+    made = [I.notifications(events.where(f"event_id % 2 = {k}"), channel, "user_id", "event_id") for k, channel in enumerate(("task_changes", "worker_changes"))]
+    return I.frames(I.coalesce(made[0].unionByName(made[1])))
+
+
+@query("select 'task_changes' as channel, task_id::varchar as id, task_id as seq from live union all select 'workflow_changes', id::varchar, id from workflows where status = 'PAUSED'")
+def a11_notifications(t):
+    return I.notifications(t("live"), "task_changes", "task_id").unionByName(I.notifications(t("workflows").where("status = 'PAUSED'"), "workflow_changes", "id"))
+
+
+@query("""select task_id, row_number() over (order by rn) as nth from (select task_id, min(rn) as rn from (
+    select task_id, row_number() over (order by priority, enqueued_at, task_id) * 2 as rn from live where status = 'PENDING' union all select task_id, row_number() over (order by enqueued_at, task_id) * 2 + 1 from live where status = 'PENDING' and queue_name = 'high') group by 1)""")
+def d24_dispatch_order(t):
+    waiting = t("live").where("status = 'PENDING'")
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))
+    arms = waiting.select("task_id", (place("priority", "enqueued_at", "task_id") * 2).alias("rn")).unionByName(waiting.where("queue_name = 'high'").select("task_id", (place("enqueued_at", "task_id") * 2 + 1).alias("rn")))
+    return C.dispatch_order(arms).withColumn("nth", place("rn").cast("long")).select("task_id", "nth")
+
+
 @query("select date_trunc('day', ts)::timestamp as bucket, count(*) as n from events group by 1")
 def i3_daily_buckets(t):
     return t("events").groupBy(F.window(F.col("ts"), "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "n")
 
 
-@query("select count(*) as n, max(created_at) as bound from workflows where created_at <= timestamp '1997-06-30'")
+@query("select id, created_at from workflows where (created_at > timestamp '1995-03-01' or (created_at = timestamp '1995-03-01' and id > 0)) and (created_at < timestamp '1997-06-30' or (created_at = timestamp '1997-06-30' and id <= 4000)) order by created_at, id limit 300")
 def i4_cycle_bound(t):
-    return t("workflows").where(F.col("created_at") <= F.lit("1997-06-30 00:00:00").cast("timestamp_ntz")).agg(F.count("*").alias("n"), F.max("created_at").alias("bound"))
+    """A page of a cycle that keeps the bound it began with, whatever comes in meanwhile."""
+    begun, bound = (datetime(1995, 3, 1), 0), (datetime(1997, 6, 30), 4000)
+    return M.after(t("workflows"), begun, bound, 300).select("id", "created_at")
 
 
 @query("select task_id from live where good_until <= :now and started_at is null")
@@ -446,9 +533,9 @@ def i14_node_states(t):
     return K.replay(t("nodes").select(F.col("workflow_id").alias("k"), F.col("task_index").alias("q"), F.col("status").alias("s")), NODE_MOVES, "k", "q", "s")
 
 
-@query("select 'horsies_task_status' as channel, task_id::varchar as id from history where status = 'FAILED'")
+@query("select 'task_changes' as channel, task_id::varchar as id from history where status = 'FAILED'")
 def i16_notifications(t):
-    return I.notifications(t("history").where("status = 'FAILED'"), "horsies_task_status", "task_id")
+    return I.notifications(t("history").where("status = 'FAILED'"), "task_changes", "task_id").select("channel", "id")
 
 
 # ---- J: graphs
@@ -461,9 +548,19 @@ def j1_join_evaluation(t):
     return J.evaluate_joins(t("nodes"), t("edges"), t("workflows"))
 
 
-@query()
+def _cascade_sql(levels: int) -> str:
+    """The cascade level by level; a workflow of the fixture has at most seven nodes."""
+    steps = ["s0 as (select * from nodes)"]
+    for k in range(1, levels + 1):
+        deps = DEPS.replace("nodes d", f"s{k - 1} d")
+        skip = f"select n.workflow_id, n.task_index from s{k - 1} n join workflows w on w.id = n.workflow_id and w.status = 'RUNNING' join ({deps}) d on d.workflow_id = n.workflow_id and d.task_index = n.task_index where n.status = 'PENDING' and {ACTION} = 'SKIP'"
+        steps.append(f"s{k} as (select n.* replace (case when x.workflow_id is not null then 'SKIPPED' else n.status end as status) from s{k - 1} n left join ({skip}) x on x.workflow_id = n.workflow_id and x.task_index = n.task_index)")
+    return f"select * from (with {', '.join(steps)} select workflow_id, task_index, status from s{levels})"
+
+
+@query(_cascade_sql(7))
 def j2_skip_cascade(t):
-    return J.skip_cascade(t("nodes"), t("edges"), t("workflows")).groupBy("status").agg(F.count("*").alias("n"))
+    return J.skip_cascade(t("nodes"), t("edges"), t("workflows")).select("workflow_id", "task_index", "status")
 
 
 @query(f"select w.id, count(*) filter (n.{OPEN}) as open_nodes from workflows w join nodes n on n.workflow_id = w.id where w.status = 'RUNNING' group by 1 having open_nodes = 0")
@@ -496,10 +593,12 @@ def j7_failure_error(t):
     return t("nodes").join(first, ["workflow_id", "task_index"]).select("workflow_id", "node_id")
 
 
-@query("select id, case when on_error = 'pause' then 'PAUSED' else status end as status from workflows w where status = 'RUNNING' and exists (select 1 from nodes n where n.workflow_id = w.id and n.status = 'FAILED')")
+@query("""select * from (with recursive bad as (select w.id, w.on_error, (select arg_min(n.error, n.task_index) from nodes n where n.workflow_id = w.id and n.status = 'FAILED') as error from workflows w where w.status = 'RUNNING'
+        and exists (select 1 from nodes n where n.workflow_id = w.id and n.status = 'FAILED')),
+    tree as (select id from bad where on_error = 'pause' union select c.id from workflows c join tree t on c.parent_id = t.id)
+    select w.id, case when t.id is not null then 'PAUSED' else 'RUNNING' end as status, b.error from workflows w left join bad b using (id) left join tree t using (id) where w.status = 'RUNNING' and (b.id is not null or t.id is not null))""")
 def j8_failure_policy(t):
-    hit = t("workflows").where("status = 'RUNNING'").join(J.first_failed(t("nodes")).select(F.col("workflow_id").alias("id")), "id", "left_semi")
-    return hit.select("id", F.when(F.col("on_error") == "pause", "PAUSED").otherwise(F.col("status")).alias("status"))
+    return J.failure_policy(t("workflows"), t("nodes"))
 
 
 @query("select n.node_key, case when s.failed > 0 then 'FAILED' else 'COMPLETED' end as status, s.total from nodes n join workflows w on w.id = n.sub_workflow_id and w.status = 'COMPLETED' join (select workflow_id, count(*) as total, count(*) filter (status = 'FAILED') as failed from nodes group by 1) s on s.workflow_id = w.id")
@@ -509,11 +608,12 @@ def j9_child_completion(t):
     return t("nodes").join(done, "sub_workflow_id").join(children, "sub_workflow_id").select("node_key", F.when(F.col("failed") > 0, "FAILED").otherwise("COMPLETED").alias("status"), "total")
 
 
-@query("select w.id, w.name from workflows w join workflows p on p.id = w.parent_id where w.name = p.name and w.id <> p.id")
+@query("""select * from (with recursive up as (select id as start, parent_id as at, name, definition_key as k, 1 as level from workflows where parent_id is not null
+        union all select u.start, w.parent_id, u.name, u.k, u.level + 1 from up u join workflows w on w.id = u.at where w.parent_id is not null)
+    select start, arg_min(w.id, level) as ancestor from up u join workflows w on w.id = u.at where case when u.k is not null and w.definition_key is not null then u.k = w.definition_key else u.name = w.name end group by 1)""")
 def j11_cycle_refusal(t):
-    w = t("workflows")
-    parents = w.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
-    return w.join(parents, "parent_id").where((F.col("name") == F.col("parent_name")) & (F.col("id") != F.col("parent_id"))).select("id", "name")
+    starts = t("workflows").where("parent_id is not null").select(F.col("id").alias("start"), "parent_id", "name", "definition_key")
+    return J.refused_starts(starts, t("workflows"))
 
 
 @query("select * from (with recursive tree as (select id, 0 as level from workflows where id = 4 union all select c.id, t.level + 1 from workflows c join tree t on c.parent_id = t.id) select w.id, case when t.id is not null and status = 'RUNNING' then 'PAUSED' else status end as status, case when t.id is null then 'UNTOUCHED' when status = 'RUNNING' then 'APPLIED' else 'REFUSED' end as outcome from workflows w left join tree t using (id))")
@@ -588,11 +688,11 @@ def _commands(t):
     return t("events").select(F.col("event_id").alias("task_id"), F.concat(F.lit("worker-"), F.col("user_id") + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("by"))
 
 
-@query("""select c.task_id, case when t.task_id is null then 'TASK_ABSENT' when t.status <> 'CLAIMED' or t.worker_id is distinct from c.by or t.claimed_at is distinct from c.at then 'LOST_CLAIM' when t.claim_expires_at <= :now then 'LEASE_EXPIRED'
+@query("""select c.task_id, case when t.task_id is null then 'TASK_ABSENT' when t.status <> 'CLAIMED' or t.worker_id is distinct from c.by or (c.at is not null and t.claimed_at is distinct from c.at) then 'LOST_CLAIM' when t.claim_expires_at <= :now then 'LEASE_EXPIRED'
     when t.good_until <= :now then 'EXPIRED' when w.status in ('PAUSED', 'CANCELLED') then 'WORKFLOW_STOPPED' else 'RUNNING' end as outcome
-    from (select event_id as task_id, 'worker-' || user_id as by, ts + interval 1 second * user_id as at from events) c left join live t using (task_id) left join workflows w on w.id = t.workflow_id""")
+    from (select event_id as task_id, 'worker-' || user_id as by, case when event_id % 4 <> 0 then ts + interval 1 second * (user_id + (event_id % 3 = 0)::int) end as at from events) c left join live t using (task_id) left join workflows w on w.id = t.workflow_id""")
 def k2_start(t):
-    claims = t("events").select(F.col("event_id").alias("task_id"), F.concat(F.lit("worker-"), F.col("user_id").cast("string")).alias("by"), F.expr("ts + interval '1' second * user_id").alias("at"))
+    claims = t("events").select(F.col("event_id").alias("task_id"), F.concat(F.lit("worker-"), F.col("user_id").cast("string")).alias("by"), F.expr("case when event_id % 4 <> 0 then ts + interval '1' second * (user_id + cast(event_id % 3 = 0 as int)) end").alias("at"))
     return K.start(claims, t("live"), t("workflows"), now())
 
 
@@ -636,15 +736,41 @@ def k10_abandon_paused(t):
     return K.stopped_claims(t("live"), t("workflows"), "PAUSED").select("task_id")
 
 
-@query("select t.task_id from tasks t join workflows w on w.id = t.workflow_id and w.status = 'COMPLETED' where t.status = 'CLAIMED'")
-def k11_cancel_of_ended(t):
-    return K.stopped_claims(t("live"), t("workflows"), "COMPLETED").select("task_id")
+@query("select t.task_id from tasks t join workflows w on w.id = t.workflow_id and w.status = 'CANCELLED' where t.status = 'CLAIMED'")
+def k11_cancel_of_stopped(t):
+    return K.stopped_claims(t("live"), t("workflows"), "CANCELLED").select("task_id")
+
 
+#: A text as a JSON string, and a row of attempts by position.
+QUOTED = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+SNAPSHOT = "'[' || coalesce(string_agg('[' || attempt || ',\"' || outcome || '\",' || will_retry::varchar || ',' || epoch_us(started_at) || ',' || epoch_us(finished_at) || ',' || coalesce('\"' || error_code || '\"', 'null') || ',' || coalesce(" + QUOTED.format("error_message") + ", 'null') || ',null,\"' || worker_id || '\",\"host\",' || worker_pid || ',null]', ',' order by attempt), '') || ']'"
 
-@query("select task_id, queue_name, 'COMPLETED' as status, 'COMPLETE_LOCKED' as kind, :now as anchor from tasks where status = 'RUNNING'")
+
+@query(f"""select t.task_id, t.task_name, t.queue_name, t.priority, 'COMPLETED' as status, 'COMPLETE_LOCKED' as kind, :now as terminal_at, :now as anchor, t.enqueued_at, t.started_at, t.created_at, t.retry_count, t.max_retries, t.worker_id, t.workflow_id,
+        'done ' || t.task_id as result, null::varchar as error_code, null::varchar as failed_reason, sha256('done ' || t.task_id) as result_digest, coalesce(a.s, '[]') as attempts, sha256(coalesce(a.s, '[]')) as attempts_digest, true as deferred
+    from tasks t left join (select task_id, {SNAPSHOT} as s from attempts group by 1) a using (task_id) where t.status = 'RUNNING'""")
 def k12_move_to_history(t):
     ended = K.end(t("live").select("task_id", F.col("worker_id").alias("by")), t("live"), t("history"), to="COMPLETED", kind="COMPLETE_LOCKED", source=["RUNNING"], as_of=now())
-    return K.to_history(ended, t("live"), t("attempts")).select("task_id", "queue_name", "status", "kind", "anchor")
+    results = t("live").select("task_id", F.concat(F.lit("done "), "task_id").alias("result"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("failed_reason"))
+    return K.to_history(ended, t("live"), t("attempts"), results)
+
+
+@query(f"select task_id, {SNAPSHOT} as snapshot from attempts group by 1")
+def h11_snapshots(t):
+    return t("attempts").groupBy("task_id").agg(P.encode(F.collect_list(F.struct(*P.FIELDS))).alias("snapshot"))
+
+
+@query(f"""select a.task_id, case when a.task_id % 10 = 1 then 'DIGEST_MISMATCH' when a.task_id % 10 = 2 then 'NOT_JSON' when a.task_id % 10 = 3 then 'FIELD_COUNT' when a.task_id % 10 = 4 then 'NOT_CONTIGUOUS' when a.task_id % 10 = 5 then 'MISSING' end as fault,
+    case when a.task_id % 10 not in (1, 2, 3, 4, 5) then string_agg(coalesce(error_message, '-'), ';' order by attempt) end as messages from attempts a group by 1""")
+def h12_decoded_snapshots(t):
+    made = h11_snapshots(t)
+    last = F.col("task_id") % 10
+    text = (F.when(last == 2, F.concat(F.lit("x"), "snapshot")).when(last == 3, F.replace("snapshot", F.lit(",null]"), F.lit("]"))).when(last == 4, F.replace("snapshot", F.lit("[[1,"), F.lit("[[7,")))
+            .when(last == 5, F.lit(None)).otherwise(F.col("snapshot")))
+    rows = made.select("task_id", text.alias("text"), F.when(last == 1, "0").alias("digest"))
+    rows = rows.withColumn("fault", P.fault(F.col("text"), F.col("digest")))
+    messages = F.array_join(F.transform(P.decode(F.col("text")), lambda a: F.coalesce(a["error_message"], F.lit("-"))), ";")
+    return rows.select("task_id", "fault", F.when(F.col("fault").isNull(), messages).alias("messages"))
 
 
 @query("select c.task_id, case when l.task_id is not null then case when l.worker_id is distinct from c.by then 'LOST_CLAIM' else 'SOURCE_STATE_CONFLICT' end when h.task_id is null then 'TASK_ABSENT' when h.kind in ('FAIL_RUNNING', 'FAIL_STALE') then 'ALREADY_APPLIED' else 'SOURCE_STATE_CONFLICT' end as outcome from (select event_id * 2 as task_id, 'worker-1' as by from events) c left join live l using (task_id) left join history h using (task_id)")
@@ -663,7 +789,7 @@ def k15_requeue_stale(t):
     return K.requeue_stale_claims(t("live"), now(), 3600)
 
 
-@query(f"select id, status from workflows where id not in (select id from ({BUDGETED}))")
+@query(f"select id, status from workflows where id not in (select id from ({DELETABLE}))")
 def k16_retention_delete(t):
     old = L.deletable(t("workflows"), t("nodes"), t("live"), now(), 24 * 30)
     return A.delete(t("workflows").select("id", "status"), L.within_budget(old, t("nodes"), 500), "id")
@@ -703,10 +829,28 @@ def l3_coverage(t):
     return L.coverage_faults(want, t("leaves")).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@query("select class_key, case when not bool_and(verified) then 'UNVERIFIED' when max(upper_anchor) < :now then 'SHORT' else 'OK' end as fault from leaves group by 1")
-def l4_health_faults(t):
-    rows = t("leaves").groupBy("class_key").agg(F.bool_and("verified").alias("ok"), F.max("upper_anchor").alias("until"))
-    return rows.select("class_key", F.when(~F.col("ok"), "UNVERIFIED").when(F.col("until") < now(), "SHORT").otherwise("OK").alias("fault"))
+LEAF_FAULT = "case when not relation_exists then 'NO_RELATION' when detach_pending is null then 'NOT_A_PARTITION' when detach_pending then 'DETACH_AWAITING_FINALIZE' when actual_bound is distinct from cataloged_bound or not id_index_exists then 'BOUND_OR_INDEX' end"
+
+
+@query(f"select class_key, leaf_name, {LEAF_FAULT} as fault from leaves where {LEAF_FAULT} is not null")
+def l4_leaf_faults(t):
+    return L.leaf_faults(t("leaves"))
+
+
+@query(f"""select *, case when class_key = 'forever' then coalesce(covered_until < timestamp '2024-01-20' + interval 2 day, true) else future < 2 end as below_floor from (
+    select c.class_key, count(l.leaf_name) as attached, max(l.upper_anchor) as covered_until, count(*) filter (l.lower_anchor >= timestamp '2024-01-20') as future, count(*) filter (blockers > 0) as blocked,
+        count(*) filter (blockers = 0 and keep_days is not null and l.upper_anchor + interval 1 day * keep_days <= timestamp '2024-01-20') as detachable, (select count(*) from leaves f where f.class_key = c.class_key and {LEAF_FAULT} is not null) as faults
+    from classes c left join (select *, (select count(*) from outbox o where o.history_class = leaves.class_key and o.history_anchor >= lower_anchor and o.history_anchor < upper_anchor) as blockers from leaves where {LEAF_FAULT} is null) l using (class_key) group by c.class_key, keep_days)""")
+def l4_partition_health(t):
+    return L.health(t("leaves"), t("classes"), L.blockers(t("outbox"), t("leaves")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
+@query("""select e.event_id as task_id, case when l.task_id is not null then 'LIVE' when h.task_id is null then null when e.event_id % 3 <> 0 and h.enqueued_at >= (select case when bool_and(verified) then min(min_birth_at) end from leaves f where f.class_key = h.class_key and f.leaf_name not like '%\\_5') then 'PRUNED' else 'FALLBACK' end as stage
+    from events e left join live l on l.task_id = e.event_id left join (select * from history where task_id % 5 <> 0) h on h.task_id = e.event_id""".replace("bool_and(verified)", "bool_and(verified or class_key = 'short')"))
+def l5_staged_lookup(t):
+    asked = t("events").select(F.col("event_id").alias("task_id"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("born_at"))
+    leaves = t("leaves").where("leaf_name not like '%\\_5'").withColumn("verified", F.expr("verified or class_key = 'short'"))
+    return A.staged_lookup(asked, t("live"), t("history").where("task_id % 5 <> 0"), L.birth_floor(leaves)).select("task_id", "stage")
 
 
 @query(f"select h.task_id, leaf_name from {IN_LEAF} where h.enqueued_at >= min_birth_at")
@@ -714,11 +858,27 @@ def l5_pruned_lookup(t):
     return L.in_leaf(t("history"), t("leaves")).where("enqueued_at >= min_birth_at").select("task_id", "leaf_name")
 
 
-@query("select count(*) filter (h.status <> c.status) as mismatches, count(*) as n from history h join (select task_id, case when task_id % 97 = 0 then '?' else status end as status from history) c using (task_id)")
-def l6_transcode_check(t):
-    old = t("history").select("task_id", "status")
-    new = old.withColumn("status", F.when(F.col("task_id") % 97 == 0, "?").otherwise(F.col("status")))
-    return L.differences(old, new, "task_id").agg(F.count("*").alias("mismatches")).crossJoin(old.agg(F.count("*").alias("n")))
+PAYLOAD = "concat(task_name, '/', queue_name)"
+
+
+@query(f"""select * from (with with_batch as (select task_id, {PAYLOAD} as source, upper({PAYLOAD}) as payload from history where task_id > 50 order by task_id limit 400)
+    select task_id, payload, sha256(source) as source_digest, sha256(payload) as digest from with_batch)""")
+def l6_transcode_batch(t):
+    rows = t("history").select("task_id", F.expr(PAYLOAD).alias("payload"))
+    return L.transcode_batch(rows, 50, 400, F.upper("payload")).select("task_id", "payload", "source_digest", "digest")
+
+
+@query(f"""select task_id, case when task_id % 7 = 1 then 'MISSING' when task_id % 7 = 2 then 'DIGEST' when task_id % 7 = 3 then 'CHANGED' end as fault from (select task_id from history where task_id > 50 order by task_id limit 400) where task_id % 7 in (1, 2, 3)
+    union all select -1, 'EXTRA'""")
+def l6_copy_faults(t):
+    source = t("history").select("task_id", F.expr(PAYLOAD).alias("payload"))
+    copy = L.transcode_batch(source, 50, 400, F.upper("payload"))
+    batch = copy.select("task_id", F.col("source").alias("payload"))
+    spoilt = F.when(F.col("task_id") % 7 == 3, "?").otherwise(F.col("payload"))
+    digest = F.when(F.col("task_id") % 7 == 2, "?").otherwise(F.sha2(spoilt.cast("binary"), 256))
+    bad = copy.where("task_id % 7 <> 1").select("task_id", spoilt.alias("payload"), digest.alias("digest"))
+    bad = bad.unionByName(bad.limit(1).select(F.lit(-1).cast("long").alias("task_id"), "payload", "digest"))
+    return L.verify_copy(batch, bad, F.lower("payload"))
 
 
 @query("select task_id, coalesce(case when status = 'CANCELLED' then 'prior-' || task_id end, 'result-' || task_id) as payload from history")

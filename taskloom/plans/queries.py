@@ -97,7 +97,7 @@ def a6_heartbeats_by_hour(t):
     return t("heartbeats").groupBy("role", F.date_trunc("HOUR", "sent_at").cast("timestamp_ntz").alias("beat_hour")).agg(F.count("*").alias("n"))
 
 
-@query("select schedule_id, next_run_at, row_number() over (order by next_run_at asc nulls last, schedule_id) as nth from schedules qualify nth <= 200")
+@query("select schedule_id, next_run_at, row_number() over (order by next_run_at asc nulls last, schedule_id) as nth from schedules")
 def a7_schedules_in_order(t):
     return M.schedules_in_order(t("schedules"))
 
@@ -518,14 +518,13 @@ def d19_child_summary(t):
     return J.child_summary(t("nodes"))
 
 
-HEALTH = """select class_key, count(*) as attached, max(upper_anchor) as covered_until, count(*) filter (lower_anchor >= timestamp '2024-01-22') as future, count(*) filter (b.n > 0) as blocked,
-    count(*) filter (b.n = 0 and keep_days is not null and upper_anchor + interval 1 day * keep_days <= timestamp '2024-01-22') as detachable, bool_and(verified) as conform
-    from leaves l join classes c using (class_key) join (select leaf_name, count(o.task_id) as n from leaves l left join outbox o on o.history_class = l.class_key and history_anchor >= lower_anchor and history_anchor < upper_anchor group by 1) b using (leaf_name) group by 1"""
-
-
-@query(HEALTH)
+@query("""select class_key, count(*) as attached, max(upper_anchor) as covered_until, count(*) filter (lower_anchor >= timestamp '2024-01-22') as future, count(*) filter (b.n > 0) as blocked,
+    count(*) filter (b.n = 0 and keep_days is not null and upper_anchor + interval 1 day * keep_days <= timestamp '2024-01-22') as detachable
+    from leaves l join classes c using (class_key) join (select leaf_name, count(o.task_id) as n from leaves l left join outbox o on o.history_class = l.class_key and history_anchor >= lower_anchor and history_anchor < upper_anchor group by 1) b using (leaf_name)
+    where relation_exists and not detach_pending and actual_bound = cataloged_bound and id_index_exists group by 1""")
 def d20_coverage_health(t):
-    return L.health(t("leaves"), t("classes"), L.blockers(t("outbox"), t("leaves")), F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"))
+    report = L.health(t("leaves"), t("classes"), L.blockers(t("outbox"), t("leaves")), F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"))
+    return report.select("class_key", "attached", "covered_until", "future", "blocked", "detachable")
 
 
 @query("select o_orderstatus, count(*) as n, coalesce(sum(o_totalprice::decimal(15, 2)), 0)::decimal(18, 2) as total from orders group by 1")

@@ -31,11 +31,17 @@ PROJECTIONS = {
                case status when 'COMPLETED' then case when task_id % 2 = 0 then 'COMPLETE_LOCKED' else 'COMPLETE_FUSED' end when 'FAILED' then case when task_id % 5 = 0 then 'FAIL_STALE' else 'FAIL_RUNNING' end when 'CANCELLED' then 'CANCEL_ADMIN' else 'EXPIRE_PENDING' end as kind,
                case task_id % 4 when 0 then 'forever' when 1 then 'short' else 'standard' end as class_key
         from {tasks} where status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED')""",
-    "attempts": "select task_id, cast(a as int) as attempt, task_id % 3 = a as ok, started_at + interval '1' minute * cast(a as int) as finished_at from {history} h join (values (1), (2), (3)) v(a) on v.a <= h.retry_count where started_at is not null",
+    "attempts": """
+        select task_id, cast(a as int) as attempt, task_id % 3 = a as ok, case when task_id % 3 = a then 'COMPLETED' else 'FAILED' end as outcome, a < h.retry_count as will_retry, h.started_at, h.started_at + interval '1' minute * cast(a as int) as finished_at,
+               case when task_id % 3 <> a then 'TASK_ERROR' end as error_code, case when task_id % 3 <> a then concat('bad ', chr(123), '"v": ', task_id, chr(125), ' body', chr(125)) end as error_message, cast(null as varchar(9)) as failed_reason, worker_id, 'host' as worker_hostname, cast(task_id % 1000 as int) as worker_pid, cast(null as varchar(9)) as worker_process_name
+        from {tasks} h join (values (1), (2), (3)) v(a) on v.a <= h.retry_count where h.started_at is not null""",
     "heartbeats": "select task_id, 'runner' as role, started_at + interval '1' second * (30 * (task_id % 20)) as sent_at from {tasks} where status = 'RUNNING' and task_id % 7 <> 0 union all select task_id, 'claimer', claimed_at from {tasks} where status = 'CLAIMED'",
     "worker_states": "select concat('worker-', user_id) as worker_id, ts as snapshot_at, event_id as snapshot_id, value as cpu_percent, event_id % 5 as tasks_running from {events}",
     "workflows": """
-        select o_orderkey as id, concat('flow-', o_orderkey % 7) as name, case o_orderstatus when 'O' then 'RUNNING' when 'P' then 'PAUSED' else 'COMPLETED' end as status,
+        select o_orderkey as id, concat('flow-', o_orderkey % 7) as name, case when o_orderstatus = 'O' then 'RUNNING' when o_orderstatus = 'P' then 'PAUSED' when o_orderkey % 7 = 3 then 'CANCELLED' else 'COMPLETED' end as status,
+               case when o_orderkey % 5 <> 1 then concat('key-', o_orderkey % 11) end as definition_key,
+               case when o_orderstatus = 'F' and o_orderkey % 5 < 2 then <as_of> - interval '1' day * (o_orderkey % 60) end as completed_at,
+               case when o_orderkey % 3 = 0 then <as_of> - interval '1' day * (o_orderkey % 70) end as updated_at,
                case when o_orderkey > 0 and o_orderkey % 4 = 0 then cast(floor(o_orderkey / 10) as bigint) end as parent_id, o_orderdate as created_at,
                case when o_orderkey % 6 = 0 then 'pause' else 'fail' end as on_error, case when o_orderkey % 9 = 0 then 0 end as output_index from {orders}""",
     "nodes": """
@@ -44,14 +50,15 @@ PROJECTIONS = {
                case l_returnflag when 'A' then 'all' when 'N' then 'any' else 'quorum' end as join_type, case when l_returnflag = 'R' then 1 end as min_success,
                l_linestatus = 'O' as allow_failed_deps, case when i > 0 then cast(floor((i - 1) / 2) as bigint) end as dep_a, case when i > 1 and i % 3 = 0 then i - 1 end as dep_b,
                l_shipdate as started_at, case when m <= 5 then l_shipdate + interval '1' second * (10 * l_linenumber) end as completed_at,
-               case when m <= 3 then concat('r', l_partkey) end as result, l_orderkey * 10 + i as task_id, case when l_partkey % 10 = 0 then l_orderkey + 1 end as sub_workflow_id
+               case when m <= 3 then concat('r', l_partkey) end as result, case when m = 4 then concat(chr(123), '"error_code":"E', i, '"', chr(125)) end as error, l_orderkey * 10 + i as task_id, case when l_partkey % 10 = 0 then l_orderkey + 1 end as sub_workflow_id
         from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i, (l_partkey + l_linenumber) % 10 as m from {lineitem}) s""",
     "edges": "select workflow_id, task_index, dep_a as dep from {nodes} where dep_a is not null union all select workflow_id, task_index, dep_b from {nodes} where dep_b is not null",
     "schedules": "select c_custkey as schedule_id, concat('s', c_custkey) as schedule_name, case when c_custkey % 10 <> 0 then <as_of> + interval '1' minute * (c_custkey % 97 - 48) end as next_run_at, <as_of> - interval '1' day * (c_custkey % 5) as last_run_at, c_custkey % 12 as run_count from {customer}",
     "classes": "select * from (values ('short', 5), ('standard', 15), ('forever', null)) v(class_key, keep_days)",
     "leaves": """
         select class_key, concat('hist_', class_key, '_', cast(d as int)) as leaf_name, timestamp '2024-01-01 00:00:00' + interval '1' day * cast(d as int) as lower_anchor, timestamp '2024-01-01 00:00:00' + interval '1' day * (cast(d as int) + 1) as upper_anchor,
-               d % 6 <> 5 as verified, timestamp '2024-01-01 00:00:00' + interval '1' day * (cast(d as int) - 1) as min_birth_at
+               d % 6 <> 5 as verified, d % 11 <> 10 as relation_exists, case when d % 13 <> 12 then d % 17 = 16 end as detach_pending, d % 19 <> 18 as id_index_exists,
+               concat('day ', cast(d as int)) as cataloged_bound, concat('day ', cast(d + (case when d % 23 = 7 then 1 else 0 end) as int)) as actual_bound, timestamp '2024-01-01 00:00:00' + interval '1' day * (cast(d as int) - 1) as min_birth_at
         from (select distinct class_key from {classes}) c cross join (select n_nationkey as d from {nation}) n where not (class_key = 'short' and d = 20)""",
     "reservations": "select user_id as key_id, case when event_id % 2 = 0 then 'LIVE' else 'TERMINAL' end as disposition, event_id % 10 as fingerprint, event_id as task_id, case when event_id % 2 = 1 then ts + interval '1' day * 2 end as expires_at from (select *, row_number() over (partition by user_id order by event_id) as r from {events}) s where r = 1",
     "outbox": """

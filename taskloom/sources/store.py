@@ -48,10 +48,34 @@ def claimer_beats(tasks: DataFrame, worker: str, as_of: Column) -> DataFrame:
     return tasks.where((F.col("status") == "CLAIMED") & (F.col("worker_id") == worker)).select("task_id", F.lit(worker).alias("sender_id"), F.lit("claimer").alias("role"), as_of.alias("sent_at"))
 
 
+def write_snapshots(states: DataFrame, path: str) -> None:
+    """Appends worker snapshots by day, which retention then drops whole."""
+    states.withColumn("snapshot_date", F.to_date("snapshot_at")).write.mode("append").partitionBy("snapshot_date").parquet(path)
+
+
 def locate(live: DataFrame, history: DataFrame, ids: DataFrame) -> DataFrame:
-    """Where each of the ids (task_id) is: live first, then the archive."""
-    rows = live.select("task_id", F.lit(0).alias("probe"), F.lit("LIVE").alias("location")).unionByName(history.select("task_id", F.lit(1).alias("probe"), F.lit("HISTORY").alias("location")))
-    return rows.join(ids.select("task_id"), "task_id", "left_semi").groupBy("task_id").agg(F.min_by("location", "probe").alias("location"))
+    """Where each of the ids (task_id) is: live first, and only those that aren't there in the archive."""
+    asked = ids.select("task_id").distinct()
+    now = asked.join(live.select("task_id"), "task_id", "left_semi")
+    past = asked.join(now, "task_id", "left_anti").join(history.select("task_id"), "task_id", "left_semi")
+    return now.select("task_id", F.lit("LIVE").alias("location")).unionByName(past.select("task_id", F.lit("HISTORY").alias("location")))
+
+
+def staged_lookup(ids: DataFrame, live: DataFrame, history: DataFrame, floors: DataFrame) -> DataFrame:
+    """ids: task_id, born_at (null where the id doesn't tell). Each id with its archive row's class and the stage that found it.
+
+    LIVE first; then PRUNED: archived rows of classes whose floor (class_key, floor; null if not all leaves are verified)
+    lies before the birth; then FALLBACK, for the ids that no stage has found, over the whole archive. stage is null for
+    ids that are nowhere.
+    """
+    asked = ids.select("task_id", "born_at")
+    now = asked.join(live.select("task_id"), "task_id", "left_semi").select("task_id", F.lit(None).cast("string").alias("class_key"), F.lit("LIVE").alias("stage"))
+    rest = asked.join(live.select("task_id"), "task_id", "left_anti")
+    known = history.select("task_id", "class_key")
+    pruned = known.join(F.broadcast(floors.where("floor is not null")), "class_key").join(rest.where("born_at is not null"), "task_id").where("born_at >= floor").select("task_id", "class_key", F.lit("PRUNED").alias("stage"))
+    left = rest.join(pruned.select("task_id"), "task_id", "left_anti")
+    last = left.join(known, "task_id", "left").select("task_id", "class_key", F.when(F.col("class_key").isNotNull(), "FALLBACK").alias("stage"))
+    return now.unionByName(pruned).unionByName(last)
 
 
 def snapshots(states: DataFrame, worker: str, limit: int | None = None) -> DataFrame:

@@ -180,13 +180,13 @@ def test_schedule_settings():
 
 
 def test_coalesced_stream(spark, tmp_path):
-    rows = [("horsies_task_status", str(i % 7)) for i in range(30)] + [("horsies_workflow_status", str(i)) for i in range(150)] + [("unknown", "1")]
-    spark.createDataFrame(rows, "channel string, id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = [("task_changes", str((30 - i) % 7), i) for i in range(30)] + [("workflow_changes", str(i), i) for i in range(150)] + [("unknown", "1", 1)]
+    spark.createDataFrame(rows, "channel string, id string, seq long").coalesce(1).write.json(str(tmp_path / "in"))
     seen = []
-    q = I.debounced(spark.readStream.schema("channel string, id string").parquet(str(tmp_path / "in")), lambda df, epoch: seen.extend(df.collect()), str(tmp_path / "c"), once=True)
+    q = I.debounced(I.notification_stream(spark, str(tmp_path / "in")), lambda df, epoch: seen.extend(df.collect()), str(tmp_path / "c"), once=True)
     q.awaitTermination(120)
     by = {r.topic: r for r in seen}
-    assert by["tasks"].ids == sorted(str(i) for i in range(7)) and by["workflows"].overflow and by["workflows"].ids == [] and set(by) == {"tasks", "workflows"}
+    assert by["tasks"].ids == ["2", "1", "0", "6", "5", "4", "3"] and by["workflows"].overflow and by["workflows"].ids == [] and set(by) == {"tasks", "workflows"}
     assert I.frames(spark.createDataFrame([("tasks", ["1"])], "topic string, ids array<string>")).first().frame == '{"topic":"tasks","ids":["1"]}'
 
 
