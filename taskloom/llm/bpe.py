@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bucketed, materialize, slices, with_row
+from .common import ROW, bucketed, frequent, materialize, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
@@ -182,13 +182,6 @@ def head_words(docs: DataFrame, shared) -> pa.Table:
     """At most HEAD frequent words with their ids, each encoded once where the shuffle has put it. A threshold on the
     count keeps the bound without a sort."""
     counted = materialize(_sampled(docs, shared), "sampled")
-    level = F.least(F.floor(F.log2("n") * 8), F.lit(400)).cast("int")
-    left, least = HEAD, 10**6
-    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
@@ -197,7 +190,7 @@ def head_words(docs: DataFrame, shared) -> pa.Table:
             ids = [np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    found = counted.where(level >= least).select("word", "n").mapInArrow(encode, "word string, n long, ids binary").toArrow()
+    found = frequent(counted, "n", HEAD).select("word", "n").mapInArrow(encode, "word string, n long, ids binary").toArrow()
     return found.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
 
 
@@ -277,7 +270,11 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
                         every.append(ids.astype(np.int32))
                     if keep_decoded:
                         back.append(raw.decode())
-                more = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate(every)))] * keep_ids + [pa.array(back, pa.string())] * keep_decoded
+                more = []
+                if keep_ids:
+                    more.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate(every))))
+                if keep_decoded:
+                    more.append(pa.array(back, pa.string()))
                 every.clear()
                 yield pa.RecordBatch.from_arrays([*(batch.column(f"_{f.name}")[0].values for f in kept), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string()), *more], [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_decoded])
 

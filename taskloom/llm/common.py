@@ -116,6 +116,43 @@ def boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
 
+#: A key is hot if it has more than one in so many of a table's rows, and more rows than any task minds; so there are fewer hot ones than these.
+HOT, LEAST = 1000, 1000
+
+
+def hot_above(table: DataFrame, n: str = "n") -> int | None:
+    """The number of rows above which a key is hot, where table has a row a key with its number of rows; None if no key is."""
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    least = max((total or 0) // HOT, LEAST)
+    return least if most and most > least else None
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined (inner) with a table of one row a key, whose column n, dropped here, says how many rows the key has.
+
+    The hot keys, fewer than HOT, are broadcast, so that their rows stay where they are and none gathers in one task; the
+    others are shuffled. Both inputs are read more than once: materialize() what is dear. The columns of `table` must be
+    short.
+    """
+    if (least := hot_above(table, n)) is None:
+        return rows.join(table.drop(n), keys)
+    hot = table.where(F.col(n) > least)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot.drop(n)), keys).unionByName(cold.join(table.where(F.col(n) <= least).drop(n), keys))
+
+
+def frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the greatest n, at most `most` of them: those from a level of log2(n) on, which needs no sort."""
+    level = F.least(F.floor(F.log2(n) * 8), F.lit(400)).cast("int")
+    left, least = most, 10**6
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counted.where(level >= least)
+
+
 def lower_ascii(c) -> F.Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

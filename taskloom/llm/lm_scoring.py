@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, materialize, slices, texts, with_row
+from .common import LOWER, ROW, frequent, materialize, slices, texts, with_row
 from .gru import RATE, Gru
 from .language_id import fold
 
@@ -100,14 +100,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
     held, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in counts.groupBy(ending.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         held[r["k"]], kinds[r["k"]] = r["c"], r["n"]
-    level = F.least(F.floor(F.log2("c") * 8), F.lit(400)).cast("int")
-    left, least = HEAD, 10**6
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    got = counts.where((level >= least) | (F.col("word") == END)).toArrow()
+    end = counts.where(F.col("word") == END)
+    got = frequent(counts.where(F.col("word") != END), "c", HEAD).unionByName(end).toArrow()
     return Lexicon(got.column("word").to_pylist(), got.column("c").to_numpy(), held, kinds, total or 0, distinct)
 
 
