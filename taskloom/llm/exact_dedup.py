@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_NP, ROW, U, boxed, materialize, mix, slices, utf8, with_row
+from .common import LOWER_NP, ROW, U, boxed, join_by_key, materialize, mix, slices, utf8, with_row
 
 #: The rolling hash sees this many bytes.
 REACH = 16
@@ -66,8 +66,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, and all empty texts are equal.
     Of equal texts the row with the largest id stays (null ids come before all others); if rows repeat that id,
-    one of them stays. No rows give no rows. Columns beside id and text are ignored. digest_bits below 64 forces
-    digest collisions, which verification resolves.
+    one of them stays. No rows give no rows. Columns beside id and text are ignored. Very long texts are cut as all
+    others, and never shuffled. digest_bits below 64 forces digest collisions, which verification resolves.
     """
     rows = with_row(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).select(ROW, "id", "text")
     return _classes(rows, docs.schema[id_col].dataType.simpleString(), digest_bits).select(
@@ -86,10 +86,14 @@ def _classes(rows: DataFrame, kind: str, digest_bits: int) -> DataFrame:
     made = materialize(made, "recipes")
     parts = made.select(ROW, F.posexplode("chunks").alias("pos", "chunk")).select(ROW, "pos", "chunk.digest", "chunk.sha")
     same = Window.partitionBy("digest").orderBy("sha")
-    known = parts.select("digest", "sha").distinct().withColumn("nth", F.row_number().over(same))
-    named = parts.join(known, ["digest", "sha"]).select(ROW, F.struct("pos", "digest", "nth").alias("chunk"))
-    lists = named.groupBy(ROW).agg(F.transform(F.array_sort(F.collect_list("chunk")), lambda c: F.struct(c["digest"].alias("digest"), c["nth"].alias("nth"))).alias("recipe"))
-    none = F.expr("cast(array() as array<struct<digest:bigint,nth:int>>)")
-    listed = materialize(made.select(ROW, "id", "text_sha256").join(lists, ROW, "left").withColumn("recipe", F.coalesce("recipe", none)), "lists")
+    counted = parts.groupBy("digest", "sha").agg(F.count("*").alias("n"))
+    known = counted.withColumn("nth", F.row_number().over(same))
+    named = join_by_key(parts, known, ["digest", "sha"]).select(ROW, F.struct("pos", "digest", "nth").alias("chunk"))
+    # an ordered list of identifiers by its digest, as it may be long
+    lists = named.groupBy(ROW).agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
+    recipe = F.sha2(F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", F.hex(c["digest"]), c["nth"])), ",").cast("binary"), 256)
+    listed = made.select(ROW, "id", "text_sha256").join(lists.select(ROW, recipe.alias("recipe")), ROW, "left")
+    listed = materialize(listed.withColumn("recipe", F.coalesce("recipe", F.lit(""))), "lists")
     groups = listed.groupBy("recipe").agg(F.max(F.struct("id", ROW)).alias("last"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select(ROW, "id", F.col("last.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256")
+    judged = join_by_key(listed, groups.withColumn("n", F.col("group_size")), ["recipe"])
+    return judged.select(ROW, "id", F.col("last.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256")
