@@ -2,8 +2,9 @@
 
 Winnowing picks anchors, k-word runs of which every window of `length` words holds one, the same in every document.
 Anchors that documents share are seeds. A seed whose surroundings, as far as a window can reach, are those of an
-earlier document extends over all windows around it at once; other shared seeds extend window by window, both ways.
-What the windows cover are the maximal repeats, and their words go.
+earlier document is extended both ways over all of them at once; other shared seeds are extended a window at a time, as
+far both ways as an earlier document has the same. Extensions that meet or overlap are joined to maximal repeats, which
+are at least `length` words long, and their words go. A passage that m documents share takes m rows, not m².
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import likely
-from .common import U, materialize, mix, slices, utf8, word_hashes, words
+from .common import U, join_by_key, materialize, mix, slices, utf8, word_hashes, words
 
 LENGTH, ANCHOR = 50, 16
 LAST = (1 << 63) - 1
@@ -70,11 +71,12 @@ def anchors(at: np.ndarray, runs: Runs, length: int, k: int) -> tuple[np.ndarray
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = ANCHOR, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, and with_text the kept words joined by one space.
+    """One row per input row: id, n_words, n_removed, kept_sha256, n_repeats (maximal repeated runs that went), and with_text the kept words joined by one space.
 
     A word goes if a window of `length` words over it also starts in a row with a smaller id; texts are judged as they
-    came. Null texts have no words, and shorter texts lose none. Null ids count as larger than all others. Rows that
-    repeat an id don't count against each other.
+    came. Null texts have no words, and shorter texts lose none. Very long texts are judged whole. Null ids count as
+    larger than all others. Rows that repeat an id don't count against each other. No rows give no rows. Other columns
+    are ignored. Windows are compared by two 64-bit hashes of their words.
     """
     number = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
     base = docs.select(F.col(f"`{id_col}`").alias("doc"), number.alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("fp"), F.col(f"`{text_col}`").alias("text"))
@@ -100,10 +102,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     made = materialize(base.mapInArrow(seeds, f"doc {kind}, id long, fp long, n_words long, whole string, seeds array<struct<pos:int,anchor:long,around:long>>"), "seeds")
     every = made.select("id", "fp", F.explode("seeds").alias("s")).select("id", "fp", "s.pos", "s.anchor", "s.around")
-    shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("around") == F.max("around")).alias("alike")).where("low < high")
-    near = materialize(every.join(shared.select("anchor", "alike"), "anchor"), "shared")
-    first = near.groupBy("anchor", "around").agg(F.min("id").alias("low"))
-    placed = near.join(first, ["anchor", "around"])
+    shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("around") == F.max("around")).alias("alike"), F.count("*").alias("n")).where("low < high")
+    near = materialize(join_by_key(every, shared.select("anchor", "alike", "n"), ["anchor"]), "shared")
+    first = near.groupBy("anchor", "around").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    placed = join_by_key(near, first, ["anchor", "around"])
     reach = length - k
     whole = placed.where("low < id").select("id", "fp", (F.col("pos") - reach).alias("a"), F.col("pos").alias("b"))
     some = placed.where("low = id and not alike").groupBy("id", "fp").agg(F.collect_set("pos").alias("at"))
@@ -127,15 +129,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(one.of(w, w + length).view(np.int64)), pa.array(two.of(w, w + length).view(np.int64)), batch.column("id").take(take), batch.column("fp").take(take), pa.array((w - at[of]).astype(np.int32))], ["x", "y", "id", "fp", "a"])
 
     wins = materialize(bodies.join(some, ["id", "fp"]).mapInArrow(extend, "x long, y long, id long, fp long, a int"), "windows")
-    early = wins.groupBy("x", "y").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    more = wins.join(early, ["x", "y"]).where("low < id").select("id", "fp", "a", F.col("a").alias("b"))
+    early = wins.groupBy("x", "y").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    more = join_by_key(wins, early, ["x", "y"]).where("low < id").select("id", "fp", "a", F.col("a").alias("b"))
     spans = whole.unionByName(more).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             raw, cut = data.tobytes(), offsets.tolist()
-            gone, shas, kept = [], [], []
+            gone, shas, kept, repeats = [], [], [], []
             for i in range(batch.num_rows):
                 own = raw[cut[i] : cut[i + 1]].split()
                 s = batch.column("spans")[i].values
@@ -146,16 +148,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 np.add.at(turn, b + length, -1)
                 drop = np.cumsum(turn)[:-1] > 0
                 gone.append(int(drop.sum()))
+                repeats.append(int((np.diff(drop.astype(np.int8), prepend=0) == 1).sum()))
                 left = b" ".join(w for w, d in zip(own, drop.tolist()) if not d)
                 shas.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["id", "fp", "n_removed", "left", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(gone, pa.int64()), pa.array(repeats, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["id", "fp", "n_removed", "n_repeats", "left", "kept"])
 
-    cut = bodies.join(spans, ["id", "fp"]).mapInArrow(remove, "id long, fp long, n_removed long, left string, kept string")
+    cut = bodies.join(spans, ["id", "fp"]).mapInArrow(remove, "id long, fp long, n_removed long, n_repeats long, left string, kept string")
     out = made.select("doc", "id", "fp", "n_words", "whole").join(cut, ["id", "fp"], "left")
     text = []
     if with_text:
         plain = F.array_join(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
         out = out.join(base.select("id", "fp", "text").distinct(), ["id", "fp"])
         text = [F.coalesce("kept", plain, F.lit("")).alias("kept")]
-    return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("left", "whole").alias("kept_sha256"), *text)
+    return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("left", "whole").alias("kept_sha256"), F.coalesce("n_repeats", F.lit(0).cast("long")).alias("n_repeats"), *text)
