@@ -37,6 +37,34 @@ def _license_sql() -> str:
         from o left join near using (doc_id)"""
 
 
+def _secret_sql() -> str:
+    """Places of matches from the texts between them; frequencies; spans that add something to the base."""
+    from .secrets import KINDS, MIXED
+
+    def one(no: int, kind: str) -> str:
+        pattern, group, least = KINDS[kind]
+        pattern = pattern.replace("'", "''")
+        mixed = f"and regexp_matches(value, '{MIXED}')" if kind == "owned" else ""
+        return f"""select doc_id, owner, {no} as kind_no, '{kind}' as kind, stop - length(whole) as start, stop, value from (
+            select *, sum(length(gap) + length(whole)) over (partition by doc_id order by pos) as stop from (
+                select doc_id, owner, generate_subscripts(ms, 1) as pos, unnest(ms) as whole, unnest(vs) as value, unnest(gaps[1:len(ms)]) as gap from (
+                    select doc_id, coalesce(source, '') as owner, regexp_extract_all(t, '{pattern}', 0) as ms, regexp_extract_all(t, '{pattern}', {group}) as vs, string_split_regex(t, '{pattern}') as gaps
+                    from (select doc_id, source, coalesce(text, '') as t from documents) where regexp_matches(t, '{pattern}')))) where length(value) >= {least} {mixed}"""
+
+    span = "kind || ':' || start::bigint || ':' || stop::bigint"
+    return f"""
+        with f as ({" union all ".join(one(i, k) for i, k in enumerate(KINDS))}),
+        seen as (select value, count(distinct owner) as owners, count(distinct (owner, doc_id)) as repos from f group by 1),
+        s as (select f.*, owners <= 1 and repos <= 3 as live from f join seen using (value)),
+        shown as (select * from s where kind <> 'owned' or (live and not exists (select 1 from s b where b.doc_id = s.doc_id and b.kind <> 'owned' and b.start <= s.start and s.stop <= b.stop))),
+        g as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h, string_agg({span}, ',' order by start, kind_no) filter (kind <> 'owned') as base,
+                string_agg({span}, ',' order by start, kind_no) as spans, count(*) filter (kind <> 'owned' and live) as lv, count(*) filter (kind <> 'owned' and not live) as ex from shown group by 1)
+        select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(lv, 0) as n_live, coalesce(ex, 0) as n_example
+        from documents left join g using (doc_id)"""
+
+
+SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 ORACLES = {
     "op1_license_scan": _license_sql(),
     "op9_token_counts": f"""
@@ -65,4 +93,22 @@ ORACLES = {
         select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join pos using (doc_id) left join its using (doc_id)""",
+    "op2_jaccard_join": f"""
+        with recursive d as (select doc_id, {SPLIT.format(LOWER)} as w from documents),
+        sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),
+        n as (select doc_id, count(*) as n from sh group by 1),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+        sides as (select a, b from links union all select b, a from links),
+        reach as (select doc_id as id, doc_id as root from d union select sides.b, root from reach join sides on sides.a = reach.id)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(root) from reach where id = d.doc_id) as component_id from d left join n using (doc_id)""",
+    "op3_secrets": _secret_sql(),
+    "op10_substring_dedup": f"""
+        with d as (select doc_id, {SPLIT.format("coalesce(text, '')")} as w from documents),
+        win as (select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+        low as (select k, min(doc_id) as low from win group by 1),
+        gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from win join low using (k) where low < doc_id)),
+        runs as (select doc_id, count(*) as n, count(*) filter (before is distinct from p - 1) as runs from (select *, lag(p) over (partition by doc_id order by p) as before from gone) group by 1),
+        kept as (select doc_id, string_agg(x, ' ' order by p) as kept from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d) left join gone g using (doc_id, p) where g.p is null group by 1)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256, coalesce(runs, 0) as n_repeats from d left join runs using (doc_id) left join kept using (doc_id)""",
 }
