@@ -127,18 +127,11 @@ def hot_above(table: DataFrame, n: str = "n") -> int | None:
     return least if most and most > least else None
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined (inner) with a table of one row a key, whose column n, dropped here, says how many rows the key has.
-
-    The hot keys, fewer than HOT, are broadcast, so that their rows stay where they are and none gathers in one task; the
-    others are shuffled. Both inputs are read more than once: materialize() what is dear. The columns of `table` must be
-    short.
-    """
-    if (least := hot_above(table, n)) is None:
-        return rows.join(table.drop(n), keys)
-    hot = table.where(F.col(n) > least)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot.drop(n)), keys).unionByName(cold.join(table.where(F.col(n) <= least).drop(n), keys))
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined (inner) with a table of one row a key. The table is written first, so that both sides come straight from
+    shuffles: then Spark splits the rows of a hot key over tasks as it runs (adaptive skew joins), which it can't do to a
+    side that is still to be aggregated."""
+    return rows.join(materialize(table, "by-key"), keys)
 
 
 def frequent(counted: DataFrame, n: str, most: int) -> DataFrame:

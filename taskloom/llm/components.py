@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_key, materialize, scratch
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node reachable. edges: columns a, b of any orderable type; loops and repeats do no harm.
 
     Each round re-links neighbours to the least neighbour, so stars and chains close in a number of rounds that grows
-    with the logarithm of their length. Every round is a written table. No edges give no rows.
+    with the logarithm of their length. Every round is a written table. Edges of a hot node don't gather in one task. No
+    edges give no rows.
     """
-    now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # larger neighbours go to the least of the neighbourhood
-        large = now.select(F.col("a").alias("v"), F.col("b").alias("a")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        # smaller neighbours, and the node itself, go to the least of the smaller
-        small = large.join(small_least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        new = materialize(small, "edges")
-        # a forest of stars: each node has one edge, and no centre has one
-        twice = new.groupBy("a").count().where("count > 1").limit(1)
-        inner = new.select(F.col("b").alias("a")).distinct().join(new.select("a"), "a", "left_semi").limit(1)
-        now = new
-        if twice.select("a").unionByName(inner).isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
+    with scratch(edges.sparkSession) as own:
+        now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        while True:
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            # larger neighbours go to the least of the neighbourhood
+            large = join_by_key(now.select(F.col("a").alias("v"), F.col("b").alias("a")), least, ["a"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
+            large = materialize(large.distinct(), "large")
+            small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+            # smaller neighbours, and the node itself, go to the least of the smaller
+            small = join_by_key(large, small_least, ["a"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+            now = materialize(small, "edges")
+            own.only(now)
+            # a forest of stars: each node has one edge, and no centre has one
+            twice = now.groupBy("a").count().where("count > 1").limit(1)
+            inner = now.select(F.col("b").alias("a")).distinct().join(now.select("a"), "a", "left_semi").limit(1)
+            if twice.select("a").unionByName(inner).isEmpty():
+                break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -86,8 +86,7 @@ def _classes(rows: DataFrame, kind: str, digest_bits: int) -> DataFrame:
     made = materialize(made, "recipes")
     parts = made.select(ROW, F.posexplode("chunks").alias("pos", "chunk")).select(ROW, "pos", "chunk.digest", "chunk.sha")
     same = Window.partitionBy("digest").orderBy("sha")
-    counted = parts.groupBy("digest", "sha").agg(F.count("*").alias("n"))
-    known = counted.withColumn("nth", F.row_number().over(same))
+    known = parts.select("digest", "sha").distinct().withColumn("nth", F.row_number().over(same))
     named = join_by_key(parts, known, ["digest", "sha"]).select(ROW, F.struct("pos", "digest", "nth").alias("chunk"))
     # an ordered list of identifiers by its digest, as it may be long
     lists = named.groupBy(ROW).agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
@@ -95,5 +94,5 @@ def _classes(rows: DataFrame, kind: str, digest_bits: int) -> DataFrame:
     listed = made.select(ROW, "id", "text_sha256").join(lists.select(ROW, recipe.alias("recipe")), ROW, "left")
     listed = materialize(listed.withColumn("recipe", F.coalesce("recipe", F.lit(""))), "lists")
     groups = listed.groupBy("recipe").agg(F.max(F.struct("id", ROW)).alias("last"), F.count("*").alias("group_size"))
-    judged = join_by_key(listed, groups.withColumn("n", F.col("group_size")), ["recipe"])
+    judged = join_by_key(listed, groups, ["recipe"])
     return judged.select(ROW, "id", F.col("last.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256")

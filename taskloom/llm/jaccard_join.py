@@ -1,10 +1,12 @@
 """N-gram Jaccard join by parity sketches.
 
-The shingles of a document are dealt to blocks by hash; each flips a bit of its block, and a block is known by the
-XOR of its shingles' codes. Two sets that differ in d shingles have sketches that differ in at most d blocks, so among
-d + 1 blocks one agrees. Documents are put in bands by set size, which fixes the number of blocks; those near the upper
-end of a band are sketched in the next one too. Documents that agree in a block are compared, first each with the least of its block,
-then those that the links so far leave apart, so that a group of n near copies needs about n comparisons, not n².
+The shingles of a document are dealt to blocks by hash, and a block is known by the XOR of its shingles' codes. Two sets
+that differ in d shingles differ in at most d blocks, so among d + 1 blocks one agrees. Documents are put in bands by set
+size, which fixes the number of blocks; those near the upper end of a band are sketched in the next one too. Documents
+that agree in a block are compared, first each with the least of its block, then those that the links so far leave
+apart, so that a group of n near copies needs about n comparisons, not n². A pair is sifted by a parity sketch of 2048
+bits, in which each shingle flips one, so that the Hamming distance bounds the difference from below; then by its texts.
+Equal sets are linked at sight, and one of them stands for all. One pass over the texts makes sets, blocks and sketches.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import likely
-from .common import LOWER_NP, U, materialize, mix, shingle_hashes, slices, utf8, word_hashes, words
+from .common import LOWER_NP, ROW, Scratch, U, hot_above, join_by_key, materialize, mix, scratch, shingle_hashes, slices, utf8, with_row, word_hashes, words
 from .components import components
 
 
@@ -133,8 +135,8 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
     return np.concatenate(out_of), np.concatenate(out_key)
 
 
-#: Bits of the sketch by which pairs are sifted before their texts are compared, as longs.
-SKETCH = 32
+#: Bits of the sketch by which pairs are sifted before their texts are compared, as longs; and of the one that moves with a block's documents.
+SKETCH, NARROW = 32, 8
 
 
 def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -150,29 +152,42 @@ def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(flips, axis=1).view(np.int64)
 
 
-def _candidates(nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, n, sketch) of the documents in nodes, and a few others."""
+def _fits(plan: Plan) -> Column:
+    """On na, nb: the sizes allow a link."""
+    return F.least("na", "nb") * plan.share.denominator >= F.greatest("na", "nb") * plan.share.numerator
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(list(folded(sets, bounds)), pa.list_(pa.int64()))], ["node", "n", "sketch"])
 
-    some = docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text")
-    return materialize(likely(some, nodes, "node", sketched, "node long, n long, sketch array<long>"), "candidates")
+def _narrower(sketch: Column, width: int) -> Column:
+    """The parity sketch of so many longs that the longer one folds to."""
+    return F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), (sketch[i] for i in range(k, SKETCH, width))) for k in range(width)))
 
 
-def _may_link(plan: Plan) -> Column:
-    """On na, nb, sa, sb: the sizes allow a link, and the sketches differ in no more bits than linked sets may."""
+def _may_link(plan: Plan, width: int = SKETCH) -> Column:
+    """On na, nb, sa, sb: so do the sketches of so many longs, which differ in no more bits than linked sets may."""
     p, q = plan.share.numerator, plan.share.denominator
-    far = reduce(lambda x, y: x + y, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)))
-    fits = (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-    return fits & (far * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
+    far = reduce(lambda x, y: x + y, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(width)))
+    return _fits(plan) & (far * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
+
 
+def _wholes(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A digest of each set."""
+    return [hashlib.sha256(sets[a:b]).digest()[:16] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
-def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Those of pairs (a, b) whose texts are linked. Only their texts move; b's come first, as many b share an a."""
+
+def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, plan: Plan) -> DataFrame:
+    """Those of pairs (a, b) whose texts are linked. Only their texts move, found in docs (id, text) by id and set; a text
+    that many pairs share goes to them as Spark splits its part of the join."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            whole = _wholes(*shingle_sets(LOWER_NP[data], offsets, plan.k))
+            new = []
+            for x in zip(batch.column("id").to_pylist(), whole):
+                new.append(x not in seen)
+                seen.add(x)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole, pa.binary()), batch.column("text")], ["id", "whole", "text"]).filter(pa.array(new, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -193,14 +208,49 @@ def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     pairs = materialize(pairs.select("a", "b").distinct(), "sifted")
-    some = docs.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text")
-    bodies = materialize(likely(some, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"), "bodies")
+    want = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts, "set").select(F.col("set").alias("node"), F.col("first").alias("id"), "whole")
+    want = materialize(want, "want")
+    found = likely(docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text"), want, "id", wanted, "id long, whole binary, text string")
+    bodies = materialize(found.join(want, ["id", "whole"]).groupBy("node").agg(F.any_value("text").alias("text")), "bodies")
     text = lambda x: bodies.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _sketched(rows: DataFrame, known: DataFrame, node: str, to: str) -> DataFrame:
-    return rows.join(known.select(F.col("node").alias(node), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}")), node)
+def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(node, id, n_shingles, whole, keys, sketch) of each row of docs (id, text), written: node is a number of its own for
+    the row, whole a digest of its set, keys those of its blocks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
+            whole = _wholes(sets, bounds)
+            of, key = sketches(sets, bounds, plan)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(len(bounds))).astype(np.int32)
+            bits = pa.array(folded(sets, bounds).reshape(-1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * SKETCH), bits)],
+                ["id", "n_shingles", "whole", "keys", "sketch"])
+
+    made = docs.mapInArrow(read, "id long, n_shingles long, whole binary, keys array<long>, sketch array<long>")
+    return materialize(with_row(made), "sets").withColumnRenamed(ROW, "node")
+
+
+def _meets(keyed: DataFrame) -> DataFrame:
+    """(key, node, first): rows of keyed (key, node) with the least node of their key, but for that itself. Of keys that a
+    part of the rows shows to be hot the least is broadcast, so that their rows don't gather."""
+    bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    part = keyed.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("key").agg((F.count("*") * 16).alias("n"))
+    cold, found = keyed, []
+    if least := hot_above(part):
+        hot = materialize(part.where(F.col("n") > least).select("key"), "hot")
+        lows = keyed.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("node").alias("first"))
+        found.append(keyed.join(F.broadcast(lows), "key").select("key", "node", "first"))
+        cold = keyed.join(F.broadcast(hot), "key", "left_anti")
+    found.append(cold.withColumn("first", F.first("node").over(bucket)))
+    return materialize(reduce(DataFrame.unionByName, found).where("node <> first"), "meets")
 
 
 def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,85 +258,89 @@ def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_co
 
     component_id is the least id reachable over links, the document's own included. Texts without a word and null
     texts have no shingles and link with nothing. Rows that repeat an id are one document (their texts are linked);
-    a row with a null id keeps a null component_id and links nothing. No rows give no rows.
+    a row with a null id keeps a null component_id and links nothing. Very long texts are compared whole. No rows give no
+    rows. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    with scratch(docs.sparkSession) as own:
+        out = _classes(base, plan, own).withColumnRenamed("id", id_col)
+        own.only(out)
+    return out
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
-            whole = [hashlib.sha256(sets[a:b]).digest()[:16] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary())], ["node", "n_shingles", "whole"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            of, key = sketches(*shingle_sets(LOWER_NP[data], offsets, plan.k), plan)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node").take(pa.array(of))], ["key", "node"])
-
-    known = materialize(base.mapInArrow(sizes, "node long, n_shingles long, whole binary"), "sets")
-    usable = known.where(F.col("node").isNotNull() & (F.col("n_shingles") > 0))
-    # equal sets, and rows of one id, are linked at sight
-    firsts = usable.groupBy("whole").agg(F.min("node").alias("first"))
-    equal = usable.join(firsts, "whole").where("node <> first").select(F.col("node").alias("b"), F.col("first").alias("a")).distinct()
-    copies = materialize(equal, "copies")
 
-    keyed = base.where(F.col("node").isNotNull() & F.col("text").isNotNull()).mapInArrow(blocks, "key long, node long")
-    bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    meets = keyed.withColumn("first", F.first("node").over(bucket)).where("node <> first")
-    meets = materialize(meets, "meets")
+def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
+    """(id, n_shingles, component_id) of each row of base (id, text). See jaccard_classes()."""
+    sets = _sets(base, plan)
+    usable = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     # of equal sets one stands for all
-    stands = materialize(copies.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("stand")), "stands")
-
-    def standing(rows: DataFrame, *columns: str) -> DataFrame:
+    firsts = materialize(usable.groupBy("whole").agg(F.min("id").alias("first"), F.min(F.struct("id", "node")).alias("low"), F.count("*").alias("n")).select("whole", "first", F.col("low.node").alias("set"), "n"), "firsts")
+    rows = materialize(join_by_key(usable.select("node", "id", "n_shingles", "whole"), firsts.select("whole", "set"), ["whole"]).drop("whole"), "rows")
+    # different sets of one id are linked, and equal ones; of large groups of equal sets only one goes on
+    several = rows.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a < high").drop("high")
+    same = join_by_key(rows.select("id", F.col("set").alias("b")), several, ["id"]).where("a <> b").select("a", "b").distinct()
+    kept = usable.select("node", "keys")
+    copies = rows.where("node <> set").select("node", "set")
+    if least := hot_above(firsts):
+        large = F.broadcast(firsts.where(F.col("n") > least).select("whole", "set"))
+        kept = usable.join(large, "whole", "left").where("set is null or node = set").select("node", "keys")
+        copies = copies.join(large.select("set"), "set", "left_anti")
+    stands = materialize(copies, "stands")
+    same = materialize(same.unionByName(stands.select(F.col("set").alias("a"), F.col("node").alias("b"))), "same")
+
+    def standing(table: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            rows = rows.join(stands.select(F.col("node").alias(c), "stand"), c, "left").withColumn(c, F.coalesce("stand", c)).drop("stand")
-        return rows.distinct()
+            table = table.join(stands.select(F.col("node").alias(c), F.col("set").alias("stand")), c, "left").withColumn(c, F.coalesce("stand", c)).drop("stand")
+        return table.distinct()
+
+    meets = _meets(kept.select(F.explode("keys").alias("key"), "node"))
+    met = standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b")
+    met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
 
-    first_pairs = materialize(standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b"), "pairs")
-    nodes = _candidates(first_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, plan)
-    same = copies.select("a", "b")
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that may be linked by size, then by sketch."""
+        size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+        bits = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+        sized = pairs.join(size("a"), "a").join(size("b"), "b").where(_fits(plan))
+        sized = materialize(sized.select("a", "b", "na", "nb"), "sized")
+        return sized.join(bits("b"), "b").join(bits("a"), "a").where(_may_link(plan)).select("a", "b")
 
     def parts_of(links: DataFrame) -> DataFrame:
-        return materialize(components(links.unionByName(same)).groupBy("node").agg(F.min("component").alias("part")), "parts")
+        return materialize(components(links.unionByName(same)).select("node", F.col("component").alias("part")), "parts")
 
     def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
         """(key, node, part, low): the blocks whose documents aren't all connected yet; part is a document's component, low the least in its block."""
-        now = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        ends = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        return materialize(now.join(ends.select("key", "low"), "key"), "apart")
-
-    def still_open(parts: DataFrame) -> DataFrame:
-        """(key, node) of the blocks in which some document isn't connected to the first."""
-        head = parts.select(F.col("node").alias("first"), F.col("part").alias("first_part"))
-        far = meets.join(parts, "node", "left").join(head, "first", "left").where(F.coalesce("part", "node") != F.coalesce("first_part", "first"))
-        keys = materialize(far.select("key").distinct(), "open")
-        rows = meets.join(keys, "key", "left_semi")
-        return standing(rows.select("key", "node").unionByName(rows.select("key", F.col("first").alias("node"))), "node")
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        both = _sketched(_sketched(pairs.distinct(), nodes, "a", "a"), nodes, "b", "b")
-        return both.where(_may_link(plan)).select("a", "b")
+        now = materialize(members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "now")
+        ends = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").drop("high")
+        return materialize(join_by_key(now, ends, ["key"]), "apart")
 
-    links = materialize(_linked(sifted(first_pairs), base, plan), "links")
+    links = materialize(_linked(sifted(met), base, firsts, plan), "links")
     parts = parts_of(links)
-    members = still_open(parts)
+    held = (sets, firsts, rows, stands, same, nodes)  # the other tables go when a round is over
+    own.only(*held, meets, links, parts)
+    members = meets.select("key", "node").unionByName(meets.select("key", F.col("first").alias("node")).distinct())
     # each with another document of its block, picked by hash: groups whose first document is an outlier close here
     for turn in (1, 2):
-        members = apart(members, parts)
+        members = materialize(standing(apart(members, parts), "node"), "members")
         if members.isEmpty():
             break
-        spread = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(Window.unboundedPreceding, 0)
-        picked = members.withColumn("pick", F.first(F.struct("node", "part")).over(spread)).where("part <> pick.part")
-        pairs = picked.select(F.least("pick.node", "node").alias("a"), F.greatest("pick.node", "node").alias("b"))
-        links = materialize(links.unionByName(_linked(sifted(pairs), base, plan)), "links")
+        picks = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("pick"))
+        picked = join_by_key(members, picks, ["key"]).where("part <> pick.part")
+        pairs = materialize(picked.select(F.least("pick.node", "node").alias("a"), F.greatest("pick.node", "node").alias("b")).distinct(), "picked")
+        links = materialize(links.unionByName(_linked(sifted(pairs), base, firsts, plan)), "links")
         parts = parts_of(links)
+        own.only(*held, members, links, parts)
     else:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
-        members = _sketched(apart(members, parts), nodes, "node", "b").withColumnRenamed("node", "b")
+        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node").withColumnRenamed("node", "b")
         odd = members.where("part <> low").select("key", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
-        rest = odd.join(members, (odd["key"] == members["key"]) & (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b"))) & _may_link(plan)).select("a", "b").distinct()
-        links = links.unionByName(_linked(rest, base, plan))
-    whole = components(links.unionByName(same)).groupBy("node").agg(F.min("component").alias("component"))
-    return known.join(whole, "node", "left").select(F.col("node").alias(id_col), "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        rest = odd.join(members, (odd["key"] == members["key"]) & (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b"))) & _may_link(plan, NARROW)).select("a", "b").distinct()
+        parts = parts_of(links.unionByName(_linked(sifted(materialize(rest, "rest")), base, firsts, plan)))
+    # a component's id is the least of its documents'
+    label = firsts.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("part", "set").alias("part"))
+    label = materialize(label, "label")
+    least = label.groupBy("part").agg(F.min("first").alias("component_id"))
+    ids = join_by_key(label.select("set", "part"), least, ["part"]).drop("part")
+    linked = join_by_key(rows.select("id", "n_shingles", "set"), ids, ["set"]).select("id", "n_shingles", "component_id")
+    others = sets.where(F.col("id").isNull() | (F.col("n_shingles") == 0)).select("id", "n_shingles", F.col("id").alias("component_id"))
+    return linked.unionByName(others)

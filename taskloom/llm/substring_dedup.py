@@ -102,9 +102,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     made = materialize(base.mapInArrow(seeds, f"doc {kind}, id long, fp long, n_words long, whole string, seeds array<struct<pos:int,anchor:long,around:long>>"), "seeds")
     every = made.select("id", "fp", F.explode("seeds").alias("s")).select("id", "fp", "s.pos", "s.anchor", "s.around")
-    shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("around") == F.max("around")).alias("alike"), F.count("*").alias("n")).where("low < high")
-    near = materialize(join_by_key(every, shared.select("anchor", "alike", "n"), ["anchor"]), "shared")
-    first = near.groupBy("anchor", "around").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    shared = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("around") == F.max("around")).alias("alike")).where("low < high")
+    near = materialize(join_by_key(every, shared.select("anchor", "alike"), ["anchor"]), "shared")
+    first = near.groupBy("anchor", "around").agg(F.min("id").alias("low"))
     placed = join_by_key(near, first, ["anchor", "around"])
     reach = length - k
     whole = placed.where("low < id").select("id", "fp", (F.col("pos") - reach).alias("a"), F.col("pos").alias("b"))
@@ -129,7 +129,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(one.of(w, w + length).view(np.int64)), pa.array(two.of(w, w + length).view(np.int64)), batch.column("id").take(take), batch.column("fp").take(take), pa.array((w - at[of]).astype(np.int32))], ["x", "y", "id", "fp", "a"])
 
     wins = materialize(bodies.join(some, ["id", "fp"]).mapInArrow(extend, "x long, y long, id long, fp long, a int"), "windows")
-    early = wins.groupBy("x", "y").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    early = wins.groupBy("x", "y").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     more = join_by_key(wins, early, ["x", "y"]).where("low < id").select("id", "fp", "a", F.col("a").alias("b"))
     spans = whole.unionByName(more).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 

@@ -88,6 +88,11 @@ def test_jaccard_edges(spark, nothing):
     rows = [(5, "a b c d"), (5, "x y z"), (3, "A b  c D"), (None, "a b c d"), (7, None), (8, " "), (9, "x y z")]
     got = sorted((r.doc_id or -1, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), Plan()).collect() if r.doc_id != None)  # noqa: E711
     assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (8, 8), (9, 3)]
+    # an id with two texts: the near copy of its second text is linked too
+    one, two = " ".join(f"a{i}" for i in range(60)), [f"b{i}" for i in range(60)]
+    rows = [(3, one), (5, one), (5, " ".join(two)), (7, " ".join([*two[:-1], "other"])), (6, one + " x"), (6, one + " x"), (9, "c d e")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), Plan()).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (6, 3), (6, 3), (7, 3), (9, 9)]
 
 
 def test_pigeonhole():
