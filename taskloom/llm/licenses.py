@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, lower_ascii, materialize, with_row
+from .common import ROW, frequent, join_by_key, lower_ascii, materialize, with_row
 
 #: License -> texts of headers and notices.
 TEMPLATES = {
@@ -47,6 +47,8 @@ APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Names of licence files.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 THRESHOLD = 0.75
+#: Most terms whose frequencies are broadcast, and bytes in one of them.
+HEAD, HEAD_BYTES = 20_000, 100
 
 
 def _terms(c: Column) -> Column:
@@ -90,13 +92,15 @@ def license_scan(files: DataFrame, id_col: str, repo_col: str, path_col: str, te
     licence file reaches it with one of `bodies`, the nearest of those holds instead of what single lines say. license is that, or else what the licence
     files of the nearest directory on the way up say (of several there, the best). license_dir is that directory, '' at
     the top. Null texts are empty; null paths lie at the top; null repositories are one. Rows that repeat are scanned
-    each, and count each in the frequencies. Templates, notices and bodies are parameters of bounded size and are broadcast.
+    each, and count each in the frequencies. Very long texts are scanned whole. No rows give no rows. Other columns are
+    ignored. Templates, notices and bodies are parameters of bounded size and are broadcast.
     """
     spark: SparkSession = files.sparkSession
     rows = files.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{repo_col}`").cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     used = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     seen = materialize(used.groupBy("term").agg(F.count("*").alias("df")), "terms")
     total = rows.count()
+    head = materialize(frequent(seen.where(F.octet_length("term") <= HEAD_BYTES), "df", HEAD).select("term", F.col("df").alias("often")), "head")
     idf = F.log((F.lit(float(total)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
 
     each = Window.partitionBy("license", "nth")
@@ -115,7 +119,8 @@ def license_scan(files: DataFrame, id_col: str, repo_col: str, path_col: str, te
     heavy = sorted(r[0] for r in known.where("heavy").select("term").distinct().collect())
 
     named = F.element_at(F.split("path", "/"), -1).rlike(FILES)
-    some = F.col("text").rlike("(?i)" + "|".join(heavy)) if heavy else F.lit(False)
+    edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    some = F.col("text").rlike(f"(?i)(?:^|{edge})(?:{'|'.join(heavy)})(?:$|{edge})") if heavy else F.lit(False)
     marked = materialize(with_row(rows.select("id", "repo", "path", named.alias("is_licence"), F.when(some | named, F.col("text")).alias("text"))), "files")
     lines = F.concat(F.split("text", "\n"), F.when(F.col("is_licence"), F.array("text")).otherwise(F.expr("cast(array() as array<string>)")))
     hot = lambda c: F.arrays_overlap(c, F.array(*map(F.lit, heavy)) if heavy else F.expr("cast(array() as array<string>)"))
@@ -125,7 +130,10 @@ def license_scan(files: DataFrame, id_col: str, repo_col: str, path_col: str, te
 
     def vectors(units: DataFrame, name: str) -> DataFrame:
         counted = units.select(ROW, "unit", F.explode("terms").alias("term")).groupBy(ROW, "unit", "term").agg(F.count("*").alias("tf"))
-        return materialize(counted.join(seen, "term").withColumn("w", F.col("tf") * idf).select(ROW, "unit", "term", "w"), name)
+        # frequent terms are looked up in a broadcast table; their rows get a key that no term has, so that none is hot in the join of the others
+        known = counted.join(F.broadcast(head), "term", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("term")).otherwise(F.concat(F.lit(" "), F.col(ROW))))
+        weighed = known.join(seen.select(F.col("term").alias("key"), "df"), "key", "left").withColumn("df", F.coalesce("often", "df"))
+        return materialize(weighed.withColumn("w", F.col("tf") * idf).select(ROW, "unit", "term", "w"), name)
 
     def scores(held: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
         size = held.groupBy(ROW, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
@@ -147,5 +155,6 @@ def license_scan(files: DataFrame, id_col: str, repo_col: str, path_col: str, te
     ups = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
     dirs = own.select("repo", "dir").distinct().select("repo", "dir", F.posexplode(ups).alias("depth", "up"))
     nearest = dirs.join(stated, ["repo", "up"]).groupBy("repo", "dir").agg(F.max(F.struct("depth", "up", "license")).alias("n")).select("repo", "dir", F.col("n.up").alias("up"), F.col("n.license").alias("inherited"))
-    out = own.join(nearest, ["repo", "dir"], "left")
+    places = own.select("repo", "dir").distinct().join(nearest, ["repo", "dir"], "left")
+    out = join_by_key(own, places, ["repo", "dir"])
     return out.select(F.col("id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "inherited").alias("license"), F.when(F.col("own_license").isNull(), F.col("up")).alias("license_dir"))

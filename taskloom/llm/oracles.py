@@ -44,7 +44,7 @@ def _secret_sql() -> str:
     def one(no: int, kind: str) -> str:
         pattern, group, least = KINDS[kind]
         pattern = pattern.replace("'", "''")
-        mixed = f"and regexp_matches(value, '{MIXED}')" if kind == "owned" else ""
+        mixed = " ".join(f"and regexp_matches(value, '{m}')" for m in MIXED) if kind == "owned" else ""
         return f"""select doc_id, owner, {no} as kind_no, '{kind}' as kind, stop - length(whole) as start, stop, value from (
             select *, sum(length(gap) + length(whole)) over (partition by doc_id order by pos) as stop from (
                 select doc_id, owner, generate_subscripts(ms, 1) as pos, unnest(ms) as whole, unnest(vs) as value, unnest(gaps[1:len(ms)]) as gap from (

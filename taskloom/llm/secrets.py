@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, narrow, with_row
+from .common import ROW, join_by_key, materialize, with_row
 
 #: Kind -> (pattern, group of the value, least characters of that group), in the order of the kinds.
 #: For access and hex the least length is in the pattern, as a run that is long enough matches from the same place.
@@ -22,8 +22,8 @@ KINDS = {
     "hex": ("[0-9a-f]{32,}", 0, 32),
     "owned": ("[A-Za-z0-9_-]{20,}", 0, 20),
 }
-#: A token of kind owned has a digit and a letter.
-MIXED = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
+#: A token of kind owned has a digit and a letter: each is looked for by itself, so that long tokens take linear time.
+MIXED = ["[0-9]", "[A-Za-z]"]
 
 
 def _matches(kind: str) -> Column:
@@ -43,7 +43,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A value is live-looking if it is in at most max_owners owners and max_repos repositories. Positions are code
     points, the end exclusive. Null texts are empty; null owners are one owner, null repositories one repository.
-    Rows that repeat are scanned each for itself, and count once per repository.
+    Rows that repeat are scanned each for itself, and count once per repository. Very long texts are scanned whole. No rows
+    give no rows. Other columns are ignored.
     """
     used = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{repo_col}`").cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")).alias("owner"))
     rows = materialize(with_row(used).select(ROW, "id", "repo", "owner", *(_matches(k).alias(k) for k in KINDS)), "matches")
@@ -54,12 +55,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         one = one.withColumn("stop", F.sum(F.col("m.gap") + F.col("m.size")).over(before))
         one = one.where(F.length("m.value") >= KINDS[kind][2])
         if kind == "owned":
-            one = one.where(F.col("m.value").rlike(MIXED))
+            one = one.where(F.col("m.value").rlike(MIXED[0]) & F.col("m.value").rlike(MIXED[1]))
         return one.select(ROW, "repo", "owner", F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (F.col("stop") - F.col("m.size")).alias("start"), "stop", F.sha2(F.col("m.value").cast("binary"), 256).alias("hash"))
 
     found = materialize(reduce(DataFrame.unionByName, (spans(i, k) for i, k in enumerate(KINDS))), "candidates")
-    seen = found.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
-    judged = found.join(seen, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    by_owner = found.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    seen = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    judged = join_by_key(found, seen, ["hash"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     span = F.struct("start", "kind_no", "kind", "stop", "n_repos", "n_owners", "live")
     by_row = judged.where((F.col("kind") != "owned") | F.col("live")).groupBy(ROW).agg(F.array_sort(F.collect_list(span)).alias("spans"))
     none = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("kind_no"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("n_repos"), F.lit(0).cast("long").alias("n_owners"), F.lit(False).alias("live"))), 1, 0)

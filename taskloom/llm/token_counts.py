@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 KEYS = ["source", "lang", "version"]
 DELTA = "source string, lang string, version string, n_docs bigint, n_tokens bigint"
@@ -26,21 +25,24 @@ def pieces(text: Column) -> Column:
 
 
 def signed(docs: DataFrame, version: str, tokens: Column, sign: int = 1) -> DataFrame:
-    """Rows of one batch: each document's tokens with a sign. Null sources and languages are groups of their own."""
+    """Rows of one batch: each document's tokens with a sign. Null sources and languages are groups of their own, null texts
+    have no tokens, very long ones are counted whole. Rows that repeat count each. No rows give no rows. Other columns are ignored."""
     return docs.select("source", "lang", F.lit(version).alias("version"), F.lit(sign).cast("long").alias("n_docs"), (F.lit(sign) * tokens).cast("long").alias("n_tokens"))
 
 
 class Rollup:
-    """Totals at `path`, a folder that all machines share."""
+    """Totals at `path`, a folder that all machines share. An empty batch is entered like any other; nothing written has no totals."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, what: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{what}")
-        except AnalysisException:
+        """No rows where nothing has been written yet; anything else that is wrong is an error."""
+        at = f"{self.path}/{what}"
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
 
     def committed(self) -> DataFrame:
         return self._read("ledger", "batch string, attempt string").groupBy("batch").agg(F.min("attempt").alias("attempt"))
@@ -63,5 +65,5 @@ class Rollup:
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens of what is left; groups at zero go."""
         deltas = self._read("deltas", f"{DELTA}, batch string, attempt string")
-        left = deltas.join(F.broadcast(self.committed()), ["batch", "attempt"], "left_semi")
+        left = deltas.join(self.committed(), ["batch", "attempt"], "left_semi")
         return left.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
