@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -33,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
 #: Spark drops a query's shuffle files when it ends, not when the driver happens to collect its garbage. What is written is never computed again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes in a batch that goes to Python while a table is written, so that few texts wait on either side.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 class Scratch:
@@ -151,7 +152,14 @@ def lower_ascii(c) -> F.Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Memory that a task has freed goes back to the system, as its worker stays."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # not every C library has it
+        libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of batches with about `most` bytes of text, so that temporary arrays stay small; one longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -163,6 +171,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20)
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
