@@ -217,12 +217,12 @@ def places(n: int, seed: int) -> np.ndarray:
     return _places[seed]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, number of words before each text and at the end) of `[^\\x20\\x09-\\x0D]+` in each text."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, number of words before each text and at the end) of `[^\\x20\\x09-\\x0D]+` in each text; `space` marks other bytes between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start, end = solid.copy(), solid.copy()

@@ -65,6 +65,34 @@ def _secret_sql() -> str:
 
 SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+def _quality_sql() -> str:
+    from .quality import Rules
+
+    r = Rules()
+    runs = ", ".join(f"coalesce(max(c) filter (k = {k}), 0)::bigint as run_{k}" for k in r.run)
+    kept = " and ".join(f"100 * run_{k} <= {most} * word_chars" for k, most in r.run.items())
+    return rf"""
+        with d as (select doc_id, coalesce(text, '') as t, {SPLIT.format("coalesce(text, '')")} as w from documents),
+        runs as (
+            select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as run
+            from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select unnest({[3, *r.run]}) as k) where len(w) >= k)),
+        seen as (select *, count(*) over same as n, row_number() over (partition by doc_id, k, run order by i) as nth from runs window same as (partition by doc_id, k, run)),
+        hit as (select distinct doc_id, k, p from (select doc_id, k, unnest(range(i, i + k)) as p from seen where n > 1 and (k = 3 or nth > 1))),
+        chars as (select doc_id, k, count(*) as words, sum(length(w[p])) as c from hit join d using (doc_id) group by all),
+        cov as (select doc_id, coalesce(max(words) filter (k = 3), 0)::bigint as n_repeat_words, {runs} from chars group by all),
+        lines as (select doc_id, line, row_number() over (partition by doc_id, line) > 1 as again from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^ 	-]')),
+        ln as (select doc_id, count(*) as n_lines, count(*) filter (again) as n_dup_lines, coalesce(sum(length(line)) filter (again), 0)::bigint as line_chars, sum(length(line))::bigint as all_line_chars from lines group by all),
+        m as (
+            select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+                   coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines, coalesce(line_chars, 0)::bigint as line_chars, coalesce(all_line_chars, 0)::bigint as all_line_chars,
+                   {", ".join(f"coalesce(run_{k}, 0)::bigint as run_{k}" for k in r.run)}
+            from d left join cov using (doc_id) left join ln using (doc_id))
+        select *, n_words < {r.least_words} or 100 * n_repeat_words > {r.repeat_words} * n_words as base_failed,
+               not (n_words < {r.least_words} or 100 * n_repeat_words > {r.repeat_words} * n_words) and {kept} and 100 * n_dup_lines <= {r.lines} * n_lines and 100 * line_chars <= {r.line_chars} * all_line_chars as kept
+        from m"""
+
+
 ORACLES = {
     "op1_license_scan": _license_sql(),
     "op9_token_counts": f"""
@@ -103,6 +131,7 @@ ORACLES = {
         reach as (select doc_id as id, doc_id as root from d union select sides.b, root from reach join sides on sides.a = reach.id)
         select d.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(root) from reach where id = d.doc_id) as component_id from d left join n using (doc_id)""",
     "op3_secrets": _secret_sql(),
+    "op13_quality_rules": _quality_sql(),
     "op10_substring_dedup": f"""
         with d as (select doc_id, {SPLIT.format("coalesce(text, '')")} as w from documents),
         win as (select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),

@@ -16,6 +16,7 @@ from .jaccard_join import Plan, jaccard_classes
 from .language_id import language_id
 from .licenses import license_scan
 from .lm_scoring import score_documents
+from .quality import quality_rules
 from .secrets import secret_digest
 from .substring_dedup import substring_dedup
 from .token_counts import Rollup, pieces, signed, words
@@ -84,6 +85,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -28,8 +28,8 @@ def test_oracle(spark, sf_dir, name):
     assert sorted([str(r[c]) for c in columns] for r in got.collect()) == sorted([str(r[i]) for i in at] for r in want.fetchall())
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+def test_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
 
 
 def test_registered_bpe(spark, sf_dir):
