@@ -81,7 +81,8 @@ def _quality_sql() -> str:
         hit as (select distinct doc_id, k, p from (select doc_id, k, unnest(range(i, i + k)) as p from seen where n > 1 and (k = 3 or nth > 1))),
         chars as (select doc_id, k, count(*) as words, sum(length(w[p])) as c from hit join d using (doc_id) group by all),
         cov as (select doc_id, coalesce(max(words) filter (k = 3), 0)::bigint as n_repeat_words, {runs} from chars group by all),
-        lines as (select doc_id, line, row_number() over (partition by doc_id, line) > 1 as again from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^ 	-]')),
+        lines as (select doc_id, line, row_number() over (partition by doc_id, line) > 1 as again from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^ 	-
+]')),
         ln as (select doc_id, count(*) as n_lines, count(*) filter (again) as n_dup_lines, coalesce(sum(length(line)) filter (again), 0)::bigint as line_chars, sum(length(line))::bigint as all_line_chars from lines group by all),
         m as (
             select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
@@ -131,6 +132,20 @@ ORACLES = {
         reach as (select doc_id as id, doc_id as root from d union select sides.b, root from reach join sides on sides.a = reach.id)
         select d.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(root) from reach where id = d.doc_id) as component_id from d left join n using (doc_id)""",
     "op3_secrets": _secret_sql(),
+    "op12_collocations": rf"""
+        with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, row_number() over () as no, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+        n as (select lang, sum(len(w))::bigint as n from w group by 1),
+        g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) s(k) where len(w) >= k)),
+        f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 10),
+        c as (select *, string_split(phrase, ' ') as w from f where k > 1),
+        cuts as (select lang, phrase, k, f as a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:], ' ') as tail from (select *, unnest(range(1, k)) as cut from c)),
+        s as (select cuts.*, l.f as l, r.f as r, (1000000::hugeint * a * a // (l.f::hugeint * r.f))::bigint as score from cuts join f l on l.lang = cuts.lang and l.phrase = head join f r on r.lang = cuts.lang and r.phrase = tail),
+        low as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        sub as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(f) as longer from (select *, unnest([1, 2]) as i from c where k = 3) group by all),
+        kept as (select low.* from low left join sub on sub.lang = low.lang and sub.phrase = low.phrase and low.k = 2 where longer is null or 100 * longer < 50 * a)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+        from kept join n using (lang) qualify rank <= 2000""",
     "op13_quality_rules": _quality_sql(),
     "op10_substring_dedup": f"""
         with d as (select doc_id, {SPLIT.format("coalesce(text, '')")} as w from documents),
