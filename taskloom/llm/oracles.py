@@ -132,6 +132,15 @@ ORACLES = {
         reach as (select doc_id as id, doc_id as root from d union select sides.b, root from reach join sides on sides.a = reach.id)
         select d.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(root) from reach where id = d.doc_id) as component_id from d left join n using (doc_id)""",
     "op3_secrets": _secret_sql(),
+    "op11_hard_negatives": """
+        with v as (
+            select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.rid as rid, a.vec_id as anchor_id, b.vec_id as id, b.label = a.label as alike, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.rid <> b.rid where a.vec_id % 100 = 0),
+        p as (select rid, anchor_id, id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by rid order by score desc, id) <= 5)
+        select p.anchor_id, positive_id, row_number() over (partition by p.rid, positive_id order by s.score desc, s.id)::int as rank, s.id as negative_id, positive_score, s.score as negative_score
+        from p join s on s.rid = p.rid and not s.alike and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+        qualify rank <= 5""",
     "op12_collocations": rf"""
         with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
         w as (select lang, row_number() over () as no, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),

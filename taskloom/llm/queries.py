@@ -13,6 +13,7 @@ from .collocations import collocations
 from .common import scratch_dir
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .jaccard_join import Plan, jaccard_classes
 from .language_id import language_id
 from .licenses import license_scan
@@ -86,6 +87,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), "id % 100 = 0")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 

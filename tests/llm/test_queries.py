@@ -19,7 +19,7 @@ from .test_models import base_scores
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = Q.queries()[name](spark, sf_dir), con.sql(Q.oracle_sql()[name])
     columns = sorted(got.columns)
