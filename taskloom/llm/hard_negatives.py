@@ -175,7 +175,7 @@ def _best(score: np.ndarray, id_: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((id_, -score))
 
 
-NO_LEAST = -(1 << 63)
+NO_LEAST, NO_MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query long, slot int, score long, id long, row long"
 
 
@@ -211,7 +211,7 @@ def _widen(queries: DataFrame, index: DataFrame, space: Space, k: int, same: boo
                     cut = int(np.searchsorted(-top[i][left], -least, side="right"))  # beyond it, all score less
                     now = left[: min(step, cut)]
                     again.append(seen[i] + len(now) if len(now) < cut else len(order))
-                    now = now[low[i][now] <= most]
+                    now = now[(low[i][now] <= most) | (most == NO_MOST)]
                     todo.append([c for r in now.tolist() for c in range(space.cell[r], space.past[r])])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "label", "vec", "slots")), pa.array(np.array(again), pa.int32()), pa.array(todo, pa.list_(pa.int64()))], ["query", "label", "vec", "slots", "seen", "cells"])
 
@@ -286,7 +286,7 @@ def hard_negatives(vectors: DataFrame, anchor: str, id_col: str = "vec_id", labe
         asked = materialize(anchors.groupBy("label", "vec").agg(F.min(ROW).alias("query")), "queries")
         anchors = materialize(anchors.join(asked, ["label", "vec"]).select(F.col(ROW).alias("self"), F.col("id").alias("anchor_id"), "query"), "anchors")
         slot = lambda s, floor, cap: F.struct(F.lit(s).cast("int").alias("slot"), floor.cast("long").alias("floor"), cap.cast("long").alias("cap"))
-        open_ = asked.withColumn("slots", F.array(slot(0, F.lit(NO_LEAST), F.lit((1 << 63) - 1))))
+        open_ = asked.withColumn("slots", F.array(slot(0, F.lit(NO_LEAST), F.lit(NO_MOST))))
         near = search(open_, keys, space, rule.positives + 1, True, first, wave_bytes)
         # each anchor leaves itself out; which of equal anchors that is changes no score, see below
         of_anchor = Window.partitionBy("self").orderBy(F.desc("score"), "id", "row")
