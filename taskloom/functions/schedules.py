@@ -14,6 +14,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns
+
 MOST_DAYS = 146_097
 
 
@@ -72,16 +74,11 @@ def cron_day(at: Column, cron: Cron) -> Column:
 
 
 def cron_column(after: Column, cron: Cron, zone: str = "UTC") -> Column:
-    """The next run of a cron. Days are searched two months ahead, then, only where none fits, four years, then a whole cycle of the calendar."""
-    day = F.date_trunc("DAY", local_time(after, zone)).cast("timestamp_ntz")
-    times = sorted((h, m) for h in cron.hours for m in cron.minutes)
-
-    def within(first: int, last: int) -> Column:
-        days = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda n: day + F.make_dt_interval(n)), lambda d: cron_day(d, cron))
-        clock = F.array(*(F.make_dt_interval(F.lit(0), F.lit(h), F.lit(m)) for h, m in times))
-        return _first(after, F.flatten(F.transform(days, lambda d: F.transform(clock, lambda c: d + c))), zone)
-
-    return F.coalesce(within(0, 62), within(63, 1_500), within(1_501, MOST_DAYS))
+    """The next run of a cron, found by mask arithmetic (see patterns)."""
+    bits = lambda values, every: F.lit(sum(1 << v for v in (every if values is None else values))).cast("long")
+    mode = "any" if cron.month_days is None and cron.week_days is None else "week" if cron.month_days is None else "month" if cron.week_days is None else "both" if cron.both else "either"
+    pattern = F.struct(F.lit(0).alias("second"), bits(cron.minutes, ()).alias("minutes"), bits(cron.hours, ()).alias("hours"), bits(cron.months, ()).alias("months"), bits(cron.month_days, range(1, 32)).alias("month_days"), bits(cron.week_days, range(7)).alias("week_days"), F.lit(mode).alias("mode"), F.lit(31).alias("last"))
+    return patterns.next_run(after, F.lit("cron"), F.lit(0), pattern, F.lit(zone))
 
 
 def should_run(next_run: Column, as_of: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import attempts as P
+from ..functions import patterns as N
 from .queries import ACTION, BUDGET, ACCOUNT, CASES, CATEGORY, CLAIM, DEPS, DUE, FLYING, IN_LEAF, LIFE, LOWER, NODE_MOVES, OPEN, RANGE, SOFT, TASK_MOVES, WORKFLOW_MOVES, A, B, C, H, I, J, K, L, M, S, life, now, query
 
 # ---- E, F: windows, order, first rows
@@ -389,6 +390,73 @@ def h41_cron_days(t):
     return t("events").select("event_id", H.cron_day(F.col("ts"), CRON).alias("either"), H.cron_day(F.col("ts"), both).alias("both"))
 
 
+# A table of schedules, each with its own pattern and zone. What the terms of the fixture stand for is spelled out here.
+PATTERN_SQL = """
+    c as (
+        select *, case kind when 'hourly' then coalesce(second, '0')::int when 'cron' then 0 when 'interval' then 0 else case at_time when '01:15:30' then 30 when '23:59:59' then 59 else 0 end end as s,
+               case when kind = 'hourly' then [minute::int] when kind = 'cron' then case minute when '0,30' then [0, 30] when '*/20' then [0, 20, 40] when '5-55/25' then [5, 30, 55] when '*' then range(0, 60) else [minute::int] end
+                    else [case at_time when '02:30:00' then 30 when '01:15:30' then 15 else 59 end] end as ms,
+               case when kind = 'hourly' then range(0, 24) when kind = 'cron' then case hour when '2' then [2] when '1-3' then [1, 2, 3] when '*/6' then [0, 6, 12, 18] when '*' then range(0, 24) else [0, 12, 23] end
+                    else [case at_time when '02:30:00' then 2 when '01:15:30' then 1 else 23 end] end as hs,
+               case when kind <> 'cron' or month = '*' then range(1, 13) when month = 'feb' then [2] when month = 'Mar,nov' then [3, 11] when month = '3-11/4' then [3, 7, 11] else [2, 3, 4] end as mons,
+               case month_day when '29' then [29] when '3,10' then [3, 10] when '*/10' then [1, 11, 21, 31] when '30-31' then [30, 31] else range(1, 8) end as mds,
+               case week_day when 'sun' then [7] when 'sat,sun' then [6, 7] when 'sun,mon,sun' then [7, 1] else range(1, 6) end as wds,
+               case when kind <> 'interval' then 0 else coalesce(every_days, 0) * 86400 + coalesce(every_minutes, 0) * 60 + every_seconds end as step,
+               case when zone = 'Mars/Olympus' then 'zone UNKNOWN'
+                    when kind = 'interval' then case when every_seconds < 1 then 'every_seconds RANGE' when every_days < 1 then 'every_days RANGE' end
+                    when kind = 'hourly' then case when second = '60' then 'second RANGE' when minute = '75' then 'minute RANGE' end
+                    when kind <> 'cron' and at_time = '25:00:00' then 'at_time SYNTAX'
+                    when kind = 'monthly' then case when month_day = '0' then 'month_day RANGE' end
+                    when kind = 'weekly' then case when week_day = 'sun,mon,sun' then 'week_day DUPLICATE' end
+                    when kind = 'cron' then case when minute = '75' then 'minute RANGE' when month = 'nov-mar' then 'month ORDER' when month = 'feb' and month_day = '30-31' and day_mode in ('month', 'both') then 'NEVER' end end as fault
+        from patterns)"""
+SPRING = "(make_date(year({0}), 3, 8) + ((7 - isodow(make_date(year({0}), 3, 8))) % 7)::int)"
+AUTUMN = "(make_date(year({0}), 11, 1) + ((7 - isodow(make_date(year({0}), 11, 1))) % 7)::int)"
+
+
+def _patterns_sql(back: bool) -> str:
+    """By brute force: the first matching days, all their times of day, the moments of these, the first or last that fits."""
+    u = "at_time_utc"
+    local = f"case zone when 'UTC' then {u} when 'Asia/Kolkata' then {u} + interval 330 minute else {u} - interval 1 hour * (case when {u} >= {SPRING.format(u)} + interval 7 hour and {u} < {AUTUMN.format(u)} + interval 6 hour then 4 else 5 end) end"
+    instant = f"case zone when 'UTC' then l when 'Asia/Kolkata' then l - interval 330 minute else case when l >= {SPRING.format('l')} + interval 2 hour and l < {SPRING.format('l')} + interval 3 hour then null else l + interval 1 hour * (case when l >= {SPRING.format('l')} + interval 3 hour and l < {AUTUMN.format('l')} + interval 2 hour then 4 else 5 end) end end"
+    day = "date_trunc('day', b)::timestamp " + ("- interval 1 day * (n - 1)::int" if back else "+ interval 1 day * n::int")
+    month_day, week_day = "list_contains(mds, day(d))", "list_contains(wds, isodow(d))"
+    fits = f"list_contains(mons, month(d)) and case when kind in ('hourly', 'daily') or (kind = 'cron' and day_mode = 'any') then true when kind = 'monthly' then day(d) = least(month_day::int, day(last_day(d))) when kind = 'weekly' or day_mode = 'week' then {week_day} when day_mode = 'month' then {month_day} when day_mode = 'either' then {month_day} or {week_day} else {month_day} and {week_day} end"
+    best = "max(x)" if back else "min(x)"
+    found = f"""with {PATTERN_SQL},
+        b as (select *, {local} as b from c where fault is null and kind <> 'interval'),
+        days as (select * from (select *, {day} as d from b, range(0, 3400) r(n)) where {fits} qualify row_number() over (partition by schedule_id order by n) <= 4),
+        hm as (select schedule_id, zone, {u}, d, s, h, unnest(ms) as m from (select *, unnest(hs) as h from days)),
+        x as (select schedule_id, {u} as u, {instant} as x from (select *, d + interval 1 hour * h::int + interval 1 minute * m::int + interval 1 second * s::int as l from hm)),
+        best as (select schedule_id, {best} as x from x where {'x <= u' if back else 'x > u'} group by 1)"""
+    if back:
+        first = f"{u} - interval 1 day * (schedule_id % 900)::int"
+        return f"select * from ({found} select c.schedule_id, case when fault is not null then null when kind = 'interval' then {first} + interval 1 second * ((schedule_id % 900) * 86400 // step * step)::int else greatest({first}, coalesce(x, {first})) end as latest_slot from c left join best using (schedule_id))"
+    return f"select * from ({found} select c.schedule_id, fault, case when fault is null and kind = 'interval' then {u} + interval 1 second * step::int else x end as next_run from c left join best using (schedule_id))"
+
+
+@query(_patterns_sql(False))
+def h40_next_run_by_row(t):
+    return N.with_next_run(N.compiled(t("patterns")), "at_time_utc").select("schedule_id", "fault", "next_run")
+
+
+@query(_patterns_sql(True))
+def h46_latest_slot(t):
+    behind = t("patterns").withColumn("first_due", F.col("at_time_utc") - F.make_dt_interval(F.expr("cast(schedule_id % 900 as int)")))
+    return N.with_latest_slot(N.compiled(behind), "first_due", "at_time_utc").select("schedule_id", "latest_slot")
+
+
+@query("""select schedule_id, list_sum(list_transform(case month when '*' then range(1, 13) when 'feb' then [2] when 'Mar,nov' then [3, 11] when '3-11/4' then [3, 7, 11] when 'nov-mar' then [] else [2, 3, 4] end, lambda m: (1 << m)::bigint))::bigint as months,
+    case when month = 'nov-mar' then 'ORDER' end as fault from patterns""")
+def h42_terms(t):
+    return t("patterns").select("schedule_id", N.term(F.col("month"), 1, 12, N.MONTHS).alias("x")).select("schedule_id", F.nullif(F.col("x.mask"), F.lit(0)).alias("months"), "x.fault")
+
+
+@query(f"select * from (with {PATTERN_SQL} select coalesce(fault, 'OK') as fault, count(*) as n from c group by 1)")
+def h43_schedule_faults(t):
+    return N.compiled(t("patterns")).groupBy(F.coalesce("fault", F.lit("OK")).alias("fault")).agg(F.count("*").alias("n"))
+
+
 @query("select schedule_id, next_run_at is null or next_run_at <= :now as due from schedules")
 def h45_should_run(t):
     return t("schedules").select("schedule_id", H.should_run(F.col("next_run_at"), now()).alias("due"))

@@ -54,6 +54,20 @@ PROJECTIONS = {
         from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i, (l_partkey + l_linenumber) % 10 as m from {lineitem}) s""",
     "edges": "select workflow_id, task_index, dep_a as dep from {nodes} where dep_a is not null union all select workflow_id, task_index, dep_b from {nodes} where dep_b is not null",
     "schedules": "select c_custkey as schedule_id, concat('s', c_custkey) as schedule_name, case when c_custkey % 10 <> 0 then <as_of> + interval '1' minute * (c_custkey % 97 - 48) end as next_run_at, <as_of> - interval '1' day * (c_custkey % 5) as last_run_at, c_custkey % 12 as run_count from {customer}",
+    "patterns": """
+        select k as schedule_id, case k % 9 when 0 then 'interval' when 1 then 'hourly' when 2 then 'daily' when 3 then 'weekly' when 4 then 'monthly' else 'cron' end as kind,
+               case when k % 47 = 0 then 'Mars/Olympus' when k % 5 = 0 then 'UTC' when k % 5 = 1 then 'Asia/Kolkata' else 'America/New_York' end as zone,
+               case when k % 2 = 0 then cast(k % 40 as int) end as every_days, cast(null as int) as every_hours, case when k % 3 = 0 then 90 end as every_minutes, cast(k % 50 as int) as every_seconds,
+               case when k % 59 = 1 then '60' when k % 2 = 0 then cast(k % 60 as varchar(9)) end as second,
+               case when k % 61 = 0 then '75' when k % 9 = 1 then cast(k % 60 as varchar(9)) when k % 7 = 0 then '0,30' when k % 7 = 1 then '*/20' when k % 7 = 2 then '5-55/25' when k % 7 = 3 then '*' else '30' end as minute,
+               case when k % 11 < 4 then '2' when k % 11 < 6 then '1-3' when k % 11 < 8 then '*/6' when k % 11 = 8 then '*' else '0,12,23' end as hour,
+               case when k % 53 = 0 then 'nov-mar' when k % 13 < 4 then '*' when k % 13 < 6 then 'feb' when k % 13 < 8 then 'Mar,nov' when k % 13 < 10 then '3-11/4' else 'feb-apr' end as month,
+               case when k % 9 = 4 then cast(k % 32 as varchar(9)) when k % 17 < 4 then '29' when k % 17 < 8 then '3,10' when k % 17 < 12 then '*/10' when k % 17 = 12 then '30-31' else '1-7' end as month_day,
+               case when k % 67 = 3 then 'sun,mon,sun' when k % 10 < 4 then 'sun' when k % 10 < 7 then 'mon,tue,wed,thu,fri' else 'sat,sun' end as week_day,
+               case when k % 71 = 2 then '25:00:00' when k % 4 < 2 then '02:30:00' when k % 4 = 2 then '01:15:30' else '23:59:59' end as at_time,
+               case k % 6 when 0 then 'any' when 1 then 'month' when 2 then 'week' when 3 then 'either' else 'both' end as day_mode,
+               case when k % 4 = 0 then <as_of> + interval '1' day * cast(k % 600 as int) when k % 4 = 1 then timestamp '2024-03-09 12:00:00' + interval '1' minute * cast(k * 37 % 2000 as int) else timestamp '2024-11-02 20:00:00' + interval '1' minute * cast(k * 41 % 1500 as int) end as at_time_utc
+        from (select c_custkey as k from {customer}) c""",
     "classes": "select * from (values ('short', 5), ('standard', 15), ('forever', null)) v(class_key, keep_days)",
     "leaves": """
         select class_key, concat('hist_', class_key, '_', cast(d as int)) as leaf_name, timestamp '2024-01-01 00:00:00' + interval '1' day * cast(d as int) as lower_anchor, timestamp '2024-01-01 00:00:00' + interval '1' day * (cast(d as int) + 1) as upper_anchor,
