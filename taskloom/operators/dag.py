@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import NODE_TERMINAL
+from ..sources.steps import Steps
 
 
 def dependency_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,24 +33,19 @@ def evaluate_joins(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) ->
     return pending.join(dependency_counts(nodes, edges), ["workflow_id", "task_index"]).select("workflow_id", "task_index", join_action().alias("action"))
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """A folder for reliable checkpoints: the one that spark.checkpoint.dir names; one in the warehouse on a local master (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_levels")
-
-
 def skip_cascade(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Nodes after skipping all that can't run, level by level, until a level skips none. Each is a reliable checkpoint."""
-    _checkpoints(nodes)
-    now = nodes
+    """Nodes after skipping all that can't run, level by level, until a level skips none. Each level is a written table,
+    and only the last one stays."""
+    steps, now, last = Steps(nodes.sparkSession), nodes, None
     while True:
-        skipped = evaluate_joins(now, edges, workflows).where("action = 'SKIP'").withColumn("skip", F.lit(True)).drop("action").checkpoint()
+        skipped = steps.put(evaluate_joins(now, edges, workflows).where("action = 'SKIP'").select("workflow_id", "task_index", F.lit(True).alias("skip")))
         if skipped.isEmpty():
+            steps.keep(last)
             return now
-        now = now.join(skipped, ["workflow_id", "task_index"], "left").withColumn("status", F.when(F.col("skip"), "SKIPPED").otherwise(F.col("status"))).select(*nodes.columns).checkpoint()
+        after = now.join(skipped, ["workflow_id", "task_index"], "left").withColumn("status", F.when(F.col("skip"), "SKIPPED").otherwise(F.col("status"))).select(*nodes.columns)
+        last = steps.write(after)
+        now = steps.read(last, like=after)
+        steps.keep(last)
 
 
 def unfinished(nodes: DataFrame) -> DataFrame:
@@ -120,30 +116,42 @@ def first_failed(nodes: DataFrame, only: list[int] = ()) -> DataFrame:
     return failed.groupBy("workflow_id").agg(F.min("task_index").alias("task_index"))
 
 
-def _levels(first: DataFrame, step, keys: list[str]) -> DataFrame:
-    """All rows that steps from `first` reach, each with its level; step(rows) gives the next ones. Rows of known keys go,
-    so circles end too. Each level is a reliable checkpoint."""
-    _checkpoints(first)
-    found = now = first.withColumn("level", F.lit(0)).checkpoint()
+def _doubled(first: DataFrame, parents: DataFrame, down: bool) -> DataFrame:
+    """(start, id, level) of all that is above, or below, each of the rows in `first` (start, id). parents: id, up.
+
+    Path doubling: step k joins what is known, which is all within 2^k levels, with the links over exactly 2^k levels,
+    so a chain of n takes log2(n) steps. Links shrink to the runs that have so many above them. A row is known once, at
+    its least level, so circles end. Each step is a written table; those of the links are dropped.
+    """
+    spark = first.sparkSession
+    steps, k = Steps(spark), 0
+    start = first.distinct().withColumn("level", F.lit(0).cast("long"))
+    known = [steps.write(start)]
+    links = steps.put(parents.where("id is not null and up is not null").distinct())
+    a, b = ("up", "id") if down else ("id", "up")
     while True:
-        now = step(now).withColumn("level", F.col("level") + 1).dropDuplicates(keys).join(found.select(*keys), keys, "left_anti").checkpoint()
-        if now.isEmpty():
+        found = steps.read(*known, like=start)
+        step = found.join(links.select(F.col(a).alias("id"), F.col(b).alias("to")), "id").select("start", F.col("to").alias("id"), (F.col("level") + (1 << k)).alias("level"))
+        at = steps.write(step.groupBy("start", "id").agg(F.min("level").alias("level")).join(found.select("start", "id"), ["start", "id"], "left_anti"))
+        if steps.read(at, like=start).isEmpty():
+            steps.keep(*known)
             return found
-        found = found.unionByName(now)
+        known.append(at)
+        links = steps.put(links.join(links.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")))
+        k += 1
 
 
 def descend(workflows: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, level) of each of the runs in roots (id) and all below it."""
-    below = workflows.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"))
-    return _levels(roots.select(F.col("id").alias("root"), "id").distinct(), lambda rows: rows.join(below, "id").select("root", F.col("child").alias("id"), "level"), ["root", "id"])
+    parents = workflows.select("id", F.col("parent_id").alias("up"))
+    return _doubled(roots.select(F.col("id").alias("start"), "id"), parents, True).withColumnRenamed("start", "root")
 
 
 def ascend(workflows: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, id, level) of each of the runs in leaves (id) and all above it."""
-    above = workflows.select("id", "parent_id")
-    up = lambda rows: rows.join(above, "id").where("parent_id is not null").select("leaf", F.col("parent_id").alias("id"), "level")
-    there = leaves.select(F.col("id").alias("leaf"), "id").distinct()
-    return _levels(there, up, ["leaf", "id"]).join(workflows.select("id"), "id", "left_semi").select("leaf", "id", "level")
+    parents = workflows.select("id", F.col("parent_id").alias("up"))
+    found = _doubled(leaves.select(F.col("id").alias("start"), "id"), parents, False)
+    return found.join(workflows.select("id"), "id", "left_semi").select(F.col("start").alias("leaf"), "id", "level")
 
 
 def descendants(workflows: DataFrame, root: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Checks of a workflow's definition before it starts, on the driver: definitions are small."""
+"""Checks of workflow definitions before they start: of one on the driver, and of a table of them, as rows of faults."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.steps import Steps
 
 
 @dataclass(frozen=True)
@@ -83,3 +86,75 @@ def built(make: Callable[..., Spec], **parameters) -> Spec:
 def as_rows(spec: Spec, like: DataFrame) -> DataFrame:
     """The definition's edges as a DataFrame (task_index, dep)."""
     return like.sparkSession.createDataFrame([(i, d) for i, x in enumerate(spec.nodes) for d in x.depends_on], "task_index int, dep long")
+
+
+def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workflow_id) of definitions whose nodes depend on each other in a circle.
+
+    Kahn's peeling: nodes without open dependencies go, and so do those that nothing open depends on; what is left when
+    none goes lies on a circle or between two. Each round peels twice from either end and is a written table. nodes: workflow_id,
+    task_index; edges: the same and dep. Dependencies that aren't there don't count. Null keys and repeated rows do no harm.
+    """
+    steps = Steps(edges.sparkSession)
+    keys = ["workflow_id", "task_index"]
+    there = nodes.select("workflow_id", F.col("task_index").cast("long").alias("dep")).distinct()
+    links = edges.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), F.col("dep").cast("long").alias("dep")).distinct()
+    left = steps.put(links.join(there, ["workflow_id", "dep"], "left_semi"))
+    n = left.count()
+    while n:
+        peeled = left
+        for _ in range(2):
+            open_ = peeled.select("workflow_id", F.col("task_index").alias("dep")).distinct()
+            peeled = peeled.join(open_, ["workflow_id", "dep"], "left_semi")
+            used = peeled.select("workflow_id", F.col("dep").alias("task_index")).distinct()
+            peeled = peeled.join(used, keys, "left_semi")
+        at = steps.write(peeled.select("workflow_id", "task_index", "dep"))
+        left = steps.read(at, like=links)
+        steps.keep(at)
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select("workflow_id").distinct()
+
+
+#: What a node id may hold, and the most characters.
+NODE_ID, LONGEST_ID = r"^[A-Za-z0-9_\-:.]+$", 128
+
+
+def spec_faults(workflows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workflow_id, task_index, fault): all that is wrong with the definitions of a table, task_index null where it is the whole one.
+
+    workflows: id, name, output_index; nodes: workflow_id, task_index, node_id, join_type, min_success; edges: workflow_id,
+    task_index, dep. Faults: NAME, EMPTY, NO_ROOT, CIRCLE, OUTPUT; of nodes ID_INVALID, ID_TWICE (all but the first that
+    has the id), JOIN, QUORUM; of dependencies RANGE, SELF. No rows mean that all can start.
+    """
+    steps = Steps(workflows.sparkSession)  # what is read again and again is written once
+    ids = steps.put(workflows.select(F.col("id").alias("workflow_id"), "name", F.col("output_index").cast("long").alias("output_index")))
+    own = nodes.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), "node_id", "join_type", F.col("min_success").cast("long").alias("min_success")).join(ids.select("workflow_id"), "workflow_id", "left_semi")
+    own = steps.put(own)
+    links = edges.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), F.col("dep").cast("long").alias("dep")).distinct().join(ids.select("workflow_id"), "workflow_id", "left_semi")
+    links = steps.put(links)
+    deps = links.groupBy("workflow_id", "task_index").agg(F.count("*").alias("deps"))
+    counted = own.join(deps, ["workflow_id", "task_index"], "left").withColumn("deps", F.coalesce("deps", F.lit(0)))
+    sizes = counted.groupBy("workflow_id").agg(F.count("*").alias("n"), F.count_if(F.col("deps") == 0).alias("roots"))
+    whole = ids.join(sizes, "workflow_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fault = lambda name, when: F.when(when, name)
+    of_all = F.array(
+        fault("NAME", F.coalesce("name", F.lit("")) == ""), fault("EMPTY", F.col("n") == 0), fault("NO_ROOT", (F.col("n") > 0) & (F.col("roots") == 0)),
+        fault("OUTPUT", (F.col("output_index") < 0) | (F.col("output_index") >= F.col("n"))))
+    quorum, least = F.col("join_type") == "quorum", F.col("min_success")
+    of_node = F.array(
+        fault("ID_INVALID", ~F.col("node_id").rlike(NODE_ID) | (F.length("node_id") > LONGEST_ID)),
+        fault("JOIN", ~F.coalesce(F.col("join_type").isin("all", "any", "quorum"), F.lit(False))),
+        fault("QUORUM", F.when(quorum, F.coalesce((least < 1) | (least > F.col("deps")), F.lit(True))).otherwise(least.isNotNull())))
+    first = own.where("node_id is not null").groupBy("workflow_id", "node_id").agg(F.min("task_index").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = own.join(first, ["workflow_id", "node_id"]).where("task_index > first")
+    of_link = F.array(fault("RANGE", (F.col("dep") < 0) | (F.col("dep") >= F.col("n"))), fault("SELF", F.col("dep") == F.col("task_index")))
+    listed = lambda rows, at, faults: rows.select("workflow_id", at.cast("long").alias("task_index"), F.explode(F.array_compact(faults)).alias("fault"))
+    none = F.lit(None)
+    return (
+        listed(whole, none, of_all)
+        .unionByName(listed(counted, F.col("task_index"), of_node))
+        .unionByName(twice.select("workflow_id", "task_index", F.lit("ID_TWICE").alias("fault")))
+        .unionByName(listed(links.join(sizes, "workflow_id"), F.col("task_index"), of_link))
+        .unionByName(circles(own, links).select("workflow_id", none.cast("long").alias("task_index"), F.lit("CIRCLE").alias("fault"))))

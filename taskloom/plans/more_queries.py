@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attempts as P
 from ..functions import patterns as N
+from ..operators import specs as G
 from .queries import ACTION, BUDGET, ACCOUNT, CASES, CATEGORY, CLAIM, DEPS, DUE, FLYING, IN_LEAF, LIFE, LOWER, NODE_MOVES, OPEN, RANGE, SOFT, TASK_MOVES, WORKFLOW_MOVES, A, B, C, H, I, J, K, L, M, S, life, now, query
 
 # ---- E, F: windows, order, first rows
@@ -676,6 +677,30 @@ def j9_child_completion(t):
     return t("nodes").join(done, "sub_workflow_id").join(children, "sub_workflow_id").select("node_key", F.when(F.col("failed") > 0, "FAILED").otherwise("COMPLETED").alias("status"), "total")
 
 
+@query("""select * from (
+    with recursive w as (select id, name, case when id % 50 = 17 then 42 else output_index end as output_index from workflows where id % 50 < 40 union all select -1, '', null),
+    n as (select * from plan_nodes where workflow_id in (select id from w)), e as (select distinct * from plan_edges where workflow_id in (select id from w)),
+    size as (select workflow_id, count(*) as n from n group by 1), deps as (select workflow_id, task_index, count(*) as deps from e group by 1, 2),
+    link as (select e.* from e join n t on t.workflow_id = e.workflow_id and t.task_index = e.dep),
+    reach as (select workflow_id, task_index as a, dep as b from link union select r.workflow_id, r.a, l.dep from reach r join link l on l.workflow_id = r.workflow_id and l.task_index = r.b),
+    counted as (select n.*, coalesce(deps, 0) as deps from n left join deps using (workflow_id, task_index))
+    select id as workflow_id, null::bigint as task_index, 'NAME' as fault from w where name = ''
+    union all select id, null, 'EMPTY' from w where id not in (select workflow_id from n)
+    union all select workflow_id, null, 'NO_ROOT' from counted group by workflow_id having min(deps) > 0
+    union all select id, null, 'OUTPUT' from w left join size on workflow_id = id where output_index >= coalesce(n, 0)
+    union all select distinct workflow_id, null::bigint, 'CIRCLE' from reach where a = b
+    union all select workflow_id, task_index, 'ID_INVALID' from n where not regexp_full_match(node_id, '[A-Za-z0-9_:.-]{1,128}')
+    union all select workflow_id, task_index, 'ID_TWICE' from n where node_id = 'same' and task_index > 0
+    union all select workflow_id, task_index, 'JOIN' from n where join_type = 'most'
+    union all select workflow_id, task_index, 'QUORUM' from counted where case when join_type = 'quorum' then min_success is null or min_success not between 1 and deps else min_success is not null end
+    union all select e.workflow_id, task_index, 'RANGE' from e join size using (workflow_id) where dep not between 0 and n - 1
+    union all select workflow_id, task_index, 'SELF' from e where dep = task_index)""")
+def j10_spec_faults(t):
+    spark = t("workflows").sparkSession
+    flows = t("workflows").where("id % 50 < 40").select("id", "name", F.when(F.col("id") % 50 == 17, 42).otherwise(F.col("output_index")).alias("output_index"))
+    return G.spec_faults(flows.unionByName(spark.range(1).select((-F.col("id") - 1).alias("id"), F.lit("").alias("name"), F.lit(None).cast("int").alias("output_index"))), t("plan_nodes"), t("plan_edges"))
+
+
 @query("""select * from (with recursive up as (select id as start, parent_id as at, name, definition_key as k, 1 as level from workflows where parent_id is not null
         union all select u.start, w.parent_id, u.name, u.k, u.level + 1 from up u join workflows w on w.id = u.at where w.parent_id is not null)
     select start, arg_min(w.id, level) as ancestor from up u join workflows w on w.id = u.at where case when u.k is not null and w.definition_key is not null then u.k = w.definition_key else u.name = w.name end group by 1)""")

@@ -53,6 +53,13 @@ PROJECTIONS = {
                case when m <= 3 then concat('r', l_partkey) end as result, case when m = 4 then concat(chr(123), '"error_code":"E', i, '"', chr(125)) end as error, l_orderkey * 10 + i as task_id, case when l_partkey % 10 = 0 then l_orderkey + 1 end as sub_workflow_id
         from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i, (l_partkey + l_linenumber) % 10 as m from {lineitem}) s""",
     "edges": "select workflow_id, task_index, dep_a as dep from {nodes} where dep_a is not null union all select workflow_id, task_index, dep_b from {nodes} where dep_b is not null",
+    "plan_nodes": """
+        select workflow_id, task_index, case when workflow_id % 50 = 9 then 'same' when workflow_id % 50 = 11 and task_index = 0 then 'bad id!' else node_id end as node_id,
+               case when workflow_id % 50 = 19 then 'most' else join_type end as join_type, case when workflow_id % 50 = 13 then 9 else min_success end as min_success from {nodes}""",
+    "plan_edges": """
+        select workflow_id, cast(task_index as bigint) as task_index, dep from {edges} union all select workflow_id, 0, cast(max(task_index) as bigint) from {nodes} where workflow_id % 50 = 3 group by workflow_id
+        union all select workflow_id, task_index, 99 from {nodes} where workflow_id % 50 = 7 and task_index = 1 union all select workflow_id, task_index, task_index from {nodes} where workflow_id % 50 = 15 and task_index = 2
+        union all select workflow_id, 1, 2 from {nodes} where workflow_id % 50 = 21 and task_index = 2 union all select workflow_id, 2, 1 from {nodes} where workflow_id % 50 = 21 and task_index = 2""",
     "schedules": "select c_custkey as schedule_id, concat('s', c_custkey) as schedule_name, case when c_custkey % 10 <> 0 then <as_of> + interval '1' minute * (c_custkey % 97 - 48) end as next_run_at, <as_of> - interval '1' day * (c_custkey % 5) as last_run_at, c_custkey % 12 as run_count from {customer}",
     "patterns": """
         select k as schedule_id, case k % 9 when 0 then 'interval' when 1 then 'hourly' when 2 then 'daily' when 3 then 'weekly' when 4 then 'monthly' else 'cron' end as kind,

@@ -248,3 +248,24 @@ def test_all_schedules_in_order(spark):
     got = M.schedules_in_order(spark.createDataFrame(rows, "schedule_id long, next_run_at timestamp_ntz")).collect()
     assert [(r.schedule_id, r.next_run_at, r.nth) for r in got] == [(*r, n) for n, r in enumerate(want, 1)]
     assert Q.QUERIES["a7_schedules_in_order"](spark, "/root/testdata/sf0.01").count() == 1500
+
+
+def test_closure_by_doubling(spark):
+    """A chain of 1,000 runs takes at most 12 steps, each a written table; circles end, and each run has its least level."""
+    from taskloom.sources.steps import Steps
+
+    written = []
+    real = Steps.write
+    Steps.write = lambda self, df: written.append(1) or real(self, df)
+    try:
+        chain = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+        up = J.ancestors(chain, 999)
+    finally:
+        Steps.write = real
+    assert len(written) <= 2 * 12 + 1
+    assert sorted((r.id, r.level) for r in up.collect()) == [(i, 999 - i) for i in range(1000)]
+    down = J.descend(chain, spark.createDataFrame([(10,), (990,), (990,)], "id long")).collect()
+    assert sorted((r.root, r.id, r.level) for r in down) == [(10, i, i - 10) for i in range(10, 1000)] + [(990, i, i - 990) for i in range(990, 1000)]
+    ring = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)] + [(7, 3), (8, 7), (9, None), (None, None)], "id long, parent_id long")
+    assert sorted((r.id, r.level) for r in J.ancestors(ring, 8).collect()) == sorted([(8, 0), (7, 1)] + [((3 + i) % 7, 2 + i) for i in range(7)])
+    assert sorted((r.id, r.level) for r in J.descendants(ring, 3).collect()) == sorted([((3 - i) % 7, i) for i in range(7)] + [(7, 1), (8, 2)])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import attempts as A
+from taskloom.operators import specs as S
 from taskloom.operators.specs import Node, Spec, as_rows, built, problems
 
 
@@ -36,3 +37,38 @@ def test_snapshots(spark):
     rows = [(text, None), (text, "0"), ("[[1]]", None), ("{", None), (None, None), ("[]", None), (text, hashlib.sha256(text.encode()).hexdigest()), (text.replace("[[1", "[[3"), None)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, d string").coalesce(1).select(A.fault(F.col("t"), F.col("d"))).collect()]
     assert got == [None, "DIGEST_MISMATCH", "FIELD_COUNT", "NOT_JSON", "MISSING", None, None, "NOT_CONTIGUOUS"]
+
+
+def test_table_agrees_with_the_driver(spark):
+    """Random definitions: circles and missing roots of the table are those of each definition by itself."""
+    import random
+
+    r = random.Random(4)
+    flows, nodes, edges, want = [], [], [], set()
+    for w in range(60):
+        n = r.randint(1, 7)
+        deps = [sorted({r.randint(0, n) for _ in range(r.choice([0, 0, 1, 1, 2]))}) for _ in range(n)]
+        spec = S.Spec("flow", tuple(S.Node("task", f"n{i}", tuple(d)) for i, d in enumerate(deps)))
+        flows.append((w, "flow", None))
+        nodes += [(w, i, f"n{i}", "all", None) for i in range(n)]
+        edges += [(w, i, d) for i, ds in enumerate(deps) for d in ds]
+        want |= {(w, "CIRCLE")} if S.circle(spec) else set()
+        want |= {(w, "NO_ROOT")} if all(deps) else set()
+        want |= {(w, f) for i, ds in enumerate(deps) for d in ds for f in (["SELF"] if d == i else []) + (["RANGE"] if d >= n else [])}
+    found = S.spec_faults(spark.createDataFrame(flows, "id long, name string, output_index int"), spark.createDataFrame(nodes, "workflow_id long, task_index int, node_id string, join_type string, min_success int"), spark.createDataFrame(edges, "workflow_id long, task_index int, dep long"))
+    assert {(f.workflow_id, f.fault) for f in found.collect()} == want
+
+
+def test_peeling_of_chains(spark):
+    """A chain is peeled from both ends, two nodes at each, and a circle behind it stays."""
+    rounds = []
+    real = S.Steps.write
+    S.Steps.write = lambda self, df: rounds.append(1) or real(self, df)
+    try:
+        nodes = spark.range(60).select((F.col("id") % 2).alias("workflow_id"), (F.col("id") / 2).cast("int").alias("task_index"))
+        chain = nodes.where("task_index > 0").withColumn("dep", F.col("task_index") - 1)
+        back = spark.createDataFrame([(1, 27, 29), (1, 27, 29)], "workflow_id long, task_index int, dep int")
+        assert [r.workflow_id for r in S.circles(nodes, chain.unionByName(back)).collect()] == [1]
+    finally:
+        S.Steps.write = real
+    assert len(rounds) <= 17
