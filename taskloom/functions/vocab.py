@@ -34,7 +34,10 @@ TERMINAL_KINDS = [
 # The state in which each way ends, and the ways whose workflow part follows later.
 STATUS_OF_KIND = {
     "COMPLETE_LOCKED": "COMPLETED", "COMPLETE_FUSED": "COMPLETED", "FAIL_RUNNING": "FAILED", "FAIL_STALE": "FAILED", "EXPIRE_CLAIMED": "EXPIRED",
-    "EXPIRE_PENDING": "EXPIRED", "CANCEL_ADMIN": "CANCELLED", "CANCEL_ORPHAN": "CANCELLED", "PAUSE_ABANDON_CLAIM": "CANCELLED", "PAUSE_ABANDON_CLAIM_BATCH": "CANCELLED",
+    "EXPIRE_PENDING": "EXPIRED", "CANCEL_ADMIN": "CANCELLED", "CANCEL_ORPHAN": "CANCELLED", "CANCEL_ORPHAN_SWEEP": "CANCELLED", "PAUSE_ABANDON_CLAIM": "CANCELLED",
+    "PAUSE_ABANDON_CLAIM_BATCH": "CANCELLED", "PAUSE_ABANDON_WORKFLOW": "CANCELLED", "WORKFLOW_CANCEL_CLAIM": "CANCELLED", "WORKFLOW_CANCEL_CLAIM_BATCH": "CANCELLED", "WORKFLOW_CANCEL_WORKFLOW": "CANCELLED",
 }
+# The way that may end in any terminal state.
+ANY_STATUS_KIND = "LEGACY_TERMINAL"
 DEFERRED_KINDS = ["COMPLETE_LOCKED", "FAIL_RUNNING", "FAIL_STALE", "EXPIRE_CLAIMED"]
 MAX_QUEUE_PRIORITY = 100

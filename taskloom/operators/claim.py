@@ -79,6 +79,11 @@ def claim(tasks: DataFrame, c: Claim, as_of: Column) -> tuple[DataFrame, DataFra
     return new, got
 
 
+def best_places(ranked: DataFrame) -> DataFrame:
+    """ranked: task_id, rn, where a task may be named by several arms. Each once, at its best place."""
+    return ranked.groupBy("task_id").agg(F.min("rn").alias("rn"))
+
+
 def dispatch_order(ranked: DataFrame) -> DataFrame:
     """ranked: task_id, rn, where a task may be named by several arms. Each once, at its best place, in that order."""
-    return ranked.groupBy("task_id").agg(F.min("rn").alias("rn")).orderBy("rn", "task_id")
+    return best_places(ranked).orderBy("rn", "task_id")

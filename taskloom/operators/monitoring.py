@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import error_category, in_categories
 from ..functions.vocab import TASK_STATUSES
+from ..sources.steps import Steps
 from .filters import half_open
 
 SHARED = ["task_id", "task_name", "queue_name", "status", "priority", "retry_count", "worker_id", "error_code", "enqueued_at", "started_at", "completed_at", "failed_at"]
@@ -94,6 +95,27 @@ def top_per_key(rows: DataFrame, key: str, limit: Column, *order) -> DataFrame:
     return rows.withColumn("nth", nth).where(F.col("nth") <= limit)
 
 
+def places(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `nth`, their place from 1 in an order without ties, over all of them.
+
+    Rows are dealt out by ranges of the order, sorted in each and numbered where they lie; the number of rows of each
+    range is all that comes together. The ranges are a written table, so a lost task can't shift them.
+    """
+    steps = Steps(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the range in its upper bits and the place in the lower 33
+    numbered = dealt.select("*", F.monotonically_increasing_id().alias("_at")).select("*", F.call_function("shiftright", F.col("_at"), F.lit(33)).cast("int").alias("_range"))
+    written = steps.put(numbered)
+    sizes = sorted((r["_range"], r["count"]) for r in written.groupBy("_range").count().collect())
+    before, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, before))
+        before += n
+    first = rows.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    own = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return written.join(F.broadcast(first), "_range").select(*rows.columns, (own + F.col("_before") + 1).alias("nth"))
+
+
 def schedules_in_order(schedules: DataFrame) -> DataFrame:
     """All schedules by next run, nulls last, then id, with their place: within the hour of the next run (without one,
     within 10,000 ids) plus what comes before it. Only the counts of those ranges meet in one task."""

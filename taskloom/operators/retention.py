@@ -55,6 +55,8 @@ def coverage_faults(expected: DataFrame, leaves: DataFrame) -> DataFrame:
 
 #: A finite class needs so many whole leaves to come; `forever` must reach so many days on.
 FLOOR = 2
+#: The class that is never deleted.
+FOREVER = "forever"
 
 
 def leaf_faults(leaves: DataFrame) -> DataFrame:
@@ -65,9 +67,11 @@ def leaf_faults(leaves: DataFrame) -> DataFrame:
 
 
 def health(leaves: DataFrame, classes: DataFrame, blocked: DataFrame, as_of: Column) -> DataFrame:
-    """Per class, over its sound leaves: how many are attached, covered until, whole future ones, those that block, and
-    those that can go; how many leaves have a fault, and whether coverage is below the floor."""
+    """Per class with a duration, and `forever`, over its sound leaves: how many are attached, covered until, whole future
+    ones, those that block, and those that can go; how many leaves have a fault, and whether coverage is below the floor.
+    Other classes without a duration have no coverage to speak of, and no row."""
     faults = leaf_faults(leaves)
+    classes = classes.where(F.col("keep_days").isNotNull() | (F.col("class_key") == FOREVER))
     sound = leaves.join(faults.select("leaf_name"), "leaf_name", "left_anti").join(blocked, "leaf_name")
     rows = classes.select("class_key", "keep_days").join(sound, "class_key", "left")
     old = F.col("keep_days").isNotNull() & (F.col("upper_anchor") + F.make_dt_interval(F.col("keep_days")) <= as_of)
@@ -79,6 +83,17 @@ def health(leaves: DataFrame, classes: DataFrame, blocked: DataFrame, as_of: Col
     return out.join(bad, "class_key", "left").select("class_key", "attached", "covered_until", "future", "blocked", "detachable", F.coalesce("faults", F.lit(0)).alias("faults"), short.alias("below_floor"))
 
 
+def health_faults(asked: DataFrame, leaves: DataFrame, classes: DataFrame, blocked: DataFrame, as_of: Column) -> DataFrame:
+    """(class_key, leaf_name, fault) of the classes in asked (class_key): CLASS_ABSENT from the catalog, what is wrong with
+    each leaf (see leaf_faults), and COVERAGE_BELOW_FLOOR; leaf_name is null where the class as a whole is meant."""
+    asked = asked.select("class_key").distinct()
+    found = health(leaves, classes.join(asked, "class_key", "left_semi"), blocked, as_of)
+    whole = lambda rows, fault: rows.select("class_key", F.lit(None).cast("string").alias("leaf_name"), F.lit(fault).alias("fault"))
+    absent = asked.join(classes, "class_key", "left_anti")
+    bad = leaf_faults(leaves).join(found.select("class_key"), "class_key", "left_semi")
+    return whole(absent, "CLASS_ABSENT").unionByName(bad).unionByName(whole(found.where("below_floor"), "COVERAGE_BELOW_FLOOR"))
+
+
 def birth_floor(leaves: DataFrame) -> DataFrame:
     """Per class the earliest birth, if all leaves are verified."""
     return leaves.groupBy("class_key").agg(F.when(F.bool_and("verified"), F.min("min_birth_at")).alias("floor"))

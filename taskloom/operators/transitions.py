@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import attempts
-from ..functions.vocab import DEFERRED_KINDS, STATUS_OF_KIND, TASK_TERMINAL
+from ..functions import attempts, envelopes
+from ..functions.vocab import ANY_STATUS_KIND, DEFERRED_KINDS, STATUS_OF_KIND, TASK_TERMINAL
 from .filters import past_deadline, stale_claim, stale_running
 
 
@@ -34,7 +34,9 @@ def miss(commands: DataFrame, live: DataFrame, history: DataFrame, equivalent: l
 
 def end(commands: DataFrame, live: DataFrame, history: DataFrame, *, to: str, kind: str, source: list[str], as_of: Column) -> DataFrame:
     """commands: task_id, by. Tasks in a source state that the worker holds end as `to`; the others say why not."""
-    if STATUS_OF_KIND.get(kind, to) != to:
+    if kind != ANY_STATUS_KIND and kind not in STATUS_OF_KIND:
+        raise ValueError(f"{kind} is no way to end")
+    if to not in TASK_TERMINAL or STATUS_OF_KIND.get(kind, to) != to:
         raise ValueError(f"{kind} doesn't end as {to}")
     missed = miss(commands.withColumn("at", F.lit(None).cast("timestamp_ntz")), live, history, [kind])
     hit = commands.join(live, "task_id").where(F.col("status").isin(source) & (F.col("by").isNull() | F.col("worker_id").eqNullSafe(F.col("by")))).select("task_id", F.lit(to).alias("status"), F.lit(kind).alias("kind"), as_of.alias("terminal_at"))
@@ -60,6 +62,46 @@ def to_history(ended: DataFrame, live: DataFrame, tries: DataFrame, results: Dat
         F.col("kind").isin(DEFERRED_KINDS).alias("deferred"))
 
 
+#: Kinds by which an administrator ends a task: its output so far is kept apart from a canonical result.
+ADMINISTRATIVE = ["CANCEL_ADMIN"]
+#: Columns of `inputs` that archive_rows() takes; missing ones are null.
+INPUTS = {
+    "class_key": "string", "sent_at": "timestamp_ntz", "claimed_at": "timestamp_ntz", "good_until": "timestamp_ntz", "fingerprint": "string", "fingerprint_version": "smallint", "input_digest": "string", "rerun_of": "long", "rerun_root": "long",
+    "retain_input": "boolean", "prepared": "string", "prepared_digest": "string", "result": "string", "error_code": "string", "failed_reason": "string", "worker_hostname": "string", "worker_pid": "int", "worker_process_name": "string",
+}
+
+
+def archive_rows(ended: DataFrame, live: DataFrame, tries: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The whole archive row of each task that ended, with the class that says which partition it goes to.
+
+    inputs: task_id and INPUTS, what the store knows of a task beside the live row. The result is an envelope of version
+    1; an administrator's cancellation keeps the output as prior_payload. The input for a rerun is carried as it was
+    prepared, inline, if the task may be rerun at all (no workflow task, not completed) and its sender wanted it kept.
+    """
+    known = inputs.select("task_id", *(F.col(c).cast(k).alias(f"in_{c}") if c in inputs.columns else F.lit(None).cast(k).alias(f"in_{c}") for c, k in INPUTS.items()))
+    made = tries.groupBy("task_id").agg(F.collect_list(F.struct(*attempts.FIELDS)).alias("tries"))
+    done = ended.where("outcome = 'APPLIED'").select("task_id", F.col("status").alias("ended"), "kind", "terminal_at")
+    rows = live.join(done, "task_id").join(known, "task_id", "left").join(made, "task_id", "left")
+    i = lambda c: F.col(f"in_{c}")
+    own = lambda c: F.coalesce(F.col(c), i(c)) if c in live.columns else i(c)
+    result = envelopes.of_ended(i("result"), F.col("kind").isin(ADMINISTRATIVE))
+    there = i("result").isNotNull()
+    snapshot = attempts.encode(F.col("tries"))
+    never = F.col("is_workflow_task") | (F.col("ended") == "COMPLETED")
+    disposition = F.when(never, "NEVER_ELIGIBLE").when(~F.coalesce(i("retain_input"), F.lit(False)), "DECLINED_BY_POLICY").when(i("prepared").isNotNull(), "INLINE")
+    inline = F.coalesce(disposition == "INLINE", F.lit(False))
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "task_id", "task_name", "queue_name", "priority", i("fingerprint_version").alias("fingerprint_version"), i("fingerprint").alias("fingerprint"), F.col("ended").alias("status"), "kind", "terminal_at", F.col("terminal_at").alias("anchor"), i("class_key").alias("class_key"),
+        i("sent_at").alias("sent_at"), "enqueued_at", own("claimed_at").alias("claimed_at"), "started_at", "created_at", own("good_until").alias("good_until"),
+        F.when(there, envelopes.VERSION).cast("smallint").alias("result_version"), F.when(there, envelopes.CODEC).alias("result_codec"), F.when(there, envelopes.CONTENT_TYPE).alias("result_content_type"),
+        result["canonical"].cast("string").alias("result_payload"), result["prior"].cast("string").alias("prior_payload"), hexed(result["digest"]).alias("result_digest"), i("error_code").alias("error_code"), i("failed_reason").alias("failed_reason"),
+        "retry_count", "max_retries", "worker_id", *(i(c).alias(c) for c in ("worker_hostname", "worker_pid", "worker_process_name", "input_digest", "rerun_of", "rerun_root")), "workflow_id", "is_workflow_task",
+        F.lit(1).cast("smallint").alias("row_version"), F.lit(1).cast("smallint").alias("attempts_version"), F.lit(envelopes.CODEC).alias("attempts_codec"), F.lit(envelopes.CONTENT_TYPE).alias("attempts_content_type"), snapshot.alias("attempts"), F.sha2(snapshot.cast("binary"), 256).alias("attempts_digest"),
+        disposition.alias("rerun_disposition"), F.when(inline, 1).cast("smallint").alias("rerun_version"), F.when(inline, envelopes.CODEC).alias("rerun_codec"), F.when(inline, envelopes.CONTENT_TYPE).alias("rerun_content_type"),
+        F.when(inline, i("prepared_digest")).alias("rerun_digest"), F.when(inline, i("prepared")).alias("rerun_input"), (F.col("kind").isin(DEFERRED_KINDS) & F.col("is_workflow_task")).alias("deferred"))
+
+
 def expire_pending(tasks: DataFrame, as_of: Column, limit: int) -> DataFrame:
     """The oldest deadlines first."""
     return tasks.where((F.col("status") == "PENDING") & past_deadline(as_of)).orderBy("good_until", "task_id").limit(limit).select("task_id", F.lit("EXPIRED").alias("status"), F.lit("EXPIRE_PENDING").alias("kind"))

@@ -8,8 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import attempts as P
+from ..functions import canonical as Q
+from ..functions import envelopes as E
 from ..functions import patterns as N
 from ..operators import specs as G
+from ..sources.steps import Steps
 from .queries import ACTION, BUDGET, ACCOUNT, CASES, CATEGORY, CLAIM, DEPS, DUE, FLYING, IN_LEAF, LIFE, LOWER, NODE_MOVES, OPEN, RANGE, SOFT, TASK_MOVES, WORKFLOW_MOVES, A, B, C, H, I, J, K, L, M, S, life, now, query
 
 # ---- E, F: windows, order, first rows
@@ -276,6 +279,56 @@ def h14_framed_digest(t):
     return t("events").select("event_id", S.framed_digest("key.v1", F.col("event_type"), F.col("event_id").cast("string")).alias("digest"))
 
 
+#: Commands of a table; some have faults, some texts need escapes.
+COMMAND_NAME = "case when event_id % 31 = 0 then '' when event_id % 5 = 0 then concat(event_type, chr(34), chr(92), chr(10), chr(1), chr(233)) else event_type end"
+COMMAND_SQL = "select *, " + COMMAND_NAME + """ as name, (event_id % 103)::int as prio, case when event_id % 4 = 0 then '{"a":true}' end as kw, case when event_id % 3 = 0 then ts end as until, case when event_id % 6 = 0 then event_id % 17 - 1 end as delay,
+    case when event_id % 10 = 3 then 'r' || event_id end as rerun, case when event_id % 20 = 3 then 'r0' end as root from events"""
+JSON_TEXT = "'\"' || replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(1), chr(92) || 'u0001') || '\"'"
+
+
+def _command_columns(t):
+    cols = {"name": COMMAND_NAME, "prio": "cast(event_id % 103 as int)", "kw": """case when event_id % 4 = 0 then '{"a":true}' end""", "until": "case when event_id % 3 = 0 then ts end", "delay": "case when event_id % 6 = 0 then event_id % 17 - 1 end",
+            "rerun": "case when event_id % 10 = 3 then concat('r', event_id) end", "root": "case when event_id % 20 = 3 then 'r0' end"}
+    rows = t("events").withColumns({k: F.expr(v) for k, v in cols.items()})
+    return rows, {"task_name": F.col("name"), "queue_name": F.lit("default"), "priority": F.col("prio"), "kwargs": F.col("kw"), "good_until": F.col("until"), "delay_s": F.col("delay"), "class_key": F.lit("short"), "retain_input": F.lit(True), "rerun_of": F.col("rerun"), "rerun_root": F.col("root")}
+
+
+@query(f"""select event_id, case when name = '' then 'EMPTY_TASK_NAME' when prio not between 1 and 100 then 'INVALID_PRIORITY' when delay < 0 then 'INVALID_DELAY' when (rerun is null) <> (root is null) then 'INCOMPLETE_LINEAGE' end as fault,
+    case when fault is null then sha256('[1,' || {JSON_TEXT.format('name')} || ',"default",' || prio || ',null,' || coalesce({JSON_TEXT.format('kw')}, 'null') || ',' || coalesce('"' || strftime(until, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00"', 'null') || ',' || coalesce(delay::varchar, 'null') || ',null,"short",true,'
+        || coalesce('"' || rerun || '"', 'null') || ',' || coalesce('"' || root || '"', 'null') || ']') end as digest from ({COMMAND_SQL})""")
+def h15_command_fingerprints(t):
+    rows, columns = _command_columns(t)
+    return rows.select("event_id", Q.command_fault(**columns).alias("fault"), Q.command_fingerprint(**columns).alias("digest"))
+
+
+#: Fixed value of the tests: a namespace of slots.
+SLOTS = "3c01f3f5-afd6-4363-b726-a5dab51a81c7"
+SLOT_NAME = "schedule_name || ':' || strftime(next_run_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
+
+
+@query(f"""select schedule_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', instr('0123456789abcdef', substr(h, 17, 1)) % 4 + case when instr('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 then 4 else 0 end, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as slot_id
+    from (select schedule_id, sha1(unhex('{SLOTS.replace("-", "")}') || ({SLOT_NAME})::blob) as h from schedules where next_run_at is not null)""")
+def h16_slot_ids(t):
+    import uuid
+
+    return t("schedules").where("next_run_at is not null").select("schedule_id", Q.slot_uuid(uuid.UUID(SLOTS), F.col("schedule_name"), F.col("next_run_at")).alias("slot_id"))
+
+
+#: Texts of configurations, the same ones said differently, and some that aren't JSON.
+CONFIG = """case event_id % 5 when 0 then concat('{{"b": 1.50, "a": [1, ', event_id % 7, '], "n": {{"z": null, "y": "', event_type, '"}}}}') when 1 then concat('{{"n":{{"y":"', event_type, '","z":null}},"a":[1,', event_id % 7, '],"b":1.5}}')
+    when 2 then concat('{{"a": NaN, "b": "', event_type, '"}}') when 3 then concat('{{"a": "NaN", "b": [-Infinity, ', event_id, ']}}') else concat('{{"a": ', event_id) end""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"select event_id, case when event_id % 5 in (2, 3) then 'NON_FINITE' when event_id % 5 = 4 then 'NOT_JSON' end as fault from events")
+def h19_strict_json(t):
+    return t("events").select("event_id", Q.strict_fault(F.expr(CONFIG)).alias("fault"))
+
+
+@query("""select event_id, case when event_id % 5 < 2 then sha256('{"a":[1,' || event_id % 7 || '],"b":1.5,"n":{"y":"' || event_type || '","z":null}}') end as digest from events""")
+def h20_config_digests(t):
+    return t("events").select("event_id", Q.config_digest(F.expr(CONFIG)).alias("digest"))
+
+
 @query("""select event_id, case when event_id % 3 <> 0 then date_trunc('milliseconds', ts) end as born from events""")
 def h17_uuid7_birth(t):
     head = F.lower(F.lpad(F.hex(F.unix_millis(F.col("ts").cast("timestamp"))), 12, "0"))
@@ -515,9 +568,9 @@ def a11_notifications(t):
     select task_id, row_number() over (order by priority, enqueued_at, task_id) * 2 as rn from live where status = 'PENDING' union all select task_id, row_number() over (order by enqueued_at, task_id) * 2 + 1 from live where status = 'PENDING' and queue_name = 'high') group by 1)""")
 def d24_dispatch_order(t):
     waiting = t("live").where("status = 'PENDING'")
-    place = lambda *order: F.row_number().over(Window.orderBy(*order))
-    arms = waiting.select("task_id", (place("priority", "enqueued_at", "task_id") * 2).alias("rn")).unionByName(waiting.where("queue_name = 'high'").select("task_id", (place("enqueued_at", "task_id") * 2 + 1).alias("rn")))
-    return C.dispatch_order(arms).withColumn("nth", place("rn").cast("long")).select("task_id", "nth")
+    arm = lambda rows, shift, *order: M.places(rows.select("task_id", *(c for c in order if c != "task_id")), *order).select("task_id", (F.col("nth") * 2 + shift).alias("rn"))
+    arms = arm(waiting, 0, "priority", "enqueued_at", "task_id").unionByName(arm(waiting.where("queue_name = 'high'"), 1, "enqueued_at", "task_id"))
+    return M.places(C.best_places(arms), "rn", "task_id").select("task_id", "nth")
 
 
 @query("select date_trunc('day', ts)::timestamp as bucket, count(*) as n from events group by 1")
@@ -848,6 +901,20 @@ def k12_move_to_history(t):
     return K.to_history(ended, t("live"), t("attempts"), results)
 
 
+@query(f"""select t.task_id, t.task_name, t.queue_name, t.priority, fingerprint_version, fingerprint, case t.status when 'RUNNING' then 'FAILED' else 'CANCELLED' end as status, case t.status when 'RUNNING' then 'FAIL_RUNNING' else 'CANCEL_ADMIN' end as kind, :now as terminal_at, :now as anchor, i.class_key, i.sent_at, t.enqueued_at, t.claimed_at, t.started_at, t.created_at, t.good_until,
+        case when result is not null then 1 end as result_version, case when result is not null then 'json-utf8' end as result_codec, case when result is not null then 'application/json' end as result_content_type, case when t.status = 'RUNNING' then result end as result_payload, case when t.status <> 'RUNNING' then result end as prior_payload, sha256(result) as result_digest,
+        i.error_code, i.failed_reason, t.retry_count, t.max_retries, t.worker_id, worker_hostname, worker_pid, worker_process_name, input_digest, rerun_of, rerun_root, t.workflow_id, t.is_workflow_task, 1 as row_version, 1 as attempts_version, 'json-utf8' as attempts_codec, 'application/json' as attempts_content_type, coalesce(a.s, '[]') as attempts, sha256(coalesce(a.s, '[]')) as attempts_digest,
+        case when t.is_workflow_task then 'NEVER_ELIGIBLE' when not retain_input then 'DECLINED_BY_POLICY' when prepared is not null then 'INLINE' end as rerun_disposition, case when rerun_disposition = 'INLINE' then 1 end as rerun_version, case when rerun_disposition = 'INLINE' then 'json-utf8' end as rerun_codec, case when rerun_disposition = 'INLINE' then 'application/json' end as rerun_content_type,
+        case when rerun_disposition = 'INLINE' then prepared_digest end as rerun_digest, case when rerun_disposition = 'INLINE' then prepared end as rerun_input, t.status = 'RUNNING' and t.is_workflow_task as deferred
+    from tasks t join inputs i using (task_id) left join (select task_id, {SNAPSHOT} as s from attempts group by 1) a using (task_id) where t.status in ('RUNNING', 'CLAIMED')""")
+def k12_archive_rows(t):
+    """Running tasks fail, claimed ones are cancelled by an administrator; all columns of their archive rows."""
+    asked = lambda status: t("live").where(F.col("status") == status).select("task_id", F.col("worker_id").alias("by"))
+    failed = K.end(asked("RUNNING"), t("live"), t("history"), to="FAILED", kind="FAIL_RUNNING", source=["RUNNING"], as_of=now())
+    gone = K.end(asked("CLAIMED"), t("live"), t("history"), to="CANCELLED", kind="CANCEL_ADMIN", source=["CLAIMED"], as_of=now())
+    return K.archive_rows(failed.unionByName(gone), t("live"), t("attempts"), t("inputs"))
+
+
 @query(f"select task_id, {SNAPSHOT} as snapshot from attempts group by 1")
 def h11_snapshots(t):
     return t("attempts").groupBy("task_id").agg(P.encode(F.collect_list(F.struct(*P.FIELDS))).alias("snapshot"))
@@ -938,6 +1005,19 @@ def l4_partition_health(t):
     return L.health(t("leaves"), t("classes"), L.blockers(t("outbox"), t("leaves")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
 
 
+@query(f"""select * from (with cl as (select * from classes union all select 'legal', null), asked as (select unnest(['short', 'forever', 'legal', 'ghost']) as class_key),
+    kept as (select cl.* from cl join asked using (class_key) where keep_days is not null or class_key = 'forever'),
+    cover as (select k.class_key, keep_days, count(*) filter (lower_anchor >= timestamp '2024-01-26') as future, max(upper_anchor) as until from kept k left join (select * from leaves where {LEAF_FAULT} is null) l using (class_key) group by all)
+    select class_key, null as leaf_name, 'CLASS_ABSENT' as fault from asked where class_key not in (select class_key from cl)
+    union all select class_key, leaf_name, {LEAF_FAULT} from leaves join kept using (class_key) where {LEAF_FAULT} is not null
+    union all select class_key, null, 'COVERAGE_BELOW_FLOOR' from cover where case when keep_days is not null then future < 2 else coalesce(until < timestamp '2024-01-26' + interval 2 day, true) end)""")
+def l4_health_faults(t):
+    spark = t("leaves").sparkSession
+    classes = t("classes").unionByName(spark.range(1).select(F.lit("legal").alias("class_key"), F.lit(None).cast("int").alias("keep_days")))
+    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, ("short", "forever", "legal", "ghost")))).alias("class_key"))
+    return L.health_faults(asked, t("leaves"), classes, L.blockers(t("outbox"), t("leaves")), F.lit("2024-01-26 00:00:00").cast("timestamp_ntz"))
+
+
 @query("""select e.event_id as task_id, case when l.task_id is not null then 'LIVE' when h.task_id is null then null when e.event_id % 3 <> 0 and h.enqueued_at >= (select case when bool_and(verified) then min(min_birth_at) end from leaves f where f.class_key = h.class_key and f.leaf_name not like '%\\_5') then 'PRUNED' else 'FALLBACK' end as stage
     from events e left join live l on l.task_id = e.event_id left join (select * from history where task_id % 5 <> 0) h on h.task_id = e.event_id""".replace("bool_and(verified)", "bool_and(verified or class_key = 'short')"))
 def l5_staged_lookup(t):
@@ -946,6 +1026,20 @@ def l5_staged_lookup(t):
     return A.staged_lookup(asked, t("live"), t("history").where("task_id % 5 <> 0"), L.birth_floor(leaves)).select("task_id", "stage")
 
 
+BORN = "case when event_id % 3 <> 0 then ts + interval 1 day * (case when event_id % 7 = 0 then 3 else 0 end)::int end"
+
+
+@query(f"""select task_id, class_key, stage from (select e.event_id as task_id, case when l.task_id is null then h.class_key end as class_key, {BORN} as born,
+        case when l.task_id is not null then 'LIVE' when h.task_id is null or born < timestamp '2024-01-03' then null when born is not null and date_trunc('day', anchor) >= date_trunc('day', born - interval 5 second) then 'PRUNED' else 'FALLBACK' end as stage
+    from events e left join live l on l.task_id = e.event_id left join (select * from history where task_id % 5 <> 0) h on h.task_id = e.event_id) where true""".replace("select task_id, class_key, stage", "select task_id, case when stage <> 'LIVE' then class_key end as class_key, stage"))
+def l5_archive_lookup(t):
+    spark = t("events").sparkSession
+    at = f"{Steps(spark).top}/archive"
+    A.write_history(t("history").where("task_id % 5 <> 0").select("task_id", "class_key", "anchor").repartition("class_key", F.to_date("anchor")), at)
+    born = F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.make_dt_interval(F.when(F.col("event_id") % 7 == 0, 3).otherwise(0)))
+    return A.archive_lookup(t("events").select(F.col("event_id").alias("task_id"), born.alias("born_at")), t("live"), spark.read.parquet(at), datetime(2024, 1, 3))
+
+
 @query(f"select h.task_id, leaf_name from {IN_LEAF} where h.enqueued_at >= min_birth_at")
 def l5_pruned_lookup(t):
     return L.in_leaf(t("history"), t("leaves")).where("enqueued_at >= min_birth_at").select("task_id", "leaf_name")
@@ -974,7 +1068,22 @@ def l6_copy_faults(t):
     return L.verify_copy(batch, bad, F.lower("payload"))
 
 
-@query("select task_id, coalesce(case when status = 'CANCELLED' then 'prior-' || task_id end, 'result-' || task_id) as payload from history")
+@query("select task_id, 'result-' || task_id as payload, case when status = 'CANCELLED' then 'ADMINISTRATIVE_PRIOR' else 'CANONICAL' end as source from history union all select -task_id, null, 'NONE' from history where task_id % 100 = 0")
 def l8_result_select(t):
-    tid = F.col("task_id").cast("string")
-    return t("history").select("task_id", F.coalesce(F.when(F.col("status") == "CANCELLED", F.concat(F.lit("prior-"), tid)), F.concat(F.lit("result-"), tid)).alias("payload"))
+    """What is read of an archived task: its result, or what it had put out before an administrator cancelled it."""
+    rows = t("history").select("task_id", E.of_ended(F.concat(F.lit("result-"), F.col("task_id").cast("string")), F.col("status") == "CANCELLED").alias("e"))
+    rows = rows.unionByName(rows.where("task_id % 100 = 0").select((-F.col("task_id")).alias("task_id"), F.struct(*(F.lit(None).cast("binary").alias(c) for c in ("canonical", "prior", "digest"))).alias("e")))
+    return rows.select("task_id", E.selected(F.col("e.canonical"), F.col("e.prior")).alias("s")).select("task_id", F.col("s.payload").cast("string").alias("payload"), "s.source")
+
+
+@query("""select task_id, case task_id % 8 when 1 then 'UNKNOWN_VERSION' when 2 then 'UNKNOWN_CODEC' when 3 then 'UNKNOWN_CONTENT_TYPE' when 4 then 'DIGEST_MISMATCH' when 5 then 'CORRUPT' end as fault,
+    case when task_id % 8 in (0, 7) then '{"task":' || task_id || '}' end as result from history""")
+def l8_envelopes(t):
+    """Envelopes of results, some of them spoilt after they were written; a text that isn't JSON gets none."""
+    n = F.col("task_id") % 8
+    text = F.when(n != 6, F.concat(F.lit('{"task":'), F.col("task_id").cast("string"), F.lit("}"))).otherwise("{")
+    e, bad = F.col("e"), F.lit("{").cast("binary")
+    rows = t("history").select("task_id", E.encode(text).alias("e"))
+    spoilt = (F.when(n == 1, e.withField("version", F.lit(2).cast("smallint"))).when(n == 2, e.withField("codec", F.lit("row-v1"))).when(n == 3, e.withField("content_type", F.lit("text/plain")))
+              .when(n == 4, e.withField("digest", F.lit("?").cast("binary"))).when(n == 5, e.withField("payload", bad).withField("digest", F.unhex(F.sha2(bad, 256)))).otherwise(e))
+    return rows.select("task_id", spoilt.alias("e")).select("task_id", E.fault(F.col("e")).alias("fault"), E.decode(F.col("e")).alias("result"))

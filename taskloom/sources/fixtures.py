@@ -35,6 +35,13 @@ PROJECTIONS = {
         select task_id, cast(a as int) as attempt, task_id % 3 = a as ok, case when task_id % 3 = a then 'COMPLETED' else 'FAILED' end as outcome, a < h.retry_count as will_retry, h.started_at, h.started_at + interval '1' minute * cast(a as int) as finished_at,
                case when task_id % 3 <> a then 'TASK_ERROR' end as error_code, case when task_id % 3 <> a then concat('bad ', chr(123), '"v": ', task_id, chr(125), ' body', chr(125)) end as error_message, cast(null as varchar(9)) as failed_reason, worker_id, 'host' as worker_hostname, cast(task_id % 1000 as int) as worker_pid, cast(null as varchar(9)) as worker_process_name
         from {tasks} h join (values (1), (2), (3)) v(a) on v.a <= h.retry_count where h.started_at is not null""",
+    "inputs": """
+        select task_id, case task_id % 4 when 0 then 'forever' when 1 then 'short' else 'standard' end as class_key, enqueued_at - interval '1' second * cast(task_id % 5 as int) as sent_at, claimed_at, good_until,
+               case when task_id % 6 <> 0 then concat('fp', task_id) end as fingerprint, case when task_id % 6 <> 0 then 1 end as fingerprint_version, concat('in', task_id) as input_digest,
+               case when task_id % 10 = 3 then task_id - 1 end as rerun_of, case when task_id % 10 = 3 then task_id - 2 end as rerun_root, task_id % 3 = 0 as retain_input,
+               case when task_id % 7 <> 0 then concat('[', task_id, ']') end as prepared, case when task_id % 7 <> 0 then concat('d', task_id) end as prepared_digest, case when task_id % 8 <> 0 then concat(chr(123), '"v":', task_id, chr(125)) end as result,
+               case when status <> 'RUNNING' then 'TASK_CANCELLED' end as error_code, case when task_id % 9 = 0 then 'why' end as failed_reason, concat('host-', task_id % 3) as worker_hostname, cast(task_id % 1000 as int) as worker_pid, cast(null as varchar(9)) as worker_process_name
+        from {tasks}""",
     "heartbeats": "select task_id, 'runner' as role, started_at + interval '1' second * (30 * (task_id % 20)) as sent_at from {tasks} where status = 'RUNNING' and task_id % 7 <> 0 union all select task_id, 'claimer', claimed_at from {tasks} where status = 'CLAIMED'",
     "worker_states": "select concat('worker-', user_id) as worker_id, ts as snapshot_at, event_id as snapshot_id, value as cpu_percent, event_id % 5 as tasks_running from {events}",
     "workflows": """

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .steps import Steps
+
 
 def write_history(history: DataFrame, path: str) -> None:
     """By class and day of the anchor, so that windows read the days they need."""
@@ -82,3 +86,39 @@ def snapshots(states: DataFrame, worker: str, limit: int | None = None) -> DataF
     """A worker's states, newest first."""
     out = states.where(F.col("worker_id") == worker).orderBy(F.desc("snapshot_at"), F.desc("snapshot_id"))
     return out if limit is None else out.limit(limit)
+
+
+#: A birth time may be ahead of the store's clock by so many seconds.
+CLOCK_S = 5
+
+
+def archive_lookup(ids: DataFrame, live: DataFrame, archive: DataFrame, floor=None) -> DataFrame:
+    """(task_id, class_key, stage) of ids (task_id, born_at; null where the id doesn't tell), reading few files of the archive.
+
+    archive: what write_history() wrote, read again. LIVE first. PRUNED: a task ends after its birth, so of ids with a
+    birth only days from the oldest birth on are read, a filter on partitions; births before `floor` have no row. Each id
+    then looks at its own days. FALLBACK, for ids that no stage has found: births are only a hint, so the days before are
+    read up to the newest birth left, and all days if an id has none; with nothing left, nothing is read. stage is null
+    for ids that are nowhere. Each stage is a written table.
+    """
+    steps = Steps(ids.sparkSession)
+    day = F.to_date(F.col("born_at") - F.make_dt_interval(secs=F.lit(CLOCK_S)))
+    asked = steps.put(ids.select("task_id", "born_at", day.alias("day")).distinct())
+    found = lambda rows, stage: rows.select("task_id", "class_key", F.lit(stage).alias("stage"))
+    now = steps.put(asked.join(live.select("task_id"), "task_id", "left_semi").select("task_id", F.lit(None).cast("string").alias("class_key"), F.lit("LIVE").alias("stage")))
+    rest = steps.put(asked.join(now, "task_id", "left_anti"))
+    early = F.lit(False) if floor is None else F.coalesce(F.col("born_at") < F.lit(floor), F.lit(False))
+    rows = archive.select("task_id", "class_key", "anchor_date")
+    late = rest.where(F.col("day").isNotNull() & ~early)
+    out, oldest = [now], late.agg(F.min("day")).first()[0]
+    if oldest is not None:
+        out.append(steps.put(found(rows.where(F.col("anchor_date") >= F.lit(oldest)).join(late, "task_id").where("anchor_date >= day"), "PRUNED")))
+        rest = rest.join(out[-1], "task_id", "left_anti")
+    left = steps.put(rest)
+    bounds = left.where(~early).agg(F.max("day"), F.count_if(F.col("day").isNull()), F.count("*")).first()
+    if bounds[2]:
+        days = rows if bounds[1] else rows.where(F.col("anchor_date") < F.lit(bounds[0]))
+        out.append(steps.put(found(days.join(left.where(~early), "task_id").where("day is null or anchor_date < day"), "FALLBACK")))
+        left = left.join(out[-1], "task_id", "left_anti")
+    out.append(left.select("task_id", F.lit(None).cast("string").alias("class_key"), F.lit(None).cast("string").alias("stage")))
+    return reduce(DataFrame.unionByName, out)
