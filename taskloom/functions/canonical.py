@@ -57,8 +57,8 @@ def command_fingerprint(**columns: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """A JSON text with keys in order at every depth, no white space, and numbers in one form (1.50 and 1.5 are the same).
-    Null for what isn't JSON; NaN and infinities aren't."""
+    """A JSON text with keys in order at every depth, no white space, and numbers in one form: 1.50 and 1.5 are the same;
+    those with an exponent are floating point and stay apart (1e2 is 100.0). Null for what isn't JSON; NaN and infinities aren't."""
     return F.to_json(F.try_parse_json(text), {"ignoreNullFields": "false"})
 
 

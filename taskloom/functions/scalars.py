@@ -149,6 +149,16 @@ def merge_results(kwargs: Column, name: str, status: Column, result: Column) ->
     return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(merged, k))), {"ignoreNullFields": "false"})
 
 
+def duration_text(micros: Column) -> Column:
+    """A positive duration as Python prints it, like timedelta_text(); null for others."""
+    seconds = F.floor(micros / 1_000_000)
+    days, rest = F.floor(seconds / 86_400), seconds % 86_400
+    clock = F.concat(F.floor(rest / 3600).cast("string"), F.lit(":"), F.lpad(F.floor(rest / 60 % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((rest % 60).cast("string"), 2, "0"))
+    fraction = F.when(micros % 1_000_000 != 0, F.concat(F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))).otherwise("")
+    day = F.when(days == 0, "").when(days == 1, "1 day, ").otherwise(F.concat(days.cast("string"), F.lit(" days, ")))
+    return F.when(micros > 0, F.concat(day, clock, fraction))
+
+
 def timedelta_text(d: timedelta) -> str:
     """As Python prints it; it must be positive."""
     if d <= timedelta(0):

@@ -33,6 +33,26 @@ def order_queues(queues: list[str], priority: dict[str, int], most_running: dict
     return sorted((q for q in queues if q in priority or q in most_running), key=lambda q: priority.get(q, 100))
 
 
+def queues_from_json(configs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, queue_name, queue_priority, cap) of each queue in a JSON array of objects {name, priority, cap}; priority is 100
+    by default, cap null. Texts that aren't such arrays, and queues without a name, give no rows."""
+    listed = F.from_json(F.col(text), "array<struct<name:string,priority:int,cap:int>>")
+    rows = configs.select(key, F.explode(listed).alias("q")).where("q.name is not null")
+    return rows.select(key, F.col("q.name").alias("queue_name"), F.coalesce("q.priority", F.lit(100)).alias("queue_priority"), F.col("q.cap").alias("cap"))
+
+
+def ordered_queues(configs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, queue_name, place) from a JSON object {queues, priority, caps} of each row: queues with a priority or a cap, by
+    priority (100 by default), in the given order among equals; all as given where no priorities are set."""
+    c = F.from_json(F.col(text), "struct<queues:array<string>,priority:map<string,int>,caps:map<string,int>>")
+    of = lambda m, q: F.try_element_at(F.coalesce(m, F.expr("cast(map() as map<string,int>)")), q)
+    rows = configs.select(key, c.alias("c")).select(key, "c", F.posexplode("c.queues").alias("pos", "queue_name"))
+    priority, cap = of(F.col("c.priority"), F.col("queue_name")), of(F.col("c.caps"), F.col("queue_name"))
+    given = F.coalesce(F.size("c.priority"), F.lit(0)) <= 0
+    kept = rows.where(given | priority.isNotNull() | cap.isNotNull()).select(key, "queue_name", "pos", F.when(given, 0).otherwise(F.coalesce(priority, F.lit(100))).alias("p"))
+    return kept.select(key, "queue_name", F.row_number().over(Window.partitionBy(key).orderBy("p", "pos")).alias("place"))
+
+
 def queue_table(df: DataFrame, c: Claim) -> DataFrame:
     """A row for each queue asked for: its priority, and its cap or null."""
     rows = [(q, c.priority.get(q, 100), c.most_running.get(q)) for q in c.queues]

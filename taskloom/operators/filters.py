@@ -39,6 +39,19 @@ def check_page(limit: int, offset: int) -> None:
         raise ValueError("page out of bounds: 1 <= limit <= 200, offset >= 0, offset + limit <= 500")
 
 
+def window_of(since: Column, until: Column, now: Column) -> Column:
+    """struct(lower, upper, fault) of a request, as resolve_window(): EMPTY or TOO_LONG, else null."""
+    upper = F.coalesce(until, now)
+    lower = F.coalesce(since, upper - F.make_dt_interval(hours=F.lit(24)))
+    fault = F.when(lower >= upper, "EMPTY").when(upper - lower > F.make_dt_interval(F.lit(30)), "TOO_LONG")
+    return F.struct(lower.alias("lower"), upper.alias("upper"), fault.alias("fault"))
+
+
+def page_ok(limit: Column, offset: Column) -> Column:
+    """Whether a page may be asked for, as check_page()."""
+    return (offset >= 0) & limit.between(1, 200) & (offset + limit <= 500)
+
+
 def _due(as_of: Column) -> Column:
     return (F.col("enqueued_at") <= as_of) & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= as_of)) & (F.col("good_until").isNull() | (F.col("good_until") > as_of))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import error_category, in_categories
-from ..functions.vocab import TASK_STATUSES
+from ..functions.vocab import ERROR_FAMILIES, TASK_STATUSES
 from ..sources.steps import Steps
 from .filters import half_open
 
@@ -30,6 +30,7 @@ def breakdown(rows: DataFrame, by: str, limit: int) -> DataFrame:
     """Per group the states' counts, total and retried, largest first; the TOTAL row and group_count cover all groups."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in TASK_STATUSES]
     groups = rows.groupBy(F.coalesce(by, F.lit("unknown")).alias("grp")).agg(*counts, F.count("*").alias("total"), F.count_if(F.col("retry_count") > 0).alias("retried"))
+    groups = Steps(rows.sparkSession).put(groups)  # the rows are read once; both what follows comes from their groups
     summed = [F.sum(c).alias(c) for c in groups.columns[1:]]
     total = groups.agg(F.lit("TOTAL").alias("grp"), *summed, F.count("*").alias("group_count"))
     top = groups.orderBy(F.desc("total"), F.asc("grp")).limit(limit)
@@ -52,7 +53,9 @@ def facets(rows: DataFrame, categories: list[str] = (), columns: tuple[str, ...]
     counted = rows.select(F.explode(F.array(*pairs)).alias("p")).where("p.value is not null").groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
     most = F.when(F.col("facet") == "error_code", error_cap).when(F.col("facet") != "category", cap)
     nth = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
-    return counted.withColumn("nth", nth).where(most.isNull() | (F.col("nth") <= most)).select("facet", "value", "n")
+    # one number bounds all facets (there are few categories): each task sends no more than so many rows of a facet
+    first = counted.withColumn("nth", nth).where(F.col("nth") <= max(cap, error_cap, len(ERROR_FAMILIES) + 1))
+    return first.where(most.isNull() | (F.col("nth") <= most)).select("facet", "value", "n")
 
 
 def sort_key(field: str) -> Column:

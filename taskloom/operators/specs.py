@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.steps import Steps
@@ -83,6 +83,46 @@ def built(make: Callable[..., Spec], **parameters) -> Spec:
     return spec
 
 
+@dataclass(frozen=True)
+class Part:
+    """A part of a parameterised definition: one node, or as many as a column of the parameters says, each of which depends
+    on all nodes of the parts before it (after), or with `each` on the node of the same number."""
+
+    name: str
+    after: tuple[str, ...] = ()
+    times: str | None = None
+    each: bool = False
+
+
+def from_parameters(parameters: DataFrame, parts: list[Part], key: str = "workflow_id") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a definition for each row of parameters: key, task_index, node_id; key, task_index, dep.
+
+    Indexes go by the order of parts, then by number; a part of no nodes (0 or null) is left out, and so are dependencies on it.
+    """
+    known = {p.name for p in parts}
+    if len(known) != len(parts) or any(a not in known for p in parts for a in p.after):
+        raise ValueError("parts need names of their own, and come after known ones")
+    size = lambda p: F.greatest(F.coalesce(F.col(p.times).cast("int"), F.lit(0)), F.lit(0)) if p.times else F.lit(1)
+    first, starts = F.lit(0), {}
+    for p in parts:
+        starts[p.name], first = first, first + size(p)
+    numbers = lambda p: F.filter(F.sequence(F.lit(0), size(p)), lambda n: n < size(p))
+    by = {p.name: p for p in parts}
+    node = lambda p: F.transform(numbers(p), lambda n: F.struct((starts[p.name] + n).alias("task_index"), F.concat(F.lit(p.name), F.concat(F.lit("-"), n.cast("string")) if p.times else F.lit("")).alias("node_id")))
+
+    def links(p: Part, a: str) -> Column:
+        q = by[a]
+        pair = lambda n, m: F.struct((starts[p.name] + n).alias("task_index"), (starts[a] + m).alias("dep"))
+        if p.each:
+            return F.transform(F.filter(numbers(p), lambda n: n < size(q)), lambda n: pair(n, n))
+        return F.flatten(F.transform(numbers(p), lambda n: F.transform(numbers(q), lambda m: pair(n, m))))
+
+    rows = parameters.select(key, F.explode(F.concat(*map(node, parts))).alias("x")).select(key, "x.*")
+    every = [links(p, a) for p in parts for a in p.after]
+    edges = parameters.select(key, F.explode(F.concat(*every)).alias("x")).select(key, "x.*")
+    return rows, edges
+
+
 def as_rows(spec: Spec, like: DataFrame) -> DataFrame:
     """The definition's edges as a DataFrame (task_index, dep)."""
     return like.sparkSession.createDataFrame([(i, d) for i, x in enumerate(spec.nodes) for d in x.depends_on], "task_index int, dep long")

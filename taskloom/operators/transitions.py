@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import attempts, envelopes
+from ..functions import attempts, canonical, envelopes
 from ..functions.vocab import ANY_STATUS_KIND, DEFERRED_KINDS, STATUS_OF_KIND, TASK_TERMINAL
 from .filters import past_deadline, stale_claim, stale_running
 
@@ -190,9 +192,16 @@ def quarantine(outbox: DataFrame, most_attempts: int) -> tuple[DataFrame, DataFr
     return outbox.where(~over), outbox.where(over)
 
 
+#: Namespace of the ids of reruns.
+RERUNS = uuid.uuid5(uuid.NAMESPACE_OID, "reruns")
+
+
 def rerun(history: DataFrame, ids: list, as_of: Column) -> DataFrame:
-    """A new pending request for each archived task, with its lineage."""
-    return history.where(F.col("task_id").isin(ids)).select(F.uuid().alias("task_id"), "task_name", "queue_name", "priority", F.lit("PENDING").alias("status"), as_of.alias("enqueued_at"), F.col("task_id").alias("rerun_of"), F.col("kind").alias("rerun_of_kind"))
+    """A new pending request for each archived task, with its lineage. Its id follows from the task and the time of the
+    command: the same command twice makes the same request."""
+    rows = history.where(F.col("task_id").isin(ids))
+    name = F.concat_ws(":", F.col("task_id").cast("string"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return rows.select(canonical.uuid5(RERUNS, name).alias("task_id"), "task_name", "queue_name", "priority", F.lit("PENDING").alias("status"), as_of.alias("enqueued_at"), F.col("task_id").alias("rerun_of"), F.col("kind").alias("rerun_of_kind"))
 
 
 def cancel_task(commands: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def g3_terminal_nodes(t):
 @query("select schedule_name from schedules where schedule_id % 3 = 0 and schedule_id not in (select schedule_id from schedules where schedule_id % 2 = 0)")
 def g4_unsaved_schedules(t):
     s = t("schedules")
-    return s.where("schedule_id % 3 = 0").join(s.where("schedule_id % 2 = 0").select("schedule_id"), "schedule_id", "left_anti").select("schedule_name")
+    return A.unsaved(s.where("schedule_id % 3 = 0"), s.where("schedule_id % 2 = 0"), "schedule_id").select("schedule_name")
 
 
 @query("select leaf_name from (select 'hist_' || class_key || '_' || d as leaf_name from classes, range(0, 26) r(d)) where leaf_name not in (select leaf_name from leaves where verified)")
@@ -592,10 +592,7 @@ def i5_late_tasks(t):
 
 @query("select task_id, 'LIVE' as location from live union all select task_id, 'HISTORY' from history")
 def i6_two_pass_lookup(t):
-    ids = t("events").select(F.col("event_id").alias("task_id"))
-    first = ids.join(t("live").select("task_id"), "task_id", "left_semi")
-    second = ids.join(first, "task_id", "left_anti").join(t("history").select("task_id"), "task_id", "left_semi")
-    return first.select("task_id", F.lit("LIVE").alias("location")).unionByName(second.select("task_id", F.lit("HISTORY").alias("location")))
+    return A.locate(t("live"), t("history"), t("events").select(F.col("event_id").alias("task_id")))
 
 
 STALE = "select t.* from tasks t left join (select task_id, max(sent_at) as last_beat from heartbeats where role = 'runner' group by 1) h using (task_id) where status = 'RUNNING' and coalesce(last_beat, started_at) < :now - interval 300 second and (finalizing_at is null or finalizing_at < :now - interval 60 second)"
@@ -965,6 +962,64 @@ def k18_rerun(t):
     return K.rerun(t("history"), [100, 200, 300, 400, 555], now()).select("rerun_of", "rerun_of_kind", "queue_name", "status")
 
 
+RERUN_NAMES = "t::varchar || ':2024-01-31T00:00:00.000000'"
+
+
+@query(f"""select t as rerun_of, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || case when substr(h, 17, 1) in ('0', '4', '8', 'c') then '8' when substr(h, 17, 1) in ('1', '5', '9', 'd') then '9' when substr(h, 17, 1) in ('2', '6', 'a', 'e') then 'a' else 'b' end || substr(h, 18, 3) || '-' || substr(h, 21, 12) as task_id
+    from (select t, sha1(unhex('{K.RERUNS.hex}') || ({RERUN_NAMES})::blob) as h from (select task_id as t from history where task_id in (100, 200, 300, 400, 555)))""")
+def k18_rerun_ids(t):
+    return K.rerun(t("history"), [100, 200, 300, 400, 555], now()).select("rerun_of", "task_id")
+
+
+#: Configurations of workers as JSON, made from nations.
+QUEUES_JSON = """case when n_nationkey % 8 = 7 then 'none' else concat('[{"name":"', n_name, '","priority":', n_nationkey % 9, ',"cap":', n_regionkey + 1, '},{"name":"high"},{"cap":3},{"name":"low","cap":', n_nationkey, '}]') end"""
+ORDER_JSON = """concat('{"queues":["low","', n_name, '","high","bulk"],"priority":{', case when n_nationkey % 3 = 0 then '' else concat('"high":', n_nationkey % 5, ',"', n_name, '":', n_regionkey) end, '},"caps":{"bulk":', n_nationkey, '}}')"""
+
+
+@query("""select n_nationkey as worker, n_name as queue_name, n_nationkey % 9 as queue_priority, n_regionkey + 1 as cap from nation where n_nationkey % 8 <> 7 union all select n_nationkey, 'high', 100, null from nation where n_nationkey % 8 <> 7
+    union all select n_nationkey, 'low', 100, n_nationkey from nation where n_nationkey % 8 <> 7""")
+def a10_queues_from_json(t):
+    return C.queues_from_json(t("nation").select(F.col("n_nationkey").alias("worker"), F.expr(QUEUES_JSON).alias("config")), "worker", "config")
+
+
+@query("""select worker, queue_name, row_number() over (partition by worker order by p, pos) as place from (
+    select n_nationkey as worker, unnest(['low', n_name, 'high', 'bulk']) as queue_name, unnest([1, 2, 3, 4]) as pos, unnest(case when n_nationkey % 3 = 0 then [0, 0, 0, 0] else [null, n_regionkey, n_nationkey % 5, 100] end) as p from nation) where p is not null""")
+def f12_queue_order(t):
+    return C.ordered_queues(t("nation").select(F.col("n_nationkey").alias("worker"), F.expr(ORDER_JSON).alias("config")), "worker", "config")
+
+
+SINCE, UNTIL = "case when event_id % 3 = 0 then ts - interval '1' hour * cast(event_id % 800 as int) end", "case when event_id % 4 <> 0 then ts + interval '1' day * cast(event_id % 5 - 1 as int) end"
+
+
+@query(f"""select event_id, lower, upper, case when lower >= upper then 'EMPTY' when upper - lower > interval 30 day then 'TOO_LONG' end as fault from (select event_id, coalesce(since, coalesce(until, :now) - interval 24 hour) as lower, coalesce(until, :now) as upper from (select event_id, {SINCE} as since, {UNTIL} as until from events))""")
+def b7_windows(t):
+    return t("events").select("event_id", B.window_of(F.expr(SINCE), F.expr(UNTIL), now()).alias("w")).select("event_id", "w.*")
+
+
+@query("select event_id, event_id % 210 between 1 and 200 and event_id % 450 - 1 >= 0 and event_id % 450 - 1 + event_id % 210 <= 500 as ok from events")
+def b8_pages(t):
+    return t("events").select("event_id", B.page_ok(F.col("event_id") % 210, F.col("event_id") % 450 - 1).alias("ok"))
+
+
+@query("""select event_id, case when m > 0 then case when m // 86400000000 = 0 then '' when m // 86400000000 = 1 then '1 day, ' else m // 86400000000 || ' days, ' end || (m // 3600000000) % 24 || ':' || lpad(((m // 60000000) % 60)::varchar, 2, '0') || ':' || lpad(((m // 1000000) % 60)::varchar, 2, '0')
+    || case when m % 1000000 = 0 then '' else '.' || lpad((m % 1000000)::varchar, 6, '0') end end as text from (select event_id, case when event_id % 9 = 0 then event_id * 1000000 else event_id * 61234567 end - 90000000 as m from events)""")
+def h51_durations(t):
+    micros = F.when(F.col("event_id") % 9 == 0, F.col("event_id") * 1_000_000).otherwise(F.col("event_id") * 61_234_567) - 90_000_000
+    return t("events").select("event_id", S.duration_text(micros).alias("text"))
+
+
+@query("""select * from (with p as (select c_custkey as workflow_id, (c_custkey % 4)::int as w from customer),
+    parts as (select workflow_id, w, 0 as task_index, 'split' as node_id from p union all select workflow_id, w, 1 + n::int, 'load-' || n from p, range(0, 3) r(n) where n < w union all select workflow_id, w, 1 + w + n::int, 'check-' || n from p, range(0, 3) r(n) where n < w union all select workflow_id, w, 1 + 2 * w, 'merge' from p)
+    select workflow_id, task_index, node_id, case when node_id like 'load%' then [0] when node_id like 'check%' then [task_index - w] when node_id = 'merge' then range(1 + w, 1 + 2 * w) || [0] else [] end::varchar as deps from parts)""")
+def m4_built_workflows(t):
+    parts = [G.Part("split"), G.Part("load", ("split",), "w"), G.Part("check", ("load",), "w", each=True), G.Part("merge", ("check", "split"))]
+    nodes, edges = G.from_parameters(t("customer").select(F.col("c_custkey").alias("workflow_id"), (F.col("c_custkey") % 4).alias("w")), parts)
+    listed = edges.groupBy("workflow_id", "task_index").agg(F.collect_list("dep").alias("deps"))
+    order = F.array_sort(F.coalesce("deps", F.expr("cast(array() as array<int>)")))
+    last = F.concat(F.filter(order, lambda d: d != 0), F.filter(order, lambda d: d == 0))
+    return nodes.join(listed, ["workflow_id", "task_index"], "left").select("workflow_id", "task_index", "node_id", F.concat(F.lit("["), F.array_join(last.cast("array<string>"), ", "), F.lit("]")).alias("deps"))
+
+
 @query("select event_id * 3 as task_id, case when t.status is null then 'NOT_FOUND' when t.status in ('PENDING', 'CLAIMED') then 'CANCELLED' when t.status = 'RUNNING' then 'REFUSED_RUNNING' else 'REFUSED_TERMINAL' end as outcome from events left join tasks t on t.task_id = event_id * 3")
 def k19_cancel_action(t):
     return K.cancel_task(t("events").select((F.col("event_id") * 3).alias("task_id")), t("tasks"))

@@ -43,6 +43,11 @@ def upsert(there: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return there.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def unsaved(configured: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """Configured rows without a state row, one for each key."""
+    return configured.join(states.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+
+
 def delete(there: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return there.join(gone.select(*keys), list(keys), "left_anti")
 
