@@ -27,6 +27,8 @@ TABLE = 1 << 20
 UNKNOWN = U(1 << 63)
 #: Bytes of text that are worked on at a time; equal fragments of these are sent once.
 PART = 4 << 20
+#: Parts of a language in which phrases are ranked before all of it is.
+PARTS = 16
 
 
 class Slice:
@@ -125,10 +127,10 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     sides = [f"l{d}" for d in range(1, most_words)] + [f"r{d}" for d in range(1, most_words)]
     place = lambda i: F.col("pivot" if not i else f"l{-i}" if i < 0 else f"r{i}")
     spans = [(a, b) for a in range(1 - most_words, 1) for b in range(0, most_words) if 2 <= b - a + 1 <= most_words]
-    grams = [F.when(place(a).isNotNull() & place(b).isNotNull(), F.struct(F.concat_ws(" ", *(place(i) for i in range(a, b + 1))).alias("phrase"), F.lit(b - a + 1).alias("words"))) for a, b in spans]
+    grams = [F.when(place(a).isNotNull() & place(b).isNotNull(), F.concat_ws(" ", *(place(i) for i in range(a, b + 1)))) for a, b in spans]
     sent = used.mapInArrow(fragments, f"lang string, pivot string, {', '.join(f'{c} string' for c in sides)}, n long").repartition("lang", "pivot")
-    mined = sent.select("lang", "pivot", "n", F.explode(F.array_compact(F.array(*grams))).alias("g")).groupBy("lang", "pivot", "g").agg(F.sum("n").alias("f"))
-    phrases = materialize(mined.where(F.col("f") >= least).select("lang", "g.phrase", "g.words", "f"), "phrases")
+    mined = sent.select("lang", "pivot", "n", F.explode(F.array_compact(F.array(*grams))).alias("phrase")).groupBy("lang", "pivot", "phrase").agg(F.sum("n").alias("f"))
+    phrases = materialize(mined.where(F.col("f") >= least).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
     shared.unpersist()
     return counted.where("word is null").select("lang", "n"), own.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")), phrases
 
@@ -160,8 +162,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         parts = F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> array_join(slice(w, i, m), ' '))))")
         most = longer.select("lang", "f", F.explode(parts).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
         left = scored.join(most, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), "phrase"))
-        first = left.select("lang", "phrase", "a", "s").withColumn("rank", place).where(F.col("rank") <= top)
+        order = [F.desc("s.score"), F.desc("a"), F.col("phrase")]
+        # the first of each part of a language, then of all parts
+        some = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order))
+        some = left.select("lang", "phrase", "a", "s").withColumn("rank", some).where(F.col("rank") <= top).drop("rank")
+        first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
         out = materialize(first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "s.l", "s.r", "n", "s.score"), "collocations")
         own.only(out)
     return out
