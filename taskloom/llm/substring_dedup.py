@@ -109,7 +109,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach = length - k
     whole = placed.where("low < id").select("id", "fp", (F.col("pos") - reach).alias("a"), F.col("pos").alias("b"))
     some = placed.where("low = id and not alike").groupBy("id", "fp").agg(F.collect_set("pos").alias("at"))
-    bodies = materialize(likely(base.where(F.col("text").isNotNull()).select("id", "fp", "text").distinct(), near.select("id"), "id"), "bodies")
+    bodies = materialize(likely(base.where(F.col("text").isNotNull()).select("id", "fp", "text"), near.select("id"), "id").distinct(), "bodies")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
