@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER_NP, slices, utf8
+from .common import LOWER_NP, materialize, slices, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: The network is fitted on at most about so many windows of each language, a window from each of so many documents, and
-#: knows so many languages at most, the most frequent ones.
+#: The network is fitted on at most about so many windows of each language, a window from each of so many documents. More
+#: languages than these are refused, so that the sample stays bounded and no language is left out unseen.
 SAMPLE, LANGUAGES = 600, 200
 #: Steps of training and windows in each.
 STEPS, BATCH, RATE = 400, 64, 0.01
@@ -115,11 +115,13 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0) -> ByteNetwork:
-    """Fitted on a window of characters from at most about SAMPLE training documents of each of LANGUAGES languages. Rows
-    that repeat are drawn once; those with a null id are told apart by their texts."""
+    """Fitted on a window of characters from at most about SAMPLE training documents of each language. Rows that repeat
+    are drawn once; those with a null id are told apart by their texts. More than LANGUAGES languages raise a ValueError."""
     usable = docs.select(fold(id_col).alias("fold"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     usable = usable.where((F.col("fold") != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = materialize(usable.groupBy("lang").count(), "languages")
+    if (n := counts.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages are more than {LANGUAGES}")
     chance = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     start = 1 + F.pmod(F.xxhash64("id", F.lit(9)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     picked = usable.join(F.broadcast(counts), "lang").where(chance < F.lit(float(SAMPLE)) / F.col("count"))
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id", text_col
 
     A null text, one without a letter, and any text if nothing was learned, is `und` with score 0. Each row is judged
     for itself, so repeated rows repeat. score is the mean probability of the language over the text's windows, which
-    cover very long texts whole. No rows give no rows. Columns of any other name do no harm.
+    cover very long texts whole; of equally probable languages the first by name is given. No rows give no rows. Columns of any other name do no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col(f"`{id_col}`")
