@@ -117,17 +117,6 @@ def boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
 
-#: A key is hot if it has more than one in so many of a table's rows, and more rows than any task minds; so there are fewer hot ones than these.
-HOT, LEAST = 1000, 1000
-
-
-def hot_above(table: DataFrame, n: str = "n") -> int | None:
-    """The number of rows above which a key is hot, where table has a row a key with its number of rows; None if no key is."""
-    total, most = table.agg(F.sum(n), F.max(n)).first()
-    least = max((total or 0) // HOT, LEAST)
-    return least if most and most > least else None
-
-
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined (inner) with a table of one row a key. The table is written first, so that both sides come straight from
     shuffles: then Spark splits the rows of a hot key over tasks as it runs (adaptive skew joins), which it can't do to a
