@@ -117,6 +117,23 @@ def boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
 
+#: A key is hot if it has more rows than these, which one task bears well at any size of table.
+BEARS = 10_000
+#: Hot keys are broadcast if there are no more than these; else their join is a shuffle whose large parts Spark splits.
+MOST_HOT = 1 << 20
+
+
+def hot_above(table: DataFrame, n: str = "n") -> int | None:
+    """BEARS if table, which has a row a key with its number of rows, has a hot key; else None."""
+    most = table.agg(F.max(n)).first()[0]
+    return BEARS if most and most > BEARS else None
+
+
+def few(hot: DataFrame) -> DataFrame:
+    """A written table of hot keys, marked for broadcast if it is small enough."""
+    return F.broadcast(hot) if hot.count() <= MOST_HOT else hot
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined (inner) with a table of one row a key. The table is written first, so that both sides come straight from
     shuffles: then Spark splits the rows of a hot key over tasks as it runs (adaptive skew joins), which it can't do to a

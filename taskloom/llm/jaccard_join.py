@@ -20,11 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import likely
-from .common import LOWER_NP, ROW, Scratch, U, join_by_key, materialize, mix, scratch, shingle_hashes, slices, utf8, with_row, word_hashes, words
+from .common import LOWER_NP, ROW, Scratch, U, few, hot_above, join_by_key, materialize, mix, scratch, shingle_hashes, slices, utf8, with_row, word_hashes, words
 from .components import components
 
 
@@ -239,10 +239,18 @@ def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _meets(keyed: DataFrame) -> DataFrame:
-    """(key, node, first): rows of keyed (key, node) with the least node of their key, but for that itself. Keys with one
-    row go before the join, and Spark splits the rows of a hot key over tasks, however many there are."""
-    lows = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
-    return materialize(join_by_key(keyed, lows, ["key"]).where("node <> first"), "meets")
+    """(key, node, first): rows of keyed (key, node) with the least node of their key, but for that itself. Keys that a
+    part of the rows shows to be hot are joined with their least, so that their rows don't gather."""
+    bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    part = keyed.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("key").agg((F.count("*") * 16).alias("n"))
+    cold, found = keyed, []
+    if least := hot_above(part):
+        hot = materialize(part.where(F.col("n") > least).select("key"), "hot")
+        lows = materialize(keyed.join(few(hot), "key").groupBy("key").agg(F.min("node").alias("first")), "lows")
+        found.append(keyed.join(few(lows), "key").select("key", "node", "first"))
+        cold = keyed.join(few(hot), "key", "left_anti")
+    found.append(cold.withColumn("first", F.first("node").over(bucket)))
+    return materialize(reduce(DataFrame.unionByName, found).where("node <> first"), "meets")
 
 
 def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,15 +273,28 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
     sets = _sets(base, plan)
     usable = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     # of equal sets one stands for all
-    firsts = materialize(usable.groupBy("whole").agg(F.min("id").alias("first"), F.min(F.struct("id", "node")).alias("low")).select("whole", "first", F.col("low.node").alias("set")), "firsts")
+    firsts = materialize(usable.groupBy("whole").agg(F.min("id").alias("first"), F.min(F.struct("id", "node")).alias("low"), F.count("*").alias("n")).select("whole", "first", F.col("low.node").alias("set"), "n"), "firsts")
     rows = materialize(join_by_key(usable.select("node", "id", "n_shingles", "whole"), firsts.select("whole", "set"), ["whole"]).drop("whole"), "rows")
-    # different sets of one id are linked
+    # different sets of one id are linked, and equal ones; of large groups of equal sets only one goes on
     several = rows.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a < high").drop("high")
-    same = materialize(join_by_key(rows.select("id", F.col("set").alias("b")), several, ["id"]).where("a <> b").select("a", "b").distinct(), "same")
-    # only the row that stands for a set sends its blocks
-    kept = usable.select("node", "keys").join(firsts.select(F.col("set").alias("node")), "node", "left_semi")
+    same = join_by_key(rows.select("id", F.col("set").alias("b")), several, ["id"]).where("a <> b").select("a", "b").distinct()
+    kept = usable.select("node", "keys")
+    copies = rows.where("node <> set").select("node", "set")
+    if least := hot_above(firsts):
+        large = few(materialize(firsts.where(F.col("n") > least).select("whole", "set"), "large"))
+        kept = usable.join(large, "whole", "left").where("set is null or node = set").select("node", "keys")
+        copies = copies.join(large.select("set"), "set", "left_anti")
+    stands = materialize(copies, "stands")
+    same = materialize(same.unionByName(stands.select(F.col("set").alias("a"), F.col("node").alias("b"))), "same")
+
+    def standing(table: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            table = table.join(stands.select(F.col("node").alias(c), F.col("set").alias("stand")), c, "left").withColumn(c, F.coalesce("stand", c)).drop("stand")
+        return table.distinct()
+
     meets = _meets(kept.select(F.explode("keys").alias("key"), "node"))
-    met = materialize(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    met = standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b")
+    met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -295,12 +316,12 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
 
     links = materialize(_linked(sifted(met), base, firsts, plan), "links")
     parts = parts_of(links)
-    held = (sets, firsts, rows, same, nodes)  # the other tables go when a round is over
+    held = (sets, firsts, rows, stands, same, nodes)  # the other tables go when a round is over
     own.only(*held, meets, links, parts)
     members = meets.select("key", "node").unionByName(meets.select("key", F.col("first").alias("node")).distinct())
     # each with another document of its block, picked by hash: groups whose first document is an outlier close here
     for turn in (1, 2):
-        members = apart(members, parts)
+        members = materialize(standing(apart(members, parts), "node"), "members")
         if members.isEmpty():
             break
         picks = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("pick"))
