@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Units of the state and the embedding, streams side by side and steps of one window in training.
-UNITS, STREAMS, STEPS, RATE = 16, 192, 24, 0.01
+UNITS, STREAMS, STEPS, RATE = 24, 384, 24, 0.01
 
 
 def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:

@@ -4,7 +4,7 @@ Word counts over all training texts come from a shuffle; they give the smoothed
 of a gated recurrent model; all others fall in classes by their last bytes, and within a class a word has its smoothed
 share of the class's count. The counts of words outside a broadcast table of bounded size are joined. Each text is cut
 into words once more to a row of symbols, which is written; the model learns from all training rows where they lie, in
-rounds of disjoint shares: each partition goes over its own, and the weights are averaged by token count.
+rounds: in each, every partition goes over all of its own, and the weights are averaged by token count.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .language_id import fold
 SYMBOLS, TAILS = 1000, 48
 #: Most words with counts in the broadcast table. Words of more bytes are known by a digest, so that each fits.
 HEAD, HEAD_BYTES = 300_000, 40
-#: Rounds of training. A document is learned from in one of them; after each the weights are averaged.
+#: Rounds of training. Each learns from every training document; after each the weights are averaged.
 ROUNDS = 2
 #: Symbols that are scored side by side.
 PART = 2_000_000
@@ -112,7 +112,7 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = PART) -> Iterator[tuple
 
 
 def fitted(rows: DataFrame, counts: np.ndarray) -> Gru:
-    """The model, trained on all rows (_row, symbols); `seen` has the tokens of all rounds. A partition starts from the
+    """The model, trained on all rows (_row, symbols) in each round; `seen` has the tokens of all rounds. A partition starts from the
     round's weights and sends only its own and its token count; they are summed in about sqrt(partitions) tasks, then here."""
     spark, model = rows.sparkSession, Gru(counts)
     model.seen = 0
@@ -140,7 +140,7 @@ def fitted(rows: DataFrame, counts: np.ndarray) -> Gru:
             if n:
                 yield weights({k: a.astype("<f8").ravel() * n for k, a in gru.p.items()}, n)
 
-        made = rows.where(F.pmod(ROW, F.lit(ROUNDS)) == turn).select("symbols").mapInArrow(fit, "name string, tokens long, weights binary")
+        made = rows.select("symbols").mapInArrow(fit, "name string, tokens long, weights binary")
         got = materialize(made.repartition(max(1, math.isqrt(made.rdd.getNumPartitions()))).mapInArrow(add, made.schema), "weights")
         tokens, sums = Counter(), {}
         for r in got.toLocalIterator():

@@ -10,7 +10,7 @@ import pytest
 from taskloom.llm import gru, lm_scoring
 from taskloom.llm.gru import Gru
 from taskloom.llm.language_id import language_id
-from taskloom.llm.lm_scoring import fitted, lexicon, score_documents, symbols, word_counts
+from taskloom.llm.lm_scoring import ROUNDS, fitted, lexicon, score_documents, symbols, word_counts
 
 from .conftest import SCHEMA
 
@@ -108,14 +108,14 @@ def test_lm_edges(spark, docs, rows, nothing):
 
 
 def test_lm_learns_from_all(spark):
-    """All texts reach the model, copies too, in more than one task; no symbol of a batch is left out."""
+    """All texts reach the model in every round, copies too, in more than one task; no symbol of a batch is left out."""
     rows = [(i, f"w{i % 7} common x{i} " * (1 + i % 5) if i % 2 else "a copy of one text") for i in range(5000)]
     learn = spark.createDataFrame(rows, "_row long, text string")
     lex = lexicon(word_counts(learn))
     table = lex.table()
     coded = [(i, symbols(t.encode().split(), table, lex)[1].astype("<u2").tobytes()) for i, t in rows]
     model = fitted(spark.createDataFrame(coded, "_row long, symbols binary").repartition(5), lex.symbol_counts())
-    assert model.seen == lex.total == sum(len(t.split()) + 1 for _, t in rows)
+    assert lex.total == sum(len(t.split()) + 1 for _, t in rows) and model.seen == ROUNDS * lex.total
     plain = Gru(lex.symbol_counts())
     copy = [np.array([lex.words.index(w) for w in b"a copy of one text".split()])]
     assert model.score(copy)[0] > plain.score(copy)[0] + 1
