@@ -2,8 +2,8 @@
 
 Each text is cut into pre-tokens. Words that are frequent in a bounded sample are shuffled first, each distinct one is
 encoded once, and they are looked up in a broadcast table of bounded size, so that no word is hot. All others are
-exploded with their places, dealt out by word so that each distinct one is encoded once, and go back to where they
-came from. Documents wait in blocks of about BLOCK bytes, as packed word codes in a bucketed table, to which ids come
+exploded with their places, dealt out by word so that each distinct one is encoded once (once for every BEARS blocks,
+80 GB of text, so that a word that stands everywhere but isn't in the table is spread), and go back to where they came from. Documents wait in blocks of about BLOCK bytes, as packed word codes in a bucketed table, to which ids come
 back without moving it; a word is sent once a block however often it stands there. Ids are put in place by position,
 and decoding joins each id to the token-byte table, which is as large as the tokenizer and broadcast.
 """
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bucketed, frequent, materialize, slices, with_row
+from .common import BEARS, ROW, bucketed, frequent, materialize, slices, with_row
 
 #: Most words in the broadcast table, and bytes in one of them: with ids some 30 MB at most.
 HEAD, HEAD_BYTES = 400_000, 40
@@ -245,7 +245,9 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
 
     held = ", ".join(f"`_{f.name}` array<{f.dataType.simpleString()}>" for f in kept)
     blocks = bucketed(with_row(base.mapInArrow(cut, f"packed binary, sizes array<int>, words array<string>, {held}")), ROW, "blocks")
-    away = blocks.select(F.col(ROW).alias("block"), F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    # a block sends a word once, so that no (word, group) has many more than BEARS rows, whatever the word
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // BEARS) or 1))
+    away = blocks.select(F.col(ROW).alias("block"), F.posexplode("words").alias("at", "word")).repartition("word", group).sortWithinPartitions("word")
     back = _encoded(away, shared).groupBy(F.col("block").alias(ROW)).agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("away"))
     joined = blocks.drop("words").join(back, ROW, "left")
 

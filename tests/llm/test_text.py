@@ -9,6 +9,7 @@ import struct
 import public_tokenizers as P
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from taskloom.llm import bpe
 from taskloom.llm.bpe import LATIN_PATTERN, ODD, PLAIN_PATTERN, encode_decode, encode_word, load_ranks
@@ -49,6 +50,29 @@ def test_bpe(spark, docs, rows, nothing, monkeypatch):
     assert encode_decode(nothing, RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_hot_long_word(spark, monkeypatch):
+    """A word that is too long for the table stands in every block: its rows are spread, and come back to their places."""
+    monkeypatch.setattr(bpe, "BLOCK", 1000)
+    monkeypatch.setattr(bpe, "BEARS", 5)
+    rows = [(i, f"a{i} {'Ab' * 100} b {'x' * (i % 50)}\n{'Ab' * 100}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, plain = [], bpe._encoded
+
+    def encoded(away, shared):
+        parts = away.where(F.length("word") > 200).select("word", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        seen.extend(r["count"] for r in parts)
+        return plain(away, shared)
+
+    monkeypatch.setattr(bpe, "_encoded", encoded)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.ids for r in encode_decode(docs, RANKS, P.PATTERN, keep_ids=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: LIBRARY.encode_ordinary(t) for i, t in rows}
+    assert len(seen) > 1 and max(seen) < sum(seen) / 2
+
+
 def test_bpe_odd_texts(spark):
     texts = ["\x1cx\x85 y　z", "don't WE'LL  ½²", "<|endoftext|>", "🙂🙂 \n\n\n  a", "́e", "a\x00b"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
