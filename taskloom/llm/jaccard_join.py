@@ -4,9 +4,11 @@ The shingles of a document are dealt to blocks by hash, and a block is known by
 that differ in d shingles differ in at most d blocks, so among d + 1 blocks one agrees. Documents are put in bands by set
 size, which fixes the number of blocks; those near the upper end of a band are sketched in the next one too. Documents
 that agree in a block are compared, first each with the least of its block, then those that the links so far leave
-apart, so that a group of n near copies needs about n comparisons, not n². A pair is sifted by a parity sketch of 2048
-bits, in which each shingle flips one, so that the Hamming distance bounds the difference from below; then by its texts.
-Equal sets are linked at sight, and one of them stands for all. One pass over the texts makes sets, blocks and sketches.
+apart, so that a group of n near copies needs about n comparisons, not n². Where many documents of a block stay apart (a
+common passage fills it), only those that agree in a block of a second dealing too are compared: linked sets do, as the
+same holds of any dealing. A pair is sifted by a parity sketch of 2048 bits, in which each shingle flips one, so that the
+Hamming distance bounds the difference from below; then by its texts. Equal sets are linked at sight, and one of them
+stands for all. One pass over the texts makes sets, blocks and sketches.
 """
 
 from __future__ import annotations
@@ -87,8 +89,8 @@ def _first(which: np.ndarray, owner: np.ndarray, base: np.ndarray, need: np.ndar
     return which & (seen[1:] - seen[base][owner] <= need[owner])
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, key) for every block to be sent.
+def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, key) for every block to be sent, in one of several independent dealings of shingles to blocks.
 
     A set that may differ from a linked one in d blocks sends its first d + 1 strong ones (two shingles or more). One of
     them is the same in the other set; of two sets that do so, take the one whose last is earlier, and the other sends
@@ -100,6 +102,7 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
     tops = plan.tops(int(size.max()))
     band = np.searchsorted(tops, size)
     code = mix(sets)
+    dealt = mix(sets ^ U(dealing)) if dealing else sets
     out_of, out_key = [], []
     sides = [(band, size > 0)]
     # the next band holds sets that may be this much larger
@@ -116,7 +119,7 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
         lengths = size[which]
         owner = np.repeat(np.arange(len(which)), lengths)
         pick = np.repeat(bounds[which], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = base[owner] + ((sets[pick] >> U(32)) * counts[owner].astype(U) >> U(32)).astype(np.int64)
+        place = base[owner] + ((dealt[pick] >> U(32)) * counts[owner].astype(U) >> U(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         place, codes = place[order], code[pick][order]
         heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -137,6 +140,8 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
 
 #: Bits of the sketch by which pairs are sifted before their texts are compared, as longs; and of the one that moves with a block's documents.
 SKETCH, NARROW = 32, 8
+#: The second dealing; and a block is dealt by it too if it leaves more documents apart than this many times their keys, as then keys are fewer than comparisons.
+SECOND, MANY = 0x3C6EF372, 4
 
 
 def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -217,24 +222,27 @@ def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, plan: Plan) ->
 
 
 def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, id, n_shingles, whole, keys, sketch) of each row of docs (id, text), written: node is a number of its own for
-    the row, whole a digest of its set, keys those of its blocks."""
+    """(node, id, n_shingles, whole, keys, others, sketch) of each row of docs (id, text), written: node is a number of its
+    own for the row, whole a digest of its set, keys those of its blocks, others those of the second dealing."""
+
+    def dealt(sets: np.ndarray, bounds: np.ndarray, dealing: int) -> pa.Array:
+        of, key = sketches(sets, bounds, plan, dealing)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(bounds))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             sets, bounds = shingle_sets(LOWER_NP[data], offsets, plan.k)
             whole = _wholes(sets, bounds)
-            of, key = sketches(sets, bounds, plan)
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(len(bounds))).astype(np.int32)
             bits = pa.array(folded(sets, bounds).reshape(-1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64))),
+                [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary()), dealt(sets, bounds, 0), dealt(sets, bounds, SECOND),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * SKETCH), bits)],
-                ["id", "n_shingles", "whole", "keys", "sketch"])
+                ["id", "n_shingles", "whole", "keys", "others", "sketch"])
 
-    made = docs.mapInArrow(read, "id long, n_shingles long, whole binary, keys array<long>, sketch array<long>")
+    made = docs.mapInArrow(read, "id long, n_shingles long, whole binary, keys array<long>, others array<long>, sketch array<long>")
     return materialize(with_row(made), "sets").withColumnRenamed(ROW, "node")
 
 
@@ -253,6 +261,16 @@ def _meets(keyed: DataFrame) -> DataFrame:
     return materialize(reduce(DataFrame.unionByName, found).where("node <> first"), "meets")
 
 
+def _dealt_again(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members (key, node, width, and more) with `other`: in blocks with many members once for each of their keys in the
+    second dealing, which nodes (node, others) have; once with 0 in the rest."""
+    large = members.groupBy("key").agg(F.count("*").alias("held"), F.max("width").alias("width")).where(F.col("held") > MANY * F.col("width"))
+    large = materialize(large.select("key", F.lit(True).alias("large")), "large")
+    marked = materialize(members.join(large, "key", "left").drop("width"), "marked")
+    again = marked.where("large").drop("large").join(nodes.select("node", "others"), "node").withColumn("other", F.explode("others")).drop("others")
+    return marked.where("large is null").drop("large").withColumn("other", F.lit(0).cast("long")).unionByName(again)
+
+
 def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -295,7 +313,7 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
     meets = _meets(kept.select(F.explode("keys").alias("key"), "node"))
     met = standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b")
     met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
+    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), "others", "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that may be linked by size, then by sketch."""
@@ -332,9 +350,11 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
         own.only(*held, members, links, parts)
     else:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
-        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node").withColumnRenamed("node", "b")
-        odd = members.where("part <> low").select("key", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
-        rest = odd.join(members, (odd["key"] == members["key"]) & (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b"))) & _may_link(plan, NARROW)).select("a", "b").distinct()
+        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), F.size("others").alias("width"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node")
+        members = materialize(_dealt_again(members, nodes), "dealt").withColumnRenamed("node", "b")
+        odd = members.where("part <> low").select("key", "other", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
+        across = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b")))
+        rest = odd.join(members, (odd["key"] == members["key"]) & (odd["other"] == members["other"]) & across & _may_link(plan, NARROW)).select("a", "b").distinct()
         parts = parts_of(links.unionByName(_linked(sifted(materialize(rest, "rest")), base, firsts, plan)))
     # a component's id is the least of its documents'
     label = firsts.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("part", "set").alias("part"))

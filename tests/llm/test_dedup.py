@@ -8,6 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from taskloom.llm import jaccard_join
 from taskloom.llm.components import components
 from taskloom.llm.exact_dedup import exact_dedup, keep_one
 from taskloom.llm.jaccard_join import Plan, jaccard_classes, sketches
@@ -56,8 +57,11 @@ def test_exact_dedup_edges(spark, docs, nothing, rows):
     assert kept.columns == docs.columns and kept.count() == len({(r[1] or "").translate(LOWER) for r in rows})
 
 
+@pytest.mark.parametrize("many", [jaccard_join.MANY, 0])
 @pytest.mark.parametrize("plan", [Plan(), Plan(5, Fraction(8, 10)), Plan(2, Fraction(1, 2))])
-def test_jaccard_classes(docs, rows, plan):
+def test_jaccard_classes(docs, rows, plan, many, monkeypatch):
+    """Also if every block that stays apart is dealt again."""
+    monkeypatch.setattr(jaccard_join, "MANY", many)
     sets = {}
     for r in rows:
         w = words((r[1] or "").translate(LOWER))
@@ -83,6 +87,44 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {got[i] for i in range(60)} == {0} and all(got[100 + i] == 100 + i for i in range(5))
 
 
+@pytest.mark.parametrize("many", [jaccard_join.MANY, 0])
+def test_jaccard_common_passage(spark, many, monkeypatch):
+    """Texts that share a passage of 40 words and are otherwise apart, with a near copy of each tenth."""
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    common = [f"c{i}" for i in range(40)]
+    own = lambda i: [f"w{i}x{j}" for j in range(60)]
+    rows = [(i, " ".join(common + own(i))) for i in range(300)] + [(1000 + i, " ".join([*common, *own(i)[:-1], "z"])) for i in range(0, 300, 10)]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), Plan()).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
+def met(sets, plan, dealings):
+    """The pairs of sets that agree in a block of each dealing."""
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    out = []
+    for dealing in dealings:
+        blocks = defaultdict(list)
+        for i, key in zip(*(x.tolist() for x in sketches(np.concatenate(sets), bounds, plan, dealing))):
+            blocks[key].append(i)
+        out.append({(a, b) for held in blocks.values() for x, a in enumerate(held) for b in held[x + 1 :]})
+    return set.intersection(*out)
+
+
+def test_second_dealing():
+    """Linked sets agree in both dealings; sets with a common passage seldom do."""
+    r, plan, second = np.random.default_rng(1), Plan(), jaccard_join.SECOND
+    common = r.integers(0, 2**63, 38).astype(np.uint64)
+    fresh = [np.sort(np.concatenate((common, r.integers(0, 2**63, 60).astype(np.uint64)))) for _ in range(2000)]
+    once, twice = met(fresh, plan, [0]), met(fresh, plan, [0, second])
+    assert len(once) > 1000 and len(twice) * 10 < len(once)
+    for size in (5, 30, 98, 400):
+        for _ in range(20):
+            base = r.integers(0, 2**63, size).astype(np.uint64)
+            other = base.copy()
+            other[: size // 19] = r.integers(0, 2**63, size // 19).astype(np.uint64)
+            assert met([np.sort(base), np.sort(other)], plan, [0, second])
+
+
 def test_jaccard_edges(spark, nothing):
     assert jaccard_classes(nothing, Plan()).count() == 0
     rows = [(5, "a b c d"), (5, "x y z"), (3, "A b  c D"), (None, "a b c d"), (7, None), (8, " "), (9, "x y z")]
