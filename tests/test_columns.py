@@ -59,3 +59,10 @@ def test_built_definitions(spark):
     assert sorted(tuple(r) for r in edges.collect()) == [(1, 2, 0), (1, 2, 1), (1, 3, 0), (1, 3, 1), (1, 3, 2), (1, 4, 0), (1, 4, 1), (1, 4, 2), (1, 5, 3), (1, 6, 4), (2, 1, 0), (2, 2, 1)]
     with pytest.raises(ValueError):
         G.from_parameters(nodes, [G.Part("a", ("b",))])
+
+
+def test_stale_worker_by_fractions_of_a_second(spark):
+    ages = [(1, 119.0), (2, 120.0), (3, 120.000001), (4, 120.9), (5, 121.0)]
+    rows = spark.createDataFrame([(k, NOW - timedelta(seconds=age)) for k, age in ages], "k int, snapshot_at timestamp_ntz")
+    got = {r.k: r.stale for r in rows.select("k", B.stale_worker(F.lit(NOW).cast("timestamp_ntz")).alias("stale")).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: True}
