@@ -34,18 +34,32 @@ def evaluate_joins(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) ->
 
 
 def skip_cascade(nodes: DataFrame, edges: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Nodes after skipping all that can't run, level by level, until a level skips none. Each level is a written table,
-    and only the last one stays."""
-    steps, now, last = Steps(nodes.sparkSession), nodes, None
-    while True:
-        skipped = steps.put(evaluate_joins(now, edges, workflows).where("action = 'SKIP'").select("workflow_id", "task_index", F.lit(True).alias("skip")))
-        if skipped.isEmpty():
-            steps.keep(last)
-            return now
-        after = now.join(skipped, ["workflow_id", "task_index"], "left").withColumn("status", F.when(F.col("skip"), "SKIPPED").otherwise(F.col("status"))).select(*nodes.columns)
-        last = steps.write(after)
-        now = steps.read(last, like=after)
-        steps.keep(last)
+    """Nodes after skipping all that can't run, level by level, until a level skips none.
+
+    Dependencies are counted once, of pending nodes in running workflows alone; each level adds what the level before
+    has skipped to the counts of the nodes that depend on it, and judges only these again. What a level finds is a
+    written table; at the end only the lists of skipped nodes stay.
+    """
+    steps, keys = Steps(nodes.sparkSession), ["workflow_id", "task_index"]
+    running = workflows.where("status = 'RUNNING'").select(F.col("id").alias("workflow_id"))
+    pending = steps.put(nodes.where("status = 'PENDING'").join(running, "workflow_id", "left_semi").select(*keys, "join_type", "min_success", "allow_failed_deps"))
+    links = steps.put(edges.select(*keys, F.col("dep").cast("long").alias("dep")).join(pending.select(*keys), keys, "left_semi"))
+    state = steps.put(pending.join(dependency_counts(nodes, links), keys))
+    listed = lambda rows: rows.where(join_action() == "SKIP").select(*keys)
+    new = steps.put(listed(state))
+    skipped, touched = [], []
+    while not new.isEmpty():
+        skipped.append(steps.tables[-1])
+        hit = links.join(new.select("workflow_id", F.col("task_index").cast("long").alias("dep")), ["workflow_id", "dep"]).groupBy(*keys).agg(F.count("*").alias("more"))
+        touched.append(steps.write(hit))
+        more = steps.read(*touched, like=hit).join(steps.read(touched[-1], like=hit).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("more").alias("more"))
+        again = state.join(more, keys).withColumn("skipped", F.col("skipped") + F.col("more"))
+        new = steps.put(listed(again).join(steps.read(*skipped, like=new), keys, "left_anti"))
+    steps.keep(*skipped)
+    if not skipped:
+        return nodes
+    skip = steps.read(*skipped, like=new).withColumn("skip", F.lit(True))
+    return nodes.join(skip, keys, "left").withColumn("status", F.when(F.col("skip"), "SKIPPED").otherwise(F.col("status"))).select(*nodes.columns)
 
 
 def unfinished(nodes: DataFrame) -> DataFrame:
