@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import attempts, canonical, envelopes
 from ..functions.vocab import ANY_STATUS_KIND, DEFERRED_KINDS, STATUS_OF_KIND, TASK_TERMINAL
 from .filters import past_deadline, stale_claim, stale_running
+from .joins import left_by_key
 
 
 def start(claims: DataFrame, tasks: DataFrame, workflows: DataFrame, as_of: Column) -> DataFrame:
     """claims: task_id, by, at. outcome RUNNING if the claim still holds (a null `at` accepts any time of claim), in time,
     and the workflow isn't paused or cancelled."""
-    stopped = workflows.where(F.col("status").isin("PAUSED", "CANCELLED")).select(F.col("id").alias("workflow_id"), F.lit(True).alias("stopped"))
-    rows = claims.join(tasks, "task_id", "left").join(stopped, "workflow_id", "left")
+    held = tasks.select("task_id", "status", "worker_id", "claimed_at", "claim_expires_at", "good_until", "workflow_id")
+    rows = claims.join(held, "task_id", "left")
     lost = (F.col("status") != "CLAIMED") | ~F.col("worker_id").eqNullSafe(F.col("by")) | (F.col("at").isNotNull() & ~F.col("claimed_at").eqNullSafe(F.col("at")))
-    outcome = (F.when(F.col("status").isNull(), "TASK_ABSENT").when(lost, "LOST_CLAIM").when(F.col("claim_expires_at") <= as_of, "LEASE_EXPIRED")
-               .when(past_deadline(as_of), "EXPIRED").when(F.col("stopped"), "WORKFLOW_STOPPED").otherwise("RUNNING"))
+    so_far = (F.when(F.col("status").isNull(), "TASK_ABSENT").when(lost, "LOST_CLAIM").when(F.col("claim_expires_at") <= as_of, "LEASE_EXPIRED")
+              .when(past_deadline(as_of), "EXPIRED"))
+    # only a claim that nothing else ends asks for its workflow; the others are dealt out by task
+    asks = F.when(F.col("so_far").isNull(), F.col("workflow_id"))
+    stopped = workflows.where(F.col("status").isin("PAUSED", "CANCELLED")).select(F.col("id").alias("asked"), F.lit(True).alias("stopped"))
+    rows = left_by_key(rows.select("task_id", so_far.alias("so_far"), "workflow_id").select("task_id", "so_far", asks.alias("asked")), stopped, "asked", "task_id")
+    outcome = F.coalesce("so_far", F.when(F.col("stopped"), "WORKFLOW_STOPPED").otherwise("RUNNING"))
     return rows.select("task_id", outcome.alias("outcome"))
 
 
@@ -176,7 +182,8 @@ def outbox_verdicts(asked: DataFrame, outbox: DataFrame, workflows: DataFrame, n
     n = nodes.select("node_key", F.col("status").alias("node_status"))
     linked = nodes.groupBy("task_id").agg(F.min_by("status", "node_key").alias("linked_status"))
     h = history.select("task_id", F.lit(1).alias("source_version"), F.concat(F.lit("d"), F.col("task_id")).alias("source_digest"))
-    rows = asked.join(o, "task_id", "left").join(w, "workflow_id", "left").join(n, "node_key", "left").join(linked, "task_id", "left").join(h, "task_id", "left")
+    rows = left_by_key(asked.join(o, "task_id", "left"), w, "workflow_id", "task_id")
+    rows = left_by_key(rows, n, "node_key", "task_id").join(linked, "task_id", "left").join(h, "task_id", "left")
     ended = ["COMPLETED", "FAILED", "SKIPPED"]
     verdict = (F.when(F.col("pending").isNull(), F.when(F.col("linked_status").isin(ended), "ALREADY_APPLIED").otherwise("PENDING_ABSENT"))
                .when(F.col("wf_status").isNull() | F.col("node_status").isNull(), "SOURCE_STATE_CONFLICT")

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.operators import dag as J
+from taskloom.operators import transitions as K
+from taskloom.operators.joins import left_by_key
+from taskloom.plans import catalog
 
 
 @pytest.fixture
@@ -21,6 +24,32 @@ def most_in_a_task(df):
     return max(r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
 
 
+def test_left_by_key_spreads_nulls(shuffled):
+    rows = shuffled.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("k"))
+    table = shuffled.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = left_by_key(rows, table, "k", "id")
+    assert got.columns == ["id", "k", "v"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(table, "k", "left").select("id", "k", "v").collect()), key=str)
+    assert most_in_a_task(got) < 1000
+
+
+def test_start_spreads_claims(shuffled):
+    claims = shuffled.range(2000).select(F.col("id").alias("task_id"), F.lit("w").alias("by"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    tasks = shuffled.range(1000).select(F.col("id").alias("task_id"), F.when(F.col("id") % 2 == 0, "CLAIMED").otherwise("RUNNING").alias("status"), F.lit("w").alias("worker_id"), at.alias("claimed_at"), F.lit(None).cast("timestamp_ntz").alias("claim_expires_at"),
+        F.lit(None).cast("timestamp_ntz").alias("good_until"), F.when(F.col("id") % 4 == 0, F.col("id") % 3).alias("workflow_id"))
+    workflows = shuffled.createDataFrame([(0, "PAUSED"), (1, "RUNNING")], "id long, status string")
+    got = K.start(claims, tasks, workflows, at)
+    want = lambda i: "TASK_ABSENT" if i >= 1000 else "LOST_CLAIM" if i % 2 else "WORKFLOW_STOPPED" if i % 4 == 0 and i % 3 == 0 else "RUNNING"
+    assert {r.task_id: r.outcome for r in got.collect()} == {i: want(i) for i in range(2000)}
+    assert most_in_a_task(got) < 1000
+
+
+def test_outbox_verdicts_spread_tasks_without_rows(shuffled, sf_dir):
+    plan = catalog.QUERIES["j16_outbox_verdicts"](shuffled, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(workflow_id" not in plan and "hashpartitioning(node_key" not in plan
+
+
 def test_cascade_reads_edges_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
