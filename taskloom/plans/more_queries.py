@@ -12,6 +12,7 @@ from ..functions import canonical as Q
 from ..functions import envelopes as E
 from ..functions import patterns as N
 from ..operators import specs as G
+from ..operators.joins import left_by_key
 from ..sources.steps import Steps
 from .queries import ACTION, BUDGET, ACCOUNT, CASES, CATEGORY, CLAIM, DEPS, DUE, FLYING, IN_LEAF, LIFE, LOWER, NODE_MOVES, OPEN, RANGE, SOFT, TASK_MOVES, WORKFLOW_MOVES, A, B, C, H, I, J, K, L, M, S, life, now, query
 
@@ -795,7 +796,8 @@ def j15_run_detail(t):
     nodes = t("nodes")
     deps = t("edges").groupBy("workflow_id", "task_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.col("dep").cast("long"))), lambda x: x.cast("string")), ",").alias("deps"))
     children = J.child_summary(t("nodes")).select(F.col("workflow_id").alias("sub_workflow_id"), F.col("total").alias("child_total"))
-    return nodes.join(deps, ["workflow_id", "task_index"], "left").join(children, "sub_workflow_id", "left").select("workflow_id", "task_index", "status", "deps", "child_total")
+    rows = nodes.join(deps, ["workflow_id", "task_index"], "left").select("workflow_id", "task_index", "status", "deps", "sub_workflow_id")
+    return left_by_key(rows, children, "sub_workflow_id", "workflow_id", "task_index").select("workflow_id", "task_index", "status", "deps", "child_total")
 
 
 OUTBOX = """select a.task_id, case when o.task_id is null then case when l.s in ('COMPLETED', 'FAILED', 'SKIPPED') then 'ALREADY_APPLIED' else 'PENDING_ABSENT' end

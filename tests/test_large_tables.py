@@ -45,6 +45,11 @@ def test_start_spreads_claims(shuffled):
     assert most_in_a_task(got) < 1000
 
 
+def test_run_detail_spreads_nodes_without_children(shuffled, sf_dir):
+    plan = catalog.QUERIES["j15_run_detail"](shuffled, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sub_workflow_id" not in plan
+
+
 def test_outbox_verdicts_spread_tasks_without_rows(shuffled, sf_dir):
     plan = catalog.QUERIES["j16_outbox_verdicts"](shuffled, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(workflow_id" not in plan and "hashpartitioning(node_key" not in plan
