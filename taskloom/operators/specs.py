@@ -134,12 +134,15 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Kahn's peeling: nodes without open dependencies go, and so do those that nothing open depends on; what is left when
     none goes lies on a circle or between two. Each round peels twice from either end and is a written table. nodes: workflow_id,
     task_index; edges: the same and dep. Dependencies that aren't there don't count. Null keys and repeated rows do no harm.
+    A circle goes up and down in the order of indexes (or stays where it is), so only definitions whose dependencies do
+    both are peeled.
     """
     steps = Steps(edges.sparkSession)
     keys = ["workflow_id", "task_index"]
-    there = nodes.select("workflow_id", F.col("task_index").cast("long").alias("dep")).distinct()
-    links = edges.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), F.col("dep").cast("long").alias("dep")).distinct()
-    left = steps.put(links.join(there, ["workflow_id", "dep"], "left_semi"))
+    links = edges.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), F.col("dep").cast("long").alias("dep"))
+    both = links.groupBy("workflow_id").agg(F.bool_or(F.col("dep") >= F.col("task_index")).alias("up"), F.bool_or(F.col("dep") <= F.col("task_index")).alias("down")).where("up and down").select("workflow_id")
+    there = nodes.join(both, "workflow_id", "left_semi").select("workflow_id", F.col("task_index").cast("long").alias("dep"))
+    left = steps.put(links.join(both, "workflow_id", "left_semi").distinct().join(there, ["workflow_id", "dep"], "left_semi"))
     n = left.count()
     while n:
         peeled = left
@@ -171,11 +174,10 @@ def spec_faults(workflows: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     steps = Steps(workflows.sparkSession)  # what is read again and again is written once
     ids = steps.put(workflows.select(F.col("id").alias("workflow_id"), "name", F.col("output_index").cast("long").alias("output_index")))
     own = nodes.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), "node_id", "join_type", F.col("min_success").cast("long").alias("min_success")).join(ids.select("workflow_id"), "workflow_id", "left_semi")
-    own = steps.put(own)
     links = edges.select("workflow_id", F.col("task_index").cast("long").alias("task_index"), F.col("dep").cast("long").alias("dep")).distinct().join(ids.select("workflow_id"), "workflow_id", "left_semi")
     links = steps.put(links)
     deps = links.groupBy("workflow_id", "task_index").agg(F.count("*").alias("deps"))
-    counted = own.join(deps, ["workflow_id", "task_index"], "left").withColumn("deps", F.coalesce("deps", F.lit(0)))
+    counted = own = steps.put(own.join(deps, ["workflow_id", "task_index"], "left").withColumn("deps", F.coalesce("deps", F.lit(0))))
     sizes = counted.groupBy("workflow_id").agg(F.count("*").alias("n"), F.count_if(F.col("deps") == 0).alias("roots"))
     whole = ids.join(sizes, "workflow_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     fault = lambda name, when: F.when(when, name)

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.operators import dag as J
+from taskloom.operators import specs as G
 from taskloom.operators import transitions as K
 from taskloom.operators.joins import left_by_key
 from taskloom.plans import catalog
+from taskloom.sources.steps import Steps
 
 
 @pytest.fixture
@@ -72,3 +74,16 @@ def test_cascade_reads_edges_once(spark):
     want = lambda w, i: "FAILED" if i == 0 else "SKIPPED" if w < 18 and i < (4 if w % 2 else 7) else "PENDING"
     assert {(r.workflow_id, r.task_index): r.status for r in got} == {(w, i): want(w, i) for w in range(20) for i in range(7)}
     assert seen.value <= 120 * 2
+
+
+def test_definitions_in_order_are_not_peeled(spark, monkeypatch):
+    sizes = []
+    put = Steps.put
+    monkeypatch.setattr(Steps, "put", lambda self, df: (sizes.append(df.count()), put(self, df))[1])
+    nodes = spark.range(60).select((F.col("id") / 6).cast("long").alias("workflow_id"), (F.col("id") % 6).cast("int").alias("task_index"))
+    down = nodes.where("task_index > 0").select("workflow_id", "task_index", (F.col("task_index") - 1).cast("long").alias("dep"))
+    # 3 goes up and down without a circle, 4 has one, 5 depends on itself
+    odd = spark.createDataFrame([(3, 4, 5), (4, 0, 5), (5, 2, 2)], "workflow_id long, task_index int, dep long")
+    edges = down.where("workflow_id <> 3 or task_index <> 5").unionByName(odd)
+    assert sorted(r.workflow_id for r in G.circles(nodes, edges).collect()) == [4, 5]
+    assert sizes[0] == 17
