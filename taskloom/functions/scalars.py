@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import uuid
 from datetime import timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import let
 from .vocab import BUILT_IN_CODES, ERROR_FAMILIES
 
 
@@ -140,13 +142,22 @@ def dependency_error(status: Column, result: Column) -> Column:
 def merge_results(kwargs: Column, name: str, status: Column, result: Column) -> Column:
     """kwargs, a JSON object, with a dependency's result under `name`, keys in order. What is stored passes as the JSON
     value it is, whatever the state; what is missing, skipped or unreadable becomes an error object."""
-    code = dependency_error(status, result)
+    # what begins with a letter that begins no JSON needn't be parsed to fail; what has no value is read no second time
+    value = F.when(~F.coalesce(result.rlike("^[A-HJ-MO-Za-eg-mo-su-z]"), F.lit(False)), F.try_parse_json(result))
+    code = F.when(result.isNotNull(), "RESULT_DESERIALIZATION_ERROR").otherwise(dependency_error(status, F.lit(None).cast("string")))
     error = F.to_json(F.struct(F.struct(code.alias("error_code")).alias("err")))
-    value = F.parse_json(F.when(code.isNull(), result).otherwise(error))
     base = F.coalesce(F.parse_json(kwargs).cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
-    merged = F.map_concat(F.map_filter(base, lambda k, _: k != name), F.create_map(F.lit(name), value))
-    keys = F.array_sort(F.map_keys(merged))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(merged, k))), {"ignoreNullFields": "false"})
+    merged = F.map_concat(F.map_filter(base, lambda k, _: k != name), F.create_map(F.lit(name), F.coalesce(value, F.parse_json(error))))
+    ordered = lambda m: let(F.sort_array(F.map_keys(m)), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(m, k))))
+    every = F.to_json(let(merged, ordered), {"ignoreNullFields": "false"})
+    if not re.fullmatch("[A-Za-z0-9_]+", name):
+        return every
+    # Plain ASCII kwargs without the name become a canonical text with a place for the value, computed once if they are constant.
+    key, place = f'"{name}":', f'"{name}":0'
+    plain = kwargs.rlike(r'^ *\{ *"[ -\[\]-~]*$') & ~F.contains(kwargs, F.lit(f'"{name}"'))
+    frame = F.to_json(F.parse_json(F.concat(F.lit("{" + place + ","), F.regexp_replace(kwargs, r"^ *\{", ""))))
+    text = F.concat(F.substring_index(frame, place, 1), F.lit(key), F.coalesce(F.to_json(value), error), F.substring_index(frame, place, -1))
+    return F.when(plain, text).otherwise(every)
 
 
 def duration_text(micros: Column) -> Column:

@@ -66,3 +66,22 @@ def test_stale_worker_by_fractions_of_a_second(spark):
     rows = spark.createDataFrame([(k, NOW - timedelta(seconds=age)) for k, age in ages], "k int, snapshot_at timestamp_ntz")
     got = {r.k: r.stale for r in rows.select("k", B.stale_worker(F.lit(NOW).cast("timestamp_ntz")).alias("stale")).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_merged_results_by_either_way(spark):
+    kwargs = ['{"x":1,"a":1.50,"o":{"k":[1,2],"b":"{}"}}', ' { "z": 1e2 }', '{"dep":1,"e":2}', '{"o":{"dep":3},"a":0}', '{"a\\u0062":1}', "{}", "{ }", None, "null", '{"\u00e9":1,"b":2}', '{"a":"x","d":"y\\"z"}', '{"dep ":0,"de":0}']
+    results = ['{"z":null,"a":[1,1.0,1e2,-0.0]}', "null", "12", '"t"', "bad", None, '1, "q":2', '""']
+    rows = [(k, r, s) for k in kwargs for r in results for s in ("COMPLETED", "SKIPPED")]
+    df = spark.createDataFrame(rows, "k string, r string, s string")
+    got = df.select("k", "r", "s", S.merge_results(F.col("k"), "dep", F.col("s"), F.col("r")).alias("m")).collect()
+    # a name with a hyphen goes by maps alone; "d-p" and "dep" sort alike among these keys
+    maps = df.select(S.merge_results(F.replace("k", F.lit('"dep"'), F.lit('"d-p"')), "d-p", F.col("s"), F.col("r")).alias("m")).collect()
+    want = [m.m.replace('"d-p"', '"dep"') for m in maps]
+    for a, b in zip(got, want):
+        if '"de"' not in (a.k or "") and a.k != '{"o":{"dep":3},"a":0}':
+            assert a.m == b, a
+    assert {a.m for a in got if a.k == '{"dep":1,"e":2}' and a.r == "12"} == {'{"dep":12,"e":2}'}
+    assert {a.m for a in got if a.k == '{"o":{"dep":3},"a":0}' and a.r == "12"} == {'{"a":0,"dep":12,"o":{"dep":3}}'}
+    assert {a.m for a in got if a.k == '{"dep ":0,"de":0}' and a.r == "null"} == {'{"de":0,"dep":null,"dep ":0}'}
+    plans = df.select(S.merge_results(F.lit('{"x":1}'), "dep", F.col("s"), F.col("r")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plans
