@@ -20,6 +20,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 WEEK_DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 #: Months in which a pattern is looked for: a 29 February on a day of the week comes again within 40 years.
 MOST_MONTHS = 12 * 41
+#: Spans of months that are looked through one after the other: this one and the next, a year, up to a 29 February, the rest.
+SPANS = ((0, 1), (2, 12), (13, 48), (49, MOST_MONTHS))
 #: Weeks of a month, as the factor that repeats seven bits.
 WEEKS = sum(1 << 7 * i for i in range(5))
 LONG_MONTHS, SHORT_MONTHS = (sum(1 << m for m in months) for months in ((1, 3, 5, 7, 8, 10, 12), (4, 6, 9, 11)))
@@ -82,7 +84,7 @@ def _day(day: Column, p: Column, back: bool) -> Column:
 
         return best(F.transform(F.sequence(F.lit(a), F.lit(b)), of))
 
-    return F.coalesce(within(0, 12), within(13, MOST_MONTHS))
+    return F.coalesce(*(within(a, b) for a, b in SPANS))
 
 
 def _minute(t: Column, p: Column, back: bool) -> Column:
@@ -200,6 +202,8 @@ def compiled(schedules: DataFrame) -> DataFrame:
     first by order of fields; NEVER: no chosen month has a chosen day.
     """
     kind, c = F.col("kind"), F.col
+    # a row takes long, and a small table may be one file: rows are dealt out before
+    schedules = schedules.repartition(4 * schedules.sparkSession.sparkContext.defaultParallelism)
     timed, cron = kind.isin("daily", "weekly", "monthly"), kind == "cron"
     shape = r"^([01]\d|2[0-3]):([0-5]\d):([0-5]\d)$"
     clock = lambda i: F.regexp_extract("at_time", shape, i)

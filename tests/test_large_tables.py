@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from taskloom.functions import patterns as N
 from taskloom.operators import dag as J
 from taskloom.operators import specs as G
 from taskloom.operators import transitions as K
 from taskloom.operators.joins import left_by_key
 from taskloom.plans import catalog
+from taskloom.sources import fixtures
 from taskloom.sources.steps import Steps
 
 
@@ -87,3 +89,8 @@ def test_definitions_in_order_are_not_peeled(spark, monkeypatch):
     edges = down.where("workflow_id <> 3 or task_index <> 5").unionByName(odd)
     assert sorted(r.workflow_id for r in G.circles(nodes, edges).collect()) == [4, 5]
     assert sizes[0] == 17
+
+
+def test_schedules_of_one_file_are_dealt_out(spark, sf_dir):
+    rows = fixtures.read(spark, sf_dir, "patterns").coalesce(1)
+    assert N.compiled(rows).rdd.getNumPartitions() > 1
