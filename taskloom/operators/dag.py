@@ -92,7 +92,7 @@ def dependents(edges: DataFrame, done: list[int]) -> DataFrame:
 
 def terminal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nothing depends on."""
-    used = edges.select("workflow_id", F.col("dep").cast("int").alias("task_index")).distinct()
+    used = edges.select("workflow_id", F.col("dep").cast("int").alias("task_index"))
     return nodes.join(used, ["workflow_id", "task_index"], "left_anti")
 
 

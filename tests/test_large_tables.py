@@ -94,3 +94,11 @@ def test_definitions_in_order_are_not_peeled(spark, monkeypatch):
 def test_schedules_of_one_file_are_dealt_out(spark, sf_dir):
     rows = fixtures.read(spark, sf_dir, "patterns").coalesce(1)
     assert N.compiled(rows).rdd.getNumPartitions() > 1
+
+
+def test_terminal_nodes_without_grouping(spark):
+    nodes = spark.range(5).select(F.lit(1).cast("long").alias("workflow_id"), F.col("id").cast("int").alias("task_index"))
+    edges = spark.createDataFrame([(1, 0), (1, 0), (1, 3)], "workflow_id long, dep long")
+    got = J.terminal_nodes(nodes, edges)
+    assert sorted(r.task_index for r in got.collect()) == [1, 2, 4]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
