@@ -142,6 +142,8 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int = 0)
 SKETCH, NARROW = 32, 8
 #: The second dealing; and a block is dealt by it too if it leaves more documents apart than this many times their keys, as then keys are fewer than comparisons.
 SECOND, MANY = 0x3C6EF372, 4
+#: So many of a document's keys, the least ones of each dealing, go with it, so that two documents needn't meet in each block that they share.
+LEAST = 4
 
 
 def folded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -261,14 +263,39 @@ def _meets(keyed: DataFrame) -> DataFrame:
     return materialize(reduce(DataFrame.unionByName, found).where("node <> first"), "meets")
 
 
+def _least(keys: str) -> Column:
+    return F.slice(F.array_sort(keys), 1, LEAST).alias(keys)
+
+
 def _dealt_again(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members (key, node, width, and more) with `other`: in blocks with many members once for each of their keys in the
-    second dealing, which nodes (node, others) have; once with 0 in the rest."""
+    """members (key, node, width, keys, others, and more) with `other`: in blocks with many members once for each of their
+    keys in the second dealing, which nodes (node, others) have; once with 0 in the rest. keys and others, the node's least
+    ones of each dealing, become those below the row's own."""
     large = members.groupBy("key").agg(F.count("*").alias("held"), F.max("width").alias("width")).where(F.col("held") > MANY * F.col("width"))
     large = materialize(large.select("key", F.lit(True).alias("large")), "large")
-    marked = materialize(members.join(large, "key", "left").drop("width"), "marked")
-    again = marked.where("large").drop("large").join(nodes.select("node", "others"), "node").withColumn("other", F.explode("others")).drop("others")
-    return marked.where("large is null").drop("large").withColumn("other", F.lit(0).cast("long")).unionByName(again)
+    below = lambda of, own: F.filter(of, lambda x: x < F.col(own))
+    marked = members.join(large, "key", "left").drop("width").withColumn("keys", below("keys", "key"))
+    marked = materialize(marked, "marked")
+    again = marked.where("large").drop("large").join(nodes.select("node", F.col("others").alias("every")), "node").withColumn("other", F.explode("every")).drop("every")
+    again = again.withColumn("others", below("others", "other"))
+    alone = marked.where("large is null").drop("large").withColumn("other", F.lit(0).cast("long")).withColumn("others", F.array().cast("array<long>"))
+    return alone.unionByName(again)
+
+
+def _share(a: str, b: str) -> Column:
+    """Two arrays of at most LEAST numbers have one in common."""
+    return F.coalesce(reduce(lambda x, y: x | y, (F.get(a, F.lit(i)) == F.get(b, F.lit(j)) for i in range(LEAST) for j in range(LEAST))), F.lit(False))
+
+
+def _across(members: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a block of members (see _dealt_again()) and may be linked by their
+    narrow sketches. A pair is passed over where a lesser key of both is known: in that block it meets too, or else, as no
+    key of the second dealing is shared, it isn't linked. So most pairs come once, not once for each two keys they share."""
+    members = members.withColumnRenamed("node", "b")
+    odd = members.where("part <> low").select("key", "other", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"), F.col("keys").alias("keys_a"), F.col("others").alias("others_a"))
+    across = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b")))
+    new = ~_share("keys_a", "keys") & ~_share("others_a", "others")
+    return odd.join(members, (odd["key"] == members["key"]) & (odd["other"] == members["other"]) & across & _may_link(plan, NARROW) & new).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +340,7 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
     meets = _meets(kept.select(F.explode("keys").alias("key"), "node"))
     met = standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b")
     met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), "others", "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
+    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), _least("keys"), "others", "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that may be linked by size, then by sketch."""
@@ -350,11 +377,8 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
         own.only(*held, members, links, parts)
     else:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
-        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), F.size("others").alias("width"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node")
-        members = materialize(_dealt_again(members, nodes), "dealt").withColumnRenamed("node", "b")
-        odd = members.where("part <> low").select("key", "other", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
-        across = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b")))
-        rest = odd.join(members, (odd["key"] == members["key"]) & (odd["other"] == members["other"]) & across & _may_link(plan, NARROW)).select("a", "b").distinct()
+        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), F.size("others").alias("width"), "keys", _least("others"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node")
+        rest = _across(materialize(_dealt_again(members, nodes), "dealt"), plan).distinct()
         parts = parts_of(links.unionByName(_linked(sifted(materialize(rest, "rest")), base, firsts, plan)))
     # a component's id is the least of its documents'
     label = firsts.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("part", "set").alias("part"))

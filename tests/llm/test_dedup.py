@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taskloom.llm import jaccard_join
 from taskloom.llm.components import components
@@ -126,6 +127,28 @@ def test_second_dealing():
             assert met([np.sort(base), np.sort(other)], plan, [0, second])
 
 
+@pytest.mark.parametrize("many", [jaccard_join.MANY, 0])
+def test_pairs_meet_once(spark, monkeypatch, many):
+    """Sets that share most of their keys of both dealings come out of the last join once, not once for each two keys; none is lost."""
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    r, plan = np.random.default_rng(2), Plan()
+    common = r.integers(0, 2**64, 188, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((common, r.integers(0, 2**64, 6, dtype=np.uint64)))) for _ in range(30)]
+    flat, bounds = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    bits = jaccard_join.folded(flat, bounds)
+    dealings = [sketches(flat, bounds, plan, d) for d in (0, jaccard_join.SECOND)]
+    keys, others = ([key[of == i].view(np.int64).tolist() for i in range(30)] for of, key in dealings)
+    rows = [(i, len(sets[i]), keys[i], others[i], bits[i].tolist()) for i in range(30)]
+    nodes = spark.createDataFrame(rows, "node long, nb long, keys array<long>, others array<long>, sketch array<long>")
+    least, sketch = jaccard_join._least, jaccard_join._narrower(F.col("sketch"), jaccard_join.NARROW)
+    members = nodes.select("node", F.explode("keys").alias("key"), F.col("node").alias("part"), F.lit(0).cast("long").alias("low"), "nb", F.size("others").alias("width"), least("keys"), least("others"), sketch.alias("sb"))
+    got = [tuple(sorted(x)) for x in jaccard_join._across(jaccard_join._dealt_again(members, nodes), plan).collect()]
+    shared = [(a, b, len({*keys[a]} & {*keys[b]}), len({*others[a]} & {*others[b]})) for a in range(30) for b in range(a + 1, 30)]
+    linked = {(a, b) for a, b, *_ in shared if len(np.intersect1d(sets[a], sets[b])) * 10 >= 9 * len(np.union1d(sets[a], sets[b]))}
+    met_in = sum(k * (o if many == 0 else 1) for _, _, k, o in shared)
+    assert len(linked) == 435 and linked <= set(got) and 4 * len(got) < met_in
+
+
 def test_jaccard_edges(spark, nothing):
     assert jaccard_classes(nothing, Plan()).count() == 0
     rows = [(5, "a b c d"), (5, "x y z"), (3, "A b  c D"), (None, "a b c d"), (7, None), (8, " "), (9, "x y z")]
