@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import NODE_TERMINAL
 from ..sources.steps import Steps
+from .joins import spread
 
 
 def dependency_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,6 +17,13 @@ def dependency_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.groupBy("workflow_id", "task_index").agg(F.count("*").alias("deps"), *(F.count_if(F.col("dep_status") == s).alias(s.lower()) for s in NODE_TERMINAL))
 
 
+def shared_tasks(nodes: DataFrame) -> DataFrame:
+    """(task_id, n): tasks that nodes of several workflows name, and of how many. Nodes without a task are dealt out by workflow."""
+    part = F.when(F.col("task_id").isNull(), F.xxhash64("workflow_id"))
+    counts = spread(nodes.select("task_id", "workflow_id", part.alias("part")), "task_id", "part").groupBy("task_id", "part").agg(F.count_distinct("workflow_id").alias("n"))
+    return counts.where("n > 1 or task_id is null").groupBy("task_id").agg(F.sum("n").alias("n")).where("n > 1")
+
+
 def join_action() -> Column:
     """READY, SKIP or WAIT from the counts of a node; an unknown way of joining acts as `all`."""
     ended = F.col("completed") + F.col("failed") + F.col("skipped")

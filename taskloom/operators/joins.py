@@ -12,3 +12,9 @@ def left_by_key(rows: DataFrame, table: DataFrame, key: str, *spread: str) -> Da
     there = table.withColumnRenamed(key, "_key")
     at = F.coalesce(F.col(key), F.xxhash64(*spread))
     return rows.join(there, (at == F.col("_key")) & F.col(key).isNotNull(), "left").drop("_key")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys over as many tasks as shuffles have partitions. Adaptive execution merges other shuffles' parts up
+    to a number of bytes, which for narrow rows is millions of rows in each sort and hash table of a task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

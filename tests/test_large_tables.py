@@ -102,3 +102,12 @@ def test_terminal_nodes_without_grouping(spark):
     got = J.terminal_nodes(nodes, edges)
     assert sorted(r.task_index for r in got.collect()) == [1, 2, 4]
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_tasks_are_not_merged(spark):
+    # tasks 0 to 9 in two or three runs, the others in one; many nodes without a task, in 50 runs
+    rows = [(w, w % 100 + 10) for w in range(100)] + [(w, k) for k in range(10) for w in range(2 + k % 2)] * 2 + [(w % 50, None) for w in range(1000)] + [(None, 10), (None, 11)]
+    nodes = spark.createDataFrame(rows, "workflow_id long, task_id long")
+    got = J.shared_tasks(nodes)
+    assert {r.task_id: r.n for r in got.collect()} == {None: 50} | {k: 2 + k % 2 for k in range(10)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
