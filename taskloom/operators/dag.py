@@ -13,8 +13,9 @@ from .joins import spread
 def dependency_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node with dependencies: how many there are, completed, failed, skipped."""
     status = nodes.select("workflow_id", F.col("task_index").cast("long").alias("dep"), F.col("status").alias("dep_status"))
-    joined = edges.withColumn("dep", F.col("dep").cast("long")).join(status, ["workflow_id", "dep"], "left")
-    return joined.groupBy("workflow_id", "task_index").agg(F.count("*").alias("deps"), *(F.count_if(F.col("dep_status") == s).alias(s.lower()) for s in NODE_TERMINAL))
+    links = edges.select("workflow_id", "task_index", F.col("dep").cast("long").alias("dep"))
+    joined = spread(links, "workflow_id", "dep").join(spread(status, "workflow_id", "dep"), ["workflow_id", "dep"], "left").select("workflow_id", "task_index", "dep_status")
+    return spread(joined, "workflow_id", "task_index").groupBy("workflow_id", "task_index").agg(F.count("*").alias("deps"), *(F.count_if(F.col("dep_status") == s).alias(s.lower()) for s in NODE_TERMINAL))
 
 
 def shared_tasks(nodes: DataFrame) -> DataFrame:

@@ -104,6 +104,18 @@ def test_terminal_nodes_without_grouping(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dependency_counts_are_not_merged(spark):
+    nodes = spark.range(4000).select((F.col("id") / 4).cast("long").alias("workflow_id"), (F.col("id") % 4).cast("int").alias("task_index"), F.when(F.col("id") % 3 == 0, "FAILED").otherwise("COMPLETED").alias("status"))
+    edges = nodes.where("task_index > 0").select("workflow_id", "task_index", (F.col("task_index") - 1).alias("dep"))
+    counts = J.dependency_counts(nodes, edges)
+    got = {(r.workflow_id, r.task_index): (r.deps, r.completed, r.failed, r.skipped) for r in counts.collect()}
+    assert got == {(i // 4, i % 4): (1, (i - 1) % 3 > 0, (i - 1) % 3 == 0, 0) for i in range(4000) if i % 4}
+    assert most_in_a_task(counts) < 1500
+    pending = nodes.withColumn("status", F.lit("PENDING")).select("*", F.lit("all").alias("join_type"), F.lit(None).cast("int").alias("min_success"), F.lit(False).alias("allow_failed_deps"))
+    running = spark.range(1000).select("id", F.lit("RUNNING").alias("status"))
+    assert most_in_a_task(J.evaluate_joins(pending, edges, running)) < 1500
+
+
 def test_shared_tasks_are_not_merged(spark):
     # tasks 0 to 9 in two or three runs, the others in one; many nodes without a task, in 50 runs
     rows = [(w, w % 100 + 10) for w in range(100)] + [(w, k) for k in range(10) for w in range(2 + k % 2)] * 2 + [(w % 50, None) for w in range(1000)] + [(None, 10), (None, 11)]
