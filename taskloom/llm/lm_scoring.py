@@ -18,10 +18,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, frequent, materialize, slices, texts, with_row
+from .common import ROW, frequent, keep_pages, materialize, slices, texts, with_row
 from .gru import RATE, Gru
 from .language_id import fold
 
@@ -31,8 +32,10 @@ SYMBOLS, TAILS = 1000, 48
 HEAD, HEAD_BYTES = 300_000, 40
 #: Rounds of training. Each learns from every training document; after each the weights are averaged.
 ROUNDS = 2
-#: Symbols that are scored side by side.
-PART = 2_000_000
+#: Bytes of texts that are cut into words at a time: each of their distinct words is looked up once.
+SLICE = 8 << 20
+#: Symbols that are learned from and scored at a time.
+LESSON, PART = 500_000, 5_000_000
 #: Stands for the end; no word holds white space.
 END = "\n"
 
@@ -43,35 +46,57 @@ def tail(word: bytes) -> int:
 
 def _words(text: bytes) -> list[bytes]:
     """The words of a text; a long one is its digest, which begins with white space as no word does."""
-    found = text.translate(LOWER).split()
-    if max(map(len, found), default=0) > HEAD_BYTES:
-        found = [w if len(w) <= HEAD_BYTES else b" " + hashlib.sha256(w).hexdigest()[:32].encode() for w in found]
-    return found
+    codes, distinct, _ = coded(pa.array([text.decode()]))
+    return [texts(distinct)[i] for i in codes.tolist()] if len(codes) else []
+
+
+def _digest(word: bytes) -> str:
+    return " " + hashlib.sha256(word).hexdigest()[:32]
+
+
+def coded(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(the words of all texts as places in distinct, distinct, how many words each text has); null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    every = lists.flatten().dictionary_encode()
+    codes, distinct = every.indices.to_numpy(), every.dictionary.cast(pa.string())
+    # white space at an end of a text leaves an empty word there
+    solid = codes != distinct.index("").as_py()
+    sizes = np.diff(np.concatenate(([0], np.cumsum(solid)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+    long = np.flatnonzero(pc.binary_length(distinct).to_numpy(zero_copy_only=False) > HEAD_BYTES)
+    if len(long):
+        mask = np.zeros(len(distinct), bool)
+        mask[long] = True
+        distinct = pc.replace_with_mask(distinct, pa.array(mask), pa.array(list(map(_digest, texts(distinct.take(long)))), distinct.type))
+    return codes[solid], distinct, sizes
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts, the end among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
-            n.clear()
-            return out
-
-        for batch in slices(batches, "text"):
-            for t in texts(batch.column("text")):
-                n.update(_words(t))
-            n[END.encode()] += batch.num_rows
-            if len(n) > 500_000:
-                yield flush()
-        if n:
-            yield flush()
+        held, rows = [], 0
+        for batch in slices(batches, "text", SLICE):
+            codes, distinct, _ = coded(batch.column("text"))
+            n = np.bincount(codes, minlength=len(distinct))
+            found = pa.table({"word": distinct, "c": n}).filter(pa.array(n > 0))
+            held += [found, pa.table({"word": [END], "c": [batch.num_rows]}, found.schema)]
+            rows += len(found)
+            if rows > 1_000_000:
+                held = [_summed(held)]
+                rows = len(held[0])
+                if rows > 500_000:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if held:
+            yield from _summed(held).to_batches()
 
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+
 class Lexicon:
     """Words of the table: their counts and symbols; what the classes of all other words hold."""
 
@@ -108,7 +133,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
 def parts(batches: Iterator[pa.RecordBatch], most: int = PART) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with a column of symbols, in parts of about `most` of them; a longer text stands alone."""
     for batch in slices(batches, "symbols", 2 * most):
-        yield batch, [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("symbols").to_pylist()]
+        yield batch, [np.frombuffer(x, "<u2") for x in batch.column("symbols").to_pylist()]
 
 
 def fitted(rows: DataFrame, counts: np.ndarray) -> Gru:
@@ -134,6 +159,7 @@ def fitted(rows: DataFrame, counts: np.ndarray) -> Gru:
         start, rate = spark.sparkContext.broadcast(model), RATE * (1 if turn + 1 < ROUNDS else 0.3)
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_pages()
             gru = Gru(counts)
             gru.p = {k: a.copy() for k, a in start.value.p.items()}
             n = gru.learn((lines for _, lines in parts(batches, PART // 4)), rate)
@@ -187,22 +213,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         end = table.get(END.encode(), -1)
         base_end = logs[end] if end >= 0 else math.log10(0.5)
         names = ["id", "held_out", "n_tokens", "known", "plain", "outside", "away", "times", "symbols"]
-        for batch in slices(batches, "text"):
-            n, known, plain, outside, away, times, lines = [], [], [], [], [], [], []
-            for t in texts(batch.column("text")):
-                found = _words(t)
-                at, sym, missing = symbols(found, table, own)
-                here = at[at >= 0]
-                rare = here[here >= own.own]
-                gone = Counter(missing)
-                n.append(len(found) + 1)
-                known.append(len(here) + (end >= 0))
-                plain.append(float(logs[here].sum() + base_end - n[-1] * whole))
-                outside.append(float(logs[rare].sum() - room[sym[sym >= own.own] - own.own].sum()))
-                away.append([w.decode() for w in gone])
-                times.append(list(gone.values()))
-                lines.append(sym.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(outside, pa.float64()), pa.array(away, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array(lines, pa.binary())], names)
+        for batch in slices(batches, "text", SLICE):
+            codes, distinct, sizes = coded(batch.column("text"))
+            many, of = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            at, sym, _ = symbols(texts(distinct), table, own)
+            at, sym = at[codes], sym[codes]
+            here, rare = at >= 0, sym >= own.own
+            known = np.bincount(of[here], minlength=many) + (end >= 0)
+            plain = np.bincount(of[here], logs[at[here]], many) + base_end - (sizes + 1) * whole
+            outside = np.bincount(of[here & rare], logs[at[here & rare]], many) - np.bincount(of[rare], room[sym[rare] - own.own], many)
+            # of each text the words that aren't there, each once
+            pairs, times = np.unique(of[~here] * len(distinct) + codes[~here], return_counts=True)
+            each = pa.array(np.searchsorted(pairs, np.arange(many + 1) * len(distinct)).astype(np.int32))
+            away = pa.ListArray.from_arrays(each, distinct.take(pa.array(pairs % max(len(distinct), 1))))
+            begin = np.concatenate(([0], 2 * np.cumsum(sizes))).astype(np.int32)
+            lines = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(begin), pa.py_buffer(sym.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(outside, pa.float64()), away, pa.ListArray.from_arrays(each, pa.array(times, pa.int64())), lines], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = base.mapInArrow(read, f"id {kind}, held_out boolean, n_tokens long, known long, plain double, outside double, away array<string>, times array<long>, symbols binary")
@@ -210,6 +236,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = spark.sparkContext.broadcast(fitted(made.where(~F.col("held_out")), lex.symbol_counts()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         gru, own = model.value, shared.value.own
         for batch, lines in parts(batches):
             got = gru.score(lines) / math.log(10) if own else np.array([-(len(x) + 1) * math.log10(1 + TAILS) for x in lines])

@@ -1,13 +1,18 @@
 """Language ID and language-model scores: held-out quality, the base score by hand, gradients."""
 
 import collections
+import hashlib
 import math
+import random
+import resource
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from taskloom.llm import gru, lm_scoring
+from taskloom.llm.common import keep_pages
 from taskloom.llm.gru import Gru
 from taskloom.llm.language_id import language_id
 from taskloom.llm.lm_scoring import ROUNDS, fitted, lexicon, score_documents, symbols, word_counts
@@ -78,6 +83,35 @@ def test_state_is_carried():
     assert abs(np.exp(logs).sum() - 1) < 1e-5
 
 
+def test_training_keeps_its_memory():
+    """Windows work on units' rows that lie whole in memory, and find their arrays where the last one left them."""
+    m = Gru(np.arange(60.0, 0, -1))
+    out, kept = m.step(np.zeros((3 * gru.UNITS, 9), np.float32).T, np.zeros((gru.UNITS, 9), np.float32).T)
+    assert all(a.T.flags.c_contiguous for a in (out, *kept))
+    texts = [np.random.default_rng(2).integers(1, 60, 400_000).astype(np.uint16)]
+    keep_pages()
+    m.learn([texts])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    m.learn([texts])
+    windows = 400_001 // gru.STREAMS // gru.STEPS
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 300 * windows
+
+
+def test_words_of_columns():
+    """Words of a whole column are those that split() finds in each text; long ones are known by their digest."""
+    r = random.Random(4)
+    some = [*map(chr, range(256)), "漢", "\u0085", "\u2003", *" \t\n" * 20, "É", "long" * 11]
+    rows = [None, "", " ", "\n\n", "a", " A", "a ", "X" * 41, "x" * 40, *("".join(r.choices(some, k=r.randint(0, 150))) for _ in range(500))]
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    want = [[w if len(w) <= 40 else b" " + hashlib.sha256(w).hexdigest()[:32].encode() for w in (t or "").encode().translate(lower).split()] for t in rows]
+    for column in (pa.array(rows), pa.array(rows, pa.large_string()), pa.array(["before", *rows]).slice(1)):
+        codes, distinct, sizes = lm_scoring.coded(column)
+        found = [distinct[i].as_py().encode() for i in codes.tolist()]
+        at = [0, *np.cumsum(sizes).tolist()]
+        assert [found[a:b] for a, b in zip(at, at[1:])] == want
+    assert [lm_scoring._words((t or "").encode()) for t in rows[:60]] == want[:60]
+
+
 def base_scores(rows):
     lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     own = [(d, (t or "").encode().translate(lower).split() + [None]) for d, t in rows]
