@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import likely
-from .common import LOWER_NP, ROW, Scratch, U, few, hot_above, join_by_key, materialize, mix, scratch, shingle_hashes, slices, utf8, with_row, word_hashes, words
+from .common import LOWER_NP, ROW, Scratch, U, few, frequent, hot_above, join_by_key, materialize, mix, scratch, shingle_hashes, slices, utf8, with_row, word_hashes, words
 from .components import components
 
 
@@ -50,9 +50,10 @@ class Plan:
         p, q = self.share.numerator, self.share.denominator
         return (size + np.minimum(size * q // p, top)) * (q - p) // (q + p) + 1
 
-    def blocks(self, top: int) -> int:
-        """Blocks of a band: as few as leave enough of them with two shingles or more, so that they hold much."""
-        need = n = int(self.needs(np.array([top]), top)[0])
+    def blocks(self, top: int, room: float = 1) -> int:
+        """Blocks of a band: as few as leave enough of them with two shingles or more, so that they hold much; `room` times those needed at least."""
+        need = int(self.needs(np.array([top]), top)[0])
+        n = math.ceil(need * room)
         while n < top / 1.8:  # more blocks than these hold less
             strong = n - n * math.exp(-top / n) * (1 + top / n)
             if strong >= need + 2 * (strong * (n - strong) / n) ** 0.5:
@@ -89,25 +90,20 @@ def _first(which: np.ndarray, owner: np.ndarray, base: np.ndarray, need: np.ndar
     return which & (seen[1:] - seen[base][owner] <= need[owner])
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, key) for every block to be sent, in one of several independent dealings of shingles to blocks.
-
-    A set that may differ from a linked one in d blocks sends its first d + 1 strong ones (two shingles or more). One of
-    them is the same in the other set; of two sets that do so, take the one whose last is earlier, and the other sends
-    it too. A set with fewer strong blocks sends these all and the first d + 1 that aren't empty; failing that, all.
-    """
+def _blocks(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int, room: float = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """For a set's own band, and for the next one, the blocks of the sets that are in it, empty ones too: (numbers of those sets, need of
+    each, place of its first block; of each block the place of its set among these, shingles, key)."""
     size = np.diff(bounds)
     if not len(sets):
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return
     tops = plan.tops(int(size.max()))
     band = np.searchsorted(tops, size)
     code = mix(sets)
     dealt = mix(sets ^ U(dealing)) if dealing else sets
-    out_of, out_key = [], []
     sides = [(band, size > 0)]
     # the next band holds sets that may be this much larger
     sides.append((band + 1, (size > 0) & (size * plan.share.denominator > tops[band] * plan.share.numerator)))
-    table = {int(b): plan.blocks(int(tops[b])) for b in np.unique(np.concatenate((band, band + 1))) if b < len(tops)}
+    table = {int(b): plan.blocks(int(tops[b]), room) for b in np.unique(np.concatenate((band, band + 1))) if b < len(tops)}
     for side, use in sides:
         which = np.flatnonzero(use)
         if not len(which):
@@ -127,21 +123,88 @@ def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int = 0)
         xor[place[heads]] = np.bitwise_xor.reduceat(codes, heads)
         held[place[heads]] = np.diff(np.concatenate((heads, [len(place)])))
         owner_of = np.repeat(np.arange(len(which)), counts)
-        many, many_strong = _first(held > 0, owner_of, base, need), _first(held > 1, owner_of, base, need)
-        strong_enough, enough = (np.bincount(owner_of[m], minlength=len(which)) >= need for m in (many_strong, many))
-        send = np.where(strong_enough[owner_of], many_strong, ~enough[owner_of] | many | (held > 1))
         nth = np.arange(total) - base[owner_of]
         with np.errstate(over="ignore"):
             key = mix(xor ^ mix(nth.astype(U) * U(0x9E3779B1) + side[which][owner_of].astype(U) * U(0xC2B2AE3D27D4EB4F)))
+        yield which, need, base, owner_of, held, key
+
+
+def sketches(sets: np.ndarray, bounds: np.ndarray, plan: Plan, dealing: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, key) for every block to be sent, in one of several independent dealings of shingles to blocks.
+
+    A set that may differ from a linked one in d blocks sends its first d + 1 strong ones (two shingles or more). One of
+    them is the same in the other set; of two sets that do so, take the one whose last is earlier, and the other sends
+    it too. A set with fewer strong blocks sends these all and the first d + 1 that aren't empty; failing that, all.
+    """
+    out_of, out_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for which, need, base, owner_of, held, key in _blocks(sets, bounds, plan, dealing):
+        many, many_strong = _first(held > 0, owner_of, base, need), _first(held > 1, owner_of, base, need)
+        strong_enough, enough = (np.bincount(owner_of[m], minlength=len(which)) >= need for m in (many_strong, many))
+        send = np.where(strong_enough[owner_of], many_strong, ~enough[owner_of] | many | (held > 1))
         out_of.append(which[owner_of[send]])
         out_key.append(key[send])
     return np.concatenate(out_of), np.concatenate(out_key)
 
 
+#: Blocks of the first dealing, as a multiple of those that a set may have to send, so that common ones can be left out.
+ROOM = 1.25
+
+
+def ordered(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[pa.Array, pa.Array]:
+    """For each set the keys of its blocks, strong ones (two shingles or more) first, and three numbers for each of its bands: how
+    many it has to send, how many keys aren't of empty blocks, and how many there are. Of empty blocks only those it may have to send are there."""
+    n = len(bounds) - 1
+    of, side, kind, keys, sides = ([] for _ in range(5))
+    for k, (which, need, base, owner_of, held, key) in enumerate(_blocks(sets, bounds, plan, 0, ROOM)):
+        full = np.bincount(owner_of, held > 0, len(which)).astype(np.int64)
+        nth_empty = np.cumsum(held == 0) - np.concatenate(([0], np.cumsum(held == 0)))[base][owner_of]
+        use = (held > 0) | (nth_empty <= (need - full)[owner_of])
+        of.append(which[owner_of[use]])
+        side.append(np.full(len(of[-1]), k))
+        kind.append(2 - np.minimum(held[use], 2))
+        keys.append(key[use])
+        sides.append((which, np.stack((need, full, np.bincount(owner_of[use], minlength=len(which))), axis=1)))
+    if not of:
+        return (pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind)) for kind in (pa.int64(), pa.int32()))
+    of, side, kind, keys = (np.concatenate(x) for x in (of, side, kind, keys))
+    order = np.lexsort((kind, side, of))
+    whose, numbers = np.concatenate([x for x, _ in sides]), np.concatenate([x for _, x in sides])
+    by = np.argsort(whose, kind="stable")
+    ends = lambda x, width: pa.array((np.searchsorted(x, np.arange(n + 1)) * width).astype(np.int32))
+    return (pa.ListArray.from_arrays(ends(of[order], 1), pa.array(keys[order].view(np.int64))),
+            pa.ListArray.from_arrays(ends(whose[by], 3), pa.array(numbers[by].reshape(-1).astype(np.int32))))
+
+
+def sent(every: pa.ListArray, sides: pa.ListArray, common: np.ndarray, tier: np.ndarray) -> pa.ListArray:
+    """Of each set's keys (see ordered()) those it sends: as many as it has to in each band, common ones last, by tier.
+
+    If two sets differ in d blocks at most, and each sends its first d + 1 keys in an order that is the same for all sets,
+    then they send one in common: of the keys they share, the first one has no more than d before it in either set. Which
+    order that is changes no result. common: sorted.
+    """
+    keys = every.flatten().to_numpy()
+    need, full, count = sides.flatten().to_numpy().reshape(-1, 3).astype(np.int64).T
+    band = np.repeat(np.arange(len(need)), count)
+    nth = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+    rank = np.zeros(len(keys), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        rank = np.where(common[at] == keys, tier[at], rank)
+    rank = np.where(nth < full[band], rank, 255)
+    keys = keys[np.argsort(band * 256 + rank, kind="stable")][nth < need[band]]
+    held = np.concatenate(([0], np.cumsum(np.minimum(need, count))))
+    bands = sides.value_lengths().to_numpy() // 3
+    return pa.ListArray.from_arrays(pa.array(held[np.concatenate(([0], np.cumsum(bands)))].astype(np.int32)), pa.array(keys))
+
+
 #: Bits of the sketch by which pairs are sifted before their texts are compared, as longs; and of the one that moves with a block's documents.
 SKETCH, NARROW = 32, 8
 #: The second dealing; and a block is dealt by it too if it leaves more documents apart than this many times their keys, as then keys are fewer than comparisons.
 SECOND, MANY = 0x3C6EF372, 4
+#: Keys are counted in one of so many documents; those found so often there are common, of which no more than MOST_COMMON are told apart.
+PART, OFTEN, MOST_COMMON = 16, 4, 1 << 18
+#: Each starred comparison after the first is followed by another only if less than this is left of what it was to compare.
+GAIN, TURNS = 0.9, 2
 #: So many of a document's keys, the least ones of each dealing, go with it, so that two documents needn't meet in each block that they share.
 LEAST = 4
 
@@ -169,10 +232,11 @@ def _narrower(sketch: Column, width: int) -> Column:
     return F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), (sketch[i] for i in range(k, SKETCH, width))) for k in range(width)))
 
 
-def _may_link(plan: Plan, width: int = SKETCH) -> Column:
-    """On na, nb, sa, sb: so do the sketches of so many longs, which differ in no more bits than linked sets may."""
+def _may_link(plan: Plan, sketches: list[tuple[Column, Column]] | None = None) -> Column:
+    """On na, nb, sa, sb: so do the sketches, which differ in no more bits than linked sets may; or those of the given longs."""
     p, q = plan.share.numerator, plan.share.denominator
-    far = reduce(lambda x, y: x + y, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(width)))
+    sketches = sketches or [(F.col("sa")[i], F.col("sb")[i]) for i in range(SKETCH)]
+    far = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in sketches))
     return _fits(plan) & (far * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
 
 
@@ -224,11 +288,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, plan: Plan) ->
 
 
 def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, id, n_shingles, whole, keys, others, sketch) of each row of docs (id, text), written: node is a number of its
-    own for the row, whole a digest of its set, keys those of its blocks, others those of the second dealing."""
+    """(node, id, n_shingles, whole, every, sides, others, sketch) of each row of docs (id, text), written: node is a number of its
+    own for the row, whole a digest of its set, every and sides as from ordered(), others the keys of the second dealing."""
 
-    def dealt(sets: np.ndarray, bounds: np.ndarray, dealing: int) -> pa.Array:
-        of, key = sketches(sets, bounds, plan, dealing)
+    def dealt(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        of, key = sketches(sets, bounds, plan, SECOND)
         order = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[order], np.arange(len(bounds))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
@@ -240,22 +304,42 @@ def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
             whole = _wholes(sets, bounds)
             bits = pa.array(folded(sets, bounds).reshape(-1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary()), dealt(sets, bounds, 0), dealt(sets, bounds, SECOND),
+                [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(whole, pa.binary()), *ordered(sets, bounds, plan), dealt(sets, bounds),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * SKETCH), bits)],
-                ["id", "n_shingles", "whole", "keys", "others", "sketch"])
+                ["id", "n_shingles", "whole", "every", "sides", "others", "sketch"])
 
-    made = docs.mapInArrow(read, "id long, n_shingles long, whole binary, keys array<long>, others array<long>, sketch array<long>")
+    made = docs.mapInArrow(read, "id long, n_shingles long, whole binary, every array<long>, sides array<int>, others array<long>, sketch array<long>")
     return materialize(with_row(made), "sets").withColumnRenamed(ROW, "node")
 
 
-def _meets(keyed: DataFrame) -> DataFrame:
-    """(key, node, first): rows of keyed (key, node) with the least node of their key, but for that itself. Keys that a
-    part of the rows shows to be hot are joined with their least, so that their rows don't gather."""
+def _common(sets: DataFrame) -> DataFrame:
+    """(key, n), written: the keys that a part of the documents shows to be common, and about how many documents have them."""
+    part = sets.where(F.pmod(F.xxhash64("node"), F.lit(PART)) == 0).select(F.explode("every").alias("key"))
+    counted = materialize(part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).withColumn("n", F.col("n") * PART), "common")
+    return frequent(counted, "n", MOST_COMMON) if counted.count() > MOST_COMMON else counted
+
+
+def _sender(common: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes keys, those that are sent, of the columns every and sides. The common keys go to all tasks, MOST_COMMON at most."""
+    rows = common.select("key", F.log2(F.col("n") / (OFTEN * PART)).cast("int").alias("tier")).sort("key").toArrow()
+    known = common.sparkSession.sparkContext.broadcast((rows.column("key").to_numpy(), rows.column("tier").to_numpy().astype(np.int64) + 1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = sent(batch.column("every"), batch.column("sides"), *known.value)
+            yield batch.drop_columns(["every", "sides"]).append_column("keys", keys)
+
+    return send
+
+
+def _meets(keyed: DataFrame, common: DataFrame) -> DataFrame:
+    """(key, node, first): rows of keyed (key, node) with the least node of their key, but for that itself. Keys that
+    common (key, n) shows to be hot are joined with their least, so that their rows don't gather."""
     bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    part = keyed.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("key").agg((F.count("*") * 16).alias("n"))
     cold, found = keyed, []
-    if least := hot_above(part):
-        hot = materialize(part.where(F.col("n") > least).select("key"), "hot")
+    if least := hot_above(common):
+        cold = keyed = materialize(keyed, "keyed")
+        hot = materialize(common.where(F.col("n") > least).select("key"), "hot")
         lows = materialize(keyed.join(few(hot), "key").groupBy("key").agg(F.min("node").alias("first")), "lows")
         found.append(keyed.join(few(lows), "key").select("key", "node", "first"))
         cold = keyed.join(few(hot), "key", "left_anti")
@@ -269,9 +353,14 @@ def _least(keys: str) -> Column:
 
 def _dealt_again(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """members (key, node, width, keys, others, and more) with `other`: in blocks with many members once for each of their
-    keys in the second dealing, which nodes (node, others) have; once with 0 in the rest. keys and others, the node's least
-    ones of each dealing, become those below the row's own."""
-    large = members.groupBy("key").agg(F.count("*").alias("held"), F.max("width").alias("width")).where(F.col("held") > MANY * F.col("width"))
+    keys in the second dealing, which nodes (node, others) have, if that halves the comparisons (near copies would only
+    meet again and again); once with 0 in the rest. keys and others, the node's least ones of each dealing, become those
+    below the row's own."""
+    many = members.groupBy("key").agg(F.count("*").alias("held"), F.max("width").alias("width")).where(F.col("held") > MANY * F.col("width"))
+    many = materialize(many.select("key", "held"), "many")
+    every = members.select("key", "node").join(many, "key").join(nodes.select("node", "others"), "node").select("key", "held", F.explode("others").alias("other"))
+    each = every.groupBy("key", "other").agg(F.count("*").alias("n"), F.max("held").alias("held"))
+    large = each.groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("again"), F.max("held").alias("held")).where(F.col("again") * 2 < F.col("held") * F.col("held"))
     large = materialize(large.select("key", F.lit(True).alias("large")), "large")
     below = lambda of, own: F.filter(of, lambda x: x < F.col(own))
     marked = members.join(large, "key", "left").drop("width").withColumn("keys", below("keys", "key"))
@@ -282,20 +371,23 @@ def _dealt_again(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return alone.unionByName(again)
 
 
-def _share(a: str, b: str) -> Column:
-    """Two arrays of at most LEAST numbers have one in common."""
-    return F.coalesce(reduce(lambda x, y: x | y, (F.get(a, F.lit(i)) == F.get(b, F.lit(j)) for i in range(LEAST) for j in range(LEAST))), F.lit(False))
-
-
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of different components that meet in a block of members (see _dealt_again()) and may be linked by their
     narrow sketches. A pair is passed over where a lesser key of both is known: in that block it meets too, or else, as no
     key of the second dealing is shared, it isn't linked. So most pairs come once, not once for each two keys they share."""
-    members = members.withColumnRenamed("node", "b")
-    odd = members.where("part <> low").select("key", "other", F.col("b").alias("a"), F.col("part").alias("part_a"), F.col("nb").alias("na"), F.col("sb").alias("sa"), F.col("keys").alias("keys_a"), F.col("others").alias("others_a"))
-    across = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("low")) | (F.col("a") < F.col("b")))
-    new = ~_share("keys_a", "keys") & ~_share("others_a", "others")
-    return odd.join(members, (odd["key"] == members["key"]) & (odd["other"] == members["other"]) & across & _may_link(plan, NARROW) & new).select("a", "b")
+
+    def side(x: str, own: str, none: Column | None = None) -> list[Column]:
+        """The sketch and the known keys in columns of their own, which makes short code for each pair; `none` (else the row's own key, which
+        none of the lesser ones is) where there are fewer."""
+        known = [F.coalesce(F.get(kind, F.lit(i)), F.col(of) if none is None else none).alias(f"{kind}_{x}{i}") for kind, of in (("keys", "key"), ("others", "other")) for i in range(LEAST)]
+        return [F.col(own).alias(x), F.col("part").alias(f"part_{x}"), F.col("nb").alias(f"n{x}"), *known, *(F.col("sb")[i].alias(f"s{x}{i}") for i in range(NARROW))]
+
+    odd = members.where("part <> low").select("key", "other", *side("a", "node"))
+    members = members.select("key", "other", (F.col("part") == F.col("low")).alias("main"), *side("b", "node", F.lit((1 << 63) - 1)))
+    across = (F.col("part_a") != F.col("part_b")) & (F.col("main") | (F.col("a") < F.col("b")))
+    known = reduce(lambda x, y: x | y, (F.col(f"{kind}_a{i}") == F.col(f"{kind}_b{j}") for kind in ("keys", "others") for i in range(LEAST) for j in range(LEAST)))
+    may = _may_link(plan, [(F.col(f"sa{i}"), F.col(f"sb{i}")) for i in range(NARROW)])
+    return odd.join(members, (odd["key"] == members["key"]) & (odd["other"] == members["other"]) & across & ~known & may).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,11 +415,11 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
     # different sets of one id are linked, and equal ones; of large groups of equal sets only one goes on
     several = rows.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a < high").drop("high")
     same = join_by_key(rows.select("id", F.col("set").alias("b")), several, ["id"]).where("a <> b").select("a", "b").distinct()
-    kept = usable.select("node", "keys")
+    kept = usable.select("node", "every", "sides")
     copies = rows.where("node <> set").select("node", "set")
     if least := hot_above(firsts):
         large = few(materialize(firsts.where(F.col("n") > least).select("whole", "set"), "large"))
-        kept = usable.join(large, "whole", "left").where("set is null or node = set").select("node", "keys")
+        kept = usable.join(large, "whole", "left").where("set is null or node = set").select("node", "every", "sides")
         copies = copies.join(large.select("set"), "set", "left_anti")
     stands = materialize(copies, "stands")
     same = materialize(same.unionByName(stands.select(F.col("set").alias("a"), F.col("node").alias("b"))), "same")
@@ -337,10 +429,13 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
             table = table.join(stands.select(F.col("node").alias(c), F.col("set").alias("stand")), c, "left").withColumn(c, F.coalesce("stand", c)).drop("stand")
         return table.distinct()
 
-    meets = _meets(kept.select(F.explode("keys").alias("key"), "node"))
+    common = _common(usable)
+    send = _sender(common)
+    meets = _meets(kept.mapInArrow(send, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node"), common)
     met = standing(meets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").where("a <> b")
     met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    nodes = materialize(likely(sets.select("node", F.col("n_shingles").alias("n"), _least("keys"), "others", "sketch"), met.select(F.explode(F.array("a", "b")).alias("node")), "node"), "nodes")
+    own_node = likely(sets.select("node", F.col("n_shingles").alias("n"), "others", "sketch", "every", "sides"), met.select(F.explode(F.array("a", "b")).alias("node")), "node", send, "node long, n long, others array<long>, sketch array<long>, keys array<long>")
+    nodes = materialize(own_node.withColumn("keys", _least("keys")), "nodes")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that may be linked by size, then by sketch."""
@@ -350,36 +445,44 @@ def _classes(base: DataFrame, plan: Plan, own: Scratch) -> DataFrame:
         sized = materialize(sized.select("a", "b", "na", "nb"), "sized")
         return sized.join(bits("b"), "b").join(bits("a"), "a").where(_may_link(plan)).select("a", "b")
 
-    def parts_of(links: DataFrame) -> DataFrame:
-        return materialize(components(links.unionByName(same)).select("node", F.col("component").alias("part")), "parts")
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """parts (node, part) with the components that links (a, b) connect made one: a component is a node of a smaller graph."""
+        of = lambda x: parts.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}"))
+        known = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        edges = known.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")).where("a <> b")
+        moved = components(edges).select(F.col("node").alias("part"), "component")
+        every = parts.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("part")))
+        return materialize(every.join(moved, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "parts")
 
     def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
-        """(key, node, part, low): the blocks whose documents aren't all connected yet; part is a document's component, low the least in its block."""
+        """(key, node, part, low, held): the blocks whose documents aren't all connected yet; part is a document's component, low the least in its block, which has `held`."""
         now = materialize(members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "now")
-        ends = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").drop("high")
+        ends = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held")).where("low <> high").drop("high")
         return materialize(join_by_key(now, ends, ["key"]), "apart")
 
-    links = materialize(_linked(sifted(met), base, firsts, plan), "links")
-    parts = parts_of(links)
+    links = _linked(sifted(met), base, firsts, plan)
+    parts = materialize(components(links.unionByName(same)).select("node", F.col("component").alias("part")), "parts")
     held = (sets, firsts, rows, stands, same, nodes)  # the other tables go when a round is over
-    own.only(*held, meets, links, parts)
+    own.only(*held, meets, parts)
     members = meets.select("key", "node").unionByName(meets.select("key", F.col("first").alias("node")).distinct())
+    members = materialize(standing(apart(members, parts), "node"), "members")
+    before, left = math.inf, members.agg(F.sum("held")).first()[0]
     # each with another document of its block, picked by hash: groups whose first document is an outlier close here
-    for turn in (1, 2):
-        members = materialize(standing(apart(members, parts), "node"), "members")
-        if members.isEmpty():
+    for turn in range(1, TURNS + 1):
+        if not left or left > GAIN * before:
             break
         picks = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("pick"))
         picked = join_by_key(members, picks, ["key"]).where("part <> pick.part")
         pairs = materialize(picked.select(F.least("pick.node", "node").alias("a"), F.greatest("pick.node", "node").alias("b")).distinct(), "picked")
-        links = materialize(links.unionByName(_linked(sifted(pairs), base, firsts, plan)), "links")
-        parts = parts_of(links)
-        own.only(*held, members, links, parts)
-    else:
+        parts = joined(parts, materialize(_linked(sifted(pairs), base, firsts, plan), "links"))
+        members = apart(members, parts)
+        own.only(*held, members, parts)
+        before, left = left, members.agg(F.sum("held")).first()[0]
+    if left:
         # all that a block still leaves apart is compared by sketch across components, then by text: no link is missed
-        members = apart(members, parts).join(nodes.select("node", F.col("n").alias("nb"), F.size("others").alias("width"), "keys", _least("others"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node")
+        members = members.drop("held").join(nodes.select("node", F.col("n").alias("nb"), F.size("others").alias("width"), "keys", _least("others"), _narrower(F.col("sketch"), NARROW).alias("sb")), "node")
         rest = _across(materialize(_dealt_again(members, nodes), "dealt"), plan).distinct()
-        parts = parts_of(links.unionByName(_linked(sifted(materialize(rest, "rest")), base, firsts, plan)))
+        parts = joined(parts, materialize(_linked(sifted(materialize(rest, "rest")), base, firsts, plan), "links"))
     # a component's id is the least of its documents'
     label = firsts.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("part", "set").alias("part"))
     label = materialize(label, "label")

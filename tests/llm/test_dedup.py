@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from taskloom.llm import components as components_module
 from taskloom.llm import jaccard_join
 from taskloom.llm.components import components
 from taskloom.llm.exact_dedup import exact_dedup, keep_one
@@ -149,6 +150,48 @@ def test_pairs_meet_once(spark, monkeypatch, many):
     assert len(linked) == 435 and linked <= set(got) and 4 * len(got) < met_in
 
 
+def test_common_blocks_come_last(spark, monkeypatch):
+    """Texts that share a passage hardly meet in its blocks, as they have others to send; their near copies are found."""
+    plan, met = Plan(5, Fraction(8, 10)), {}
+    common = [f"c{i}" for i in range(54)]
+    own = lambda i: [f"w{i}x{j}" for j in range(46)]
+    rows = [(i, " ".join(common + own(i))) for i in range(400)] + [(1000 + i, " ".join([*common, *own(i)[:-1], "z"])) for i in range(0, 400, 40)]
+
+    def counting(df, name, write=jaccard_join.materialize):
+        out = write(df, name)
+        if name == "meets":
+            met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counting)
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), plan).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    sets = [jaccard_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for _, t in rows]
+    _, keys = sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), plan)
+    unordered = len(keys) - len(np.unique(keys))
+    assert unordered > 1500 and 4 * met["meets"] < unordered
+
+
+@pytest.mark.parametrize("plan", [Plan(), Plan(5, Fraction(8, 10)), Plan(2, Fraction(1, 2))])
+def test_any_order_of_keys(plan):
+    """Linked sets send a key in common whatever keys count as common, also where blocks are empty or hold one shingle."""
+    r, linked = np.random.default_rng(3), 0
+    for n in [1, 2, 3, 5, 9, 14, 30, 75, 100, 400] * 8:
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        swap = r.integers(0, int(n * (1 - plan.share) / 2) + 2)
+        b = np.unique(np.concatenate((a[: n - swap], r.integers(0, 2**64, r.integers(0, swap + 1), dtype=np.uint64))))
+        if len(np.intersect1d(a, b)) < max(plan.share * len(np.union1d(a, b)), 1):
+            continue
+        linked += 1
+        every, sides = jaccard_join.ordered(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), plan)
+        shared = np.intersect1d(every[0].values.to_numpy(), every[1].values.to_numpy())
+        for common in (shared[:0], shared, shared[r.random(len(shared)) < 0.5], np.unique(every.flatten().to_numpy())):
+            one, two = jaccard_join.sent(every, sides, common, r.integers(1, 9, len(common))).to_pylist()
+            assert {*one} & {*two}, n
+            assert len(one) <= sides[0].values.to_numpy()[::3].sum()
+    assert linked > 40
+
+
 def test_jaccard_edges(spark, nothing):
     assert jaccard_classes(nothing, Plan()).count() == 0
     rows = [(5, "a b c d"), (5, "x y z"), (3, "A b  c D"), (None, "a b c d"), (7, None), (8, " "), (9, "x y z")]
@@ -182,6 +225,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are written once."""
+    written = []
+    monkeypatch.setattr(components_module, "materialize", lambda df, name, write=components_module.materialize: written.append(name) or write(df, name))
+    edges = [(i, i % 3) for i in range(3, 30)] + [(1, 4), (0, 0)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i % 3 for i in range(30)} and written == ["edges"]
+
+
 @pytest.mark.parametrize("length,k", [(50, 16), (12, 4)])
 def test_substring_dedup(docs, rows, length, k):
     own = {r[0]: words(r[1]) for r in rows}
