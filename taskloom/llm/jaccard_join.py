@@ -3,9 +3,10 @@
 The shingles of a document are dealt to blocks by hash, and a block is known by the XOR of its shingles' codes. Two sets
 that differ in d shingles differ in at most d blocks, so among d + 1 blocks one agrees. Documents are put in bands by set
 size, which fixes the number of blocks; those near the upper end of a band are sketched in the next one too. Documents
-that agree in a block are compared, first each with the least of its block, then those that the links so far leave
-apart, so that a group of n near copies needs about n comparisons, not n². Where many documents of a block stay apart (a
-common passage fills it), only those that agree in a block of a second dealing too are compared: linked sets do, as the
+that agree in a block are compared (blocks that many documents share are sent last, so that a common passage brings few
+together), first each with the least of its block, then those that the links so far leave
+apart, so that a group of n near copies needs about n comparisons, not n², unless many of them stay apart. Where many
+documents of a block do and it halves the comparisons, only those that agree in a block of a second dealing too are compared: linked sets do, as the
 same holds of any dealing. A pair is sifted by a parity sketch of 2048 bits, in which each shingle flips one, so that the
 Hamming distance bounds the difference from below; then by its texts. Equal sets are linked at sight, and one of them
 stands for all. One pass over the texts makes sets, blocks and sketches.
